@@ -66,20 +66,20 @@ def page_links(total: Column, page: int, per_page: int) -> tuple[Column, Column]
     return F.lit(page > 1), F.lit(page * per_page) < total
 
 
-def page_document(page: Page, columns: list[str]) -> DataFrame:
-    """One JSON row ``{total, page, per_page, results}`` with the results in row order.
+def page_document(page: Page, id_column: str) -> DataFrame:
+    """One JSON row ``{total, page, per_page, results}`` with the results in id order.
 
     The rows are at most ``per_page`` many.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.struct("_order").alias("o"), F.struct(*columns).alias("r"))))
-    results = F.transform(ordered, lambda x: x["r"])
+    columns = [c for c in page.rows.columns if c != id_column]
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), F.struct(*columns).alias("r"))))
     return page.rows.agg(
         F.to_json(
             F.struct(
                 F.lit(page.total).cast("bigint").alias("total"),
                 F.lit(page.page).alias("page"),
                 F.lit(page.per_page).alias("per_page"),
-                results.alias("results"),
+                F.transform(ordered, lambda x: x["r"]).alias("results"),
             )
         ).alias("document")
     )

@@ -7,6 +7,8 @@ join back to the review all reuse that placement.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,25 +59,36 @@ def pair_units(pairs: DataFrame, cfg: CleanConfig, lexicon: Lexicon, key: str) -
 
 
 def review_units(
-    df: DataFrame, cfg: CleanConfig, lexicon: Lexicon, pairs: DataFrame | None = None
+    df: DataFrame,
+    cfg: CleanConfig,
+    lexicon: Lexicon,
+    pairs: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, input_text, tokens, units) placed by id: one row per review, map-side work only.
+    """(id, input_text, tokens, units, carried) placed by id: one row per review, map-side work only.
 
     Reviews with aspect-opinion pairs use them as units; all others use their clauses.
+    ``carried`` is a struct of further columns of the review.
     """
     key = cfg.id_column
-    require_columns(df, [key, cfg.text_column])
+    require_columns(df, [key, cfg.text_column, *carry])
     # A null id cannot be regrouped; it stops the job rather than losing the row.
     known_id = F.coalesce(F.col(key), F.raise_error(F.lit(f"null {key}")).cast(df.schema[key].dataType))
-    rows = df.select(known_id.alias(key), text.as_text(F.col(cfg.text_column)).alias("input_text"))
+    rows = df.select(
+        known_id.alias(key),
+        text.as_text(F.col(cfg.text_column)).alias("input_text"),
+        F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")]).alias("carried"),
+    )
     rows = rows.filter(F.col(key).isNotNull())
     clause_units = aspects.clause_units(F.col("input_text"), cfg, lexicon).cast(UNIT_TYPE)
     tokens = text.clean_tokens(F.col("input_text"), cfg)
     if pairs is None:
-        return rows.select(key, "input_text", tokens.alias("tokens"), clause_units.alias("units")).repartition(key)
-    joined = rows.repartition(key).join(pair_units(pairs, cfg, lexicon, key), key, "left")
+        return rows.select(
+            key, "input_text", tokens.alias("tokens"), clause_units.alias("units"), "carried"
+        ).repartition(key)
+    joined = rows.join(pair_units(pairs, cfg, lexicon, key), key, "left")
     units = F.when(F.col("pair_units").isNull(), clause_units).otherwise(F.col("pair_units"))
-    return joined.select(key, "input_text", tokens.alias("tokens"), units.alias("units"))
+    return joined.select(key, "input_text", tokens.alias("tokens"), units.alias("units"), "carried").repartition(key)
 
 
 def score_reviews(
@@ -85,13 +98,15 @@ def score_reviews(
     cfg: CleanConfig = CleanConfig(),
     pairs: DataFrame | None = None,
     words: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The full observation record of every review; rows that cannot be scored carry ``error``.
 
-    Ids must be unique. ``words=False`` leaves out the per-word list.
+    Ids must be unique. ``words=False`` leaves out the per-word list. ``carry`` names input
+    columns that travel along in the struct ``carried``.
     """
     key = cfg.id_column
-    base = review_units(df, cfg, lexicon, pairs)
+    base = review_units(df, cfg, lexicon, pairs, carry)
     # Unit 0 is the review itself.
     every_unit = F.concat(
         F.array(F.struct(F.lit(0).alias("unit"), F.col("tokens"))),
@@ -106,7 +121,8 @@ def score_reviews(
     joined = base.join(unit_scores, key, "left")
     if words:
         joined = joined.join(_word_lists(base, model, key), key, "left")
-    return _observations(joined, model, lexicon, key, words)
+    scored = _observations(joined, model, lexicon, key, words)
+    return scored if carry else scored.drop("carried")
 
 
 def _reading_whole_row(array: Column) -> Column:
@@ -115,7 +131,8 @@ def _reading_whole_row(array: Column) -> Column:
     Every branch over the placed rows then asks for the same columns, so the planner sees one
     and the same exchange, and the reviews are cleaned and shuffled once instead of per branch.
     """
-    return F.when((F.length("input_text") >= 0) & (F.size("units") >= 0) & (F.size("tokens") >= 0), array)
+    always = (F.length("input_text") >= 0) & (F.size("units") >= 0) & (F.size("tokens") >= 0)
+    return F.when(always & (F.hash("carried") >= F.lit(-(2**31))), array)
 
 
 def _word_lists(base: DataFrame, model: LinearTextModel, key: str) -> DataFrame:
@@ -158,6 +175,7 @@ def _observations(joined: DataFrame, model: LinearTextModel, lexicon: Lexicon, k
         row_error(F.col("input_text"), F.col("tokens")).alias("error"),
         scores_of(F.lit(0)).alias("_scores"),
         points.alias("_points"),
+        "carried",
         *(["word_sentiments"] if words else []),
     )
     rows = rows.withColumn("_seen", model.observe(F.col("_scores")))
@@ -199,6 +217,7 @@ def _observations(joined: DataFrame, model: LinearTextModel, lexicon: Lexicon, k
         F.when(ok, F.col("_points")).alias("main_feature_points"),
         *([F.when(ok, F.coalesce("word_sentiments", empty_words)).alias("word_sentiments")] if words else []),
         "error",
+        "carried",
     )
 
 

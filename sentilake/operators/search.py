@@ -32,7 +32,10 @@ C_VALUES = (0.1, 1.0, 5.0)
 NB_ALPHAS = (0.1, 0.5, 1.0)
 SGD_ALPHAS = (1e-4, 1e-3, 1e-2)
 SGD_L1_SHARE = 0.15
-MAX_ITERATIONS = 2000
+# --- fixed values: iteration caps and stopping tolerances per model ---
+LOGISTIC_ITERATIONS, LOGISTIC_TOLERANCE = 2000, 1e-4
+MACHINE_ITERATIONS, MACHINE_TOLERANCE = 1000, 1e-4
+SGD_ITERATIONS, SGD_TOLERANCE = 1000, 1e-3
 
 
 @dataclass(frozen=True)
@@ -63,14 +66,15 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
     grid is left out.
     """
 
-    def logistic() -> LogisticRegression:
-        return LogisticRegression(maxIter=MAX_ITERATIONS, standardization=False, labelCol="label", weightCol="unit")
-
-    def machine() -> LinearSVC:
-        return LinearSVC(maxIter=100, standardization=False, labelCol="label", weightCol="unit")
+    def logistic(iterations: int, tolerance: float) -> LogisticRegression:
+        return LogisticRegression(
+            maxIter=iterations, tol=tolerance, standardization=False, labelCol="label", weightCol="unit"
+        )
 
-    def linear_machine(name: str, values: Sequence[tuple[float, dict[str, str]]]) -> Candidate:
-        base = machine()
+    def linear_machine(
+        name: str, values: Sequence[tuple[float, dict[str, str]]], iterations: int, tolerance: float
+    ) -> Candidate:
+        base = LinearSVC(maxIter=iterations, tol=tolerance, standardization=False, labelCol="label", weightCol="unit")
         if n_classes == 2:
             return Candidate(name, base, tuple({base.regParam: r} for r, _ in values), tuple(d for _, d in values))
         estimators = [OneVsRest(classifier=base.copy({base.regParam: r}), labelCol="label") for r, _ in values]
@@ -79,14 +83,14 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
             name, outer, tuple({outer.classifier: e.getClassifier()} for e in estimators), tuple(d for _, d in values)
         )
 
-    lr = logistic()
+    lr = logistic(LOGISTIC_ITERATIONS, LOGISTIC_TOLERANCE)
     lr_points = [(c, w) for c in C_VALUES for w in ("None", "balanced")]
     lr_grid = tuple(
         {lr.regParam: 1.0 / (c * n_rows), lr.weightCol: "balanced" if w == "balanced" else "unit"}
         for c, w in lr_points
     )
     nb = NaiveBayes(modelType="multinomial", labelCol="label")
-    sgd = logistic()
+    sgd = logistic(SGD_ITERATIONS, SGD_TOLERANCE)
     sgd_points = [(a, p) for a in SGD_ALPHAS for p in ("l2", "elasticnet")]
     sgd_grid = tuple(
         {sgd.regParam: a, sgd.elasticNetParam: 0.0 if p == "l2" else SGD_L1_SHARE} for a, p in sgd_points
@@ -100,7 +104,14 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
                 tuple({"C": str(c), "class_weight": w} for c, w in lr_points),
             )
         ],
-        "LinearSVC": [linear_machine("LinearSVC", [(1.0 / (c * n_rows), {"C": str(c)}) for c in C_VALUES])],
+        "LinearSVC": [
+            linear_machine(
+                "LinearSVC",
+                [(1.0 / (c * n_rows), {"C": str(c)}) for c in C_VALUES],
+                MACHINE_ITERATIONS,
+                MACHINE_TOLERANCE,
+            )
+        ],
         "MultinomialNB": [
             Candidate(
                 "MultinomialNB",
@@ -113,6 +124,8 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
             linear_machine(
                 "SGDClassifier",
                 [(a, {"loss": "hinge", "alpha": str(a), "penalty": "l2"}) for a in SGD_ALPHAS],
+                SGD_ITERATIONS,
+                SGD_TOLERANCE,
             ),
             Candidate(
                 "SGDClassifier",
