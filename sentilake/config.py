@@ -53,5 +53,5 @@ class TrainConfig:
     primary_metric: str = "f1_weighted"
     cv_folds: int = 3
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 8
     models: tuple[str, ...] = ("LogisticRegression", "LinearSVC", "MultinomialNB", "SGDClassifier")

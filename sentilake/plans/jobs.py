@@ -87,15 +87,10 @@ def train_and_select(features: Features, cfg: TrainConfig = TrainConfig(), artif
     """Search every model, evaluate on the test part, keep the best by the primary metric."""
     search.score_column(cfg.primary_metric)
     spark = features.rows.sparkSession
-    # The vectors are read by every fold of every grid point.
-    train = search.training_vectors(features.train, features.tfidf, features.labels, cfg).persist()
-    test = search.training_vectors(features.test, features.tfidf, features.labels, cfg).persist()
-    try:
-        space = search.search_space(train.count(), len(features.labels), cfg)
-        tuned = [search.tune(candidates, train, test, cfg) for candidates in space]
-    finally:
-        train.unpersist()
-        test.unpersist()
+    train = search.training_vectors(features.train, features.tfidf, features.labels, cfg)
+    test = search.training_vectors(features.test, features.tfidf, features.labels, cfg)
+    space = search.search_space(train.count(), len(features.labels), cfg)
+    tuned = [search.tune(candidates, train, test, cfg) for candidates in space]
     best = search.pick_best(tuned, cfg.primary_metric)
     scores = search.score_table(tuned, spark)
     report = search.model_report(scores, best.name, cfg.primary_metric, artifact_path)
