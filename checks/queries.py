@@ -417,18 +417,15 @@ def tfidf(spark, sf):
 CAST(min(idx) AS INT) AS first_idx FROM x GROUP BY doc_id""")
 def tfidf_vectors(spark, sf):
     """The vector form, unpacked again per document."""
-    from pyspark.ml.functions import vector_to_array
-
     rows = corpus(spark, sf)
-    vectors = features.vectorize(rows, features.fit_tfidf(rows, DOC_FEATURES)).select(
-        "doc_id", vector_to_array("features").alias("a")
-    )
-    return vectors.select(
+    vectors = features.vectorize(rows, features.fit_tfidf(rows, DOC_FEATURES))
+    sparse = vectors.select("doc_id", F.unwrap_udt("features").alias("v")).filter(F.size("v.indices") > 0)
+    return sparse.select(
         "doc_id",
-        F.size(F.filter("a", lambda v: v != 0)).cast("bigint").alias("n_terms"),
-        r6(F.aggregate("a", F.lit(0.0), lambda s, v: s + v), "l1"),
-        (F.array_position(F.transform("a", lambda v: v != 0), True) - 1).cast("int").alias("first_idx"),
-    ).filter(F.col("n_terms") > 0)
+        F.size("v.indices").cast("bigint").alias("n_terms"),
+        r6(F.aggregate("v.values", F.lit(0.0), lambda s, v: s + v), "l1"),
+        F.array_min("v.indices").alias("first_idx"),
+    )
 
 
 @query("""SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS label_index
@@ -818,7 +815,7 @@ def stream_clean(spark, sf):
 
 
 @query(f"""WITH {sql.corpus_ctes()}, {_DOC_UNITS}, {sql.score_ctes('doc_id', 'docs', 's')}
-SELECT doc_id, label AS predicted_label, round(p1, 6) AS positive_score FROM s""")
+SELECT doc_id, CASE WHEN len(toks) > 0 THEN label ELSE '' END AS predicted_label, CASE WHEN len(toks) > 0 THEN round(p1, 6) END AS positive_score FROM s""")
 def stream_score(spark, sf):
     out = fresh_path(spark, "stream-score")
     rows = _document_stream(spark, sf).select("doc_id", "text")
@@ -843,7 +840,8 @@ def stream_counts(spark, sf):
 
 
 @query(f"""WITH {sql.corpus_ctes()}, {_DOC_UNITS}, {sql.score_ctes('doc_id', 'docs', 's')}
-SELECT doc_id, 2 AS model_version, label AS predicted_label, round(p1, 6) AS positive_score FROM s""")
+SELECT doc_id, 2 AS model_version, CASE WHEN len(toks) > 0 THEN label ELSE '' END AS predicted_label,
+CASE WHEN len(toks) > 0 THEN round(p1, 6) END AS positive_score FROM s""")
 def stream_newest_model(spark, sf):
     """Two registered models; the stream scores with the newer one."""
     space = fresh_path(spark, "workspace")

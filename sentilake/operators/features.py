@@ -18,7 +18,7 @@ from sentilake.session import cut_lineage
 # A vocabulary up to this many rows is broadcast; its size is capped by ``max_features``.
 BROADCAST_TERMS = 500_000
 
-VOCABULARY_SCHEMA = "term string, idx int, df bigint, tf bigint, idf double"
+EVERY_DOCUMENT = ""
 
 
 @dataclass(frozen=True)
@@ -43,10 +43,12 @@ def term_statistics(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
 
     Each document emits all its terms once per occurrence (for tf) and its distinct terms
     once (for df). Both are sums per term, so no (document, term) pair is ever shuffled and
-    a term found in every document costs one partial row per task.
+    a term found in every document costs one partial row per task. The empty term, which no
+    text holds, is emitted once per document: its df is the number of documents.
     """
     terms = df.select(document_terms(text.text_tokens(F.col(cfg.text_column)), cfg).alias("terms"))
     emitted = F.concat(
+        F.array(F.struct(F.lit(EVERY_DOCUMENT).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))),
         F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
         F.transform(
             F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
@@ -83,8 +85,11 @@ def number_terms(stats: DataFrame, n_docs: int, cfg: FeatureConfig) -> DataFrame
 def fit_tfidf(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> TfidfModel:
     """Fit vocabulary and inverse document frequency on the given (training) rows."""
     require_columns(df, [cfg.text_column])
-    n_docs = df.count()
-    stats = cut_lineage(frequency_cuts(term_statistics(df, cfg), n_docs, cfg))
+    is_total = F.col("term") == EVERY_DOCUMENT
+    counted = cut_lineage(term_statistics(df, cfg).filter((F.col("df") >= cfg.min_df) | is_total))
+    every = counted.filter(is_total).first()
+    n_docs = every["df"] if every else 0
+    stats = frequency_cuts(counted.filter(~is_total), n_docs, cfg)
     if stats.count() > cfg.max_features:
         # Only the winners and the ties of the last one reach the final ordering.
         stats = stats.filter(F.col("tf") >= lowest_kept_frequency(stats, cfg.max_features))

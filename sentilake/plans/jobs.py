@@ -182,8 +182,14 @@ def annotate_csv(
     model: LinearTextModel,
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
+    keep_order: bool = True,
 ) -> str:
-    """A caller's CSV in, the annotated CSV out."""
+    """A caller's CSV in, the annotated CSV out, by default in the order of the input.
+
+    The order is kept across part files by a range sort on the row id, never by one task.
+    """
     named = replace(cfg, text_column=text_column, id_column="_row_id")
     numbered = readers.number_rows(readers.read_upload(spark, path, text_column), "_row_id")
-    return writers.write_annotated_csv(annotate(numbered, model, lexicon, named).drop("_row_id"), out_path)
+    rows = annotate(numbered, model, lexicon, named)
+    ordered = rows.orderBy("_row_id") if keep_order else rows
+    return writers.write_annotated_csv(ordered.drop("_row_id"), out_path)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sentilake.config import CleanConfig
 from sentilake.operators.checks import require_columns, require_rows
@@ -32,25 +31,27 @@ def read_raw_csv(
     path: str,
     cfg: CleanConfig = CleanConfig(),
     require_non_empty: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Raw reviews from CSV with header. Required columns are checked before any job.
 
     Column names come from the header; all columns are read as text and further columns
-    are kept. The file may hold quoted line breaks, and many files are read in parallel.
+    are kept. Quoted line breaks need ``multi_line``, with which a file is read by one task;
+    pass False for large files without them, so that they are split.
     """
-    df = _csv(spark, path)
+    df = _csv(spark, path, multi_line)
     require_columns(df, [cfg.text_column, cfg.label_column])
     return require_rows(df) if require_non_empty else df
 
 
-def read_upload(spark: SparkSession, path: str, text_column: str) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, text_column: str, multi_line: bool = True) -> DataFrame:
     """A caller's CSV whose text column is named by the caller, with the guards of an upload."""
     if not text_column.strip():
         raise ValueError("text_column cannot be empty.")
     if not path.lower().endswith(".csv"):
         raise ValueError("Only CSV files are supported.")
     try:
-        df = _csv(spark, path)
+        df = _csv(spark, path, multi_line)
     except Exception as error:
         raise ValueError(f"Invalid CSV file: {error}") from error
     if not df.columns:
@@ -76,14 +77,10 @@ def number_rows(df: DataFrame, id_column: str = "review_id") -> DataFrame:
     return df.withColumn(id_column, F.monotonically_increasing_id())
 
 
-def text_schema(columns: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-
-def _csv(spark: SparkSession, path: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")
