@@ -82,7 +82,7 @@ def percent(score: Column, digits: int = 1) -> Column:
 
 def bar_width(score: Column) -> Column:
     """A score as a bar width between 0 and 100; no score gives 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score * 100)), F.lit(0.0))
+    return F.when(score.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score * 100)))
 
 
 def display_rows(results: DataFrame, id_column: str) -> DataFrame:

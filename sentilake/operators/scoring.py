@@ -68,7 +68,7 @@ def review_units(
     """(id, input_text, tokens, units, carried) placed by id: one row per review, map-side work only.
 
     Reviews with aspect-opinion pairs use them as units; all others use their clauses.
-    ``carried`` is a struct of further columns of the review.
+    ``carried`` is a struct of further columns of the review, present if any are named.
     """
     key = cfg.id_column
     require_columns(df, [key, cfg.text_column, *carry])
@@ -77,18 +77,19 @@ def review_units(
     rows = df.select(
         known_id.alias(key),
         text.as_text(F.col(cfg.text_column)).alias("input_text"),
-        F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")]).alias("carried"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     rows = rows.filter(F.col(key).isNotNull())
     clause_units = aspects.clause_units(F.col("input_text"), cfg, lexicon).cast(UNIT_TYPE)
     tokens = text.clean_tokens(F.col("input_text"), cfg)
+    kept = ["carried"] if carry else []
     if pairs is None:
         return rows.select(
-            key, "input_text", tokens.alias("tokens"), clause_units.alias("units"), "carried"
+            key, "input_text", tokens.alias("tokens"), clause_units.alias("units"), *kept
         ).repartition(key)
     joined = rows.join(pair_units(pairs, cfg, lexicon, key), key, "left")
     units = F.when(F.col("pair_units").isNull(), clause_units).otherwise(F.col("pair_units"))
-    return joined.select(key, "input_text", tokens.alias("tokens"), units.alias("units"), "carried").repartition(key)
+    return joined.select(key, "input_text", tokens.alias("tokens"), units.alias("units"), *kept).repartition(key)
 
 
 def score_reviews(
@@ -112,7 +113,7 @@ def score_reviews(
         F.array(F.struct(F.lit(0).alias("unit"), F.col("tokens"))),
         F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), u["tokens"].alias("tokens"))),
     )
-    unit_rows = base.select(key, F.inline(_reading_whole_row(every_unit)))
+    unit_rows = base.select(key, F.inline(_reading_whole_row(base, every_unit)))
     unit_scores = (
         score_units(unit_rows, model, key)
         .groupBy(key)
@@ -121,22 +122,23 @@ def score_reviews(
     joined = base.join(unit_scores, key, "left")
     if words:
         joined = joined.join(_word_lists(base, model, key), key, "left")
-    scored = _observations(joined, model, lexicon, key, words)
-    return scored if carry else scored.drop("carried")
+    return _observations(joined, model, lexicon, key, words)
 
 
-def _reading_whole_row(array: Column) -> Column:
+def _reading_whole_row(base: DataFrame, array: Column) -> Column:
     """The array, tied to the other columns of the placed rows by a test that always holds.
 
     Every branch over the placed rows then asks for the same columns, so the planner sees one
     and the same exchange, and the reviews are cleaned and shuffled once instead of per branch.
     """
     always = (F.length("input_text") >= 0) & (F.size("units") >= 0) & (F.size("tokens") >= 0)
-    return F.when(always & (F.hash("carried") >= F.lit(-(2**31))), array)
+    if "carried" in base.columns:
+        always = always & (F.hash("carried") >= F.lit(-(2**31)))
+    return F.when(always, array)
 
 
 def _word_lists(base: DataFrame, model: LinearTextModel, key: str) -> DataFrame:
-    tokens = base.select(key, F.posexplode(_reading_whole_row(F.col("tokens"))).alias("pos", "token"))
+    tokens = base.select(key, F.posexplode(_reading_whole_row(base, F.col("tokens"))).alias("pos", "token"))
     entry = F.struct("position", "word", "predicted_label", "positive", "negative")
     return (
         word_sentiments(tokens, model, key)
@@ -166,6 +168,7 @@ def _observations(joined: DataFrame, model: LinearTextModel, lexicon: Lexicon, k
             F.when(x["r"]["positive"].isNotNull(), pair).alias("scores"),
         )
 
+    kept = ["carried"] if "carried" in joined.columns else []
     with_scores = F.transform(F.transform("units", with_seen), lambda x: F.struct(x["u"].alias("u"), model.observe(x["s"]).alias("seen")))
     points = F.transform(F.transform(with_scores, with_result), as_point)
     rows = joined.select(
@@ -175,7 +178,7 @@ def _observations(joined: DataFrame, model: LinearTextModel, lexicon: Lexicon, k
         row_error(F.col("input_text"), F.col("tokens")).alias("error"),
         scores_of(F.lit(0)).alias("_scores"),
         points.alias("_points"),
-        "carried",
+        *kept,
         *(["word_sentiments"] if words else []),
     )
     rows = rows.withColumn("_seen", model.observe(F.col("_scores")))
@@ -217,7 +220,7 @@ def _observations(joined: DataFrame, model: LinearTextModel, lexicon: Lexicon, k
         F.when(ok, F.col("_points")).alias("main_feature_points"),
         *([F.when(ok, F.coalesce("word_sentiments", empty_words)).alias("word_sentiments")] if words else []),
         "error",
-        "carried",
+        *kept,
     )
 
 

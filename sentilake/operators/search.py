@@ -79,7 +79,7 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
     def linear_machine(
         name: str, values: Sequence[tuple[float, dict[str, str]]], iterations: int, tolerance: float
     ) -> Candidate:
-        base = LinearSVC(maxIter=iterations, tol=tolerance, standardization=False, labelCol="label", weightCol="unit")
+        base = LinearSVC(maxIter=iterations, tol=tolerance, standardization=False, labelCol="label")
         if n_classes == 2:
             return Candidate(name, base, tuple({base.regParam: r} for r, _ in values), tuple(d for _, d in values))
         estimators = [OneVsRest(classifier=base.copy({base.regParam: r}), labelCol="label") for r, _ in values]
