@@ -6,30 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sentilake.config import CleanConfig
-from sentilake.functions import rules, text
+from sentilake.functions import lists, rules, text
 from sentilake.functions.lexicon import Lexicon
 
 
 def first_choice_tokens(clause: Column, cfg: CleanConfig, lexicon: Lexicon) -> Column:
     """Raw clause words that may name an aspect."""
-    stop = list(cfg.stop_words) if cfg.remove_stopwords else [""]
-    return F.filter(
-        text.letter_runs(clause),
-        lambda t: ~t.isin(stop) & ~lexicon.is_banned(t) & (F.length(t) >= 3) & ~t.endswith("ly"),
+    dropped = (*cfg.stop_words, *lexicon.banned_aspect_tokens) if cfg.remove_stopwords else lexicon.banned_aspect_tokens
+    return lists.keep(
+        text.letter_runs(clause), f"length(t) >= 3 AND NOT endswith(t, 'ly') AND NOT {lists.one_of(dropped)}"
     )
 
 
 def second_choice_tokens(tokens: Column, lexicon: Lexicon) -> Column:
     """Cleaned clause words that may name an aspect when the raw words give none."""
-    return F.filter(tokens, lambda t: ~lexicon.is_banned(t) & (F.length(t) >= 3))
+    return lists.keep(tokens, f"length(t) >= 3 AND NOT {lists.one_of(lexicon.banned_aspect_tokens)}")
 
 
 def pick_feature(candidates: Column, clause_no: Column, lexicon: Lexicon) -> Column:
     """Last bug word, else last preferred feature, else last word, else ``aspect_n``."""
     last = F.lit(-1)
     return F.coalesce(
-        F.try_element_at(F.filter(candidates, lexicon.is_bug), last),
-        F.try_element_at(F.filter(candidates, lexicon.is_preferred), last),
+        F.try_element_at(lists.keep(candidates, lists.one_of(lexicon.bug_features)), last),
+        F.try_element_at(lists.keep(candidates, lists.one_of(lexicon.preferred_features)), last),
         F.try_element_at(candidates, last),
         F.concat(F.lit("aspect_"), clause_no.cast("string")),
     )

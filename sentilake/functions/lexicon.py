@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentilake.functions import fixed_words as words
+from sentilake.functions import lists
 
 # A lexicon is written into the plan as literals, so its size is checked.
 MAX_LEXICON_WORDS = 20_000
@@ -92,8 +93,7 @@ class Lexicon:
 
     def has_signal(self, tokens: Column) -> Column:
         """True when any token is a positive or negative cue."""
-        cues = list(dict.fromkeys((*self.positive_cues, *self.negative_cues)))
-        return F.exists(tokens, lambda t: _in(t, cues))
+        return lists.any_of(tokens, lists.one_of((*self.positive_cues, *self.negative_cues)))
 
     def cue_sum(self, tokens: Column, polarity: str) -> Column:
         """Summed cue weights of one polarity, repeats counted, added in token order."""
@@ -102,17 +102,16 @@ class Lexicon:
             if polarity == "positive"
             else (self.negative_cues, self.negative_weights)
         )
-        hits = F.filter(tokens, lambda t: _in(t, cues))
-        if not weights:
-            return F.size(hits).cast("double")
-        lookup = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
-        return F.aggregate(
-            hits, F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at(lookup, t), F.lit(1.0))
-        )
+        by_weight: dict[float, list[str]] = {}
+        for word, weight in weights.items():
+            by_weight.setdefault(float(weight), []).append(word)
+        arms = " ".join(f"WHEN {lists.one_of(group)} THEN {weight!r}D" for weight, group in by_weight.items())
+        weight_of = f"CASE {arms} ELSE 1.0D END" if arms else "1.0D"
+        return lists.total(lists.keep(tokens, lists.one_of(cues)), weight_of)
 
     def forced_score(self, tokens: Column) -> Column:
         """Floor of the negative score if a forced word or word group is present, else null."""
-        single = F.exists(tokens, lambda t: _in(t, self.forced_negative_any))
+        single = lists.any_of(tokens, lists.one_of(self.forced_negative_any))
         group = reduce(
             lambda a, b: a | b,
             [
@@ -125,15 +124,6 @@ class Lexicon:
             group, F.lit(float(self.forced_pair_negative_score))
         )
 
-    def is_banned(self, token: Column) -> Column:
-        return _in(token, self.banned_aspect_tokens)
-
-    def is_preferred(self, token: Column) -> Column:
-        return _in(token, self.preferred_features)
-
-    def is_bug(self, token: Column) -> Column:
-        return _in(token, self.bug_features)
-
 
 def read_lexicon(spark: SparkSession, path: str, base: Lexicon | None = None) -> Lexicon:
     """Read a small JSON (or, if a YAML parser is present, YAML) lexicon file.
@@ -166,7 +156,3 @@ def _entry(name: str, value: Any) -> Any:
     if name.endswith(("_score", "_threshold")):
         return float(value)
     return tuple(w for w in value or () if isinstance(w, str))
-
-
-def _in(token: Column, members: Any) -> Column:
-    return token.isin(list(members)) if members else F.lit(False)

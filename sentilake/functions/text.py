@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentilake.config import CleanConfig
 from sentilake.functions import fixed_words as words
+from sentilake.functions import lists
 
 DEFAULT = CleanConfig()
 
@@ -61,38 +62,35 @@ def normalize(col: Column, cfg: CleanConfig = DEFAULT) -> Column:
     return F.trim(x)
 
 
-def lemma(token: Column) -> Column:
-    """Default noun lemma: a short table of irregular nouns, then plural endings."""
-    irregular = F.create_map(*[F.lit(x) for pair in words.IRREGULAR_NOUNS.items() for x in pair])
+def lemma() -> str:
+    """Default noun lemma of ``t``: a short table of irregular nouns, then plural endings."""
+    table = " ".join(f"WHEN '{noun}' THEN '{base}'" for noun, base in words.IRREGULAR_NOUNS.items())
 
-    def cut(n: int) -> Column:
-        return F.substring(token, F.lit(1), F.length(token) - n)
+    def cut(n: int) -> str:
+        return f"substring(t, 1, length(t) - {n})"
 
-    return (
-        F.when(token.isin(list(words.IRREGULAR_NOUNS)), F.try_element_at(irregular, token))
-        .when(~token.endswith("s") | (F.length(token) <= 3), token)
-        .when(token.endswith("ies"), F.when(F.length(token) > 4, F.concat(cut(3), F.lit("y"))).otherwise(cut(1)))
-        .when(
-            token.endswith("sses") | token.endswith("ches") | token.endswith("shes") | token.endswith("xes"), cut(2)
-        )
-        .when(token.endswith("ss") | token.endswith("us") | token.endswith("is"), token)
-        .otherwise(cut(1))
-    )
+    return f"""CASE
+        WHEN {lists.one_of(words.IRREGULAR_NOUNS)} THEN CASE t {table} END
+        WHEN NOT endswith(t, 's') OR length(t) <= 3 THEN t
+        WHEN endswith(t, 'ies') THEN CASE WHEN length(t) > 4 THEN concat({cut(3)}, 'y') ELSE {cut(1)} END
+        WHEN endswith(t, 'sses') OR endswith(t, 'ches') OR endswith(t, 'shes') OR endswith(t, 'xes') THEN {cut(2)}
+        WHEN endswith(t, 'ss') OR endswith(t, 'us') OR endswith(t, 'is') THEN t
+        ELSE {cut(1)} END"""
 
 
 def raw_tokens(col: Column, cfg: CleanConfig = DEFAULT) -> Column:
     """Tokens of the normalized text with stop words removed, before lemma and length."""
     tokens = F.split(F.regexp_replace(normalize(col, cfg), FUSED_WORD, "$0 "), " ")
-    stop = list(cfg.stop_words) if cfg.remove_stopwords else []
-    return F.filter(tokens, lambda t: ~t.isin(["", *stop]))
+    dropped = ["", *cfg.stop_words] if cfg.remove_stopwords else [""]
+    return lists.keep(tokens, f"NOT {lists.one_of(dropped)}")
 
 
 def clean_tokens(col: Column, cfg: CleanConfig = DEFAULT) -> Column:
     """Cleaned tokens: stop words out, then lemma, then the length test, in that order."""
     tokens = raw_tokens(col, cfg)
     if cfg.lemmatize:
-        tokens = F.transform(tokens, lemma)
-    return F.filter(tokens, lambda t: F.length(t) >= cfg.min_token_length)
+        tokens = lists.change(tokens, lemma())
+    return lists.keep(tokens, f"length(t) >= {int(cfg.min_token_length)}")
 
 
 def clean_text(col: Column, cfg: CleanConfig = DEFAULT) -> Column:

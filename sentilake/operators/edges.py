@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentilake.functions import lists
 from sentilake.functions.lexicon import Lexicon
 from sentilake.operators.checks import require_columns
 
@@ -24,7 +25,7 @@ def aspect_opinion_pairs(edges: DataFrame, lexicon: Lexicon, key: str = "review_
     """
     require_columns(edges, [key, *EDGE_COLUMNS])
     nouns = edges.filter(
-        F.col("pos").isin("NOUN", "PROPN") & ~lexicon.is_banned(F.lower("text")) & (F.length("text") >= 3)
+        F.col("pos").isin("NOUN", "PROPN") & ~F.expr(lists.one_of(lexicon.banned_aspect_tokens, "lower(text)")) & (F.length("text") >= 3)
     )
     is_subject = F.col("dep").isin("nsubj", "nsubjpass")
     asked = nouns.select(
@@ -40,9 +41,8 @@ def aspect_opinion_pairs(edges: DataFrame, lexicon: Lexicon, key: str = "review_
             )
         ),
     )
-    cue_verb = (F.col("pos") == "VERB") & F.lower("lemma").isin(
-        list(dict.fromkeys((*lexicon.positive_cues, *lexicon.negative_cues)))
-    )
+    cues = (*lexicon.positive_cues, *lexicon.negative_cues)
+    cue_verb = (F.col("pos") == "VERB") & F.expr(lists.one_of(cues, "lower(lemma)"))
     describing = F.when(
         (F.col("pos") == "ADJ") & F.col("dep").isin("amod", "acomp", "attr"),
         F.struct(F.col("head_i").alias("at"), F.col("dep").alias("role"), F.lower("text").alias("word")),
@@ -67,7 +67,7 @@ def aspect_opinion_pairs(edges: DataFrame, lexicon: Lexicon, key: str = "review_
     named = (
         nouns.select(key, F.col("i").alias("noun_i"), aspect.alias("aspect"))
         .join(opinions, [key, "noun_i"], "left")
-        .filter(F.col("opinion").isNotNull() | lexicon.is_preferred(F.col("aspect")))
+        .filter(F.col("opinion").isNotNull() | F.expr(lists.one_of(lexicon.preferred_features, "aspect")))
     )
     # Keeping the smallest position per aspect is a combinable aggregate, not a window sort.
     first = F.min(F.struct(F.col("noun_i").alias("pos"), F.coalesce("opinion", F.lit("")).alias("opinion")))

@@ -19,6 +19,7 @@ from sentilake.operators.pages import Page, page_of
 from sentilake.operators.results import ANNOTATION_COLUMNS, annotation_columns, result_rows
 from sentilake.operators.scoring import row_error, score_reviews
 from sentilake.operators.splitting import assign_split
+from sentilake.session import cut_lineage
 from sentilake.sources import readers, writers
 
 
@@ -151,8 +152,8 @@ def score_page(
     """
     raw = text.as_text(F.col(cfg.text_column))
     scorable = df.filter(row_error(raw, text.clean_tokens(raw, cfg)).isNull())
-    cut = page_of(scorable, cfg.id_column, page, per_page)
-    scored = score_reviews(cut.rows, model, lexicon, cfg, words=False)
+    cut = page_of(scorable.select(cfg.id_column, cfg.text_column), cfg.id_column, page, per_page)
+    scored = score_reviews(cut_lineage(cut.rows), model, lexicon, cfg, words=False)
     return replace(cut, rows=result_rows(scored, cfg.id_column))
 
 
