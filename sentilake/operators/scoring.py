@@ -80,16 +80,27 @@ def review_units(
         *([F.struct(*carry).alias("carried")] if carry else []),
     )
     rows = rows.filter(F.col(key).isNotNull())
-    clause_units = aspects.clause_units(F.col("input_text"), cfg, lexicon).cast(UNIT_TYPE)
-    tokens = text.clean_tokens(F.col("input_text"), cfg)
+    rows = rows.withColumn("tokens", text.clean_tokens(F.col("input_text"), cfg))
+    units = aspects.clause_units(F.col("input_text"), cfg, lexicon).cast(UNIT_TYPE)
+    if cfg.remove_non_alpha:
+        units = F.when(_no_clause_can_have_a_cue(lexicon), F.array().cast(UNIT_TYPE)).otherwise(units)
+    if pairs is not None:
+        rows = rows.join(pair_units(pairs, cfg, lexicon, key), key, "left")
+        units = F.when(F.col("pair_units").isNotNull(), F.col("pair_units")).otherwise(units)
     kept = ["carried"] if carry else []
-    if pairs is None:
-        return rows.select(
-            key, "input_text", tokens.alias("tokens"), clause_units.alias("units"), *kept
-        ).repartition(key)
-    joined = rows.join(pair_units(pairs, cfg, lexicon, key), key, "left")
-    units = F.when(F.col("pair_units").isNull(), clause_units).otherwise(F.col("pair_units"))
-    return joined.select(key, "input_text", tokens.alias("tokens"), units.alias("units"), *kept).repartition(key)
+    return rows.select(key, "input_text", "tokens", units.alias("units"), *kept).repartition(key)
+
+
+def _no_clause_can_have_a_cue(lexicon: Lexicon) -> Column:
+    """True when the clauses need no cleaning of their own, because none can hold a cue.
+
+    Clause borders never fall inside a run of letters, so every token of a clause is a token of
+    the review, unless a tag or an address is cut by a border. Text that may hold either one is
+    never skipped. Holds only where everything but letters is removed.
+    """
+    raw = F.col("input_text")
+    cuttable = raw.contains("<") | raw.contains("://") | raw.contains("www.")
+    return ~cuttable & ~lexicon.has_signal(F.col("tokens"))
 
 
 def score_reviews(
