@@ -87,4 +87,6 @@ CAST(doc_id % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS p_positive FROM labels"""
 CORPUS = """SELECT d.doc_id, d.text, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
-VERSIONS = "SELECT doc_id, text, lang, source, n_chars, CAST(doc_id % 3 AS INT) AS version FROM documents"
+# Every version holds the whole table; a later version states the text and language anew.
+VERSIONS = """SELECT doc_id, text, lang, source, 1 AS version FROM documents
+UNION ALL SELECT doc_id, CONCAT(text, ' good camera.') AS text, UPPER(lang) AS lang, source, 2 AS version FROM documents"""

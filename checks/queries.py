@@ -175,29 +175,31 @@ def row_errors(spark, sf):
 # ---- sources and sinks -----------------------------------------------------------------------
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 3 = (SELECT max(doc_id % 3) FROM documents)")
+@query("SELECT doc_id, upper(lang) AS lang, source, md5(concat(text, ' good camera.')) AS digest FROM documents")
 def latest_version(spark, sf):
     rows = fixture(spark, sf, fixtures.VERSIONS)
-    return writers.latest_rows(rows).select("doc_id", "lang", "source", "n_chars")
+    return writers.latest_rows(rows).select("doc_id", "lang", "source", F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, lang, CAST(2 AS INT) AS version, 'replace' AS source_job FROM documents WHERE doc_id % 3 = 2")
-def publish_replace(spark, sf):
-    path = fresh_path(spark, "replace")
+def _publish(spark, sf, path: str, job: str, replace_existing: bool) -> None:
     rows = fixture(spark, sf, fixtures.VERSIONS)
     for version in (1, 2):
         part = rows.filter(F.col("version") == version).drop("version")
-        writers.publish_version(part, path, version, "replace", sf, replace_existing=True)
+        writers.publish_version(part, path, version, job, sf, replace_existing)
+
+
+@query("SELECT doc_id, upper(lang) AS lang, CAST(2 AS INT) AS version, 'replace' AS source_job FROM documents")
+def publish_replace(spark, sf):
+    path = fresh_path(spark, "replace")
+    _publish(spark, sf, path, "replace", replace_existing=True)
     return spark.read.parquet(path).select("doc_id", "lang", "version", "source_job")
 
 
-@query("SELECT CAST(doc_id % 3 AS INT) AS version, count(*) AS n, CAST(2 AS INT) AS newest FROM documents WHERE doc_id % 3 > 0 GROUP BY 1")
+@query("""SELECT CAST(v.version AS INT) AS version, count(*) AS n, CAST(2 AS INT) AS newest
+FROM documents, (VALUES (1), (2)) AS v(version) GROUP BY v.version""")
 def publish_revisions(spark, sf):
     path = fresh_path(spark, "revisions")
-    rows = fixture(spark, sf, fixtures.VERSIONS)
-    for version in (1, 2):
-        part = rows.filter(F.col("version") == version).drop("version")
-        writers.publish_version(part, path, version, "keep", sf, replace_existing=False)
+    _publish(spark, sf, path, "keep", replace_existing=False)
     stored = spark.read.parquet(path)
     newest = writers.newest_version(stored)
     return stored.groupBy("version").agg(F.count("*").alias("n")).withColumn("newest", F.lit(newest))
@@ -213,14 +215,14 @@ def csv_to_cleaned(spark, sf):
     return readers.read_cleaned(spark, out).select("review_id", "text_clean")
 
 
-@query(f"""SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS text_clean FROM documents
-WHERE doc_id % 3 = 2 AND len({sql.tokens('text')}) > 0""")
+_NEW_TEXT = "(text || ' good camera.')"
+
+
+@query(f"""SELECT doc_id, array_to_string({sql.tokens(_NEW_TEXT)}, ' ') AS text_clean FROM documents""")
 def publish_cleaned(spark, sf):
+    """Newest raw version in, cleaned version out."""
     raw, out = fresh_path(spark, "raw"), fresh_path(spark, "published")
-    rows = fixture(spark, sf, fixtures.VERSIONS)
-    for version in (1, 2):
-        part = rows.filter(F.col("version") == version).drop("version")
-        writers.publish_version(part, raw, version, "upload", sf, replace_existing=False)
+    _publish(spark, sf, raw, "upload", replace_existing=False)
     jobs.publish_cleaned(spark, raw, out, 1, DOC_CLEAN)
     return spark.read.parquet(out).select("doc_id", "text_clean")
 

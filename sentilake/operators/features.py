@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -28,6 +28,8 @@ class TfidfModel:
     vocabulary: DataFrame
     n_docs: int
     cfg: FeatureConfig
+    # Vector stages already built from this vocabulary.
+    stages: dict[tuple[str, str], PipelineModel] = field(default_factory=dict, compare=False, repr=False)
 
     def lookup(self) -> DataFrame:
         """The vocabulary, marked for broadcast only where ``max_features`` proves it small."""
@@ -125,6 +127,8 @@ def vector_pipeline(model: TfidfModel, terms_column: str = "terms", output: str
 
     The vocabulary is capped by ``max_features``, so it may pass through the driver.
     """
+    if (terms_column, output) in model.stages:
+        return model.stages[terms_column, output]
     if model.cfg.max_features > BROADCAST_TERMS:
         raise ValueError(f"max_features above {BROADCAST_TERMS} is not supported for vectors")
     rows = model.vocabulary.orderBy("idx").select("term", "idf").collect()
@@ -134,7 +138,9 @@ def vector_pipeline(model: TfidfModel, terms_column: str = "terms", output: str
     weights = ElementwiseProduct(
         scalingVec=Vectors.dense([r.idf for r in rows]), inputCol="_tf", outputCol="_tfidf"
     )
-    return PipelineModel([counts, weights, Normalizer(p=2.0, inputCol="_tfidf", outputCol=output)])
+    stages = PipelineModel([counts, weights, Normalizer(p=2.0, inputCol="_tfidf", outputCol=output)])
+    model.stages[terms_column, output] = stages
+    return stages
 
 
 def with_terms(df: DataFrame, cfg: FeatureConfig, output: str = "terms") -> DataFrame:
