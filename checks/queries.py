@@ -15,7 +15,7 @@ from sentilake.functions import aspects, rules, text
 from sentilake.functions import fixed_words as words
 from sentilake.functions.lexicon import Lexicon
 from sentilake.operators import cleaning, edges, features, labels, metrics, models, pages, results, scoring, splitting
-from sentilake.operators.checks import classes_of
+from sentilake.operators.checks import chunk_counts, classes_of
 from sentilake.plans import jobs
 from sentilake.session import shared_dir
 from sentilake.sources import readers, writers
@@ -172,6 +172,13 @@ def row_errors(spark, sf):
     return reviews(spark, sf).select("review_id", scoring.row_error(raw, text.clean_tokens(raw)).alias("error"))
 
 
+@query(f"""SELECT count(*) AS rows_written FROM documents WHERE len({sql.tokens('text')}) > 0""")
+def rows_written(spark, sf):
+    """The last running total over the chunks of the cleaned table."""
+    cleaned = cleaning.clean_reviews(documents(spark, sf).select("doc_id", "text"), DOC_CLEAN)
+    return chunk_counts(cleaned).agg(F.max("total_rows").alias("rows_written"))
+
+
 # ---- sources and sinks -----------------------------------------------------------------------
 
 
@@ -695,6 +702,21 @@ def scored_words(spark, sf):
     return rows.select("review_id", "position", "word", r6("positive"))
 
 
+@query(f"""WITH {sql.review_ctes()}
+SELECT review_id, text AS input_text, CASE WHEN error IS NULL THEN CAST((SELECT size FROM totals) AS INT) END AS vocabulary_size,
+CASE WHEN error IS NULL THEN round(p1, 6) END AS p_positive, CASE WHEN error IS NULL THEN round(p0, 6) END AS breakdown_negative,
+CASE WHEN error IS NULL THEN CAST((SELECT count(*) FROM points p WHERE p.review_id = whole.review_id) AS INT) END AS n_points FROM whole""")
+def response_rows(spark, sf):
+    """The response columns, nested ones flattened."""
+    rows = results.response_rows(_scored(spark, sf, words_too=True), "review_id")
+    return rows.select(
+        "review_id", "input_text", F.get("embedding_shape", F.lit(1)).alias("vocabulary_size"),
+        r6(F.try_element_at("class_probabilities", F.lit("positive")), "p_positive"),
+        r6("sentiment_breakdown.negative", "breakdown_negative"),
+        F.when(F.col("main_feature_points").isNotNull(), F.size("main_feature_points")).alias("n_points"),
+    )
+
+
 _ANNOTATED = """SELECT w.review_id, r.text, CASE WHEN error IS NULL THEN overall ELSE '' END AS overall_sentiment,
 CASE WHEN error IS NULL THEN round(p1, 6) END AS positive_score, CASE WHEN error IS NULL THEN round(p0, 6) END AS negative_score,
 CASE WHEN error IS NULL THEN round(confidence, 6) END AS confidence,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
@@ -27,8 +28,6 @@ def classes_of(df: DataFrame, label_column: str, max_classes: int = 1000) -> lis
 
     The list goes to the driver, hence the checked bound.
     """
-    from pyspark.sql import functions as F
-
     rows = (
         df.select(F.coalesce(F.col(label_column).cast("string"), F.lit("")).alias("label"))
         .distinct()
@@ -38,3 +37,12 @@ def classes_of(df: DataFrame, label_column: str, max_classes: int = 1000) -> lis
     if len(rows) > max_classes:
         raise ValueError(f"Column '{label_column}' holds more than {max_classes} classes.")
     return sorted(r.label for r in rows)
+
+
+def chunk_counts(df: DataFrame) -> DataFrame:
+    """(chunk, rows_in_chunk, total_rows): rows per input partition and their running total.
+
+    One row per partition is left before the running total is formed.
+    """
+    chunks = df.groupBy(F.spark_partition_id().alias("chunk")).agg(F.count("*").alias("rows_in_chunk"))
+    return chunks.withColumn("total_rows", F.sum("rows_in_chunk").over(Window.orderBy("chunk")))

@@ -11,6 +11,8 @@ from sentilake.operators.checks import require_columns
 
 # Four hex digits: 65,536 histogram cells per class.
 CELL_DIGITS = 4
+# Cuts per class: one for a split, folds - 1 for folds.
+MAX_CUTS = 100
 
 
 def seeded_hash(id_column: str, seed: int) -> Column:
@@ -40,19 +42,23 @@ def rank_cuts(
         .filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
         .select("g", "cell", "cut_no", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset"))
     )
+    # A few rows per class; with their number checked they can be broadcast, so the second
+    # pass drops all other cells before anything is shuffled.
+    found = wanted.limit(max_groups * MAX_CUTS + 1).collect()
+    if len({r.g for r in found}) > max_groups or len(found) > max_groups * MAX_CUTS:
+        raise ValueError(f"Column '{group}' holds more than {max_groups} classes.")
+    cut_cells = df.sparkSession.createDataFrame(found, wanted.schema)
     in_cell = Window.partitionBy("g", "cell", "cut_no").orderBy("k")
     cuts = (
-        rows.join(wanted, ["g", "cell"])
+        rows.join(F.broadcast(cut_cells), ["g", "cell"])
         .withColumn("rn", F.row_number().over(in_cell))
         .filter(F.col("rn") == F.col("offset"))
         .groupBy("g")
         .agg(F.array_sort(F.collect_list("k")).alias("cuts"))
+        .collect()
     )
-    found = cuts.limit(max_groups + 1).collect()
-    if len(found) > max_groups:
-        raise ValueError(f"Column '{group}' holds more than {max_groups} classes.")
     schema = f"{group} {df.schema[group].dataType.simpleString()}, cuts array<string>"
-    return df.sparkSession.createDataFrame([(r.g, r.cuts) for r in found], schema)
+    return df.sparkSession.createDataFrame([(r.g, r.cuts) for r in cuts], schema)
 
 
 def assign_split(
@@ -87,8 +93,8 @@ def assign_folds(
 ) -> DataFrame:
     """Adds an integer fold; every class is cut into ``folds`` near-equal runs in hash order."""
     require_columns(df, [id_column, label_column])
-    if folds < 2:
-        raise ValueError("folds must be at least 2")
+    if not 2 <= folds <= MAX_CUTS:
+        raise ValueError(f"folds must lie within 2..{MAX_CUTS}")
 
     def borders(n: Column) -> Column:
         quotient, rest = F.floor(n / folds), n % folds

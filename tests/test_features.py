@@ -108,6 +108,12 @@ def test_split_is_exact_for_any_histogram(spark, monkeypatch, digits):
     assert other != again
 
 
+def test_split_does_not_shuffle_the_table(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 2).cast("string").alias("l"), F.lit("wide").alias("text"))
+    plan = splitting.assign_split(rows, "id", "l")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("digits", [1, 4])
 def test_folds_are_balanced_per_class(spark, monkeypatch, digits):
     monkeypatch.setattr(splitting, "CELL_DIGITS", digits)
