@@ -136,11 +136,11 @@ doc_terms AS (SELECT doc_id, sentiment, term, count(*) AS cnt
   FROM (SELECT doc_id, sentiment, unnest({terms_of('toks')}) AS term FROM cleaned) GROUP BY ALL),
 n_docs AS (SELECT count(*) AS n FROM cleaned),
 vocab AS (
-  SELECT term, df, tf, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf,
-    CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS idx
-  FROM (SELECT term, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS tf FROM doc_terms GROUP BY term), n_docs
-  WHERE df >= 2 AND df <= CAST(0.95 AS DOUBLE) * n
-  ORDER BY tf DESC, term LIMIT 50000),
+  SELECT *, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS idx FROM (
+    SELECT term, df, tf, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf
+    FROM (SELECT term, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS tf FROM doc_terms GROUP BY term), n_docs
+    WHERE df >= 2 AND df <= CAST(0.95 AS DOUBLE) * n
+    ORDER BY tf DESC, term LIMIT 50000)),
 x AS (
   SELECT doc_id, sentiment, term, idx, cnt, cnt * idf / sqrt(sum(cnt * idf * cnt * idf) OVER (PARTITION BY doc_id)) AS tfidf
   FROM doc_terms JOIN vocab USING (term)),
