@@ -8,7 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentilake.llm import mixing, near_dedup, sharding, url_filter, warc
+from sentilake.llm import (
+    decontaminate,
+    mixing,
+    near_dedup,
+    passages,
+    quality,
+    sharding,
+    token_files,
+    topk,
+    url_filter,
+    warc,
+)
 
 
 @dataclass(frozen=True)
@@ -137,3 +148,50 @@ def op9_simhash(spark, sf):
     """Fingerprint and component of every document."""
     found = near_dedup.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", near_dedup.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_decontaminate(spark, sf):
+    """Benchmark items held by any document, with the best window."""
+    found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "similarity")
+
+
+@query()
+def op1_importance(spark, sf):
+    """The documents that importance resampling towards good text takes."""
+    return quality.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_WHOLE} AS w FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(v.w AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def op2_block_topk(spark, sf):
+    """The ten best rows for every vector whose id is divisible by 100."""
+    return topk.exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query()
+def op3_token_files(spark, sf):
+    """All documents as token-id files, read back by their index."""
+    import public_tokenizers
+
+    path = token_files.new_files(spark)
+    index = token_files.write_token_files(
+        table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return token_files.read_token_files(index, path).select(
+        "doc_id", "start", token_files.n_ids(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query()
+def op6_passages(spark, sf):
+    """Passages of fifty words or more that several documents hold."""
+    return passages.repeated_passages(table(spark, sf, "documents"))

@@ -7,11 +7,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sentilake.llm.byte_ranges import GAP_BYTES, READ_BYTES, read_entries
 from sentilake.llm.common import scratch, stored
 
 #: Fixed values of the format.
@@ -22,8 +22,6 @@ END = "\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
 
 FILE_BYTES = 64 << 20
-GAP_BYTES = 64 << 10
-READ_BYTES = 8 << 20
 RECORD_ID = "urn:x-record:"
 INDEX = "record_id string, url string, digest string, kind string, path string, offset long, length long"
 READ = "record_id string, url string, kind string, digest string, refers_to string, payload_bytes long, payload binary"
@@ -212,21 +210,6 @@ def _parse(record: bytes) -> tuple:
     )
 
 
-def _ranges(entries: Iterator[tuple], gap: int, most: int) -> Iterator[tuple[str, int, int, list]]:
-    """Join neighbouring entries of a file to reads of at most ``most`` bytes (a longer record is read alone)."""
-    path, start, end, held = None, 0, 0, []
-    for name, offset, length in entries:
-        if held and (name != path or offset - end > gap or offset + length - start > most):
-            yield path, start, end, held
-            held = []
-        if not held:
-            path, start, end = name, offset, offset
-        end = max(end, offset + length)
-        held.append((offset, length))
-    if held:
-        yield path, start, end, held
-
-
 def read_records(selected: DataFrame, payload: bool = True, gap: int = GAP_BYTES, most: int = READ_BYTES) -> DataFrame:
     """Read the records that index entries name.
 
@@ -241,21 +224,12 @@ def read_records(selected: DataFrame, payload: bool = True, gap: int = GAP_BYTES
         )
         schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("kind", pa.string()), ("digest", pa.string()),
                             ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-        opened, file = None, None
-        for path, start, end, held in _ranges(entries, gap, most):
-            if path != opened:
-                if file is not None:
-                    file.close()
-                uri = path if "://" in path else "file://" + path.removeprefix("file:")
-                system, inner = pafs.FileSystem.from_uri(uri)
-                opened, file = path, system.open_input_file(inner)
-            data = file.read_at(end - start, start)
-            rows = [_parse(data[o - start : o - start + n]) for o, n in held]
+        for read in read_entries(entries, gap, most):
+            rows = [_parse(data) for _, data in read]
             if not payload:
                 rows = [(*r[:-1], None) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        if file is not None:
-            file.close()
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     region = F.floor(F.col("offset") / (4 * most))
     sorted_ = selected.select("path", "offset", "length", region.alias("region"))
