@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
@@ -46,3 +48,12 @@ def read_entries(entries: Iterator[tuple], gap: int = GAP_BYTES, most: int = REA
     finally:
         if file is not None:
             file.close()
+
+
+def by_region(entries: DataFrame, columns: list[str], region_bytes: int = 2 * READ_BYTES) -> DataFrame:
+    """Deal index entries to tasks by file and byte region, sorted by offset. Tasks follow the bytes to read, not the entries."""
+    total = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = min(max(1, -(-total // region_bytes)) + 7, 100_000)
+    region = F.floor(F.col("offset") / region_bytes)
+    dealt = entries.withColumn("_region", region).repartition(int(tasks), "path", "_region")
+    return dealt.sortWithinPartitions("path", "offset").select(*columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sentilake.llm.byte_ranges import READ_BYTES, file_system, read_entries
+from sentilake.llm.byte_ranges import by_region, file_system, read_entries
 from sentilake.llm.common import bounded_batches, scratch, stored
 
 #: File format: magic, id width in bytes, SHA-256 of the dictionary; then one zstandard frame a document.
@@ -225,9 +225,7 @@ def read_token_files(selected: DataFrame, path: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(selected.schema["doc_id"].dataType)
-    region = F.floor(F.col("offset") / (4 * READ_BYTES)).alias("region")
-    dealt = selected.select("path", "offset", "length", "doc_id", "start", region).repartition("path", "region")
-    dealt = dealt.sortWithinPartitions("path", "offset").drop("region")
+    dealt = by_region(selected, ["path", "offset", "length", "doc_id", "start"])
     return dealt.mapInArrow(read, f"doc_id {selected.schema['doc_id'].dataType.simpleString()}, start long, ids binary")
 
 

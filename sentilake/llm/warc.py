@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sentilake.llm.byte_ranges import GAP_BYTES, READ_BYTES, read_entries
-from sentilake.llm.common import scratch, stored
+from sentilake.llm.byte_ranges import GAP_BYTES, READ_BYTES, by_region, file_system, read_entries
+from sentilake.llm.common import bounded_batches, scratch, stored
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -43,8 +45,8 @@ def header_value(text: Column) -> Column:
     return text
 
 
-def _records(pages: DataFrame, id_column: str, url_column: str, body_column: str) -> DataFrame:
-    """One row per page with its record type. Of equal payloads the one with the largest id is kept whole.
+def _revisits(pages: DataFrame, id_column: str, body_column: str) -> DataFrame:
+    """Pages that repeat a payload: (id, digest, first_id). Of equal payloads the one with the largest id is kept whole.
 
     Digests meet their winner in a join on the digest: pages' counts are combined before the shuffle, and
     adaptive skew handling splits the rows of a payload that very many pages share. Both sides are stored first so
@@ -78,8 +80,8 @@ def _typed(pages: DataFrame, revisits: DataFrame, id_column: str, url_column: st
     return joined.select("p.*", "r.first_id", F.col("r.digest").isNotNull().alias("again"))
 
 
-def _record_text(row: DataFrame) -> DataFrame:
-    """Add ``head`` (all of the record but its payload and its end) and ``length`` in bytes."""
+def _record_head(row: DataFrame) -> DataFrame:
+    """Add ``head``: all of the record but its payload and its end."""
     http = F.concat(
         F.lit("HTTP/1.1 200 OK" + NEWLINE + "Content-Type: text/html; charset=utf-8" + NEWLINE + "Content-Length: "),
         F.col("size").cast("string"),
@@ -111,11 +113,7 @@ def _record_text(row: DataFrame) -> DataFrame:
         F.lit(NEWLINE),
         http,
     )
-    headed = row.withColumn("head", head)
-    return headed.withColumn(
-        "length",
-        F.octet_length("head").cast("long") + F.when(F.col("again"), 0).otherwise(F.col("size")) + len(END),
-    )
+    return row.withColumn("head", head)
 
 
 def write_warc(
@@ -126,65 +124,60 @@ def write_warc(
     body_column: str = "html",
     file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Write the pages as WARC files and return their index (stored as Parquet beside them).
+    """Write the pages as WARC files, one gzip member a record, and return their index (stored as Parquet beside them).
 
-    Index first: record lengths follow from narrow columns, so each record's file and offset are known before a
-    payload is moved. A hash of the id deals records to files of about ``file_bytes``; within a file they stand in the order
-    of id, URL and digest. Spark's text sink writes the files (a record ends in its line separator), so its commit protocol
-    covers lost tasks; file sizes are held against the index afterwards.
+    Pages are not shuffled: each task writes files of its own, under names no other attempt uses, and sends
+    record, URL, digest, kind, path, offset and length of what it wrote. Spark commits that table, so files of
+    lost attempts are never named. A file ends with the record that takes it past ``file_bytes``.
 
     Null bodies are empty payloads, null URLs leave the header out, line breaks in URLs are percent-encoded. Of equal
     payloads the largest id is the response, all others are revisits without payload; rows that repeat the largest id
     are all responses. Other columns of the pages are not archived. An empty table gives an empty index.
     """
     spark = pages.sparkSession
-    revisits = stored(_records(pages, id_column, url_column, body_column), "warc-revisits")
-    typed = _record_text(_typed(pages, revisits, id_column, url_column, body_column))
-    order = ("id", "url", "digest", "again")
-    lengths = stored(typed.select(*order, "length"), "warc-lengths")
-    total = lengths.agg(F.sum("length")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    number = F.pmod(F.xxhash64("id", "url"), F.lit(files)).cast("int")
-
-    run = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = lengths.withColumn("file", number).withColumn("offset", F.coalesce(F.sum("length").over(run), F.lit(0)))
-
-    body = F.when(F.col("again"), "").otherwise(F.col("body"))
-    (
-        typed.withColumn("file", number)
-        .select("file", *order, F.concat("head", body).alias("value"))
-        .repartition(int(min(files, 100_000)), "file")
-        .sortWithinPartitions("file", *order)
-        .select("value", "file")
-        .write.option("lineSep", END)
-        .partitionBy("file")
-        .text(f"{path}/records")
-    )
-    names = stored(
-        spark.read.format("binaryFile").load(f"{path}/records").select("path", "length", F.col("file").cast("int").alias("file"))
-        if total
-        else spark.createDataFrame([], "path string, length long, file int"),
-        "warc-files",
-    )
-    index = placed.join(names.select("file", "path"), "file").select(
-        F.col("id").cast("string").alias("record_id"),
-        "url",
-        "digest",
-        F.when(F.col("again"), "revisit").otherwise("response").alias("kind"),
-        "path",
-        "offset",
-        "length",
-    )
-    index.write.parquet(f"{path}/index")
-    index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    ends = index.groupBy("path").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
-    wrong = ends.join(names, "path").filter("end != length").limit(1).count()
-    if wrong:
-        raise RuntimeError("an archive file is not as long as its index says")
-    return index
-
-
-def _parse(record: bytes) -> tuple:
+    bounded_batches(spark)
+    revisits = stored(_revisits(pages, id_column, body_column), "warc-revisits")
+    typed = _record_head(_typed(pages, revisits, id_column, url_column, body_column))
+    system, inner = file_system(path)
+    system.create_dir(f"{inner}/records", recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix = f"{path}/records/{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}"
+        out, name, offset, files = None, "", 0, 0
+        for batch in batches:
+            entries = []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("head", "body", "again")], strict=True)
+            for head, body, again in rows:
+                if out is None:
+                    name, offset, files = f"{prefix}-{files:05d}.warc.gz", 0, files + 1
+                    system, inner = file_system(name)
+                    out = system.open_output_stream(inner)
+                record = (head + ("" if again else body) + END).encode()
+                packer = zlib.compressobj(wbits=31)
+                member = packer.compress(record) + packer.flush()
+                out.write(member)
+                entries.append((name, offset, len(member)))
+                offset += len(member)
+                if offset > file_bytes:
+                    out.close()
+                    out = None
+            names, offsets, lengths = zip(*entries, strict=True) if entries else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("record_id", "url", "digest", "kind")]
+                + [pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
+                ["record_id", "url", "digest", "kind", "path", "offset", "length"],
+            )
+        if out is not None:
+            out.close()
+
+    kind = F.when(F.col("again"), "revisit").otherwise("response").alias("kind")
+    rows = typed.select(F.col("id").cast("string").alias("record_id"), "url", "digest", kind, "head", "body", "again")
+    rows.mapInArrow(write, INDEX).write.parquet(f"{path}/index")
+    return open_index(spark, path)
+
+
+def _parse(member: bytes) -> tuple:
+    record = zlib.decompress(member, 31)
     head, _, block = record.partition(END.encode())
     lines = head.decode("utf-8").split(NEWLINE)
     if lines[0] != VERSION:
@@ -231,10 +224,7 @@ def read_records(selected: DataFrame, payload: bool = True, gap: int = GAP_BYTES
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    region = F.floor(F.col("offset") / (4 * most))
-    sorted_ = selected.select("path", "offset", "length", region.alias("region"))
-    sorted_ = sorted_.repartition("path", "region").sortWithinPartitions("path", "offset")
-    return sorted_.select("path", "offset", "length").mapInArrow(fetch, READ)
+    return by_region(selected, ["path", "offset", "length"]).mapInArrow(fetch, READ)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
