@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -27,16 +29,27 @@ SAMPLE_DOCS = 2048
 SAMPLE_BYTES = 1 << 16
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-CACHE = 400_000
+#: Words that a worker process keeps; later ones are encoded without being kept.
+CACHE = 800_000
 END_ID = 2
+#: Letters and then ASCII punctuation; not the apostrophe, which begins pieces of its own.
+_MARKED = re.compile(r"(\w+?)([!-&(-/:-@\[-`{-~]+)")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a cache of the stretches between spaces.
+    """Ids of whole texts by the tokenizers library, with a cache of the words between spaces.
 
-    The byte-level pre-tokenizer always begins a new piece at a space that is followed by a character other than
-    white space, so such stretches are encoded on their own, each once. Texts with other spaces, or a tokenizer
-    of another kind, are encoded whole.
+    The byte-level pre-tokenizer begins a new piece at every space that is followed by a character other than
+    white space, so what stands between two spaces is encoded on its own, once. Letters alone are one
+    piece for the model, punctuation after them is another, a line break between them is one as well. Texts with
+    other spaces, or a tokenizer of another kind, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int | None, width: int | None = None):
@@ -48,15 +61,18 @@ class Encoder:
         self.width = width or (2 if most < 1 << 16 else 4)
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.tail = b"" if end_id is None else self.packed([end_id])
-        pre = self.tokenizer.pre_tokenizer
+        pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         special = self.tokenizer.get_added_tokens_decoder().values()
         self.split = (
             type(pre).__name__ == "ByteLevel"
             and pre.use_regex
             and not pre.add_prefix_space
+            and type(model).__name__ == "BPE"
             and self.tokenizer.normalizer is None
-            and not any(" " in t.content or t.lstrip or t.rstrip for t in special)
+            and not any(" " in t.content or t.content.isalpha() or t.lstrip or t.rstrip for t in special)
         )
+        self.model = model
+        self.letters = byte_letters()
         self.odd = re.compile(r" (?:\s|$)")
         self.cache: dict[str, bytes] = {}
 
@@ -70,22 +86,55 @@ class Encoder:
             out += [self.packed(e.ids) for e in encoded]
         return out
 
+    def piece(self, text: str) -> bytes:
+        """One piece of the pre-tokenizer, straight to the model."""
+        if not text.isascii() or " " in text:
+            text = "".join([self.letters[b] for b in text.encode()])
+        return self.packed([t.id for t in self.model.tokenize(text)])
+
+    def known(self, lead: str, word: str) -> bytes:
+        """Ids of a word that follows a space (``lead`` is one) or a line break or a piece (``lead`` is empty)."""
+        name = word if lead else "\n" + word
+        found = self.cache.get(name)
+        if found is None:
+            found = self.ids(lead, word)
+            if len(self.cache) < CACHE and "\n" not in word:
+                self.cache[name] = found
+        return found
+
+    def ids(self, lead: str, word: str) -> bytes:
+        if word.isalpha():
+            return self.piece(lead + word)
+        marked = _MARKED.fullmatch(word)
+        if marked and marked[1].isalpha():
+            return self.known(lead, marked[1]) + self.known("", marked[2])
+        left, line, right = word.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self.known(lead, left) + self.known("", "\n") + self.known("", right)
+        return self.whole([lead + word])[0]
+
     def encode(self, text: str) -> bytes:
         if not self.split or self.odd.search(text):
             return self.whole([text])[0] + self.tail
         head, *rest = text.split(" ")
-        parts = [head, *[" " + part for part in rest]] if head else [" " + part for part in rest]
-        cache = self.cache
-        missing = [p for p in dict.fromkeys(parts) if p not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(dict.fromkeys(parts))
-            for at in range(0, len(missing), 1024):
-                some = missing[at : at + 1024]
-                encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                cache.update((p, self.packed(e.ids)) for p, e in zip(some, encoded, strict=True))
-        return b"".join([cache[p] for p in parts]) + self.tail
+        first = self.ids("", head) if head else b""
+        cache, new = self.cache, {}
+        for word in set(rest).difference(cache):
+            found = self.known(" ", word)
+            if word not in cache:
+                new[word] = found
+        if new:
+            return first + b"".join([new[w] if w in new else cache[w] for w in rest]) + self.tail
+        return first + b"".join(map(cache.__getitem__, rest)) + self.tail
+
+
+def encoder_of(path: str, end_id: int | None, width: int | None = None) -> Encoder:
+    """One encoder for all tasks of a worker process, so that its cache stays warm."""
+    held = vars(sys.modules.setdefault("_sentilake_worker", types.ModuleType("_sentilake_worker")))
+    key = f"{path}|{end_id}|{width}"
+    if key not in held:
+        held[key] = Encoder(path, end_id, width)
+    return held[key]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, id_column: str, text_column: str) -> bytes:
@@ -150,10 +199,10 @@ def write_token_files(
         encoder, compressor, out, offset, total = None, None, None, 0, 0
         for batch in batches:
             if out is None:
-                encoder = Encoder(tokenizer, end_id, width)
+                encoder = encoder_of(tokenizer, end_id, width)
                 compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
                 system, inner = file_system(name)
-                out = system.open_output_stream(inner)
+                out = system.open_output_stream(inner, compression=None)
                 offset = out.write(MAGIC + bytes([width]) + digest) or HEAD
             entries = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -151,7 +151,7 @@ def write_warc(
                 if out is None:
                     name, offset, files = f"{prefix}-{files:05d}.warc.gz", 0, files + 1
                     system, inner = file_system(name)
-                    out = system.open_output_stream(inner)
+                    out = system.open_output_stream(inner, compression=None)
                 record = (head + ("" if again else body) + END).encode()
                 packer = zlib.compressobj(wbits=31)
                 member = packer.compress(record) + packer.flush()
