@@ -226,8 +226,9 @@ def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BU
     """Candidates: pairs of texts that share ``least`` of their positional bytes: (body, other).
 
     The inverted index is kept by bands of four positional bytes. Texts of a posting of at most ``bucket`` are tallied with each
-    other. In longer postings every text is tallied with the posting's first; the posting is also parted by the
-    next band and by the one after it, and the parts are treated alike, so that rows grow in proportion.
+    other. In longer postings every text is tallied with the posting's centre: the text whose postings are longest in all, as
+    those of the original of many copies are. The posting is also parted by the next band and by the one after it,
+    and the parts are treated alike, so that rows grow in proportion.
     """
     bands = SIGNATURE // 4
     marks = [
@@ -256,14 +257,17 @@ def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BU
     )
     many = listed.filter(f"n > {bucket}").withColumn("by", F.explode(parts))
     many = stored(many.select("band", "value", "by.side", "by.part", *texts), "similar-parts")
-    firsts = many.groupBy(*by).agg(F.min(F.struct(*texts)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = stored(firsts, "similar-firsts")
-    few = stored(few.unionByName(many.join(firsts.filter(f"n <= {bucket}").select(*by), by)), "similar-few")
-    match = F.expr(" AND ".join(f"a.{c} = b.{c}" for c in by) + " AND a.body > b.body")
-    met = few.alias("a").join(few.alias("b"), match)
-    stars = many.alias("a").join(firsts.filter(f"n > {bucket}").select(*by, "first.*").alias("b"), match)
+    known = listed.groupBy("body").agg(F.sum("n").alias("known"))
+    centre = F.max(F.struct("known", *texts)).alias("centre")
+    centres = many.join(known, "body").groupBy(*by).agg(centre, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    centres = stored(centres, "similar-centres")
+    few = stored(few.unionByName(many.join(centres.filter(f"n <= {bucket}").select(*by), by)), "similar-few")
+    same = " AND ".join(f"a.{c} = b.{c}" for c in by)
+    met = few.alias("a").join(few.alias("b"), F.expr(f"{same} AND a.body > b.body"))
+    centres = centres.filter(f"n > {bucket}").select(*by, *[f"centre.{c}" for c in texts])
+    stars = many.alias("a").join(centres.alias("b"), F.expr(f"{same} AND a.body != b.body"))
     enough = F.expr(f"({_shared_places('a', 'b')}) >= {least}")
-    chosen = [F.col("a.body").alias("body"), F.col("b.body").alias("other")]
+    chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
     return met.filter(enough).select(*chosen).unionByName(stars.filter(enough).select(*chosen)).distinct()
 
 
