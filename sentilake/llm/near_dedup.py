@@ -314,7 +314,8 @@ def similar_documents(
                     [batch.column("body").slice(first, end - first), pa.array(cut, pa.list_(pa.int32()))], ["body", "tokens"]
                 )
 
-    texts = rows.join(asked, ["doc_id", "body"]).select("body", "text")
+    # Merged at every size: what is asked for grows with the texts.
+    texts = rows.join(asked.hint("merge"), ["doc_id", "body"]).select("body", "text")
     held = stored(texts.mapInArrow(sets, "body long, tokens array<int>"), "similar-tokens")
     sided = stored(pairs.join(held.withColumnRenamed("tokens", "a"), "body"), "similar-sided")
     both = sided.join(held.select(F.col("body").alias("other"), F.col("tokens").alias("b")), "other")
@@ -352,7 +353,7 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     kept = stored(found.filter("doc_id = component_id").select("doc_id", "body").distinct(), "similar-kept").alias("k")
     named = docs.filter(F.col(id_column).isNotNull())
     marked = named.withColumn("_body", F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))).alias("d")
-    unique = marked.join(kept, F.expr(f"d.`{id_column}` = k.doc_id AND d._body = k.body"), "left_semi")
+    unique = marked.join(kept.hint("merge"), F.expr(f"d.`{id_column}` = k.doc_id AND d._body = k.body"), "left_semi")
     unique = unique.dropDuplicates([id_column, "_body"]).select(docs.columns)
     return unique.unionByName(docs.filter(F.col(id_column).isNull()))
 
