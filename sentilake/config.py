@@ -54,4 +54,8 @@ class TrainConfig:
     cv_folds: int = 3
     seed: int = 42
     parallelism: int = 8
+    # Most iterations of a fit; each is one pass over the training rows.
+    logistic_iterations: int = 2000
+    machine_iterations: int = 1000
+    stochastic_iterations: int = 1000
     models: tuple[str, ...] = ("LogisticRegression", "LinearSVC", "MultinomialNB", "SGDClassifier")

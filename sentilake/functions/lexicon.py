@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,23 +130,37 @@ class Lexicon:
 def read_lexicon(spark: SparkSession, path: str, base: Lexicon | None = None) -> Lexicon:
     """Read a small JSON (or, if a YAML parser is present, YAML) lexicon file.
 
-    Entries found in the file replace those of ``base``. A file that is missing,
-    unparsable or not a mapping yields ``base`` (by default the fallback lexicon).
+    The file is read whole. Entries found in it replace those of ``base``. A file that is missing,
+    unparsable or not a mapping yields ``base`` (by default the fallback lexicon) with a warning; any other
+    failure, a missing YAML parser included, is raised.
     """
     base = base or Lexicon.fallback()
     try:
-        text = "\n".join(r.value for r in spark.read.text(path).limit(MAX_LEXICON_WORDS + 1).collect())
-        parsed = _parse_mapping(path, text) or {}
-    except Exception:  # noqa: BLE001 - any unreadable file means "use the defaults"
-        return base
-    return base.override(parsed) if isinstance(parsed, Mapping) else base
+        found = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return _defaults(path, "does not exist", base)
+    try:
+        parsed = _parse_mapping(path, found.value if found else "")
+    except ValueError as error:
+        return _defaults(path, f"cannot be parsed ({error})", base)
+    return base.override(parsed) if isinstance(parsed, Mapping) else _defaults(path, "holds no mapping", base)
+
+
+def _defaults(path: str, reason: str, base: Lexicon) -> Lexicon:
+    warnings.warn(f"The lexicon file {path} {reason}; the default entries are used.", stacklevel=3)
+    return base
 
 
 def _parse_mapping(path: str, text: str) -> Any:
     if path.lower().endswith((".yaml", ".yml")):
         import yaml
 
-        return yaml.safe_load(text)
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as error:
+            raise ValueError(str(error)) from error
     return json.loads(text)
 
 

@@ -120,7 +120,10 @@ def fit_naive_bayes(
     label = F.coalesce(F.col(cfg.label_column).cast("string"), F.lit(""))
     labelled = df.withColumn("_label", label)
     counts = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
-    n = sum(counts.values())
+    absent = [name for name in labels if not counts.get(name)]
+    if absent:
+        raise ValueError(f"No training row has the label {', '.join(map(repr, absent))}.")
+    n = sum(counts[name] for name in labels)
     columns = [f"n{c}" for c in range(len(labels))]
     # The outer side keeps vocabulary terms that this training set never shows.
     sums = (

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Ids are counted in runs of this many values; ids are unique, so a run holds at most as many rows.
-RUN = 1 << 16
+# Ids are counted in runs of 2 ** RUN_BITS values; ids are unique, so a run holds at most as many rows.
+RUN_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -22,16 +23,20 @@ class Page:
 
 
 def page_of(df: DataFrame, id_column: str, page: int = 1, per_page: int = 10) -> Page:
-    """Rows ``[(page - 1) * per_page, page * per_page)`` in order of a unique integer id.
+    """Rows ``[(page - 1) * per_page, page * per_page)`` in order of a unique id.
 
     A histogram over runs of ids, combined before the shuffle, tells which runs the page
     touches. Only their id range is read again, as a range filter that reaches the scan, so
     a page deep in the table costs no more than the first one. A page past the end is empty.
+    Ids that are not integers (text, as read from CSV) are sorted over the cluster instead.
     """
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page must be positive")
     start, end = (page - 1) * per_page, page * per_page
-    run = F.floor(F.col(id_column) / F.lit(RUN))
+    if not isinstance(df.schema[id_column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return Page(df.orderBy(id_column).offset(start).limit(per_page), df.count(), page, per_page)
+    # A shift, as a division would go through double and lose large ids.
+    run = F.shiftright(F.col(id_column).cast("long"), RUN_BITS)
     by_run = Window.orderBy("run")
     runs = df.groupBy(run.alias("run")).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(by_run))
     before = F.col("upto") - F.col("n")
@@ -47,9 +52,12 @@ def page_of(df: DataFrame, id_column: str, page: int = 1, per_page: int = 10) ->
     first = touched["first"]
     if first is None:
         return Page(df.limit(0), total, page, per_page)
-    lowest, beyond = first["run"] * RUN, (touched["last"] + 1) * RUN
+    lowest, beyond = first["run"] << RUN_BITS, (touched["last"] + 1) << RUN_BITS
+    within = F.col(id_column) >= lowest
+    if beyond < 1 << 63:
+        within = within & (F.col(id_column) < beyond)
     rows = (
-        df.filter((F.col(id_column) >= lowest) & (F.col(id_column) < beyond))
+        df.filter(within)
         .orderBy(id_column)
         .offset(start - first["before"])
         .limit(per_page)

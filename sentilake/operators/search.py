@@ -36,11 +36,8 @@ C_VALUES = (0.1, 1.0, 5.0)
 NB_ALPHAS = (0.1, 0.5, 1.0)
 SGD_ALPHAS = (1e-4, 1e-3, 1e-2)
 SGD_L1_SHARE = 0.15
-# Iteration caps and stopping tolerances. Each iteration is one pass over the training rows;
-# further passes no longer move the metrics.
-LOGISTIC_ITERATIONS, LOGISTIC_TOLERANCE = 100, 1e-4
-MACHINE_ITERATIONS, MACHINE_TOLERANCE = 60, 1e-4
-SGD_ITERATIONS, SGD_TOLERANCE = 40, 1e-3
+# Stopping tolerances; the most iterations are settings.
+LOGISTIC_TOLERANCE, MACHINE_TOLERANCE, SGD_TOLERANCE = 1e-4, 1e-4, 1e-3
 
 
 @dataclass(frozen=True)
@@ -88,14 +85,14 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
             name, outer, tuple({outer.classifier: e.getClassifier()} for e in estimators), tuple(d for _, d in values)
         )
 
-    lr = logistic(LOGISTIC_ITERATIONS, LOGISTIC_TOLERANCE)
+    lr = logistic(cfg.logistic_iterations, LOGISTIC_TOLERANCE)
     lr_points = [(c, w) for c in C_VALUES for w in ("None", "balanced")]
     lr_grid = tuple(
         {lr.regParam: 1.0 / (c * n_rows), lr.weightCol: "balanced" if w == "balanced" else "unit"}
         for c, w in lr_points
     )
     nb = NaiveBayes(modelType="multinomial", labelCol="label")
-    sgd = logistic(SGD_ITERATIONS, SGD_TOLERANCE)
+    sgd = logistic(cfg.stochastic_iterations, SGD_TOLERANCE)
     sgd_points = [(a, p) for a in SGD_ALPHAS for p in ("l2", "elasticnet")]
     sgd_grid = tuple(
         {sgd.regParam: a, sgd.elasticNetParam: 0.0 if p == "l2" else SGD_L1_SHARE} for a, p in sgd_points
@@ -113,7 +110,7 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
             linear_machine(
                 "LinearSVC",
                 [(1.0 / (c * n_rows), {"C": str(c)}) for c in C_VALUES],
-                MACHINE_ITERATIONS,
+                cfg.machine_iterations,
                 MACHINE_TOLERANCE,
             )
         ],
@@ -129,7 +126,7 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
             linear_machine(
                 "SGDClassifier",
                 [(a, {"loss": "hinge", "alpha": str(a), "penalty": "l2"}) for a in SGD_ALPHAS],
-                SGD_ITERATIONS,
+                cfg.stochastic_iterations,
                 SGD_TOLERANCE,
             ),
             Candidate(

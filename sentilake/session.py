@@ -23,10 +23,17 @@ def local_session(cores: int | str = 8, app: str = "sentilake", **conf: str) ->
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """One process holds driver and executors."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a new local one only where none is set."""
+    """The checkpoint folder of the cluster. Only a local master may do without: it gets a new temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         configured = tempfile.mkdtemp(prefix="sentilake-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

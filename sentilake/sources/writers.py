@@ -16,8 +16,9 @@ def write_cleaned(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_annotated_csv(df: DataFrame, path: str) -> str:
-    """The annotated table as CSV with header, one file per partition."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    """The annotated table as CSV with header, one file per partition. White space in cells is kept."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
@@ -52,7 +53,8 @@ def publish_version(
 ) -> str:
     """Publish a table as one version of a named dataset.
 
-    ``replace_existing`` leaves this version alone; otherwise it is added to the earlier ones.
+    ``replace_existing`` leaves this version alone; otherwise it stands beside the others. Publishing a version
+    again, as a retry does, replaces its rows and no others.
     """
     stamped = df.withColumns(
         {
@@ -61,7 +63,8 @@ def publish_version(
             "original_path": F.lit(original_path),
         }
     )
-    stamped.write.mode("overwrite" if replace_existing else "append").partitionBy("version").parquet(path)
+    mode = "static" if replace_existing else "dynamic"
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("version").parquet(path)
     return path
 
 

@@ -129,7 +129,10 @@ def test_lexicon_file(spark, tmp_path):
     assert read.positive_cues == ("yay",) and read.positive_weights == {"yay": 2.0}
     assert read.negative_cues == words.FALLBACK_NEGATIVE_CUES
     for path in (bad, odd, str(tmp_path / "missing.json")):
-        assert read_lexicon(spark, path) == Lexicon.fallback()
+        with pytest.warns(UserWarning, match="default entries"):
+            assert read_lexicon(spark, path) == Lexicon.fallback()
+    (tmp_path / "long.json").write_text("{" + "\n" * 25_000 + '"positive_cues": ["yay"]\n}')
+    assert read_lexicon(spark, str(tmp_path / "long.json")).positive_cues == ("yay",)
     assert ruled(spark, ["good", "drain"], "negative", 0.1, 0.9, Lexicon.fallback()) == ("positive", 0.7, 0.3)
     with pytest.raises(ValueError, match="at most"):
         Lexicon(positive_cues=tuple(f"w{i}" for i in range(30_000)))

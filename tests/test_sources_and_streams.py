@@ -205,3 +205,45 @@ def test_registered_query_equals_oracle(spark, name):
     con = compare.duckdb_views(SF)
     q = queries.QUERIES[name]
     assert compare.spark_rows(q.run(spark, SF)) == compare.oracle_rows(con, q.oracle)
+
+
+def test_pages_of_large_and_of_text_ids(spark):
+    ids = [2**60 + 65536 * k - 1 for k in range(8)] + [2**63 - 1, -(2**63), -1]
+    df = spark.createDataFrame([(i,) for i in ids], "review_id long")
+    got = [r.review_id for n in range(1, 7) for r in pages.page_of(df, "review_id", n, 2).rows.collect()]
+    assert got == sorted(ids)
+    text = spark.createDataFrame([(f"r{i:02d}",) for i in range(9)], "review_id string")
+    page = pages.page_of(text, "review_id", 2, 4)
+    assert page.total == 9 and [r.review_id for r in page.rows.collect()] == ["r04", "r05", "r06", "r07"]
+
+
+def test_publishing_a_version_again_replaces_it(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    for version, n in ((1, 3), (2, 5), (2, 4)):
+        writers.publish_version(spark.range(n), path, version, "job", "raw", replace_existing=False)
+    counts = {r["version"]: r["count"] for r in spark.read.parquet(path).groupBy("version").count().collect()}
+    assert counts == {1: 3, 2: 4}
+
+
+def test_annotated_cells_keep_their_white_space(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    writers.write_annotated_csv(spark.createDataFrame([("  padded  ",)], "text string"), path)
+    assert spark.read.option("header", True).csv(path).first().text == "  padded  "
+
+
+def test_shared_folder_is_asked_for_off_one_machine():
+    from sentilake.session import is_local
+
+    assert is_local("local") and is_local("local[8]") and is_local("local[*]")
+    assert not is_local("local-cluster[3,2,3000]") and not is_local("yarn") and not is_local("spark://host:7077")
+
+
+def test_a_label_without_rows_is_refused(spark):
+    from types import SimpleNamespace
+
+    from sentilake.operators import models
+
+    df = spark.createDataFrame([("good one", "positive")], "text_clean string, sentiment string")
+    model = SimpleNamespace(cfg=SimpleNamespace(label_column="sentiment"))
+    with pytest.raises(ValueError, match="No training row"):
+        models.fit_naive_bayes(df, model, ("negative", "positive"))

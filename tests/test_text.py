@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLES = [
     "The camera is amazing but the battery drains quickly.",
     "Camera is amazing but battery drains fast.",
-    "Sprouts.ai has a great product but it has many bugs.",
+    "Example.com has a great product but it has many bugs.",
     "<p class='x'>Great</p>buy at HTTP://a.b or https://a.b/c?d=1&e now www.x.y",
     "début café Été naïve buté   x y",
     "I cannot, wanna, gonna lemme; gimme gotta!",
