@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it from there: lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it from there: lost executors cost no recomputation.
+
+    ``paths`` takes note of where it is.
+    """
     path = scratch(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``stored`` for tables of one step: their files are removed when the block ends.
+
+    What the step returns must be written by then. Only paths that the block itself made are removed.
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, paths)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Python workers take whole texts, so a batch holds at most ``BATCH_ROWS`` of them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentilake.llm import ngrams
-from sentilake.llm.common import ascii_lower, bounded_batches, stored, words
+from sentilake.llm.common import ascii_lower, bounded_batches, passing_tables, stored, words
 from sentilake.llm.components import connected_components
 
 RADIUS = 2
@@ -109,30 +109,31 @@ def linked_pairs(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     way of linear size instead: each fingerprint is listed under all points within one bit of it. Two fingerprints are
     within 2 bits exactly if a point lists both; a point lists 65 at most, and its members are linked to the smallest.
     """
-    blocks = [f"(shiftrightunsigned(fp, {16 * p}) & 65535)" for p in range(4)]
-    keys = [
-        f"shiftleft({n}L, 32) | shiftleft({blocks[i]}, 16) | {blocks[j]}" for n, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    postings = prints.withColumn("key", F.explode(F.array(*[F.expr(k) for k in keys])))
-    sizes = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-postings")
-    listed = postings.join(sizes, "key")
-    few = stored(listed.filter(f"n <= {bucket}").select("key", "fp", "node"), "simhash-few")
-    pairs = (
-        few.alias("a").join(few.alias("b"), F.expr("a.key = b.key AND a.node > b.node"))
-        .withColumn("shared", F.expr(_shared_bytes("a.fp", "b.fp")))
-        .filter(F.expr(f"shared >= {BYTES - RADIUS} AND bit_count(a.fp ^ b.fp) <= {RADIUS}"))
-        .select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
-    )
-    dense = listed.filter(f"n > {bucket}").select("fp", "node").distinct()
-    near = [F.col("fp")] + [F.expr(f"fp ^ shiftleft(1L, {bit})") for bit in range(64)]
-    points = dense.withColumn("point", F.explode(F.array(*near)))
-    met = points.groupBy("point").agg(F.collect_list(F.struct("node", "fp")).alias("met")).filter("size(met) > 1")
-    stars = (
-        met.withColumn("least", F.array_min("met")).withColumn("one", F.explode("met"))
-        .filter(F.expr("one.node != least.node"))
-        .select(F.col("one.node").alias("node"), F.col("least.node").alias("other"))
-    )
-    return pairs.unionByName(stars).distinct()
+    with passing_tables(prints.sparkSession) as keep:
+        blocks = [f"(shiftrightunsigned(fp, {16 * p}) & 65535)" for p in range(4)]
+        keys = [
+            f"shiftleft({n}L, 32) | shiftleft({blocks[i]}, 16) | {blocks[j]}" for n, (i, j) in enumerate(combinations(range(4), 2))
+        ]
+        postings = prints.withColumn("key", F.explode(F.array(*[F.expr(k) for k in keys])))
+        sizes = keep(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-postings")
+        listed = postings.join(sizes, "key")
+        few = keep(listed.filter(f"n <= {bucket}").select("key", "fp", "node"), "simhash-few")
+        pairs = (
+            few.alias("a").join(few.alias("b"), F.expr("a.key = b.key AND a.node > b.node"))
+            .withColumn("shared", F.expr(_shared_bytes("a.fp", "b.fp")))
+            .filter(F.expr(f"shared >= {BYTES - RADIUS} AND bit_count(a.fp ^ b.fp) <= {RADIUS}"))
+            .select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+        )
+        dense = listed.filter(f"n > {bucket}").select("fp", "node").distinct()
+        near = [F.col("fp")] + [F.expr(f"fp ^ shiftleft(1L, {bit})") for bit in range(64)]
+        points = dense.withColumn("point", F.explode(F.array(*near)))
+        met = points.groupBy("point").agg(F.collect_list(F.struct("node", "fp")).alias("met")).filter("size(met) > 1")
+        stars = (
+            met.withColumn("least", F.array_min("met")).withColumn("one", F.explode("met"))
+            .filter(F.expr("one.node != least.node"))
+            .select(F.col("one.node").alias("node"), F.col("least.node").alias("other"))
+        )
+        return stored(pairs.unionByName(stars).distinct(), "simhash-links")
 
 
 def near_duplicates(
@@ -153,7 +154,7 @@ def near_duplicates(
         prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes"
     )
     links = linked_pairs(nodes, bucket)
-    found = stored(connected_components(links, "node", "other"), "simhash-components")
+    found = connected_components(links, "node", "other")
     # A component is named after the smallest id; an id that repeats with other texts joins its fingerprints.
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     named = stored(named, "simhash-named")
@@ -230,45 +231,47 @@ def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BU
     those of the original of many copies are. The posting is also parted by the next band and by the one after it,
     and the parts are treated alike, so that rows grow in proportion.
     """
-    bands = SIGNATURE // 4
-    marks = [
-        F.struct(
-            F.lit(n).alias("band"),
-            F.expr(_band(n)).alias("value"),
-            F.expr(_band((n + 1) % bands)).alias("next"),
-            F.expr(_band((n + 2) % bands)).alias("after"),
+    with passing_tables(signed.sparkSession) as keep:
+        bands = SIGNATURE // 4
+        marks = [
+            F.struct(
+                F.lit(n).alias("band"),
+                F.expr(_band(n)).alias("value"),
+                F.expr(_band((n + 1) % bands)).alias("next"),
+                F.expr(_band((n + 2) % bands)).alias("after"),
+            )
+            for n in range(bands)
+        ]
+        marked = signed.withColumn("mark", F.explode(F.array(*marks)))
+        sizes = marked.groupBy("mark.band", "mark.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = keep(sizes, "similar-sizes")
+        flat = marked.select("body", *_LONG_NAMES, "mark.*")
+        listed = keep(flat.join(sizes, ["band", "value"]), "similar-postings")
+        by = ["band", "value", "side", "part"]
+        texts = ["body", *_LONG_NAMES]
+        few = listed.filter(f"n <= {bucket}").select(
+            "band", "value", F.lit(0).alias("side"), F.lit(0).cast("long").alias("part"), *texts
         )
-        for n in range(bands)
-    ]
-    marked = signed.withColumn("mark", F.explode(F.array(*marks)))
-    sizes = marked.groupBy("mark.band", "mark.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = stored(sizes, "similar-sizes")
-    flat = marked.select("body", *_LONG_NAMES, "mark.*")
-    listed = stored(flat.join(sizes, ["band", "value"]), "similar-postings")
-    by = ["band", "value", "side", "part"]
-    texts = ["body", *_LONG_NAMES]
-    few = listed.filter(f"n <= {bucket}").select(
-        "band", "value", F.lit(0).alias("side"), F.lit(0).cast("long").alias("part"), *texts
-    )
-    parts = F.array(
-        F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("part")),
-        F.struct(F.lit(1).alias("side"), F.col("next").alias("part")),
-        F.struct(F.lit(2).alias("side"), F.col("after").alias("part")),
-    )
-    many = listed.filter(f"n > {bucket}").withColumn("by", F.explode(parts))
-    many = stored(many.select("band", "value", "by.side", "by.part", *texts), "similar-parts")
-    known = listed.groupBy("body").agg(F.sum("n").alias("known"))
-    centre = F.max(F.struct("known", *texts)).alias("centre")
-    centres = many.join(known, "body").groupBy(*by).agg(centre, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    centres = stored(centres, "similar-centres")
-    few = stored(few.unionByName(many.join(centres.filter(f"n <= {bucket}").select(*by), by)), "similar-few")
-    same = " AND ".join(f"a.{c} = b.{c}" for c in by)
-    met = few.alias("a").join(few.alias("b"), F.expr(f"{same} AND a.body > b.body"))
-    centres = centres.filter(f"n > {bucket}").select(*by, *[f"centre.{c}" for c in texts])
-    stars = many.alias("a").join(centres.alias("b"), F.expr(f"{same} AND a.body != b.body"))
-    enough = F.expr(f"({_shared_places('a', 'b')}) >= {least}")
-    chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
-    return met.filter(enough).select(*chosen).unionByName(stars.filter(enough).select(*chosen)).distinct()
+        parts = F.array(
+            F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("part")),
+            F.struct(F.lit(1).alias("side"), F.col("next").alias("part")),
+            F.struct(F.lit(2).alias("side"), F.col("after").alias("part")),
+        )
+        many = listed.filter(f"n > {bucket}").withColumn("by", F.explode(parts))
+        many = keep(many.select("band", "value", "by.side", "by.part", *texts), "similar-parts")
+        known = listed.groupBy("body").agg(F.sum("n").alias("known"))
+        centre = F.max(F.struct("known", *texts)).alias("centre")
+        centres = many.join(known, "body").groupBy(*by).agg(centre, F.count(F.lit(1)).alias("n")).filter("n > 1")
+        centres = keep(centres, "similar-centres")
+        few = keep(few.unionByName(many.join(centres.filter(f"n <= {bucket}").select(*by), by)), "similar-few")
+        same = " AND ".join(f"a.{c} = b.{c}" for c in by)
+        met = few.alias("a").join(few.alias("b"), F.expr(f"{same} AND a.body > b.body"))
+        centres = centres.filter(f"n > {bucket}").select(*by, *[f"centre.{c}" for c in texts])
+        stars = many.alias("a").join(centres.alias("b"), F.expr(f"{same} AND a.body != b.body"))
+        enough = F.expr(f"({_shared_places('a', 'b')}) >= {least}")
+        chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
+        found = met.filter(enough).select(*chosen).unionByName(stars.filter(enough).select(*chosen)).distinct()
+        return stored(found, "similar-pairs")
 
 
 def similar_documents(
@@ -300,42 +303,43 @@ def similar_documents(
     signed = stored(rows.mapInArrow(_signature_batches(size), schema), "similar-signed")
     nodes = signed.groupBy("body").agg(F.min("doc_id").alias("doc_id"), *[F.first(n).alias(n) for n in _LONG_NAMES])
     nodes = stored(nodes, "similar-nodes")
-    pairs = stored(similar_pairs(nodes, bucket=bucket), "similar-pairs")
-    asked = pairs.select("body").unionByName(pairs.select(F.col("other").alias("body"))).distinct()
-    asked = stored(asked.join(nodes.select("body", "doc_id"), "body"), "similar-asked")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in ngrams.chunks(batch.column("text")):
-                tokens, row = _word_shingles(data, offsets, size)
-                edges = np.searchsorted(row, np.arange(end - first + 1))
-                cut = [np.unique(tokens[a:b].astype(np.uint32)).view(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("body").slice(first, end - first), pa.array(cut, pa.list_(pa.int32()))], ["body", "tokens"]
-                )
-
-    texts = rows.join(asked, ["doc_id", "body"]).select("body", "text")
-    held = stored(texts.mapInArrow(sets, "body long, tokens array<int>"), "similar-tokens")
-    sided = stored(pairs.join(held.withColumnRenamed("tokens", "a"), "body"), "similar-sided")
-    both = sided.join(held.select(F.col("body").alias("other"), F.col("tokens").alias("b")), "other")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends, values = [], []
-            for name in ("a", "b"):
-                ends.append(batch.column(name).offsets.to_numpy())
-                values.append(batch.column(name).values.to_numpy(zero_copy_only=False))
-            kept = []
-            for n in range(batch.num_rows):
-                a, b = (v[e[n] : e[n + 1]] for v, e in zip(values, ends, strict=True))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                if shared >= similarity * (len(a) + len(b) - shared):
-                    kept.append(n)
-            chosen = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(chosen) for c in ("body", "other")], ["body", "other"])
-
-    links = stored(both.mapInArrow(verify, "body long, other long"), "similar-links")
-    found = stored(connected_components(links, "body", "other"), "similar-components")
+    pairs = similar_pairs(nodes, bucket=bucket)
+    with passing_tables(docs.sparkSession) as keep:
+        asked = pairs.select("body").unionByName(pairs.select(F.col("other").alias("body"))).distinct()
+        asked = keep(asked.join(nodes.select("body", "doc_id"), "body"), "similar-asked")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, end, data, offsets in ngrams.chunks(batch.column("text")):
+                    tokens, row = _word_shingles(data, offsets, size)
+                    edges = np.searchsorted(row, np.arange(end - first + 1))
+                    cut = [np.unique(tokens[a:b].astype(np.uint32)).view(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("body").slice(first, end - first), pa.array(cut, pa.list_(pa.int32()))], ["body", "tokens"]
+                    )
+
+        texts = rows.join(asked, ["doc_id", "body"]).select("body", "text")
+        held = keep(texts.mapInArrow(sets, "body long, tokens array<int>"), "similar-tokens")
+        sided = keep(pairs.join(held.withColumnRenamed("tokens", "a"), "body"), "similar-sided")
+        both = sided.join(held.select(F.col("body").alias("other"), F.col("tokens").alias("b")), "other")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ends, values = [], []
+                for name in ("a", "b"):
+                    ends.append(batch.column(name).offsets.to_numpy())
+                    values.append(batch.column(name).values.to_numpy(zero_copy_only=False))
+                kept = []
+                for n in range(batch.num_rows):
+                    a, b = (v[e[n] : e[n + 1]] for v, e in zip(values, ends, strict=True))
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    if shared >= similarity * (len(a) + len(b) - shared):
+                        kept.append(n)
+                chosen = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(chosen) for c in ("body", "other")], ["body", "other"])
+
+        links = stored(both.mapInArrow(verify, "body long, other long"), "similar-links")
+    found = connected_components(links, "body", "other")
     grouped = nodes.select("body", "doc_id").join(found.withColumnRenamed("node", "body"), "body", "left")
     grouped = grouped.withColumn("group", F.coalesce("component", "body"))
     names = stored(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")), "similar-names")

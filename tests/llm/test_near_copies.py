@@ -2,12 +2,14 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sentilake.llm import components, near_dedup
+from sentilake.llm import common, components, near_dedup
 
 
 def words(text):
@@ -149,3 +151,32 @@ def test_a_large_group_of_near_copies_stays_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for bucket in (4, 32):
         assert [r["doc_id"] for r in near_dedup.drop_near_duplicates(df, bucket=bucket).collect()] == [0]
+
+
+def test_tables_of_a_step_go_with_it(spark, tmp_path, monkeypatch):
+    made = []
+    stored = common.stored
+
+    def noted(df, name, paths=None):
+        paths = [] if paths is None else paths
+        table = stored(df, name, paths)
+        made.append((name, paths[-1]))
+        return table
+
+    for module in (common, components, near_dedup):
+        monkeypatch.setattr(module, "stored", noted)
+    text = " ".join(f"w{n}" for n in range(60))
+    docs = spark.createDataFrame([(n, f"{text} {n}") for n in range(40)], "doc_id long, text string")
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert [r.doc_id for r in kept] == [0]
+    there = {name for name, path in made if Path(path).exists()}
+    assert not there & {"similar-postings", "similar-parts", "similar-few", "similar-tokens", "similar-sided", "cc-edges"}
+    assert {"similar-signed", "similar-kept"} <= there
+
+
+def test_a_failed_step_leaves_no_tables(spark):
+    made = []
+    with pytest.raises(ZeroDivisionError), common.passing_tables(spark) as keep:
+        made += keep(spark.range(3).toDF("n"), "failing").inputFiles()
+        raise ZeroDivisionError
+    assert made and not any(Path(f.removeprefix("file:")).exists() for f in made)
