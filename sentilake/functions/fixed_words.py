@@ -27,6 +27,8 @@ IRREGULAR_NOUNS = {
     "mice": "mouse", "geese": "goose", "knives": "knife", "wives": "wife", "lives": "life",
     "leaves": "leaf", "shelves": "shelf", "halves": "half", "movies": "movie", "cookies": "cookie",
     "series": "series", "species": "species", "lens": "lens", "news": "news", "always": "always",
+    "lenses": "lens", "heroes": "hero", "buses": "bus", "potatoes": "potato", "tomatoes": "tomato",
+    "canvas": "canvas", "physics": "physics", "texas": "texas", "atlas": "atlas", "alas": "alas",
     "sometimes": "sometimes", "perhaps": "perhaps", "besides": "besides", "towards": "towards",
 }
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sentilake.config import CleanConfig
 from sentilake.functions import aspects, rules, text
@@ -114,7 +115,7 @@ def score_reviews(
 ) -> DataFrame:
     """The full observation record of every review; rows that cannot be scored carry ``error``.
 
-    Ids must be unique. ``words=False`` leaves out the per-word list. ``carry`` names input
+    Ids must be unique; an id that repeats stops the job, as its reviews could not be told apart. ``words=False`` leaves out the per-word list. ``carry`` names input
     columns that travel along in the struct ``carried``.
     """
     key = cfg.id_column
@@ -130,7 +131,11 @@ def score_reviews(
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("unit", "scores"))).alias("scores"))
     )
-    joined = base.join(unit_scores, key, "left")
+    # Rows are placed by id already, so the count of an id's rows shuffles nothing.
+    once = F.count(F.lit(1)).over(Window.partitionBy(key)) == 1
+    repeated = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string"))).cast("boolean")
+    joined = base.join(unit_scores, key, "left").withColumn("_once", once)
+    joined = joined.filter(F.when(F.col("_once"), F.lit(True)).otherwise(repeated)).drop("_once")
     if words:
         joined = joined.join(_word_lists(base, model, key), key, "left")
     return _observations(joined, model, lexicon, key, words)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.param import Param
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,14 @@ LOGISTIC_TOLERANCE, MACHINE_TOLERANCE, SGD_TOLERANCE = 1e-4, 1e-4, 1e-3
 
 @dataclass(frozen=True)
 class Candidate:
-    """One estimator with its grid; every grid point names its parameters for the report."""
+    """One estimator with its grid; every grid point names its parameters for the report.
+
+    The grid depends on the number of rows that a fit reads, which differs between a fold and the refit.
+    """
 
     name: str
     estimator: Estimator
-    grid: tuple[dict[Param, Any], ...]
+    grid: Callable[[int], tuple[dict[Param, Any], ...]]
     described: tuple[dict[str, str], ...]
 
 
@@ -60,11 +64,11 @@ class Tuned:
     metrics: dict[str, float]
 
 
-def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig()) -> list[list[Candidate]]:
+def search_space(n_classes: int, cfg: TrainConfig = TrainConfig()) -> list[list[Candidate]]:
     """Per model name the candidates searched for it, in declaration order.
 
     The inverse strength C of the usual summed loss becomes ``regParam = 1 / (C * n)`` of the
-    averaged loss. Spark has no elastic-net hinge loss; that quarter of the stochastic model's
+    averaged loss, with n the rows of the fit. Spark has no elastic-net hinge loss; that quarter of the stochastic model's
     grid is left out.
     """
 
@@ -74,23 +78,31 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
         )
 
     def linear_machine(
-        name: str, values: Sequence[tuple[float, dict[str, str]]], iterations: int, tolerance: float
+        name: str,
+        strengths: Callable[[int], list[float]],
+        described: Sequence[dict[str, str]],
+        iterations: int,
+        tolerance: float,
     ) -> Candidate:
         base = LinearSVC(maxIter=iterations, tol=tolerance, standardization=False, labelCol="label")
         if n_classes == 2:
-            return Candidate(name, base, tuple({base.regParam: r} for r, _ in values), tuple(d for _, d in values))
-        estimators = [OneVsRest(classifier=base.copy({base.regParam: r}), labelCol="label") for r, _ in values]
-        outer = estimators[0]
+            return Candidate(name, base, lambda n: tuple({base.regParam: r} for r in strengths(n)), tuple(described))
+        outer = OneVsRest(classifier=base, labelCol="label")
         return Candidate(
-            name, outer, tuple({outer.classifier: e.getClassifier()} for e in estimators), tuple(d for _, d in values)
+            name,
+            outer,
+            lambda n: tuple({outer.classifier: base.copy({base.regParam: r})} for r in strengths(n)),
+            tuple(described),
         )
 
     lr = logistic(cfg.logistic_iterations, LOGISTIC_TOLERANCE)
     lr_points = [(c, w) for c in C_VALUES for w in ("None", "balanced")]
-    lr_grid = tuple(
-        {lr.regParam: 1.0 / (c * n_rows), lr.weightCol: "balanced" if w == "balanced" else "unit"}
-        for c, w in lr_points
-    )
+
+    def lr_grid(n: int) -> tuple[dict[Param, Any], ...]:
+        return tuple(
+            {lr.regParam: 1.0 / (c * n), lr.weightCol: "balanced" if w == "balanced" else "unit"} for c, w in lr_points
+        )
+
     nb = NaiveBayes(modelType="multinomial", labelCol="label")
     sgd = logistic(cfg.stochastic_iterations, SGD_TOLERANCE)
     sgd_points = [(a, p) for a in SGD_ALPHAS for p in ("l2", "elasticnet")]
@@ -109,7 +121,8 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
         "LinearSVC": [
             linear_machine(
                 "LinearSVC",
-                [(1.0 / (c * n_rows), {"C": str(c)}) for c in C_VALUES],
+                lambda n: [1.0 / (c * n) for c in C_VALUES],
+                [{"C": str(c)} for c in C_VALUES],
                 cfg.machine_iterations,
                 MACHINE_TOLERANCE,
             )
@@ -118,21 +131,22 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
             Candidate(
                 "MultinomialNB",
                 nb,
-                tuple({nb.smoothing: a} for a in NB_ALPHAS),
+                lambda _: tuple({nb.smoothing: a} for a in NB_ALPHAS),
                 tuple({"alpha": str(a)} for a in NB_ALPHAS),
             )
         ],
         "SGDClassifier": [
             linear_machine(
                 "SGDClassifier",
-                [(a, {"loss": "hinge", "alpha": str(a), "penalty": "l2"}) for a in SGD_ALPHAS],
+                lambda _: list(SGD_ALPHAS),
+                [{"loss": "hinge", "alpha": str(a), "penalty": "l2"} for a in SGD_ALPHAS],
                 cfg.stochastic_iterations,
                 SGD_TOLERANCE,
             ),
             Candidate(
                 "SGDClassifier",
                 sgd,
-                sgd_grid,
+                lambda _: sgd_grid,
                 tuple({"loss": "log_loss", "alpha": str(a), "penalty": p} for a, p in sgd_points),
             ),
         ],
@@ -143,7 +157,7 @@ def search_space(n_rows: int, n_classes: int, cfg: TrainConfig = TrainConfig())
 def training_vectors(
     train: DataFrame, tfidf: TfidfModel, labels: Sequence[str], cfg: TrainConfig = TrainConfig()
 ) -> DataFrame:
-    """(id, label, features, fold, unit, balanced): the table the estimators read.
+    """(id, label, features, fold, unit): the table the estimators read.
 
     Every iteration of every fit scans it, so it is written once, in parts large enough that
     scheduling does not outweigh the arithmetic.
@@ -151,48 +165,57 @@ def training_vectors(
     fc = tfidf.cfg
     folded = assign_folds(train, fc.id_column, fc.label_column, cfg.cv_folds, cfg.seed)
     encoded = encode_labels(folded, fc.label_column, labels)
-    counts = {r["label_index"]: r["count"] for r in encoded.groupBy("label_index").count().collect()}
-    n = sum(counts.values())
-    balanced = F.element_at(
-        F.create_map(*[F.lit(x) for c, k in counts.items() for x in (c, n / (len(counts) * k))]), F.col("label_index")
-    )
     vectors = vectorize(encoded, tfidf).select(
         fc.id_column,
         F.col("label_index").cast("double").alias("label"),
         "features",
         "fold",
         F.lit(1.0).alias("unit"),
-        balanced.alias("balanced"),
     )
-    return cut_lineage(vectors.repartition(max(1, math.ceil(n / ROWS_PER_FIT_TASK))))
+    return cut_lineage(vectors.repartition(max(1, math.ceil(encoded.count() / ROWS_PER_FIT_TASK))))
 
 
 def tune(
     candidates: Sequence[Candidate], train: DataFrame, test: DataFrame, cfg: TrainConfig = TrainConfig()
 ) -> Tuned:
-    """Cross-validated search over one model's candidates, refit on all training rows, test metrics."""
+    """Cross-validated search over one model's candidates, refit on all training rows, test metrics.
+
+    Row count and balanced class weights of a fit come from the rows it reads, in each fold as in the refit.
+    """
     evaluator = MulticlassClassificationEvaluator(
         labelCol="label", predictionCol="prediction", metricName=EVALUATOR_METRICS[cfg.primary_metric]
     )
-    best: tuple[float, Model, dict[str, str]] | None = None
-    seen: list[float] = []
-    for candidate in candidates:
-        fitted = CrossValidator(
-            estimator=candidate.estimator,
-            estimatorParamMaps=list(candidate.grid),
-            evaluator=evaluator,
-            numFolds=cfg.cv_folds,
-            foldCol="fold",
-            parallelism=cfg.parallelism,
-        ).fit(train)
-        seen.extend(fitted.avgMetrics)
-        top = max(range(len(fitted.avgMetrics)), key=lambda i: (fitted.avgMetrics[i], -i))
-        if best is None or fitted.avgMetrics[top] > best[0]:
-            best = (fitted.avgMetrics[top], fitted.bestModel, candidate.described[top])
-    assert best is not None
-    score, model, params = best
+    # One row per fold and class.
+    sizes = {(r["fold"], r["label"]): r["count"] for r in train.groupBy("fold", "label").count().collect()}
+
+    def fit(candidate: Candidate, point: int, fold: int | None) -> Model:
+        counts: dict[float, int] = {}
+        for (f, label), k in sizes.items():
+            if f != fold:
+                counts[label] = counts.get(label, 0) + k
+        n = sum(counts.values())
+        if not n or (fold is not None and all(f != fold for f, _ in sizes)):
+            raise ValueError(f"Fold {fold} leaves no rows to train or to validate on.")
+        weights = F.create_map(*[F.lit(x) for c, k in counts.items() for x in (c, n / (len(counts) * k))])
+        rows = train if fold is None else train.filter(F.col("fold") != fold)
+        rows = rows.withColumn("balanced", F.element_at(weights, F.col("label")))
+        return candidate.estimator.fit(rows, candidate.grid(n)[point])
+
+    def validated(task: tuple[int, int, int]) -> float:
+        c, point, fold = task
+        model = fit(candidates[c], point, fold)
+        return evaluator.evaluate(model.transform(train.filter(F.col("fold") == fold)))
+
+    points = [(c, p) for c, candidate in enumerate(candidates) for p in range(len(candidate.described))]
+    tasks = [(*point, fold) for point in points for fold in range(cfg.cv_folds)]
+    with ThreadPoolExecutor(cfg.parallelism) as pool:
+        found = list(pool.map(inheritable_thread_target(train.sparkSession)(validated), tasks))
+    means = [sum(found[i : i + cfg.cv_folds]) / cfg.cv_folds for i in range(0, len(found), cfg.cv_folds)]
+    top = max(range(len(means)), key=lambda i: (means[i], -i))
+    best, point = points[top]
+    model = fit(candidates[best], point, None)
     row = weighted_metrics(model.transform(test), "label", "prediction").first()
-    return Tuned(candidates[0].name, model, score, tuple(seen), params, row.asDict())
+    return Tuned(candidates[0].name, model, means[top], tuple(means), candidates[best].described[point], row.asDict())
 
 
 def score_table(tuned: Sequence[Tuned], spark: Any) -> DataFrame:

@@ -30,7 +30,9 @@ def read_files(
     """A stream over the files that are or will be in a folder."""
     reader = spark.readStream.format(file_format).schema(schema)
     if file_format == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("mode", "FAILFAST")
+        # As in batch reading, cells may hold quoted line breaks.
+        reader = reader.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        reader = reader.option("mode", "FAILFAST")
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
     if max_files_per_trigger:
@@ -105,11 +107,12 @@ def score_stream(
     checkpoint: str,
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
+    words: bool = False,
 ) -> StreamingQuery:
-    """Score arriving reviews with the batch scorer."""
+    """Score arriving reviews with the batch scorer; ``words`` adds the per-word list."""
     return write_batches(
         reviews,
-        lambda batch, _: score_reviews(batch, model, lexicon, cfg, words=False),
+        lambda batch, _: score_reviews(batch, model, lexicon, cfg, words=words),
         out_path,
         checkpoint,
     )
@@ -122,12 +125,13 @@ def score_stream_newest(
     checkpoint: str,
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
+    words: bool = False,
 ) -> StreamingQuery:
     """Like :func:`score_stream`, but every micro-batch uses the newest registered model."""
 
     def score(batch: DataFrame, _: int) -> DataFrame:
         version, model = newest_model(batch.sparkSession, workspace)
-        scored = score_reviews(batch, model, lexicon, cfg, words=False)
+        scored = score_reviews(batch, model, lexicon, cfg, words=words)
         return scored.withColumn("model_version", F.lit(version))
 
     return write_batches(reviews, score, out_path, checkpoint)

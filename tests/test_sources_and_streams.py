@@ -247,3 +247,15 @@ def test_a_label_without_rows_is_refused(spark):
     model = SimpleNamespace(cfg=SimpleNamespace(label_column="sentiment"))
     with pytest.raises(ValueError, match="No training row"):
         models.fit_naive_bayes(df, model, ("negative", "positive"))
+
+
+def test_csv_stream_reads_quoted_line_breaks_like_a_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    path = write_csv(folder, "a.csv", 'text,sentiment\n"Great, ""big""\nscreen",positive\nplain,negative\n')
+    batch = readers.read_raw_csv(spark, path)
+    arriving = streams.read_files(spark, str(folder), batch.schema, "csv")
+    out = str(tmp_path / "out")
+    streams.clean_stream(arriving, out, str(tmp_path / "check")).awaitTermination()
+    want = {(r.text, r.text_clean) for r in cleaning.clean_reviews(batch).collect()}
+    assert {(r.text, r.text_clean) for r in spark.read.parquet(out).collect()} == want and len(want) == 2

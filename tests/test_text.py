@@ -115,3 +115,10 @@ def test_ngram_terms(spark):
 def test_blank(spark):
     rows = spark.createDataFrame([("",), (None,), ("   \x1c\n",), (" .",)], "t string")
     assert [r[0] for r in rows.select(text.is_blank(F.col("t"))).collect()] == [True, True, True, False]
+
+
+def test_dictionary_forms(spark):
+    forms = {"lenses": "lens", "heroes": "hero", "buses": "bus", "canvas": "canvas", "physics": "physics", "texas": "texas",
+             "cameras": "camera", "cases": "case", "batteries": "battery", "boxes": "box", "this": "this"}
+    rows = spark.createDataFrame([(w,) for w in forms], "t string").select("t", F.expr(text.lemma()).alias("l"))
+    assert {r.t: r.l for r in rows.collect()} == forms
