@@ -184,6 +184,33 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def fresh_words(seed):
+    draw = random.Random(seed)
+    v = vocabulary(draw, 5000)
+    return draw, lambda n: [draw.choice(v) for _ in range(n)]
+
+
+def named(spark, docs):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    return passages.repeated_passages(df).collect()
+
+
+def test_a_later_copy_of_a_line_brings_its_passage(spark):
+    """The smaller id holds the line in other text first, once and again, and only later within the shared passage."""
+    missed = []
+    for seed in range(2):
+        _, fresh = fresh_words(seed)
+        docs = {}
+        for n in range(12):
+            line = fresh(40)
+            passage = fresh(6) + line + fresh(6)
+            docs[2 * n] = fresh(60) + line + fresh(60) + line + fresh(60) + passage + fresh(60)
+            docs[2 * n + 1] = fresh(70) + passage + fresh(70)
+        found = {(r["doc_id"], r["other_id"]) for r in named(spark, docs) if r["end"] <= 70 + 52 + 5 and r["other_start"] >= 250}
+        missed += [(seed, n) for n in range(12) if (2 * n + 1, 2 * n) not in found]
+    assert not missed
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 
 
