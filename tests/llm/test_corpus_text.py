@@ -211,6 +211,31 @@ def test_a_later_copy_of_a_line_brings_its_passage(spark):
     assert not missed
 
 
+def test_passages_in_long_groups_of_a_line_are_found(spark):
+    """Thirty documents hold a line; pairs of them hold passages around it, and the smallest id holds it elsewhere."""
+    for seed in (50,):
+        _, fresh = fresh_words(seed)
+        line = fresh(40)
+        docs = {0: fresh(60) + line + fresh(60)}
+        for n in range(1, 15):
+            passage = fresh(6) + line + fresh(6)
+            for i in (2 * n, 2 * n + 1):
+                docs[i] = fresh(60) + passage + fresh(60)
+        found = {(r["doc_id"], r["other_id"]) for r in named(spark, docs)}
+        assert found == {(2 * n + 1, 2 * n) for n in range(1, 15)}
+
+
+def test_variants_alike_to_each_other_but_not_to_the_first_are_found(spark):
+    draw, fresh = fresh_words(70)
+    base = fresh(54)
+    docs = {0: fresh(60) + base[:10] + fresh(1) + base[11:27] + fresh(1) + base[28:44] + fresh(1) + base[45:] + fresh(60)}
+    for i in range(1, 30):
+        docs[i] = fresh(60) + base[:26] + fresh(1) + base[27:] + fresh(60)
+    twin = base[:10] + fresh(1) + base[11:26] + fresh(1) + base[27:]
+    docs[30], docs[31] = fresh(60) + twin + fresh(60), fresh(60) + twin + fresh(60)
+    assert (31, 30) in {(r["doc_id"], r["other_id"]) for r in named(spark, docs)}
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 
 
