@@ -17,6 +17,7 @@ from sentilake.llm.components import connected_components
 RADIUS = 2
 SHINGLE = 3
 BUCKET = 32
+BLOCK = 256
 BYTES = 8
 CHUNK = 1 << 19
 
@@ -223,13 +224,13 @@ def _band(n: int) -> str:
     return f"(shiftrightunsigned({_LONG_NAMES[n // 2]}, {32 * (n % 2)}) & 4294967295L)"
 
 
-def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BUCKET) -> DataFrame:
-    """Candidates: pairs of texts that share ``least`` of their positional bytes: (body, other).
+def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Candidates: pairs of texts that share ``least`` of their positional bytes, (body, other), and the longer postings, (band, value, body).
 
     The inverted index is kept by bands of four positional bytes. Texts of a posting of at most ``bucket`` are tallied with each
     other. In longer postings every text is tallied with the posting's centre: the text whose postings are longest in all, as
     those of the original of many copies are. The posting is also parted by the next band and by the one after it,
-    and the parts are treated alike, so that rows grow in proportion.
+    and the parts are treated alike, so that rows grow in proportion. What these miss, ``remaining_pairs`` finds.
     """
     with passing_tables(signed.sparkSession) as keep:
         bands = SIGNATURE // 4
@@ -271,40 +272,45 @@ def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BU
         enough = F.expr(f"({_shared_places('a', 'b')}) >= {least}")
         chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
         found = met.filter(enough).select(*chosen).unionByName(stars.filter(enough).select(*chosen)).distinct()
-        return stored(found, "similar-pairs")
+        long = listed.filter(f"n > {bucket}").select("band", "value", "body")
+        return stored(found, "similar-pairs"), stored(long, "similar-long")
 
 
-def similar_documents(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    size: int = WORDS,
-    similarity: float = SIMILARITY,
-    bucket: int = BUCKET,
+def remaining_pairs(
+    signed: DataFrame, long: DataFrame, found: DataFrame, least: int = LEAST_SHARED, block: int = BLOCK
 ) -> DataFrame:
-    """Groups of near copies: (doc_id, body, component_id), one row per row with an id; ``body`` is the text's hash.
+    """Pairs of the longer postings that no group holds yet and that share ``least`` of their positional bytes: (body, other).
 
-    Two texts are linked if the sets of their word shingles agree to ``similarity``. 64-bit SimHashes of such texts
-    differ in up to a quarter of their bits, so that no positional byte need be shared; here the positional bytes are those of 64 min-hashes, each
-    shared with the probability of the similarity. The same index, tally and verification follow: pairs
-    that share at least ``LEAST_SHARED`` of 64 bytes are compared by their whole shingle sets.
-
-    Equal texts are one node. Null and empty texts are equal. A group is named after the smallest id of its documents.
-    Rows without an id take no part. An empty table gives an empty result.
+    ``found`` are the groups so far (node, component). Two texts of one group need no link. So of every posting the texts outside its
+    largest group are tallied with all texts of other groups, ``block`` of them at a time: no pair is left out.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.filter(F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("doc_id"),
-        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-    )
-    rows = rows.withColumn("body", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, body long, " + ", ".join(f"{n} long" for n in _LONG_NAMES)
-    signed = stored(rows.mapInArrow(_signature_batches(size), schema), "similar-signed")
-    nodes = signed.groupBy("body").agg(F.min("doc_id").alias("doc_id"), *[F.first(n).alias(n) for n in _LONG_NAMES])
-    nodes = stored(nodes, "similar-nodes")
-    pairs = similar_pairs(nodes, bucket=bucket)
-    with passing_tables(docs.sparkSession) as keep:
+    with passing_tables(signed.sparkSession) as keep:
+        by = ["band", "value"]
+        placed = long.join(found.withColumnRenamed("node", "body"), "body", "left")
+        placed = keep(placed.select(*by, "body", F.coalesce("component", "body").alias("component")), "similar-placed")
+        held = placed.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
+        main = held.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+        main = main.filter("main.n < all").select(
+            *by, F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / block).alias("blocks")
+        )
+        texts = placed.join(keep(main, "similar-main"), by).join(signed.select("body", *_LONG_NAMES), "body")
+        texts = keep(texts.withColumn("outside", F.col("component") != F.col("main")), "similar-outside")
+        outside = texts.filter("outside").withColumn("block", F.pmod(F.xxhash64("body", F.lit(3)), F.col("blocks")))
+        others = texts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        met = outside.alias("a").join(
+            others.alias("b"),
+            F.expr(
+                "a.band = b.band AND a.value = b.value AND a.block = b.block AND a.component != b.component "
+                f"AND (NOT b.outside OR a.body > b.body) AND ({_shared_places('a', 'b')}) >= {least}"
+            ),
+        )
+        chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
+        return stored(met.select(*chosen).distinct(), "similar-remaining")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets agree to ``similarity``."""
+    with passing_tables(pairs.sparkSession) as keep:
         asked = pairs.select("body").unionByName(pairs.select(F.col("other").alias("body"))).distinct()
         asked = keep(asked.join(nodes.select("body", "doc_id"), "body"), "similar-asked")
 
@@ -338,8 +344,44 @@ def similar_documents(
                 chosen = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(chosen) for c in ("body", "other")], ["body", "other"])
 
-        links = stored(both.mapInArrow(verify, "body long, other long"), "similar-links")
+        return stored(both.mapInArrow(verify, "body long, other long"), "similar-links")
+
+
+def similar_documents(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: int = WORDS,
+    similarity: float = SIMILARITY,
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """Groups of near copies: (doc_id, body, component_id), one row per row with an id; ``body`` is the text's hash.
+
+    Two texts are linked if the sets of their word shingles agree to ``similarity``. 64-bit SimHashes of such texts
+    differ in up to a quarter of their bits, so that no positional byte need be shared; here the positional bytes are those of 64 min-hashes, each
+    shared with the probability of the similarity. The same index, tally and verification follow: pairs
+    that share at least ``LEAST_SHARED`` of 64 bytes are compared by their whole shingle sets.
+
+    Equal texts are one node. Null and empty texts are equal. A group is named after the smallest id of its documents.
+    Rows without an id take no part. An empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.filter(F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("doc_id"),
+        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+    )
+    rows = rows.withColumn("body", F.xxhash64("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, body long, " + ", ".join(f"{n} long" for n in _LONG_NAMES)
+    signed = stored(rows.mapInArrow(_signature_batches(size), schema), "similar-signed")
+    nodes = signed.groupBy("body").agg(F.min("doc_id").alias("doc_id"), *[F.first(n).alias(n) for n in _LONG_NAMES])
+    nodes = stored(nodes, "similar-nodes")
+    pairs, long = similar_pairs(nodes, bucket=bucket)
+    links = _verified(pairs, rows, nodes, size, similarity)
     found = connected_components(links, "body", "other")
+    if long.limit(1).count():
+        more = _verified(remaining_pairs(nodes, long, found), rows, nodes, size, similarity)
+        found = connected_components(links.unionByName(more), "body", "other")
     grouped = nodes.select("body", "doc_id").join(found.withColumnRenamed("node", "body"), "body", "left")
     grouped = grouped.withColumn("group", F.coalesce("component", "body"))
     names = stored(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")), "similar-names")

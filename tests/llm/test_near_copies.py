@@ -153,6 +153,25 @@ def test_a_large_group_of_near_copies_stays_one(spark):
         assert [r["doc_id"] for r in near_dedup.drop_near_duplicates(df, bucket=bucket).collect()] == [0]
 
 
+def test_twins_among_edits_of_an_absent_text_are_linked(spark):
+    """Long postings without a centre that is similar to all: each text is similar to its twin only."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(9999)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        spots = [draw.randrange(a, a + 25) for a in range(5, 290, 32)]
+        for n, own in enumerate((spots[3:6], spots[6:9])):
+            copy = list(base)
+            for at in (*spots[:3], *own):
+                copy[at] = f"x{i}-{at}"
+            rows.append((2 * i + n, " ".join(copy)))
+    links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if similar(s, t) >= 0.8]
+    want = groups([i for i, _ in rows], links)
+    assert len(set(want.values())) > 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.similar_documents(df, bucket=4).collect()} == want
+
+
 def test_tables_of_a_step_go_with_it(spark, tmp_path, monkeypatch):
     made = []
     stored = common.stored
