@@ -14,6 +14,8 @@ BLOCK_RADIUS = 1
 #: With 16 blocks that may each differ in one bit, every fingerprint within 31 of 64 bits shares a block.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEM_ROWS = 1_000_000
+#: Most documents whose windows are sent to all tasks; beyond that the texts are shuffled once.
+WINDOW_ROWS = 50_000
 
 
 def normal_words(text: Column) -> Column:
@@ -61,9 +63,9 @@ def contaminated(
     """Benchmark items that a document holds: (doc_id, body, item_id, start, similarity), the best window of each.
 
     A window as long as an item holds it if their five-word shingles, counted with repeats, agree to ``similarity``.
-    Such a window shares at least that part of the item's shingles, each at a position of the text that fixes where the
-    window starts. So shingles of all whole texts first meet the items' shingles map-side; only (document, item) pairs with
-    enough shared shingles get windows, one per start. Each window's SimHash is looked up in the multi-index of the
+    Such a window shares at least that part of the item's shingles, in any order. So shingles of all whole texts first meet
+    the items' shingles map-side; only (document, item) pairs get windows, one at every start from which a window holds
+    enough shared shingles. A window over a text's border starts where a shared shingle lies in its place in the item. Each window's SimHash is looked up in the multi-index of the
     items' fingerprints (``BLOCKS`` blocks, each allowed one differing bit, which finds all within ``RADIUS``),
     and every candidate is verified by the exact similarity.
 
@@ -81,22 +83,29 @@ def contaminated(
     # The outer form: for the inner one the optimizer would put a filter on the array below, and compute it anew there.
     shingled = with_shingles(rows, "_text", "sh").select("doc_id", "body", F.posexplode_outer("sh").alias("p", "h"))
     listed = small_side(known.select("item_id", "n", F.posexplode("ish").alias("j", "h")), ITEM_ROWS)
-    met = shingled.join(listed, "h").groupBy("doc_id", "body", "item_id", "n", (F.col("p") - F.col("j")).alias("start"))
-    starts = stored(met.agg(F.count(F.lit(1)).alias("hits")), "benchmark-starts")
-    enough = starts.groupBy("doc_id", "body", "item_id", "n").agg(
-        F.sum("hits").alias("hits"), F.collect_set("start").alias("starts")
+    met = shingled.join(listed, "h").groupBy("doc_id", "body", "item_id", "n").agg(
+        F.array_sort(F.collect_set("p")).alias("at"), F.collect_set(F.col("p") - F.col("j")).alias("aligned")
     )
+    met = met.withColumn("least", F.ceil(F.col("n") * similarity - 1e-9).cast("int")).filter("size(at) >= least")
+    # From ``at[i] - n + 1`` on and up to a hit, the window holds that hit: ``least`` hits fit if the last one does.
+    starts = (
+        "flatten(transform(sequence(0, size(at) - least), i -> transform(array(greatest(at[i + least - 1] - n + 1, "
+        "if(i = 0, at[i + least - 1] - n + 1, at[i - 1] + 1))), low -> if(low <= at[i], sequence(low, at[i]), array()))[0]))"
+    )
+    met = stored(met.withColumn("starts", F.expr(starts)), "benchmark-starts")
     windows = (
-        enough.filter(F.col("hits") >= F.ceil(F.col("n") * similarity))
-        .select("doc_id", "body", "n", F.explode("starts").alias("start"))
+        met.select("doc_id", "body", "n", "aligned", F.explode("starts").alias("start"))
+        .groupBy("doc_id", "body", "n", "start")
+        .agg(F.max(F.expr("array_contains(aligned, start)")).alias("aligned"))
         .groupBy("doc_id", "body")
-        .agg(F.collect_set(F.struct("start", "n")).alias("windows"))
+        .agg(F.collect_list(F.struct("start", "n", "aligned")).alias("windows"))
     )
     windows = stored(windows, "benchmark-windows")
-    held = rows.alias("d").join(windows.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.body = w.body"))
+    held = rows.alias("d").join(small_side(windows, WINDOW_ROWS).alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.body = w.body"))
     held = with_shingles(held.select("d.doc_id", "d.body", "d._text", "w.windows"), "_text", "sh").drop("_text")
     cut = (
         held.withColumn("one", F.explode("windows"))
+        .filter("one.aligned OR one.start BETWEEN 0 AND greatest(size(sh) - one.n, 0)")
         .selectExpr(
             "doc_id", "body", "one.start AS start", "one.n AS n",
             "slice(sh, greatest(one.start, 0) + 1, greatest(least(one.start + one.n, size(sh)) - greatest(one.start, 0), 0)) AS wsh",

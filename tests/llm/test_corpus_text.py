@@ -71,6 +71,23 @@ def test_contaminated_equals_windows_by_hand(spark):
     assert decontaminate.contaminated(df, known.limit(0)).count() == 0
 
 
+def test_reordered_items_are_contamination(spark):
+    """Halves of an item swapped: only a start that no shingle is aligned with gives the window."""
+    draw = random.Random(2)
+    v = vocabulary(draw)
+    items = [[draw.choice(v) for _ in range(n)] for n in (50, 50, 80, 46)]
+    body = lambda: [draw.choice(v) for _ in range(30)]
+    docs = {n: body() + item[len(item) // 2 :] + item[: len(item) // 2] + body() for n, item in enumerate(items)}
+    docs[10] = body() + items[0][:25] + body() + items[0][25:] + body()
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    known = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df, known).collect()}
+    assert set(got) == {(n, n) for n in range(4)}
+    for (i, item), r in got.items():
+        levels = [agree(docs[i][s : s + len(items[item])], items[item]) for s in range(len(docs[i]) - len(items[item]) + 1)]
+        assert r["similarity"] == max(levels) and r["start"] == levels.index(max(levels))
+
+
 # ---- quality ------------------------------------------------------------------------------
 
 
