@@ -152,7 +152,7 @@ def fit_quality(
 
     Raw model: every text of ``docs``. Target model: texts labelled good (quality 1, not toxic) of a sample of ``labelled``
     labels in hash order, of which a quarter is held out. The held-out weights give the best boundary between
-    quality 1 and 0; the number k of documents above it is the size of the resample, and the k largest of weight plus Gumbel
+    good and all others; the number k of documents above it is the size of the resample, and the k largest of weight plus Gumbel
     noise are taken. Documents that tie at the cut are all taken.
 
     Contradicting labels count as bad, labels without id are ignored. Null and empty texts weigh 0. Without a good or without a bad
@@ -164,7 +164,7 @@ def fit_quality(
     sample = (
         labels.filter(F.col(id_column).isNotNull())
         .groupBy(F.col(id_column).alias("_id"))
-        .agg(F.min(good).alias("good"), F.min(sound).alias("sound"))
+        .agg(F.min(good).alias("good"))
         .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id")
         .limit(labelled)
         .withColumn("held", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(4)) == 0)
@@ -175,10 +175,10 @@ def fit_quality(
     target = F.coalesce(F.col("good") & ~F.col("held"), F.lit(False))
     counts = gram_counts(marked.select("text", target.alias("target")), buckets)
     model = QualityFilter(log_ratios(counts, buckets), -math.inf, seed)
-    weighed = marked.select("doc_id", "sound", "held", model.weight(F.col("text")).alias("weight"))
+    weighed = marked.select("doc_id", "good", "held", model.weight(F.col("text")).alias("weight"))
     weighed = stored(weighed.withColumn("key", model.key(F.col("doc_id"), F.col("weight"))), "quality-weights")
-    known = weighed.filter("held").select("weight", "sound").limit(labelled).toPandas()
-    boundary = best_cut(known["weight"].to_numpy(float), known["sound"].to_numpy(bool))
+    known = weighed.filter("held").select("weight", "good").limit(labelled).toPandas()
+    boundary = best_cut(known["weight"].to_numpy(float), known["good"].to_numpy(bool))
     taken = weighed.filter(F.col("weight") >= F.lit(boundary)).count()
     fitted = QualityFilter(model.ratios, kth_largest(weighed, "key", taken), seed)
     return fitted, weighed.select("doc_id", "weight", "key")

@@ -141,6 +141,17 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert ids >= {10**9, 10**9 + 1, None}
 
 
+def test_toxic_text_of_quality_counts_as_bad(spark):
+    draw = random.Random(9)
+    kinds = [(300, 1, 0, "g"), (80, 1, 1, "t"), (400, 0, 0, "b")]
+    rows = []
+    for n, good, toxic, letter in kinds:
+        rows += [(len(rows) + i, " ".join(f"{letter}{draw.randrange(50)}" for _ in range(40)), good, toxic) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    fitted, _ = quality.fit_quality(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"))
+    assert {r["doc_id"] for r in fitted.keep(df).collect()} == set(range(300))
+
+
 def test_quality_of_nothing_and_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
