@@ -594,10 +594,8 @@ def best_model(spark, sf):
 
 def _small_search(spark, sf):
     rows = corpus(spark, sf)
-    found = jobs.build_features(rows, replace(DOC_FEATURES, max_features=4000))
-    # Fewer terms and iterations than the defaults: this query shows the search, not the best model.
-    cfg = TrainConfig(logistic_iterations=100, machine_iterations=60, stochastic_iterations=40)
-    return found, jobs.train_and_select(found, cfg)
+    found = jobs.build_features(rows, DOC_FEATURES)
+    return found, jobs.train_and_select(found, TrainConfig())
 
 
 @query()
