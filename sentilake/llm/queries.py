@@ -13,6 +13,7 @@ from sentilake.llm import (
     mixing,
     near_dedup,
     passages,
+    phrases,
     quality,
     sharding,
     token_files,
@@ -195,3 +196,26 @@ def op3_token_files(spark, sf):
 def op6_passages(spark, sf):
     """Passages of fifty words or more that several documents hold."""
     return passages.repeated_passages(table(spark, sf, "documents"))
+
+
+@query(r"""WITH pieces AS (SELECT lang, unnest(string_split_regex(body, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+sizes AS (SELECT lang, sum(len(ws)) AS n FROM lists GROUP BY lang),
+spans AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM lists, (VALUES (1), (2), (3), (4)) AS o(k)),
+f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, k, ws, unnest(range(1, k)) AS c FROM cand),
+met AS (SELECT cuts.lang, cuts.phrase, a, c, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM cuts
+  JOIN f AS x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1 : c], ' ')
+  JOIN f AS y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[c + 1 : cuts.k], ' ')),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS turn FROM met),
+subs AS (SELECT lang, a, ws, k, s, unnest(range(1, k - s + 2)) AS i FROM cand, (VALUES (2), (3)) AS o(s) WHERE s < k),
+longer AS (SELECT lang, array_to_string(ws[i : i + s - 1], ' ') AS phrase, max(a) AS longer FROM subs GROUP BY ALL),
+ranked AS (SELECT low.lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM low LEFT JOIN longer USING (lang, phrase) WHERE turn = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a))
+SELECT lang, CAST(rank AS INT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""")
+def op13_phrases(spark, sf):
+    """The best collocations of every language."""
+    return phrases.mine_phrases(table(spark, sf, "documents"))
