@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sentilake.llm import (
     decontaminate,
+    divergence,
     mixing,
     near_dedup,
     passages,
@@ -198,6 +199,31 @@ def op6_passages(spark, sf):
     return passages.repeated_passages(table(spark, sf, "documents"))
 
 
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 1)) // ({} + v)"
+
+
+@query(rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+w AS (SELECT lang, source, rid, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+groups AS (SELECT lang, source FROM d GROUP BY ALL),
+langs AS (SELECT g.lang, count(k.term) AS v, coalesce(sum(total), 0) AS ln FROM (SELECT DISTINCT lang FROM groups) AS g LEFT JOIN kept AS k USING (lang) GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS gn FROM groups AS g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, {_SHARE.format("coalesce(n, 0)", "gn")} AS p, {_SHARE.format("total", "ln")} AS q
+  FROM s JOIN langs USING (lang) JOIN kept AS k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups AS a JOIN groups AS b
+  ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op11_divergence(spark, sf):
+    """How far the sources of each language differ, and by which terms."""
+    return divergence.audit_sources(table(spark, sf, "documents"))
+
+
 @query(r"""WITH pieces AS (SELECT lang, unnest(string_split_regex(body, '[.,;:!?\x0A-\x0D]')) AS piece
   FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)),
 lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
