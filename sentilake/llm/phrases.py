@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from sentilake.llm import ngrams
 from sentilake.llm.common import bounded_batches, passing_tables, stored
-from sentilake.llm.word_spans import byte_kinds, words_of
+from sentilake.llm.word_spans import Words, byte_kinds, words_of
 
 ORDER = 4
 LEAST = 30
@@ -22,8 +22,8 @@ TOP = 2000
 NO_LANGUAGE = "und"
 SCALE = 2_000_000
 
-#: Word pairs are first counted by this many bits of their hash; the map of frequent ones has 2 ** MAP_BITS bits (4 MB).
-PAIR_BITS = 40
+#: N-grams are first counted by this many bits of their hash; a map of the frequent ones has 2 ** MAP_BITS bits (4 MB).
+SLOT_BITS = 40
 MAP_BITS = 25
 #: Rows of one bitmap part, as ``bitmap_construct_agg`` makes them.
 PART_BITS = 32768
@@ -40,93 +40,139 @@ def _term_hashes(terms: pa.Array) -> np.ndarray:
     return ngrams.span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def _pair_slots(lang: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """``PAIR_BITS`` of a hash of language and two neighbouring words."""
-    pair = ngrams.mix(left * np.uint64(0x9E3779B97F4A7C15) + ngrams.mix(right + lang))
-    return pair >> np.uint64(64 - PAIR_BITS)
+def _grow(hashes: np.ndarray, follower: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams that are one word longer."""
+    return ngrams.mix(hashes * np.uint64(0x9E3779B97F4A7C15) + follower)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per run of whole texts: languages, language of each word, words, codes, joined to the next, slot of the pair."""
+class _Run:
+    """Words of a run of whole texts, with the n-grams that start at each."""
+
+    def __init__(self, langs: pa.DictionaryArray, w: Words):
+        self.languages, self.terms, self.codes = langs.dictionary, w.terms, w.codes
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[w.first + w.rows]
+        self._pieces = w.pieces
+        self._words = _term_hashes(w.terms)[w.codes]
+        self._langs = _term_hashes(langs.dictionary.cast(pa.string()))[self.lang]
+
+    def within(self, size: int) -> np.ndarray:
+        """Does the n-gram that starts here end within the piece?"""
+        out = np.zeros(len(self.codes), bool)
+        left = max(len(self.codes) - size + 1, 0)
+        out[:left] = self._pieces[size - 1 :] == self._pieces[:left]
+        return out
+
+    def slots(self, size: int) -> np.ndarray:
+        """``SLOT_BITS`` of a hash of language and words of the n-gram that starts here (of nothing, where none does)."""
+        hashes = _grow(self._langs, self._words)
+        for k in range(1, size):
+            follower = np.zeros_like(self._words)
+            follower[: max(len(follower) - k, 0)] = self._words[k:]
+            hashes = _grow(hashes, follower)
+        return hashes >> np.uint64(64 - SLOT_BITS)
+
+    def frequent(self, size: int, maps: list[bytes]) -> np.ndarray:
+        """Can the n-gram that starts here be frequent?"""
+        bits = np.frombuffer(maps[size - 1], np.uint8)
+        at = (self.slots(size) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+        return self.within(size) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _both(parts: np.ndarray) -> np.ndarray:
+    """The part that starts here and the one that starts at the next word."""
+    return parts & np.append(parts[1:], False)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[_Run]:
     langs = batch.column("lang").dictionary_encode()
-    of_row = langs.indices.to_numpy(zero_copy_only=False)
-    lang_hashes = _term_hashes(langs.dictionary.cast(pa.string()))
     for w in words_of(batch.column("text"), _KINDS):
-        if not len(w.codes):
-            continue
-        lang = of_row[w.first + w.rows]
-        hashes = _term_hashes(w.terms)[w.codes]
-        joined = w.pieces[1:] == w.pieces[:-1]
-        slots = _pair_slots(lang_hashes[lang[:-1]], hashes[:-1], hashes[1:])
-        yield langs.dictionary, lang, w.terms, w.codes, joined, slots
+        if len(w.codes):
+            yield _Run(langs, w)
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for *_, joined, slots in _chunks(batch):
-            found, counts = np.unique(slots[joined], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["slot", "n"])
+def _slot_batches(sizes: list[int], maps: Broadcast[list[bytes]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in _runs(batch):
+                for size in sizes:
+                    # An n-gram can only be frequent if both n-grams in it that are a word shorter are.
+                    chosen = _both(words.frequent(size - 1, maps.value)) if maps else words.within(size)
+                    found, counts = np.unique(words.slots(size)[chosen], return_counts=True)
+                    columns = [pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["size", "slot", "n"])
+
+    return run
 
 
-def _window_batches(frequent: Broadcast[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _window_batches(maps: Broadcast[list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
-            for languages, lang, terms, codes, joined, slots in _chunks(batch):
-                at = (slots & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-                goes_on = joined & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                columns, alive = {"lang": pa.array(lang), "w1": pa.array(codes)}, np.ones(len(codes), bool)
-                for k in range(1, ORDER):
-                    # The k-th lead column: null from where the window meets the end of a piece or a rare pair.
-                    left = max(len(codes) - k, 0)
-                    step = np.zeros(len(codes), bool)
-                    step[:left] = goes_on[k - 1 :]
-                    alive = alive & step
-                    lead = np.zeros(len(codes), codes.dtype)
-                    lead[:left] = codes[k:]
-                    columns[f"w{k + 1}"] = pa.array(lead, mask=~alive)
+            for words in _runs(batch):
+                columns = {"lang": pa.array(words.lang)}
+                alive = np.ones(len(words.codes), bool)
+                for k, name in enumerate(_NAMES):
+                    # The k-th lead column: null from where the n-gram up to it leaves the piece or cannot be frequent.
+                    if k < len(maps.value):
+                        alive = alive & words.frequent(k + 1, maps.value)
+                    else:
+                        alive = alive & _both(words.frequent(k, maps.value))
+                    lead = np.zeros(len(alive), words.codes.dtype)
+                    lead[: max(len(alive) - k, 0)] = words.codes[k:]
+                    columns[name] = pa.array(lead, mask=~alive)
                 counted = pa.table(columns).group_by(["lang", *_NAMES], use_threads=False).aggregate([([], "count_all")])
-                arrays = [languages.take(counted["lang"]), *[terms.take(counted[name]) for name in _NAMES]]
+                arrays = [words.languages.take(counted["lang"]), *[words.terms.take(counted[name]) for name in _NAMES]]
                 out = pa.table([*arrays, counted["count_all"]], names=["lang", *_NAMES, "n"])
                 yield from out.to_batches(max_chunksize=1 << 16)
 
     return run
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> bytes:
-    """A bitmap of fixed size that holds every pair of neighbouring words that occurs ``least`` times or more.
+def _frequent_maps(texts: DataFrame, sizes: list[int], least: int, maps: Broadcast[list[bytes]] | None = None) -> list[bytes]:
+    """Per size a bitmap of fixed length that holds every n-gram that occurs ``least`` times or more.
 
-    Pairs that share a slot are counted together and slots share bits, so a rare pair may be in it; a frequent one is never missing.
+    N-grams of one slot are counted together and slots share bits, so a rare one may be in it; a frequent one is never missing.
     """
-    slots = texts.mapInArrow(_pair_batches, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    slots = texts.mapInArrow(_slot_batches(sizes, maps), "size int, slot long, n long")
     bit = F.expr(f"slot & {(1 << MAP_BITS) - 1}")
     parts = (
-        slots.filter(F.col("n") >= least)
-        .select((bit / PART_BITS).cast("int").alias("part"), (bit % PART_BITS).alias("bit"))
-        .groupBy("part")
+        slots.groupBy("size", "slot")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= least)
+        .select("size", (bit / PART_BITS).cast("int").alias("part"), (bit % PART_BITS).alias("bit"))
+        .groupBy("size", "part")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    out = bytearray(1 << (MAP_BITS - 3))
-    for row in parts.toLocalIterator():  # at most 2 ** MAP_BITS / PART_BITS rows of 4 KB
-        out[row.part * PART_BITS // 8 : (row.part + 1) * PART_BITS // 8] = row.bits
-    return bytes(out)
+    out = {size: bytearray(1 << (MAP_BITS - 3)) for size in sizes}
+    for row in parts.toLocalIterator():  # at most 2 ** MAP_BITS / PART_BITS rows of 4 KB for each size
+        out[row["size"]][row.part * PART_BITS // 8 : (row.part + 1) * PART_BITS // 8] = row.bits
+    return [bytes(out[size]) for size in sizes]
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
-    """Occurrences of words and phrases: (lang, size, w1 .. w4, f).
+def longest_windows(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
+    """Every word position as a window of itself and its three leads, counted: (lang, w1 .. w4, n).
 
-    Size 0 counts all words of a language, size 1 to 4 those words and phrases that occur ``least`` times or more.
-    Every word position gives one window of itself and its three leads. A lead is null from where the piece
-    ends or a pair of neighbours cannot be frequent, as no frequent phrase reaches across such a pair. ROLLUP sums
-    the windows to all their prefixes; sums that end in padding are no phrase and go.
+    A lead is null from where the piece ends or the n-gram up to it cannot be frequent; a word that cannot be frequent
+    is null itself and only adds to the language's number of words. Which n-grams of one to three words can be frequent, two
+    passes of hash counts find before: words and pairs in the first, triples of frequent pairs in the second.
     """
     if least < 1:
         raise ValueError("least must be positive")
     bounded_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).cast("string").alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least))
+    short = _frequent_maps(texts, [1, 2], least)
+    maps = context.broadcast(short + _frequent_maps(texts, [3], least, context.broadcast(short)))
     columns = ", ".join(f"{name} string" for name in ["lang", *_NAMES])
-    windows = texts.mapInArrow(_window_batches(frequent), f"{columns}, n long")
+    windows = texts.mapInArrow(_window_batches(maps), f"{columns}, n long")
+    return windows.groupBy("lang", *_NAMES).agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(windows: DataFrame, least: int = LEAST) -> DataFrame:
+    """Occurrences of words and phrases: (lang, size, w1 .. w4, f).
+
+    Size 0 counts all words of a language, size 1 to 4 those words and phrases that occur ``least`` times or more.
+    ROLLUP sums the longest windows to all their prefixes; sums that end in padding are no phrase and go.
+    """
     summed = windows.rollup("lang", *_NAMES).agg(F.sum("n").alias("f"), F.grouping_id().alias("_rolled"))
     # n rolled columns are the lowest n bits of the grouping id.
     size = (F.lit(ORDER) - F.bit_count("_rolled")).cast("int")
@@ -200,7 +246,8 @@ def mine_phrases(
     Repeated rows count as often as they stand there; an empty table has no phrase; other columns do not matter.
     """
     with passing_tables(docs.sparkSession) as keep:
-        counts = keep(phrase_counts(docs, text, lang, least), "phrase-counts")
+        windows = keep(longest_windows(docs, text, lang, least), "phrase-windows")
+        counts = keep(phrase_counts(windows, least), "phrase-counts")
         names = ["lang", "phrase"]
         found = candidates(counts).join(covered_phrases(counts, covered), names, "left")
         free = F.col("longer").isNull() | F.expr(

@@ -74,6 +74,6 @@ def test_empty_tables(spark):
 def test_windows_stop_at_rare_pairs_without_loss(spark):
     """The map of frequent pairs may hold too much, never too little."""
     rows = [("a b c d e f", "en")] * 30 + [("a b x y", "en")] * 29
-    counts = phrases.phrase_counts(spark.createDataFrame(rows, "text string, lang string"))
+    counts = phrases.phrase_counts(phrases.longest_windows(spark.createDataFrame(rows, "text string, lang string")))
     f = {" ".join(filter(None, r[2:6])): r.f for r in counts.collect() if r["size"] > 1}
     assert f["a b"] == 59 and f["a b c d"] == 30 and "b x" not in f and f["c d e f"] == 30
