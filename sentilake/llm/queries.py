@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sentilake.llm import (
     decontaminate,
     divergence,
+    extraction,
     mixing,
     near_dedup,
     passages,
@@ -224,6 +225,13 @@ def op11_divergence(spark, sf):
     return divergence.audit_sources(table(spark, sf, "documents"))
 
 
+@query()
+def op12_main_text(spark, sf):
+    """The main text of every page."""
+    texts = extraction.extract_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(r"""WITH pieces AS (SELECT lang, unnest(string_split_regex(body, '[.,;:!?\x0A-\x0D]')) AS piece
   FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)),
 lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
