@@ -14,7 +14,7 @@ from sentilake.config import CleanConfig, FeatureConfig, TrainConfig
 from sentilake.functions import aspects, rules, text
 from sentilake.functions import fixed_words as words
 from sentilake.functions.lexicon import Lexicon
-from sentilake.operators import cleaning, edges, features, labels, metrics, models, pages, results, scoring, splitting
+from sentilake.operators import cleaning, edges, features, labels, metrics, models, pages, results, scoring, search, splitting
 from sentilake.operators.checks import chunk_counts, classes_of
 from sentilake.plans import jobs
 from sentilake.session import shared_dir
@@ -605,6 +605,59 @@ def grid_search(spark, sf):
     return trained.scores.withColumns({"best": F.col("name") == trained.best, "best_params": F.to_json("best_params")})
 
 
+_TRAIN_ROWS = f"""SELECT doc_id, text, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5(concat(doc_id, ':42')))
+> floor(count(*) OVER (PARTITION BY sentiment) * CAST(0.2 AS DOUBLE) + 0.5) AS train FROM corpus WHERE len({sql.tokens('text')}) > 0) WHERE train"""
+
+# Multinomial naive Bayes once more: per fold and alpha fitted on the other folds, scored on the fold.
+_BAYES_SEARCH = f"""{sql.corpus_ctes(_TRAIN_ROWS)},
+folds AS (SELECT doc_id, sentiment, ntile(3) OVER (PARTITION BY sentiment ORDER BY md5(concat(doc_id, ':42'))) - 1 AS fold FROM cleaned),
+alphas AS (SELECT CAST(unnest([0.1, 0.5, 1.0]) AS DOUBLE) AS alpha),
+parts AS (SELECT 0 AS part UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3),
+fold_terms AS (SELECT x.term, x.sentiment, fold, sum(tfidf) AS s FROM x JOIN folds USING (doc_id) GROUP BY ALL),
+part_sums AS (SELECT part, term, coalesce(sum(s) FILTER (f.sentiment = 'negative' AND fold <> part), 0) AS n0,
+  coalesce(sum(s) FILTER (f.sentiment = 'positive' AND fold <> part), 0) AS n1
+  FROM parts, vocab LEFT JOIN fold_terms AS f USING (term) GROUP BY ALL),
+part_totals AS (SELECT part, sum(n0) AS t0, sum(n1) AS t1, count(*) AS size FROM part_sums GROUP BY part),
+part_priors AS (SELECT part, ln(count(*) FILTER (sentiment = 'negative' AND fold <> part) / CAST(count(*) FILTER (fold <> part) AS DOUBLE)) AS b0,
+  ln(count(*) FILTER (sentiment = 'positive' AND fold <> part) / CAST(count(*) FILTER (fold <> part) AS DOUBLE)) AS b1 FROM folds, parts GROUP BY part),
+part_weights AS (SELECT part, alpha, term, ln((n0 + alpha) / (t0 + alpha * size)) AS w0, ln((n1 + alpha) / (t1 + alpha * size)) AS w1
+  FROM part_sums JOIN part_totals USING (part), alphas),
+held AS (SELECT doc_id, sentiment, toks FROM (SELECT doc_id, sentiment, {sql.tokens('text')} AS toks FROM corpus)
+  WHERE len(toks) > 0 AND doc_id NOT IN (SELECT doc_id FROM chosen)),
+held_terms AS (SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest({sql.terms_of('toks')}) AS term FROM held) GROUP BY ALL),
+seen AS (SELECT doc_id, fold AS part, term, tfidf FROM x JOIN folds USING (doc_id)
+  UNION ALL SELECT doc_id, 3, term, cnt * idf / sqrt(sum(cnt * idf * cnt * idf) OVER (PARTITION BY doc_id)) FROM held_terms JOIN vocab USING (term)),
+every AS (SELECT doc_id, sentiment, fold AS part FROM folds UNION ALL SELECT doc_id, sentiment, 3 FROM held),
+sums_of AS (SELECT doc_id, part, alpha, sum(tfidf * w0) AS s0, sum(tfidf * w1) AS s1 FROM seen JOIN part_weights USING (part, term) GROUP BY ALL),
+said AS (SELECT e.part, a.alpha, e.sentiment, CASE WHEN coalesce(s1, 0) + b1 > coalesce(s0, 0) + b0 THEN 'positive' ELSE 'negative' END AS predicted
+  FROM every AS e CROSS JOIN alphas AS a JOIN part_priors USING (part) LEFT JOIN sums_of AS s ON s.doc_id = e.doc_id AND s.part = e.part AND s.alpha = a.alpha),
+per_class AS (SELECT part, alpha, class, count(*) FILTER (sentiment = class) AS support, count(*) FILTER (predicted = class) AS called,
+  count(*) FILTER (sentiment = class AND predicted = class) AS tp FROM said, (VALUES ('negative'), ('positive')) AS c(class) GROUP BY ALL),
+rates AS (SELECT *, coalesce(tp / nullif(CAST(called AS DOUBLE), 0), 0) AS precision, coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0) AS recall FROM per_class),
+scored_parts AS (SELECT part, alpha, sum(tp) / CAST(sum(support) AS DOUBLE) AS accuracy,
+  sum(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END * support) / sum(support) AS f1 FROM rates GROUP BY ALL),
+means AS (SELECT alpha, avg(f1) AS mean FROM scored_parts WHERE part < 3 GROUP BY alpha),
+picked AS (SELECT alpha FROM means ORDER BY round(mean, 12) DESC, alpha LIMIT 1)"""
+
+
+@query(f"""WITH {_BAYES_SEARCH} SELECT alpha, round(mean, 6) AS cv_f1, alpha IN (FROM picked) AS chosen,
+CASE WHEN alpha IN (FROM picked) THEN round(accuracy, 6) END AS test_accuracy, CASE WHEN alpha IN (FROM picked) THEN round(f1, 6) END AS test_f1_weighted
+FROM means JOIN (SELECT * FROM scored_parts WHERE part = 3) USING (alpha)""")
+def bayes_search(spark, sf):
+    """Naive Bayes searched over its smoothing values: mean metric of each, the chosen one and its test metrics."""
+    built = jobs.build_features(corpus(spark, sf), DOC_FEATURES)
+    cfg = TrainConfig(models=("MultinomialNB",))
+    train, test = (search.training_vectors(part, built.tfidf, built.labels, cfg) for part in (built.train, built.test))
+    tuned = search.tune(search.search_space(len(built.labels), cfg)[0], train, test, cfg)
+    rows = []
+    for alpha, mean in zip(search.NB_ALPHAS, tuned.cv_scores, strict=True):
+        chosen = tuned.best_params == {"alpha": str(alpha)}
+        tested = [tuned.metrics[c] if chosen else None for c in ("test_accuracy", "test_f1_weighted")]
+        rows.append((alpha, mean, chosen, *tested))
+    found = spark.createDataFrame(rows, "alpha double, cv_f1 double, chosen boolean, test_accuracy double, test_f1_weighted double")
+    return found.select("alpha", r6("cv_f1"), "chosen", r6("test_accuracy"), r6("test_f1_weighted"))
+
+
 @query(f"""WITH corpus AS ({fixtures.CORPUS}),
 c AS (SELECT doc_id, sentiment FROM corpus WHERE len({sql.tokens('text')}) > 0)
 SELECT doc_id, sentiment, CASE WHEN row_number() OVER (PARTITION BY sentiment ORDER BY md5(concat(doc_id, ':42')))
@@ -619,10 +672,6 @@ def feature_table(spark, sf):
     return readers.read_table(spark, path, ["doc_id", "sentiment", "split"])
 
 
-_TRAIN_ROWS = f"""SELECT doc_id, text, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5(concat(doc_id, ':42')))
-> floor(count(*) OVER (PARTITION BY sentiment) * CAST(0.2 AS DOUBLE) + 0.5) AS train FROM corpus WHERE len({sql.tokens('text')}) > 0) WHERE train"""
-
-
 @query(f"""WITH {sql.corpus_ctes(_TRAIN_ROWS)}, held AS (SELECT doc_id, sentiment, 0 AS unit, {sql.tokens('text')} AS toks FROM corpus
   WHERE len({sql.tokens('text')}) > 0 AND doc_id NOT IN (SELECT doc_id FROM chosen)),
 {sql.score_ctes('doc_id', 'held', 's')}

@@ -28,22 +28,20 @@ def score_column(metric: str) -> str:
     return SCORE_COLUMNS[metric]
 
 
-def class_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Per class: support, precision, recall, f1, each undefined value as 0.
+def confusion_classes(confusion: DataFrame, label: str, prediction: str, *keys: str) -> DataFrame:
+    """Per key and class: support, precision, recall, f1, each undefined value as 0.
 
-    The rows are first reduced to the confusion table; only that small table is reshaped.
+    ``confusion`` is (*keys, label, prediction, n).
     """
-    confusion = df.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).agg(
-        F.count("*").alias("n")
-    )
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(none)
     sides = F.array(
-        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called"), hit.alias("tp")),
-        F.struct(F.col("predicted").alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("called"), F.lit(0).cast("bigint").alias("tp")),
+        F.struct(F.col(label).alias("class"), F.col("n").alias("support"), none.alias("called"), hit.alias("tp")),
+        F.struct(F.col(prediction).alias("class"), none.alias("support"), F.col("n").alias("called"), none.alias("tp")),
     )
     per_class = (
-        confusion.select(F.inline(sides))
-        .groupBy("class")
+        confusion.select(*keys, F.inline(sides))
+        .groupBy(*keys, "class")
         .agg(*[F.sum(c).alias(c) for c in ("support", "called", "tp")])
     )
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("called")), F.lit(0.0))
@@ -53,10 +51,10 @@ def class_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return scored.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
-def weighted_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row: accuracy and support-weighted precision, recall, f1."""
+def confusion_metrics(confusion: DataFrame, label: str, prediction: str, *keys: str) -> DataFrame:
+    """One row per key: accuracy and support-weighted precision, recall, f1."""
     support = F.sum("support")
-    return class_metrics(df, label, prediction).agg(
+    return confusion_classes(confusion, label, prediction, *keys).groupBy(*keys).agg(
         (F.sum("tp") / support).alias("test_accuracy"),
         *[
             (F.sum(F.col(m) * F.col("support")) / support).alias(f"test_{m}_weighted")
@@ -65,6 +63,21 @@ def weighted_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
+def _confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """The rows reduced to the confusion table; only that small table is reshaped later."""
+    return df.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def class_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Per class: support, precision, recall, f1, each undefined value as 0."""
+    return confusion_classes(_confusion(df, label, prediction), "actual", "predicted")
+
+
+def weighted_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """One row: accuracy and support-weighted precision, recall, f1."""
+    return confusion_metrics(_confusion(df, label, prediction), "actual", "predicted")
+
+
 def best_model(scores: DataFrame, metric: str = "f1_weighted") -> DataFrame:
     """The row with the highest metric; the earliest ``ordinal`` wins a tie."""
     return scores.orderBy(F.col(score_column(metric)).desc(), F.col("ordinal")).limit(1)

@@ -8,19 +8,20 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.param import Param
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentilake.config import FeatureConfig, TrainConfig
+from sentilake.config import TrainConfig
+from sentilake.operators import bayes_search, validation
 from sentilake.operators.features import TfidfModel, vectorize
 from sentilake.operators.labels import encode_labels
-from sentilake.operators.metrics import EVALUATOR_METRICS, score_column, weighted_metrics
+from sentilake.operators.metrics import confusion_metrics, score_column
 from sentilake.operators.models import MARGIN, PROBABILITY, LinearTextModel
 from sentilake.operators.splitting import assign_folds
 from sentilake.session import cut_lineage
@@ -45,19 +46,27 @@ LOGISTIC_TOLERANCE, MACHINE_TOLERANCE, SGD_TOLERANCE = 1e-4, 1e-4, 1e-3
 class Candidate:
     """One estimator with its grid; every grid point names its parameters for the report.
 
-    The grid depends on the number of rows that a fit reads, which differs between a fold and the refit.
+    Naive Bayes has no estimator: all its points come from one table of sums. The grid depends on the number of rows that a fit reads, which differs between a fold and the refit.
     """
 
     name: str
-    estimator: Estimator
+    estimator: Estimator | None
     grid: Callable[[int], tuple[dict[Param, Any], ...]]
     described: tuple[dict[str, str], ...]
 
 
+@dataclass(frozen=True)
+class BayesModel:
+    """Naive Bayes as (idx, w) and class intercepts."""
+
+    weights: DataFrame
+    intercepts: tuple[float, ...]
+
+
 @dataclass(frozen=True)
 class Tuned:
     name: str
-    model: Model
+    model: Model | BayesModel
     cv_best_score: float
     cv_scores: tuple[float, ...]
     best_params: dict[str, str]
@@ -103,7 +112,6 @@ def search_space(n_classes: int, cfg: TrainConfig = TrainConfig()) -> list[list[
             {lr.regParam: 1.0 / (c * n), lr.weightCol: "balanced" if w == "balanced" else "unit"} for c, w in lr_points
         )
 
-    nb = NaiveBayes(modelType="multinomial", labelCol="label")
     sgd = logistic(cfg.stochastic_iterations, SGD_TOLERANCE)
     sgd_points = [(a, p) for a in SGD_ALPHAS for p in ("l2", "elasticnet")]
     sgd_grid = tuple(
@@ -130,8 +138,8 @@ def search_space(n_classes: int, cfg: TrainConfig = TrainConfig()) -> list[list[
         "MultinomialNB": [
             Candidate(
                 "MultinomialNB",
-                nb,
-                lambda _: tuple({nb.smoothing: a} for a in NB_ALPHAS),
+                None,
+                lambda _: (),
                 tuple({"alpha": str(a)} for a in NB_ALPHAS),
             )
         ],
@@ -175,18 +183,40 @@ def training_vectors(
     return cut_lineage(vectors.repartition(max(1, math.ceil(encoded.count() / ROWS_PER_FIT_TASK))))
 
 
+def _test_metrics(test: DataFrame, grid: validation.GridWeights, key: str) -> dict[str, float]:
+    table = validation.confusions(test.withColumn("fold", F.lit(0)), grid, key)
+    return confusion_metrics(table, "label", "predicted").first().asDict()
+
+
+def tune_bayes(
+    candidate: Candidate, train: DataFrame, test: DataFrame, classes: int, cfg: TrainConfig = TrainConfig()
+) -> Tuned:
+    """All smoothing values of naive Bayes: one pass for the sums, one that validates every fold and value."""
+    key = train.columns[0]
+    sums = bayes_search.fold_sums(train, cfg.cv_folds, classes)
+    grid = bayes_search.held_out_models(sums, NB_ALPHAS)
+    top, means = validation.best_point(validation.fold_scores(train, grid, key, cfg.primary_metric))
+    weights, priors = bayes_search.whole_model(sums, NB_ALPHAS[top])
+    whole = validation.GridWeights(weights.withColumn("fold", F.lit(0)), {0: priors}, 1, classes, sums.terms)
+    metrics = _test_metrics(test, whole, key)
+    return Tuned(candidate.name, BayesModel(weights, priors), means[top], tuple(means), candidate.described[top], metrics)
+
+
 def tune(
     candidates: Sequence[Candidate], train: DataFrame, test: DataFrame, cfg: TrainConfig = TrainConfig()
 ) -> Tuned:
     """Cross-validated search over one model's candidates, refit on all training rows, test metrics.
 
-    Row count and balanced class weights of a fit come from the rows it reads, in each fold as in the refit.
+    Row count and balanced class weights of a fit come from the rows it reads, in each fold as in the refit. Validation
+    waits for all fits and then reads the rows once, whatever the number of points and folds. The first column of ``train``
+    and ``test`` is the unique row id.
     """
-    evaluator = MulticlassClassificationEvaluator(
-        labelCol="label", predictionCol="prediction", metricName=EVALUATOR_METRICS[cfg.primary_metric]
-    )
     # One row per fold and class.
     sizes = {(r["fold"], r["label"]): r["count"] for r in train.groupBy("fold", "label").count().collect()}
+    classes = 1 + int(max((label for _, label in sizes), default=0))
+    key = train.columns[0]
+    if candidates[0].estimator is None:
+        return tune_bayes(candidates[0], train, test, classes, cfg)
 
     def fit(candidate: Candidate, point: int, fold: int | None) -> Model:
         counts: dict[float, int] = {}
@@ -201,21 +231,22 @@ def tune(
         rows = rows.withColumn("balanced", F.element_at(weights, F.col("label")))
         return candidate.estimator.fit(rows, candidate.grid(n)[point])
 
-    def validated(task: tuple[int, int, int]) -> float:
+    def fitted(task: tuple[int, int, int]) -> tuple[np.ndarray, list[float]]:
         c, point, fold = task
-        model = fit(candidates[c], point, fold)
-        return evaluator.evaluate(model.transform(train.filter(F.col("fold") == fold)))
+        return _matrix(fit(candidates[c], point, fold), classes)
 
     points = [(c, p) for c, candidate in enumerate(candidates) for p in range(len(candidate.described))]
-    tasks = [(*point, fold) for point in points for fold in range(cfg.cv_folds)]
+    tasks = [(*point, fold) for fold in range(cfg.cv_folds) for point in points]
     with ThreadPoolExecutor(cfg.parallelism) as pool:
-        found = list(pool.map(inheritable_thread_target(train.sparkSession)(validated), tasks))
-    means = [sum(found[i : i + cfg.cv_folds]) / cfg.cv_folds for i in range(0, len(found), cfg.cv_folds)]
-    top = max(range(len(means)), key=lambda i: (means[i], -i))
+        found = list(pool.map(inheritable_thread_target(train.sparkSession)(fitted), tasks))
+    by_fold = {fold: found[fold * len(points) : (fold + 1) * len(points)] for fold in range(cfg.cv_folds)}
+    grid = validation.gathered_weights(train.sparkSession, by_fold)
+    top, means = validation.best_point(validation.fold_scores(train, grid, key, cfg.primary_metric))
     best, point = points[top]
     model = fit(candidates[best], point, None)
-    row = weighted_metrics(model.transform(test), "label", "prediction").first()
-    return Tuned(candidates[0].name, model, means[top], tuple(means), candidates[best].described[point], row.asDict())
+    whole = validation.gathered_weights(train.sparkSession, {0: [_matrix(model, classes)]})
+    metrics = _test_metrics(test, whole, key)
+    return Tuned(candidates[0].name, model, means[top], tuple(means), candidates[best].described[point], metrics)
 
 
 def score_table(tuned: Sequence[Tuned], spark: Any) -> DataFrame:
@@ -264,13 +295,17 @@ def model_report(scores: DataFrame, best: str, metric: str, artifact_path: str)
     ).select(F.lit(metric).alias("primary_metric"), "best_model", "models")
 
 
-def as_text_model(model: Model, tfidf: TfidfModel, labels: Sequence[str]) -> LinearTextModel:
-    """The fitted estimator as a (term, weights) table for relational scoring.
+def as_text_model(model: Model | BayesModel, tfidf: TfidfModel, labels: Sequence[str]) -> LinearTextModel:
+    """The fitted model as a (term, weights) table for relational scoring.
 
     Coefficients are at most ``max_features`` rows per class.
     """
-    rows, intercepts, output = _coefficients(model, len(labels))
     spark = tfidf.vocabulary.sparkSession
+    if isinstance(model, BayesModel):
+        joined = tfidf.vocabulary.select("term", "idx", "idf").join(model.weights, "idx").select("term", "idx", "idf", "w")
+        size = tfidf.vocabulary.count()
+        return LinearTextModel(joined, tuple(labels), tuple(model.intercepts), PROBABILITY, size)
+    rows, intercepts, output = _coefficients(model)
     per_term = [(i, [float(r[i]) for r in rows]) for i in range(len(rows[0]))]
     weights = spark.createDataFrame(per_term, "idx int, w array<double>")
     joined = tfidf.vocabulary.select("term", "idx", "idf").join(F.broadcast(weights), "idx")
@@ -279,10 +314,21 @@ def as_text_model(model: Model, tfidf: TfidfModel, labels: Sequence[str]) -> Lin
     )
 
 
-def _coefficients(model: Model, n_classes: int) -> tuple[list[Any], list[float], str]:
+def _matrix(model: Model, classes: int) -> tuple[np.ndarray, list[float]]:
+    """Class by term weights and intercepts. Classes beyond those that the fit has seen cannot win."""
+    rows, intercepts, _ = _coefficients(model)
+    matrix = np.array([np.asarray(r, float) for r in rows])
+    missing = classes - len(matrix)
+    if missing > 0:
+        matrix = np.concatenate([matrix, np.zeros((missing, matrix.shape[1]))])
+        intercepts = [*intercepts, *[-math.inf] * missing]
+    return matrix, intercepts
+
+
+def _coefficients(model: Model) -> tuple[list[Any], list[float], str]:
     kind = type(model).__name__
     if kind == "LogisticRegressionModel":
-        if n_classes == 2:
+        if model.numClasses == 2:
             return [[0.0] * model.numFeatures, model.coefficients.toArray()], [0.0, float(model.intercept)], PROBABILITY
         return list(model.coefficientMatrix.toArray()), [float(b) for b in model.interceptVector], PROBABILITY
     if kind == "NaiveBayesModel":
