@@ -648,7 +648,7 @@ def bayes_search(spark, sf):
     built = jobs.build_features(corpus(spark, sf), DOC_FEATURES)
     cfg = TrainConfig(models=("MultinomialNB",))
     train, test = (search.training_vectors(part, built.tfidf, built.labels, cfg) for part in (built.train, built.test))
-    tuned = search.tune(search.search_space(len(built.labels), cfg)[0], train, test, cfg)
+    (tuned,) = search.tune(search.search_space(cfg), train, test, len(built.labels), cfg)
     rows = []
     for alpha, mean in zip(search.NB_ALPHAS, tuned.cv_scores, strict=True):
         chosen = tuned.best_params == {"alpha": str(alpha)}
@@ -658,6 +658,22 @@ def bayes_search(spark, sf):
     return found.select("alpha", r6("cv_f1"), "chosen", r6("test_accuracy"), r6("test_f1_weighted"))
 
 
+@query("""SELECT name, true AS converged, true AS at_minimum, points FROM (VALUES ('LogisticRegression', 6), ('LinearSVC', 3),
+('MultinomialNB', 3), ('SGDClassifier', 12)) AS m(name, points)""")
+def search_certificates(spark, sf):
+    """All four models searched over their whole grids: did the solver stop by itself, and is the refit the minimum of its objective?"""
+    built = jobs.build_features(corpus(spark, sf), DOC_FEATURES)
+    cfg = TrainConfig()
+    train, test = (search.training_vectors(part, built.tfidf, built.labels, cfg) for part in (built.train, built.test))
+    tuned = search.tune(search.search_space(cfg), train, test, len(built.labels), cfg)
+    bounds = {"LogisticRegression": 2 * search.EXACT, "LinearSVC": 2 * search.EXACT, "MultinomialNB": 1e-9, "SGDClassifier": 2 * search.STOCHASTIC}
+    rows = []
+    for t in tuned:
+        proof = search.certificate(t, train)
+        rows.append((t.name, proof["converged"], proof["violation"] <= bounds[t.name], len(t.cv_scores)))
+    return spark.createDataFrame(rows, "name string, converged boolean, at_minimum boolean, points int")
+
+
 @query(f"""WITH corpus AS ({fixtures.CORPUS}),
 c AS (SELECT doc_id, sentiment FROM corpus WHERE len({sql.tokens('text')}) > 0)
 SELECT doc_id, sentiment, CASE WHEN row_number() OVER (PARTITION BY sentiment ORDER BY md5(concat(doc_id, ':42')))

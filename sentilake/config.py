@@ -53,8 +53,7 @@ class TrainConfig:
     primary_metric: str = "f1_weighted"
     cv_folds: int = 3
     seed: int = 42
-    parallelism: int = 8
-    # Most iterations of a fit; each is one pass over the training rows.
+    # Most iterations of a fit. All fits that are not done share a pass over the training rows.
     logistic_iterations: int = 2000
     machine_iterations: int = 1000
     stochastic_iterations: int = 1000

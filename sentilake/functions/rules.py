@@ -22,6 +22,13 @@ def softmax(scores: Column) -> Column:
     return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, v: a + v))
 
 
+def scaled_sigmoids(scores: Column) -> Column:
+    """Probabilities of one machine a class: each score's sigmoid, scaled to a sum of one."""
+    each = F.transform(scores, sigmoid)
+    total = F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(each, lambda p: F.when(total > 0, p / total).otherwise(1.0 / F.size(scores)))
+
+
 def match_label(labels: Sequence[str], candidates: Sequence[str]) -> int | None:
     """Index of the first class whose lower-cased name equals or contains a candidate."""
     lowered: dict[str, int] = {}

@@ -15,6 +15,7 @@ from sentilake.operators.features import BROADCAST_TERMS, TfidfModel, tfidf_long
 from sentilake.session import cut_lineage
 
 PROBABILITY = "probability"
+SIGMOIDS = "sigmoids"
 MARGIN = "margin"
 
 
@@ -24,7 +25,7 @@ class LinearTextModel:
 
     ``weights`` is (term, idx, idf, w array<double>) with one weight per class; the score of
     class c is ``intercepts[c] + sum(x * w[c])``. ``output`` says whether the scores become
-    probabilities (softmax) or stay margins. A margin model of two classes keeps its
+    probabilities (softmax, or for one machine a class its sigmoids scaled to one) or stay margins. A margin model of two classes keeps its
     decision value as the score of class 1 and zero as that of class 0.
     """
 
@@ -48,8 +49,8 @@ class LinearTextModel:
         null = F.lit(None).cast("double")
         raw = F.array_position(scores, F.array_max(scores)).cast("int") - 1
         label = F.get(F.array(*[F.lit(x) for x in self.labels]), raw)
-        if self.output == PROBABILITY:
-            probabilities = rules.softmax(scores)
+        if self.output in (PROBABILITY, SIGMOIDS):
+            probabilities = rules.softmax(scores) if self.output == PROBABILITY else rules.scaled_sigmoids(scores)
             found = rules.sentiment_indexes(self.labels)
             return F.struct(
                 raw.alias("raw"),

@@ -4,25 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.base import Estimator
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.param import Param
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentilake.config import TrainConfig
-from sentilake.operators import bayes_search, validation
+from sentilake.operators import bayes_search, solver, validation
+from sentilake.operators.certificates import bayes_violation, optimality
 from sentilake.operators.features import TfidfModel, vectorize
 from sentilake.operators.labels import encode_labels
 from sentilake.operators.metrics import confusion_metrics, score_column
-from sentilake.operators.models import MARGIN, PROBABILITY, LinearTextModel
+from sentilake.operators.models import MARGIN, PROBABILITY, SIGMOIDS, LinearTextModel
+from sentilake.operators.solver import HINGE, LOGISTIC, SQUARED_HINGE, Problem, Solution
 from sentilake.operators.splitting import assign_folds
 from sentilake.session import cut_lineage
 
@@ -38,21 +35,52 @@ C_VALUES = (0.1, 1.0, 5.0)
 NB_ALPHAS = (0.1, 0.5, 1.0)
 SGD_ALPHAS = (1e-4, 1e-3, 1e-2)
 SGD_L1_SHARE = 0.15
-# Stopping tolerances; the most iterations are settings.
-LOGISTIC_TOLERANCE, MACHINE_TOLERANCE, SGD_TOLERANCE = 1e-4, 1e-4, 1e-3
+#: The solvers stop where the largest subgradient has come down to this share of that of the zero model.
+EXACT, STOCHASTIC = 1e-3, 1e-2
 
 
 @dataclass(frozen=True)
-class Candidate:
-    """One estimator with its grid; every grid point names its parameters for the report.
+class Point:
+    """One point of a model's grid: its loss, its penalties for a number of rows, and its parameters for the report."""
 
-    Naive Bayes has no estimator: all its points come from one table of sums. The grid depends on the number of rows that a fit reads, which differs between a fold and the refit.
-    """
+    described: dict[str, str]
+    loss: str
+    strengths: Callable[[int], tuple[float, float]]
+    limit: int
+    tolerance: float
+    balanced: bool = False
+    heavy_intercept: bool = False
+
+    def problems(self, n: int, fold: int | None, classes: int) -> list[Problem]:
+        """One machine for two classes, else one for each class against all others."""
+        l2, l1 = self.strengths(n)
+        one = Problem(self.loss, l2, l1, fold, self.balanced, self.heavy_intercept)
+        return [one] if classes == 2 else [replace(one, positive=c) for c in range(classes)]
+
+    def output(self, classes: int) -> str:
+        if self.loss != LOGISTIC:
+            return MARGIN
+        return PROBABILITY if classes == 2 else SIGMOIDS
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A model and its grid in the order in which ties are decided. Naive Bayes has smoothing values instead of points."""
 
     name: str
-    estimator: Estimator | None
-    grid: Callable[[int], tuple[dict[Param, Any], ...]]
-    described: tuple[dict[str, str], ...]
+    points: tuple[Point, ...] = ()
+    alphas: tuple[float, ...] = ()
+
+
+@dataclass(frozen=True)
+class FittedModel:
+    """Class by term weights, class intercepts, and the machines they come from."""
+
+    weights: np.ndarray
+    intercepts: tuple[float, ...]
+    output: str
+    problems: tuple[Problem, ...]
+    solutions: tuple[Solution, ...]
 
 
 @dataclass(frozen=True)
@@ -66,98 +94,51 @@ class BayesModel:
 @dataclass(frozen=True)
 class Tuned:
     name: str
-    model: Model | BayesModel
+    model: FittedModel | BayesModel
     cv_best_score: float
     cv_scores: tuple[float, ...]
     best_params: dict[str, str]
     metrics: dict[str, float]
 
 
-def search_space(n_classes: int, cfg: TrainConfig = TrainConfig()) -> list[list[Candidate]]:
-    """Per model name the candidates searched for it, in declaration order.
+def search_space(cfg: TrainConfig = TrainConfig()) -> list[Candidate]:
+    """The models to search, in declaration order.
 
-    The inverse strength C of the usual summed loss becomes ``regParam = 1 / (C * n)`` of the
-    averaged loss, with n the rows of the fit. Spark has no elastic-net hinge loss; that quarter of the stochastic model's
-    grid is left out.
+    The inverse strength C of a summed loss becomes ``1 / (C * n)`` of the mean loss, with n the rows of the fit; for the
+    squared hinge loss likewise. These two penalise the intercept as a weight, the stochastic model does not.
     """
 
-    def logistic(iterations: int, tolerance: float) -> LogisticRegression:
-        return LogisticRegression(
-            maxIter=iterations, tol=tolerance, standardization=False, labelCol="label", weightCol="unit"
-        )
-
-    def linear_machine(
-        name: str,
-        strengths: Callable[[int], list[float]],
-        described: Sequence[dict[str, str]],
-        iterations: int,
-        tolerance: float,
-    ) -> Candidate:
-        base = LinearSVC(maxIter=iterations, tol=tolerance, standardization=False, labelCol="label")
-        if n_classes == 2:
-            return Candidate(name, base, lambda n: tuple({base.regParam: r} for r in strengths(n)), tuple(described))
-        outer = OneVsRest(classifier=base, labelCol="label")
-        return Candidate(
-            name,
-            outer,
-            lambda n: tuple({outer.classifier: base.copy({base.regParam: r})} for r in strengths(n)),
-            tuple(described),
-        )
+    def summed(c: float) -> Callable[[int], tuple[float, float]]:
+        return lambda n: (1.0 / (c * n), 0.0)
 
-    lr = logistic(cfg.logistic_iterations, LOGISTIC_TOLERANCE)
-    lr_points = [(c, w) for c in C_VALUES for w in ("None", "balanced")]
+    def mixed(alpha: float, share: float) -> Callable[[int], tuple[float, float]]:
+        return lambda n: (alpha * (1.0 - share), alpha * share)
 
-    def lr_grid(n: int) -> tuple[dict[Param, Any], ...]:
-        return tuple(
-            {lr.regParam: 1.0 / (c * n), lr.weightCol: "balanced" if w == "balanced" else "unit"} for c, w in lr_points
+    regression = tuple(
+        Point({"C": str(c), "class_weight": w}, LOGISTIC, summed(c), cfg.logistic_iterations, EXACT, w == "balanced", True)
+        for c in C_VALUES
+        for w in ("None", "balanced")
+    )
+    machine = tuple(
+        Point({"C": str(c)}, SQUARED_HINGE, summed(c), cfg.machine_iterations, EXACT, heavy_intercept=True) for c in C_VALUES
+    )
+    stochastic = tuple(
+        Point(
+            {"alpha": str(a), "loss": name, "penalty": penalty},
+            loss,
+            mixed(a, 0.0 if penalty == "l2" else SGD_L1_SHARE),
+            cfg.stochastic_iterations,
+            STOCHASTIC,
         )
-
-    sgd = logistic(cfg.stochastic_iterations, SGD_TOLERANCE)
-    sgd_points = [(a, p) for a in SGD_ALPHAS for p in ("l2", "elasticnet")]
-    sgd_grid = tuple(
-        {sgd.regParam: a, sgd.elasticNetParam: 0.0 if p == "l2" else SGD_L1_SHARE} for a, p in sgd_points
+        for a in SGD_ALPHAS
+        for name, loss in (("hinge", HINGE), ("log_loss", LOGISTIC))
+        for penalty in ("l2", "elasticnet")
     )
     space = {
-        "LogisticRegression": [
-            Candidate(
-                "LogisticRegression",
-                lr,
-                lr_grid,
-                tuple({"C": str(c), "class_weight": w} for c, w in lr_points),
-            )
-        ],
-        "LinearSVC": [
-            linear_machine(
-                "LinearSVC",
-                lambda n: [1.0 / (c * n) for c in C_VALUES],
-                [{"C": str(c)} for c in C_VALUES],
-                cfg.machine_iterations,
-                MACHINE_TOLERANCE,
-            )
-        ],
-        "MultinomialNB": [
-            Candidate(
-                "MultinomialNB",
-                None,
-                lambda _: (),
-                tuple({"alpha": str(a)} for a in NB_ALPHAS),
-            )
-        ],
-        "SGDClassifier": [
-            linear_machine(
-                "SGDClassifier",
-                lambda _: list(SGD_ALPHAS),
-                [{"loss": "hinge", "alpha": str(a), "penalty": "l2"} for a in SGD_ALPHAS],
-                cfg.stochastic_iterations,
-                SGD_TOLERANCE,
-            ),
-            Candidate(
-                "SGDClassifier",
-                sgd,
-                lambda _: sgd_grid,
-                tuple({"loss": "log_loss", "alpha": str(a), "penalty": p} for a, p in sgd_points),
-            ),
-        ],
+        "LogisticRegression": Candidate("LogisticRegression", regression),
+        "LinearSVC": Candidate("LinearSVC", machine),
+        "MultinomialNB": Candidate("MultinomialNB", alphas=NB_ALPHAS),
+        "SGDClassifier": Candidate("SGDClassifier", stochastic),
     }
     return [space[name] for name in cfg.models]
 
@@ -165,10 +146,9 @@ def search_space(n_classes: int, cfg: TrainConfig = TrainConfig()) -> list[list[
 def training_vectors(
     train: DataFrame, tfidf: TfidfModel, labels: Sequence[str], cfg: TrainConfig = TrainConfig()
 ) -> DataFrame:
-    """(id, label, features, fold, unit): the table the estimators read.
+    """(id, label, features, fold): the rows that fits and validation read.
 
-    Every iteration of every fit scans it, so it is written once, in parts large enough that
-    scheduling does not outweigh the arithmetic.
+    Written once, in parts large enough that scheduling does not outweigh the arithmetic.
     """
     fc = tfidf.cfg
     folded = assign_folds(train, fc.id_column, fc.label_column, cfg.cv_folds, cfg.seed)
@@ -178,7 +158,6 @@ def training_vectors(
         F.col("label_index").cast("double").alias("label"),
         "features",
         "fold",
-        F.lit(1.0).alias("unit"),
     )
     return cut_lineage(vectors.repartition(max(1, math.ceil(encoded.count() / ROWS_PER_FIT_TASK))))
 
@@ -188,65 +167,121 @@ def _test_metrics(test: DataFrame, grid: validation.GridWeights, key: str) -> di
     return confusion_metrics(table, "label", "predicted").first().asDict()
 
 
+def class_sizes(train: DataFrame) -> dict[tuple[int, float], int]:
+    """Rows per fold and class."""
+    return {(r["fold"], r["label"]): r["count"] for r in train.groupBy("fold", "label").count().collect()}
+
+
 def tune_bayes(
     candidate: Candidate, train: DataFrame, test: DataFrame, classes: int, cfg: TrainConfig = TrainConfig()
 ) -> Tuned:
     """All smoothing values of naive Bayes: one pass for the sums, one that validates every fold and value."""
     key = train.columns[0]
     sums = bayes_search.fold_sums(train, cfg.cv_folds, classes)
-    grid = bayes_search.held_out_models(sums, NB_ALPHAS)
+    grid = bayes_search.held_out_models(sums, candidate.alphas)
     top, means = validation.best_point(validation.fold_scores(train, grid, key, cfg.primary_metric))
-    weights, priors = bayes_search.whole_model(sums, NB_ALPHAS[top])
+    weights, priors = bayes_search.whole_model(sums, candidate.alphas[top])
     whole = validation.GridWeights(weights.withColumn("fold", F.lit(0)), {0: priors}, 1, classes, sums.terms)
     metrics = _test_metrics(test, whole, key)
-    return Tuned(candidate.name, BayesModel(weights, priors), means[top], tuple(means), candidate.described[top], metrics)
+    described = {"alpha": str(candidate.alphas[top])}
+    return Tuned(candidate.name, BayesModel(weights, priors), means[top], tuple(means), described, metrics)
+
+
+def fitted_models(
+    rows: DataFrame, wanted: Sequence[tuple[Point, int | None]], sizes: dict[tuple[int, float], int], classes: int, terms: int
+) -> list[FittedModel]:
+    """Models of all (grid point, fold left out) pairs, solved together."""
+    problems, limits, tolerances = [], [], []
+    for point, fold in wanted:
+        n = sum(k for (f, _), k in sizes.items() if f != fold)
+        if not n:
+            raise ValueError(f"Fold {fold} leaves no rows to train on.")
+        machines = point.problems(n, fold, classes)
+        problems += machines
+        limits += [point.limit] * len(machines)
+        tolerances += [point.tolerance] * len(machines)
+    solutions = solver.solve(rows, problems, limits, tolerances, terms, sizes)
+    each = len(problems) // len(wanted)
+    out = []
+    for n, (point, _) in enumerate(wanted):
+        mine = slice(n * each, (n + 1) * each)
+        found = [s.weights for s in solutions[mine]]
+        # Two classes have one machine: class 0 keeps the score zero.
+        weights = np.stack([*([np.zeros(terms + 1)] if classes == 2 else []), *found])
+        out.append(
+            FittedModel(
+                weights[:, :-1], tuple(weights[:, -1]), point.output(classes), tuple(problems[mine]), tuple(solutions[mine])
+            )
+        )
+    return out
 
 
-def tune(
-    candidates: Sequence[Candidate], train: DataFrame, test: DataFrame, cfg: TrainConfig = TrainConfig()
-) -> Tuned:
-    """Cross-validated search over one model's candidates, refit on all training rows, test metrics.
+def tune_linear(
+    candidates: Sequence[Candidate], train: DataFrame, test: DataFrame, classes: int, cfg: TrainConfig = TrainConfig()
+) -> list[Tuned]:
+    """Cross-validated search over the grids of all linear models at once, refits on all training rows, test metrics.
 
-    Row count and balanced class weights of a fit come from the rows it reads, in each fold as in the refit. Validation
-    waits for all fits and then reads the rows once, whatever the number of points and folds. The first column of ``train``
-    and ``test`` is the unique row id.
+    Row count and class weights of a fit come from the rows it reads, in each fold as in the refit. All fits share their
+    passes over the rows, then one pass validates all points and folds. The first column of ``train`` is the unique row id.
     """
-    # One row per fold and class.
-    sizes = {(r["fold"], r["label"]): r["count"] for r in train.groupBy("fold", "label").count().collect()}
-    classes = 1 + int(max((label for _, label in sizes), default=0))
-    key = train.columns[0]
-    if candidates[0].estimator is None:
-        return tune_bayes(candidates[0], train, test, classes, cfg)
-
-    def fit(candidate: Candidate, point: int, fold: int | None) -> Model:
-        counts: dict[float, int] = {}
-        for (f, label), k in sizes.items():
-            if f != fold:
-                counts[label] = counts.get(label, 0) + k
-        n = sum(counts.values())
-        if not n or (fold is not None and all(f != fold for f, _ in sizes)):
-            raise ValueError(f"Fold {fold} leaves no rows to train or to validate on.")
-        weights = F.create_map(*[F.lit(x) for c, k in counts.items() for x in (c, n / (len(counts) * k))])
-        rows = train if fold is None else train.filter(F.col("fold") != fold)
-        rows = rows.withColumn("balanced", F.element_at(weights, F.col("label")))
-        return candidate.estimator.fit(rows, candidate.grid(n)[point])
-
-    def fitted(task: tuple[int, int, int]) -> tuple[np.ndarray, list[float]]:
-        c, point, fold = task
-        return _matrix(fit(candidates[c], point, fold), classes)
-
-    points = [(c, p) for c, candidate in enumerate(candidates) for p in range(len(candidate.described))]
-    tasks = [(*point, fold) for fold in range(cfg.cv_folds) for point in points]
-    with ThreadPoolExecutor(cfg.parallelism) as pool:
-        found = list(pool.map(inheritable_thread_target(train.sparkSession)(fitted), tasks))
-    by_fold = {fold: found[fold * len(points) : (fold + 1) * len(points)] for fold in range(cfg.cv_folds)}
-    grid = validation.gathered_weights(train.sparkSession, by_fold)
-    top, means = validation.best_point(validation.fold_scores(train, grid, key, cfg.primary_metric))
-    best, point = points[top]
-    model = fit(candidates[best], point, None)
-    whole = validation.gathered_weights(train.sparkSession, {0: [_matrix(model, classes)]})
-    metrics = _test_metrics(test, whole, key)
-    return Tuned(candidates[0].name, model, means[top], tuple(means), candidates[best].described[point], metrics)
+    if not candidates:
+        return []
+    spark, key = train.sparkSession, train.columns[0]
+    sizes = class_sizes(train)
+    held = {f for f, _ in sizes}
+    if missing := sorted(set(range(cfg.cv_folds)) - held):
+        raise ValueError(f"Fold {missing[0]} leaves no rows to validate on.")
+    rows = solver.written_rows(train)
+    terms = train.select(F.unwrap_udt("features").alias("v")).select(F.coalesce("v.size", F.size("v.values"))).first()[0]
+    points = [(c, p) for c, candidate in enumerate(candidates) for p in candidate.points]
+    folds = range(cfg.cv_folds)
+    fitted = fitted_models(rows, [(p, fold) for fold in folds for _, p in points], sizes, classes, terms)
+    by_fold = {
+        fold: [(m.weights, m.intercepts) for m in fitted[fold * len(points) : (fold + 1) * len(points)]] for fold in folds
+    }
+    grid = validation.gathered_weights(spark, by_fold)
+    scores = validation.fold_scores(train, grid, key, cfg.primary_metric)
+    chosen = []
+    for c, candidate in enumerate(candidates):
+        mine = [s for (owner, _), s in zip(points, scores, strict=True) if owner == c]
+        top, means = validation.best_point(mine)
+        chosen.append((candidate.points[top], means[top], tuple(means)))
+    whole = fitted_models(rows, [(point, None) for point, _, _ in chosen], sizes, classes, terms)
+    out = []
+    for candidate, model, (point, best, means) in zip(candidates, whole, chosen, strict=True):
+        metrics = _test_metrics(test, validation.gathered_weights(spark, {0: [(model.weights, model.intercepts)]}), key)
+        out.append(Tuned(candidate.name, model, best, means, point.described, metrics))
+    return out
+
+
+def tune(
+    space: Sequence[Candidate], train: DataFrame, test: DataFrame, classes: int, cfg: TrainConfig = TrainConfig()
+) -> list[Tuned]:
+    """All models searched, in declaration order. ``train`` and ``test`` are ``training_vectors``."""
+    linear = tune_linear([c for c in space if c.points], train, test, classes, cfg)
+    found = {t.name: t for t in linear}
+    for candidate in space:
+        if candidate.alphas:
+            found[candidate.name] = tune_bayes(candidate, train, test, classes, cfg)
+    return [found[c.name] for c in space]
+
+
+def certificate(tuned: Tuned, train: DataFrame) -> dict[str, Any]:
+    """How far a searched model is from the minimum of its objective, and whether its solver stopped by itself.
+
+    ``violation`` is the largest distance of zero from a coordinate's subgradient over all machines, as a share of that of the
+    zero model, counted anew from the rows. Naive Bayes has no solver: its violation is how far the term shares of a class
+    are from a sum of one.
+    """
+    if isinstance(tuned.model, BayesModel):
+        worst = bayes_violation(tuned.model.weights, len(tuned.model.intercepts))
+        return {"name": tuned.name, "converged": True, "violation": worst}
+    sizes = class_sizes(train)
+    found = []
+    for problem, solution in zip(tuned.model.problems, tuned.model.solutions, strict=True):
+        row = optimality(train, problem, solution.weights, solver.class_shares(problem, sizes)).first()
+        found.append(row["violation"] / (row["scale"] or 1.0))
+    return {"name": tuned.name, "converged": all(s.converged for s in tuned.model.solutions), "violation": max(found)}
 
 
 def score_table(tuned: Sequence[Tuned], spark: Any) -> DataFrame:
@@ -295,34 +330,25 @@ def model_report(scores: DataFrame, best: str, metric: str, artifact_path: str)
     ).select(F.lit(metric).alias("primary_metric"), "best_model", "models")
 
 
-def as_text_model(model: Model | BayesModel, tfidf: TfidfModel, labels: Sequence[str]) -> LinearTextModel:
+def as_text_model(model: Model | FittedModel | BayesModel, tfidf: TfidfModel, labels: Sequence[str]) -> LinearTextModel:
     """The fitted model as a (term, weights) table for relational scoring.
 
     Coefficients are at most ``max_features`` rows per class.
     """
-    spark = tfidf.vocabulary.sparkSession
+    vocabulary = tfidf.vocabulary.select("term", "idx", "idf")
     if isinstance(model, BayesModel):
-        joined = tfidf.vocabulary.select("term", "idx", "idf").join(model.weights, "idx").select("term", "idx", "idf", "w")
-        size = tfidf.vocabulary.count()
-        return LinearTextModel(joined, tuple(labels), tuple(model.intercepts), PROBABILITY, size)
-    rows, intercepts, output = _coefficients(model)
-    per_term = [(i, [float(r[i]) for r in rows]) for i in range(len(rows[0]))]
-    weights = spark.createDataFrame(per_term, "idx int, w array<double>")
-    joined = tfidf.vocabulary.select("term", "idx", "idf").join(F.broadcast(weights), "idx")
-    return LinearTextModel(
-        joined.select("term", "idx", "idf", "w"), tuple(labels), tuple(intercepts), output, len(per_term)
-    )
-
-
-def _matrix(model: Model, classes: int) -> tuple[np.ndarray, list[float]]:
-    """Class by term weights and intercepts. Classes beyond those that the fit has seen cannot win."""
-    rows, intercepts, _ = _coefficients(model)
-    matrix = np.array([np.asarray(r, float) for r in rows])
-    missing = classes - len(matrix)
-    if missing > 0:
-        matrix = np.concatenate([matrix, np.zeros((missing, matrix.shape[1]))])
-        intercepts = [*intercepts, *[-math.inf] * missing]
-    return matrix, intercepts
+        weights, intercepts, output = model.weights, model.intercepts, PROBABILITY
+        size = vocabulary.count()
+    else:
+        if isinstance(model, FittedModel):
+            matrix, intercepts, output = model.weights, model.intercepts, model.output
+        else:
+            rows, intercepts, output = _coefficients(model)
+            matrix = np.array([np.asarray(r, float) for r in rows])
+        size = matrix.shape[1]
+        weights = validation.gathered_weights(vocabulary.sparkSession, {0: [(matrix, intercepts)]}).table.drop("fold")
+    joined = vocabulary.join(weights, "idx").select("term", "idx", "idf", "w")
+    return LinearTextModel(joined, tuple(labels), tuple(float(b) for b in intercepts), output, size)
 
 
 def _coefficients(model: Model) -> tuple[list[Any], list[float], str]:

@@ -90,8 +90,7 @@ def train_and_select(features: Features, cfg: TrainConfig = TrainConfig(), artif
     spark = features.rows.sparkSession
     train = search.training_vectors(features.train, features.tfidf, features.labels, cfg)
     test = search.training_vectors(features.test, features.tfidf, features.labels, cfg)
-    space = search.search_space(len(features.labels), cfg)
-    tuned = [search.tune(candidates, train, test, cfg) for candidates in space]
+    tuned = search.tune(search.search_space(cfg), train, test, len(features.labels), cfg)
     best = search.pick_best(tuned, cfg.primary_metric)
     scores = search.score_table(tuned, spark)
     report = search.model_report(scores, best.name, cfg.primary_metric, artifact_path)

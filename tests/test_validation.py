@@ -82,7 +82,7 @@ def test_one_pass_scores_like_one_model_after_another(spark, metric):
         models, want = {}, []
         for fold in range(FOLDS):
             fitted = [e.fit(df.filter(F.col("fold") != fold)) for e in estimators]
-            models[fold] = [search._matrix(m, classes) for m in fitted]
+            models[fold] = [(np.array([np.asarray(r) for r in w]), b) for w, b, _ in map(search._coefficients, fitted)]
             want.append([evaluator.evaluate(m.transform(df.filter(F.col("fold") == fold))) for m in fitted])
         grid = validation.gathered_weights(spark, models)
         got = validation.fold_scores(df, grid, "id", metric)
