@@ -18,7 +18,7 @@ from sentilake.operators import cleaning, edges, features, labels, metrics, mode
 from sentilake.operators.checks import chunk_counts, classes_of
 from sentilake.plans import jobs
 from sentilake.session import shared_dir
-from sentilake.sources import readers, writers
+from sentilake.sources import readers, versions, writers
 from sentilake.streaming import streams
 
 LEXICON = Lexicon()
@@ -192,14 +192,14 @@ def _publish(spark, sf, path: str, job: str, replace_existing: bool) -> None:
     rows = fixture(spark, sf, fixtures.VERSIONS)
     for version in (1, 2):
         part = rows.filter(F.col("version") == version).drop("version")
-        writers.publish_version(part, path, version, job, sf, replace_existing)
+        versions.publish_version(part, path, version, job, sf, replace_existing)
 
 
 @query("SELECT doc_id, upper(lang) AS lang, CAST(2 AS INT) AS version, 'replace' AS source_job FROM documents")
 def publish_replace(spark, sf):
     path = fresh_path(spark, "replace")
     _publish(spark, sf, path, "replace", replace_existing=True)
-    return spark.read.parquet(path).select("doc_id", "lang", "version", "source_job")
+    return versions.read_versions(spark, path).select("doc_id", "lang", "version", "source_job")
 
 
 @query("""SELECT CAST(v.version AS INT) AS version, count(*) AS n, CAST(2 AS INT) AS newest
@@ -207,8 +207,8 @@ FROM documents, (VALUES (1), (2)) AS v(version) GROUP BY v.version""")
 def publish_revisions(spark, sf):
     path = fresh_path(spark, "revisions")
     _publish(spark, sf, path, "keep", replace_existing=False)
-    stored = spark.read.parquet(path)
-    newest = writers.newest_version(stored)
+    stored = versions.read_versions(spark, path)
+    newest = versions.newest(spark, path).version
     return stored.groupBy("version").agg(F.count("*").alias("n")).withColumn("newest", F.lit(newest))
 
 
@@ -231,7 +231,28 @@ def publish_cleaned(spark, sf):
     raw, out = fresh_path(spark, "raw"), fresh_path(spark, "published")
     _publish(spark, sf, raw, "upload", replace_existing=False)
     jobs.publish_cleaned(spark, raw, out, 1, DOC_CLEAN)
-    return spark.read.parquet(out).select("doc_id", "text_clean")
+    return versions.read_latest(spark, out).select("doc_id", "text_clean")
+
+
+@query("""SELECT CAST(v.version AS INT) AS version, d.doc_id, CASE WHEN v.version = 2 THEN upper(lang) ELSE lang END AS lang, CAST(2 AS INT) AS newest,
+n AS rows_recorded FROM documents AS d, (VALUES (1), (2)) AS v(version), (SELECT count(*) AS n FROM documents)""")
+def publish_twice(spark, sf):
+    """A version published twice, another whose write fails: readers see the committed rows once, and no others."""
+    path = fresh_path(spark, "twice")
+    rows = fixture(spark, sf, fixtures.VERSIONS)
+    parts = {v: rows.filter(F.col("version") == v).drop("version") for v in (1, 2)}
+    versions.publish_version(parts[1].limit(1), path, 1, "job", sf, replace_existing=False)
+    versions.publish_version(parts[1], path, 1, "job", sf, replace_existing=False)
+    broken = parts[2].withColumn("lang", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("broken"))).otherwise(F.col("lang")))
+    try:
+        versions.publish_version(broken, path, 3, "job", sf, replace_existing=True)
+    except Exception as error:  # noqa: BLE001
+        if "broken" not in str(error):
+            raise
+    versions.publish_version(parts[2], path, 2, "job", sf, replace_existing=False)
+    recorded = spark.createDataFrame([(c.version, c.rows) for c in versions.commits(spark, path).values()], "version int, rows_recorded long")
+    stored = versions.read_versions(spark, path).select("version", "doc_id", "lang")
+    return stored.join(recorded, "version").withColumn("newest", F.lit(versions.newest(spark, path).version))
 
 
 # ---- lexicon ---------------------------------------------------------------------------------

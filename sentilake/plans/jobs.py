@@ -20,7 +20,7 @@ from sentilake.operators.results import ANNOTATION_COLUMNS, annotation_columns,
 from sentilake.operators.scoring import row_error, score_reviews
 from sentilake.operators.splitting import assign_split
 from sentilake.session import cut_lineage
-from sentilake.sources import readers, writers
+from sentilake.sources import readers, versions, writers
 
 
 @dataclass(frozen=True)
@@ -66,10 +66,9 @@ def publish_cleaned(
     spark: SparkSession, raw_path: str, cleaned_path: str, version: int, cfg: CleanConfig = CleanConfig()
 ) -> str:
     """Newest raw version in, cleaned and published version out."""
-    raw = require_columns(require_rows(writers.read_latest(spark, raw_path)), [cfg.text_column])
-    cleaned = clean_reviews(raw, cfg)
-    writers.publish_version(cleaned, cleaned_path, version, "clean_reviews", raw_path)
-    require_rows(spark.read.parquet(cleaned_path), "All rows were dropped after preprocessing.")
+    raw = require_columns(require_rows(versions.read_latest(spark, raw_path)), [cfg.text_column])
+    cleaned = require_rows(clean_reviews(raw, cfg), "No review is left after cleaning.")
+    versions.publish_version(cleaned, cleaned_path, version, "clean_reviews", raw_path)
     return cleaned_path
 
 
@@ -108,8 +107,8 @@ def retrain(
 ) -> dict[str, str]:
     """Raw versions to a new model version: clean, publish, features, search, save, report."""
     cleaned_path = publish_cleaned(spark, raw_path, f"{workspace}/cleaned", version, clean_cfg)
-    cleaned = readers.read_cleaned(spark, cleaned_path, [feature_cfg.text_column, feature_cfg.label_column])
-    features = build_features(cleaned.drop("version", "source_job", "original_path"), feature_cfg)
+    cleaned = require_columns(versions.read_latest(spark, cleaned_path), [feature_cfg.text_column, feature_cfg.label_column])
+    features = build_features(cleaned, feature_cfg)
     model_path = model_version_path(workspace, version)
     trained = train_and_select(features, train_cfg, model_path)
     trained.model.save(model_path)

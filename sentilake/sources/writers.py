@@ -1,4 +1,4 @@
-"""Sinks: cleaned tables, annotated CSV, reports, pages, and versioned datasets."""
+"""Sinks: cleaned tables, annotated CSV, features and reports; published versions are in ``versions``."""
 
 from __future__ import annotations
 
@@ -40,32 +40,7 @@ def write_report(report: DataFrame, path: str) -> str:
     return path
 
 
-# ---- versioned datasets ----------------------------------------------------------------
-
-
-def publish_version(
-    df: DataFrame,
-    path: str,
-    version: int,
-    source: str,
-    original_path: str,
-    replace_existing: bool = True,
-) -> str:
-    """Publish a table as one version of a named dataset.
-
-    ``replace_existing`` leaves this version alone; otherwise it stands beside the others. Publishing a version
-    again, as a retry does, replaces its rows and no others.
-    """
-    stamped = df.withColumns(
-        {
-            "version": F.lit(version),
-            "source_job": F.lit(source),
-            "original_path": F.lit(original_path),
-        }
-    )
-    mode = "static" if replace_existing else "dynamic"
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("version").parquet(path)
-    return path
+# ---- tables that hold several versions --------------------------------------------------
 
 
 def newest_version(df: DataFrame, version_column: str = "version") -> int:
@@ -76,10 +51,5 @@ def newest_version(df: DataFrame, version_column: str = "version") -> int:
 
 
 def latest_rows(df: DataFrame, version_column: str = "version") -> DataFrame:
-    """Rows of the newest version. The literal filter prunes partitions of a published table."""
+    """Rows of the newest version of a table with a version column."""
     return df.filter(F.col(version_column) == F.lit(newest_version(df, version_column)))
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published version; only its partition is read."""
-    return latest_rows(spark.read.parquet(path)).drop("version", "source_job", "original_path")

@@ -11,7 +11,7 @@ from sentilake.config import CleanConfig
 from sentilake.operators import checks as guards
 from sentilake.operators import cleaning, models, pages, results, scoring
 from sentilake.plans import jobs
-from sentilake.sources import readers, writers
+from sentilake.sources import readers, versions, writers
 from sentilake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -82,12 +82,12 @@ def test_blank_rows_can_be_kept(spark):
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "set")
     for v in (1, 2):
-        writers.publish_version(spark.range(v), path, v, "job", "raw", replace_existing=False)
-    assert writers.newest_version(spark.read.parquet(path)) == 2
-    assert readers.require_rows(writers.read_latest(spark, path)).count() == 2
-    assert writers.read_latest(spark, path).columns == ["id"]
-    writers.publish_version(spark.range(7), path, 3, "job", "raw", replace_existing=True)
-    assert spark.read.parquet(path).select("version").distinct().count() == 1
+        versions.publish_version(spark.range(v), path, v, "job", "raw", replace_existing=False)
+    assert versions.newest(spark, path).version == writers.newest_version(versions.read_versions(spark, path)) == 2
+    assert readers.require_rows(versions.read_latest(spark, path)).count() == 2
+    assert versions.read_latest(spark, path).columns == ["id"]
+    versions.publish_version(spark.range(7), path, 3, "job", "raw", replace_existing=True)
+    assert versions.read_versions(spark, path).select("version").distinct().count() == 1
 
 
 @pytest.mark.parametrize("ids", [range(0, 100), range(0, 10_000_000, 99_991), [5, 70_000, 70_001, 1 << 40]])
@@ -182,7 +182,7 @@ def test_retrain_and_score_with_the_new_model(spark, tmp_path):
         "review_id long, text string, sentiment string, stars int",
     )
     raw = str(tmp_path / "raw")
-    writers.publish_version(rows, raw, 1, "upload", "x", replace_existing=False)
+    versions.publish_version(rows, raw, 1, "upload", "x", replace_existing=False)
     for version in (1, 2):
         paths = jobs.retrain(
             spark, raw, str(tmp_path / "w"), version, feature_cfg=FeatureConfig(), train_cfg=TrainConfig(models=("MultinomialNB",))
@@ -220,8 +220,8 @@ def test_pages_of_large_and_of_text_ids(spark):
 def test_publishing_a_version_again_replaces_it(spark, tmp_path):
     path = str(tmp_path / "versions")
     for version, n in ((1, 3), (2, 5), (2, 4)):
-        writers.publish_version(spark.range(n), path, version, "job", "raw", replace_existing=False)
-    counts = {r["version"]: r["count"] for r in spark.read.parquet(path).groupBy("version").count().collect()}
+        versions.publish_version(spark.range(n), path, version, "job", "raw", replace_existing=False)
+    counts = {r["version"]: r["count"] for r in versions.read_versions(spark, path).groupBy("version").count().collect()}
     assert counts == {1: 3, 2: 4}
 
 
@@ -259,3 +259,41 @@ def test_csv_stream_reads_quoted_line_breaks_like_a_batch(spark, tmp_path):
     streams.clean_stream(arriving, out, str(tmp_path / "check")).awaitTermination()
     want = {(r.text, r.text_clean) for r in cleaning.clean_reviews(batch).collect()}
     assert {(r.text, r.text_clean) for r in spark.read.parquet(out).collect()} == want and len(want) == 2
+
+
+def test_a_failed_publish_leaves_what_stood(spark, tmp_path):
+    path = str(tmp_path / "set")
+    versions.publish_version(spark.range(3), path, 1, "job", "raw")
+    broken = spark.range(5).withColumn("id", F.when(F.col("id") > 3, F.raise_error(F.lit("broken"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="broken"):
+        versions.publish_version(broken, path, 2, "job", "raw", replace_existing=True)
+    assert versions.newest(spark, path).version == 1 and versions.read_latest(spark, path).count() == 3
+    done = versions.publish_version(spark.range(4), path, 2, "job", "raw", replace_existing=True)
+    assert (done.number, done.rows) == (2, 4) and list(versions.commits(spark, path)) == [2]
+    # the replaced folder is gone, the failed one is named by no record
+    assert not list((tmp_path / "set" / "version=1").glob("attempt=*/*.parquet"))
+    assert versions.read_versions(spark, path).count() == 4
+    with pytest.raises(ValueError, match="committed"):
+        versions.read_versions(spark, path, [1])
+    with pytest.raises(ValueError, match="committed"):
+        versions.newest(spark, str(tmp_path / "nothing"))
+
+
+def test_records_of_other_writers_are_passed_over(spark, tmp_path):
+    path = str(tmp_path / "set")
+    first = versions.publish_version(spark.range(3), path, 1, "job", "raw")
+    (tmp_path / "set" / "_commits" / "000000000002.json").write_text('{"number": 2, "ver')
+    second = versions.publish_version(spark.range(2), path, 2, "job", "raw", replace_existing=False)
+    assert second.number == 3 and set(versions.commits(spark, path)) == {1, 2}
+    again = versions.publish_version(spark.range(3).repartition(3), path, 5, "job", "raw", replace_existing=False)
+    assert again.digest == first.digest != second.digest
+
+
+def test_the_newest_version_is_read_without_a_job(spark, tmp_path):
+    path = str(tmp_path / "set")
+    for v in (1, 2, 10):
+        versions.publish_version(spark.range(v), path, v, "job", "raw", replace_existing=False)
+    spark.sparkContext.setJobGroup("newest-version", "newest version")
+    assert versions.newest(spark, path).version == 10
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("newest-version")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
