@@ -857,6 +857,52 @@ def deep_page(spark, sf):
     return page.rows.withColumn("total", F.lit(page.total).cast("bigint"))
 
 
+_TEXT_IDS = """SELECT event_id, md5(concat(event_id, ':page')) AS id FROM events"""
+
+
+@query(f"""SELECT id, event_id, total FROM (SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM ({_TEXT_IDS})) ORDER BY id LIMIT 40 OFFSET 7960""")
+def page_text_ids(spark, sf):
+    """A deep page in order of a text id, from the table as it is."""
+    events = table(spark, sf, "events")
+    rows = events.select("event_id", F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":page"))).alias("id"))
+    page = pages.page_of(rows, "id", 200, 40)
+    return page.rows.select("id", "event_id", F.lit(page.total).cast("bigint").alias("total"))
+
+
+@query("""SELECT id, total FROM (SELECT event_id * event_id * 1000003 - 7000000000 AS id, CAST(count(*) OVER () AS BIGINT) AS total FROM events)
+ORDER BY id LIMIT 30 OFFSET 6000""")
+def page_sparse_ids(spark, sf):
+    """A deep page of integer ids with wide gaps."""
+    rows = table(spark, sf, "events").select((F.col("event_id") * F.col("event_id") * 1000003 - 7000000000).alias("id"))
+    page = pages.page_of(rows, "id", 201, 30)
+    return page.rows.select("id", F.lit(page.total).cast("bigint").alias("total"))
+
+
+@query(f"""SELECT id, event_id, total FROM (SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM ({_TEXT_IDS})) ORDER BY id LIMIT 40 OFFSET 7960""")
+def page_stored(spark, sf):
+    """The same page read from a stored table by its page index."""
+    events = table(spark, sf, "events")
+    rows = events.select("event_id", F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":page"))).alias("id"))
+    page = pages.store_pages(rows, "id", fresh_path(spark, "pages"), 3000).page(200, 40)
+    return page.rows.select("id", "event_id", F.lit(page.total).cast("bigint").alias("total"))
+
+
+@query(f"""WITH {sql.review_ctes()}, ok AS (SELECT *, count(*) OVER () AS total FROM whole WHERE error IS NULL ORDER BY review_id LIMIT 20 OFFSET 20)
+SELECT text AS review, overall AS overall_sentiment, round(p1, 6) AS positive_score, round(confidence, 6) AS confidence, CAST(total AS BIGINT) AS total,
+CAST((SELECT count(*) FROM points p WHERE p.review_id = ok.review_id) AS INT) AS n_features FROM ok""")
+def page_from_upload(spark, sf):
+    """An uploaded CSV, scored once and paged twice: the second page, read from the stored scores."""
+    upload, space = fresh_path(spark, "upload") + ".csv", fresh_path(spark, "workspace")
+    writers.write_annotated_csv(reviews(spark, sf).orderBy("review_id").coalesce(1), upload)
+    model = naive_bayes(spark, sf)
+    jobs.score_upload_page(spark, upload, "text", model, 1, space, 1, 20, LEXICON)
+    page = jobs.score_upload_page(spark, upload, "text", model, 1, space, 2, 20, LEXICON)
+    return page.rows.select(
+        "review", "overall_sentiment", r6("positive_score"), r6("confidence"), F.lit(page.total).cast("bigint").alias("total"),
+        F.size("features").alias("n_features"),
+    )
+
+
 @query(f"""WITH {sql.review_ctes()}, ok AS (SELECT *, count(*) OVER () AS total FROM whole WHERE error IS NULL ORDER BY review_id LIMIT 5 OFFSET 10)
 SELECT CAST(max(total) AS BIGINT) AS total, 3 AS page, 5 AS per_page, string_agg(overall, '|' ORDER BY review_id) AS labels FROM ok""")
 def page_json(spark, sf):

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Ids are counted in runs of 2 ** RUN_BITS values; ids are unique, so a run holds at most as many rows.
+# Ids are counted in runs of at least 2 ** RUN_BITS values; ids are unique, so such a run holds at most as many rows.
 RUN_BITS = 16
+#: Most runs that one histogram tells apart.
+RUNS = 1 << 16
+#: A range of at most this many rows is sorted to cut a page out of it.
+RANGE_ROWS = 1 << 16
+#: Ids that are not integers are cut at quantiles of a sample of this many.
+SAMPLE, CUTS = 4096, 64
 
 
 @dataclass(frozen=True)
@@ -22,47 +29,167 @@ class Page:
     per_page: int
 
 
+@dataclass(frozen=True)
+class _Cut:
+    """Where a page lies within a table: bounds of its ids (None: open), rows in them, rows before them, all rows."""
+
+    low: Any
+    high: Any
+    n: int
+    before: int
+    total: int
+
+
 def page_of(df: DataFrame, id_column: str, page: int = 1, per_page: int = 10) -> Page:
-    """Rows ``[(page - 1) * per_page, page * per_page)`` in order of a unique id.
+    """Rows ``[(page - 1) * per_page, page * per_page)`` in order of a unique id of any type that can be ordered.
 
-    A histogram over runs of ids, combined before the shuffle, tells which runs the page
-    touches. Only their id range is read again, as a range filter that reaches the scan, so
-    a page deep in the table costs no more than the first one. A page past the end is empty.
-    Ids that are not integers (text, as read from CSV) are sorted over the cluster instead.
+    Rows are counted per range of ids and only the ranges that the page touches are looked at again, as a range
+    filter that reaches the scan; large ranges are cut again. So a page deep in the table costs no more than the first
+    one, and no task sorts more than a range. A page past the end is empty; a null id comes first.
     """
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page must be positive")
     start, end = (page - 1) * per_page, page * per_page
-    if not isinstance(df.schema[id_column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return Page(df.orderBy(id_column).offset(start).limit(per_page), df.count(), page, per_page)
+    whole = isinstance(df.schema[id_column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    cut = _cut_integers if whole else _cut_sampled
+    part, low, high, before, total, last = df, None, None, 0, None, None
+    while True:
+        found = cut(part, id_column, start - before, end - before)
+        total = found.total if total is None else total
+        if start >= total:
+            return Page(df.limit(0), total, page, per_page)
+        low = found.low if found.low is not None else low
+        high = found.high if found.high is not None else high
+        before += found.before
+        part = df.filter(_within(F.col(id_column), low, high))
+        if found.n <= RANGE_ROWS + per_page or found.n == last:
+            break
+        last = found.n
+    return Page(part.orderBy(id_column).offset(start - before).limit(per_page), total, page, per_page)
+
+
+def _within(value: Column, low: Any, high: Any) -> Column:
+    if low is None:
+        return F.lit(True) if high is None else (value < F.lit(high)) | value.isNull()
+    return value >= F.lit(low) if high is None else (value >= F.lit(low)) & (value < F.lit(high))
+
+
+def _cut_integers(df: DataFrame, id_column: str, start: int, end: int) -> _Cut:
+    """Runs of ids, so wide that there are at most ``RUNS`` of them; a page of p rows touches at most p non-empty runs."""
+    value = F.col(id_column).cast("long")
+    ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    spread = 0 if ends["low"] is None else ends["high"] - ends["low"]
+    bits = max(RUN_BITS, spread.bit_length() - RUNS.bit_length() + 1)
     # A shift, as a division would go through double and lose large ids.
-    run = F.shiftright(F.col(id_column).cast("long"), RUN_BITS)
+    run = F.shiftright(value, bits)
     by_run = Window.orderBy("run")
     runs = df.groupBy(run.alias("run")).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(by_run))
     before = F.col("upto") - F.col("n")
-    # One row. A page of p rows touches at most p non-empty runs.
-    touched = (
-        runs.agg(
-            F.sum("n").alias("total"),
-            F.min(F.when(F.col("upto") > start, F.struct("run", before.alias("before")))).alias("first"),
-            F.max(F.when(before < end, F.col("run"))).alias("last"),
-        )
+    touched = (F.col("upto") > start) & (before < end)
+    # One row.
+    found = runs.agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(touched, F.col("n"))).alias("n"),
+        F.min(F.when(touched, before)).alias("before"),
+        F.min(F.when(touched, F.struct(F.col("run").isNotNull(), "run"))).alias("first"),
+        F.max(F.when(touched, F.col("run"))).alias("last"),
     ).first()
-    total = touched["total"] or 0
-    first = touched["first"]
-    if first is None:
-        return Page(df.limit(0), total, page, per_page)
-    lowest, beyond = first["run"] << RUN_BITS, (touched["last"] + 1) << RUN_BITS
-    within = F.col(id_column) >= lowest
-    if beyond < 1 << 63:
-        within = within & (F.col(id_column) < beyond)
-    rows = (
-        df.filter(within)
-        .orderBy(id_column)
-        .offset(start - first["before"])
-        .limit(per_page)
+    if found["first"] is None:
+        return _Cut(None, None, 0, 0, found["total"] or 0)
+    lowest, last = found["first"]["run"], found["last"]
+    beyond = None if last is None or (last + 1) << bits >= 1 << 63 else (last + 1) << bits
+    low = None if lowest is None else lowest << bits
+    return _Cut(low, beyond if last is not None or low is not None else -(1 << 63), found["n"], found["before"], found["total"])
+
+
+def _cut_sampled(df: DataFrame, id_column: str, start: int, end: int) -> _Cut:
+    """Ranges between quantiles of the ids of smallest hash, with exact counts."""
+    value = F.col(id_column)
+    sample = df.filter(value.isNotNull()).select(id_column).orderBy(F.xxhash64(value), value).limit(SAMPLE)
+    ids = [r[0] for r in sample.orderBy(id_column).collect()]
+    cuts = sorted({i * len(ids) // CUTS for i in range(1, CUTS)} - {0}) if ids else []
+    cuts = [ids[i] for i in cuts]
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)
+    counts = {r["k"]: r["n"] for r in df.groupBy(F.greatest(number, F.lit(0)).alias("k")).agg(F.count("*").alias("n")).collect()}
+    before = n = 0
+    touched: list[int] = []
+    first = None
+    for k in range(len(cuts) + 1):
+        size = counts.get(k, 0)
+        if before + size > start and before < end and size:
+            first = before if first is None else first
+            touched.append(k)
+            n += size
+        before += size
+    if not touched:
+        return _Cut(None, None, 0, 0, before)
+    low = cuts[touched[0] - 1] if touched[0] else None
+    high = cuts[touched[-1]] if touched[-1] < len(cuts) else None
+    return _Cut(low, high, n, first, before)
+
+
+# ---- stored tables with a page index ---------------------------------------------------------
+
+
+ROWS_PER_RANGE = 1_000_000
+PLACE = "_place"
+#: A row's place is its range in the high bits and its rank within the range below them.
+PLACE_BITS = 33
+
+
+@dataclass(frozen=True)
+class PagedTable:
+    """A table stored in id order, with the number of rows of each range: any page is a filter on stored places."""
+
+    spark: SparkSession
+    path: str
+
+    def index(self) -> DataFrame:
+        """(range, n, before): one row for each range."""
+        return self.spark.read.parquet(f"{self.path}/index")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def page(self, page: int = 1, per_page: int = 10) -> Page:
+        """Reads the index and the row groups that hold the page; sorts its rows only."""
+        if page < 1 or per_page < 1:
+            raise ValueError("page and per_page must be positive")
+        start, end = (page - 1) * per_page, page * per_page
+        upto = F.col("before") + F.col("n")
+        touched = (upto > start) & (F.col("before") < end)
+        place = F.shiftleft(F.col("range"), PLACE_BITS)
+        found = self.index().agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+            F.min(F.when(touched, place + F.greatest(F.lit(start) - F.col("before"), F.lit(0)))).alias("low"),
+            F.max(F.when(touched, place + F.least(F.lit(end) - F.col("before"), F.col("n")))).alias("high"),
+        ).first()
+        rows = self.rows()
+        if found["low"] is None:
+            return Page(rows.drop(PLACE).limit(0), found["total"], page, per_page)
+        cut = rows.filter((F.col(PLACE) >= found["low"]) & (F.col(PLACE) < found["high"]))
+        return Page(cut.orderBy(PLACE).drop(PLACE), found["total"], page, per_page)
+
+
+def store_pages(df: DataFrame, id_column: str, path: str, rows_per_range: int = ROWS_PER_RANGE) -> PagedTable:
+    """Store a table in order of an id of any type, with its page index. Repeated and null ids keep a fixed order.
+
+    The ids are dealt to ranges by Spark's range exchange; a row's rank in its sorted range needs no further exchange. The counts are
+    those of the rows written. The index comes last: without it the table does not stand.
+    """
+    spark = df.sparkSession
+    if PLACE in df.columns:
+        raise ValueError(f"The column name {PLACE} is taken.")
+    ranges = max(1, -(-df.count() // rows_per_range))
+    ordered = df.repartitionByRange(ranges, id_column).sortWithinPartitions(id_column)
+    ordered.withColumn(PLACE, F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/rows")
+    counts = (
+        spark.read.parquet(f"{path}/rows").groupBy(F.shiftright(PLACE, PLACE_BITS).alias("range")).agg(F.count("*").alias("n"))
     )
-    return Page(rows, total, page, per_page)
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    index = counts.withColumn("before", F.coalesce(before, F.lit(0)))
+    index.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    return PagedTable(spark, path)
 
 
 def page_count(total: Column, per_page: int) -> Column:

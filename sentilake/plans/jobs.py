@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import hashlib
+import json
+import uuid
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from sentilake.operators.checks import classes_of, require_columns, require_rows
 from sentilake.operators.cleaning import clean_reviews
 from sentilake.operators.features import TfidfModel, fit_tfidf, tfidf_long
 from sentilake.operators.models import LinearTextModel
-from sentilake.operators.pages import Page, page_of
+from sentilake.operators.pages import Page, PagedTable, page_of, store_pages
 from sentilake.operators.results import ANNOTATION_COLUMNS, annotation_columns, result_rows
 from sentilake.operators.scoring import row_error, score_reviews
 from sentilake.operators.splitting import assign_split
@@ -155,6 +158,56 @@ def score_page(
     return replace(cut, rows=result_rows(scored, cfg.id_column))
 
 
+def score_upload(
+    spark: SparkSession,
+    path: str,
+    text_column: str,
+    model: LinearTextModel,
+    model_version: int | str,
+    workspace: str,
+    lexicon: Lexicon = Lexicon(),
+    cfg: CleanConfig = CleanConfig(),
+    multi_line: bool = True,
+) -> PagedTable:
+    """A caller's CSV scored once and stored for paging, in the order of the file; rows that cannot be scored are left out.
+
+    The stored table is found again by the digest of the rows, the model's version and the digest of lexicon and
+    settings, so further pages and repeated uploads score nothing. A fill that fails leaves nothing behind that a reader would find.
+    """
+    named = replace(cfg, text_column=text_column, id_column="_row_id")
+    upload = readers.read_upload(spark, path, text_column, multi_line)
+    numbered = readers.number_rows(upload, "_row_id")
+    cells = F.xxhash64(*[F.col(f"`{c}`") for c in numbered.columns])
+    seen = numbered.agg(F.count("*"), F.sum(cells.cast("decimal(38,0)")), F.bit_xor(cells)).first()
+    asked = json.dumps([*map(str, seen), text_column, str(model_version), asdict(lexicon), asdict(named)], sort_keys=True, default=str)
+    key = hashlib.sha256(asked.encode()).hexdigest()
+    home = f"{workspace}/pages/{key}"
+    stored = versions.commits(spark, home)
+    if stored:
+        return PagedTable(spark, stored[max(stored)].folder)
+    folder = f"{home}/attempt={uuid.uuid4().hex}"
+    scored = score_reviews(numbered.select("_row_id", text_column), model, lexicon, named, words=False)
+    table = store_pages(result_rows(scored, "_row_id"), "_row_id", folder)
+    versions.commit_folder(spark, home, 1, folder, table.page(1, 1).total, key, "score_upload", path)
+    return table
+
+
+def score_upload_page(
+    spark: SparkSession,
+    path: str,
+    text_column: str,
+    model: LinearTextModel,
+    model_version: int | str,
+    workspace: str,
+    page: int = 1,
+    per_page: int = 10,
+    lexicon: Lexicon = Lexicon(),
+    cfg: CleanConfig = CleanConfig(),
+) -> Page:
+    """One page of a scored upload; the first page of an upload scores it, all others read."""
+    return score_upload(spark, path, text_column, model, model_version, workspace, lexicon, cfg).page(page, per_page)
+
+
 def annotate(
     df: DataFrame,
     model: LinearTextModel,

@@ -112,10 +112,24 @@ def publish_version(
     stamped = observed.withColumns({"source_job": F.lit(source), "original_path": F.lit(original_path)})
     stamped.write.parquet(folder)
     found = seen.get
-    record = Commit(
-        0, int(version), folder, int(found["rows"]), str(found["digest"]), source, original_path, replace_existing
+    return commit_folder(
+        spark, path, int(version), folder, int(found["rows"]), str(found["digest"]), source, original_path, replace_existing
     )
-    record = _append(spark, path, record)
+
+
+def commit_folder(
+    spark: SparkSession,
+    path: str,
+    version: int,
+    folder: str,
+    rows: int,
+    digest: str,
+    source: str,
+    original_path: str,
+    replace_existing: bool = True,
+) -> Commit:
+    """Make a folder that is written in full the one that readers of this version find."""
+    record = _append(spark, path, Commit(0, version, folder, rows, digest, source, original_path, replace_existing))
     remove_replaced(spark, path)
     return record
 

@@ -108,6 +108,55 @@ def test_pages_cover_the_table(spark, ids):
         pages.page_of(df, "review_id", 0, size)
 
 
+def test_pages_of_ids_of_other_types_and_of_sparse_ids(spark, monkeypatch):
+    """Small ranges, so that they are cut again and again."""
+    import datetime
+    import decimal
+
+    monkeypatch.setattr(pages, "RANGE_ROWS", 8)
+    monkeypatch.setattr(pages, "SAMPLE", 16)
+    monkeypatch.setattr(pages, "CUTS", 4)
+    monkeypatch.setattr(pages, "RUNS", 4)
+    day = datetime.date(2020, 1, 1)
+    kinds = {
+        "string": [f"é{n * 7919 % 1000:04d}" if n % 3 else f"z{n}" for n in range(150)],
+        "date": [day + datetime.timedelta(days=n * n) for n in range(120)],
+        "decimal(20,2)": [decimal.Decimal(n * 37 - 900) / 4 for n in range(130)],
+        "double": [n / 7 - 3 for n in range(110)],
+        "long": [n * n * n * 10**12 - 10**18 for n in range(140)],
+    }
+    for kind, ids in kinds.items():
+        ids = [*ids, None]
+        df = spark.createDataFrame([(i, n) for n, i in enumerate(reversed(ids))], f"review_id {kind}, n int").repartition(3)
+        want = [r.review_id for r in df.orderBy("review_id").collect()]
+        for page, size in ((1, 7), (2, 7), (12, 9), (3, 40), (1, 500), (99, 5), (len(ids), 1)):
+            got = pages.page_of(df, "review_id", page, size)
+            assert got.total == len(ids)
+            assert [r.review_id for r in got.rows.collect()] == want[(page - 1) * size : page * size], (kind, page, size)
+
+
+def test_stored_pages(spark, tmp_path):
+    ids = [f"r{n * 7919 % 1000:04d}" for n in range(1000)] + [None, "r0007"]
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "review_id string, n int").repartition(5)
+    stored = pages.store_pages(df, "review_id", str(tmp_path / "pages"), rows_per_range=90)
+    assert stored.index().count() > 5
+    want = [r.review_id for r in df.orderBy("review_id").collect()]
+    for page, size in ((1, 10), (50, 10), (3, 250), (1, 5000), (101, 10), (102, 10), (1002, 1)):
+        got = stored.page(page, size)
+        assert got.total == 1002 and got.rows.columns == ["review_id", "n"]
+        assert [r.review_id for r in got.rows.collect()] == want[(page - 1) * size : page * size]
+    plan = stored.page(50, 10).rows._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GreaterThanOrEqual(_place" in plan
+    again = pages.PagedTable(spark, str(tmp_path / "pages"))
+    assert {r.n for r in again.page(1, 5000).rows.collect()} == set(range(1002))
+    empty = pages.store_pages(df.limit(0), "review_id", str(tmp_path / "none")).page()
+    assert empty.total == 0 and empty.rows.count() == 0
+    with pytest.raises(ValueError):
+        stored.page(0)
+    with pytest.raises(ValueError, match="taken"):
+        pages.store_pages(df.withColumn("_place", F.lit(1)), "review_id", str(tmp_path / "x"))
+
+
 def test_page_filter_reaches_the_scan(spark):
     page = pages.page_of(spark.read.parquet(f"{SF}/events.parquet"), "event_id", 2, 10)
     plan = page.rows._jdf.queryExecution().executedPlan().toString()
