@@ -19,7 +19,7 @@ SHINGLE = 3
 BUCKET = 32
 BLOCK = 256
 BYTES = 8
-CHUNK = 1 << 19
+CHUNK = 1 << 15
 
 #: Near copies: shingles of five words, sets that agree to 0.8, 64 positional bytes of which 36 must be shared
 #: (51 are expected at a similarity of 0.8, give or take 3.2).
