@@ -52,11 +52,11 @@ class Encoder:
     other spaces, or a tokenizer of another kind, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int | None, width: int | None = None):
+    def __init__(self, path: str, end_id: int | None, width: int | None = None, definition: str | None = None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path) if definition is None else Tokenizer.from_str(definition)
         most = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.width = width or (2 if most < 1 << 16 else 4)
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
@@ -128,27 +128,29 @@ class Encoder:
         return first + b"".join(map(cache.__getitem__, rest)) + self.tail
 
 
-def encoder_of(path: str, end_id: int | None, width: int | None = None) -> Encoder:
+def encoder_of(digest: str, definition: str, end_id: int | None, width: int | None = None) -> Encoder:
     """One encoder for all tasks of a worker process, so that its cache stays warm."""
     held = vars(sys.modules.setdefault("_sentilake_worker", types.ModuleType("_sentilake_worker")))
-    key = f"{path}|{end_id}|{width}"
+    key = f"{digest}|{end_id}|{width}"
     if key not in held:
-        held[key] = Encoder(path, end_id, width)
+        held[key] = Encoder("", end_id, width, definition)
     return held[key]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, id_column: str, text_column: str) -> bytes:
-    """A dictionary trained on the id arrays of a bounded sample of documents in hash order, by one task."""
-    text = F.col(text_column)
-    sample = (
-        docs.filter(F.octet_length(text).between(1, SAMPLE_BYTES))
-        .select(text.alias("text"))
-        .orderBy(F.xxhash64(id_column), text)
-        .limit(SAMPLE_DOCS)
-    )
+def train_dictionary(docs: DataFrame, definition: str, end_id: int | None, id_column: str, text_column: str) -> bytes:
+    """A dictionary trained on the id arrays of a bounded sample of documents in hash order, by one task.
+
+    The cut of the sample is found on hashes alone, so no more texts than the sample's reach that task.
+    """
+    text, key = F.col(text_column), F.xxhash64(id_column, text_column)
+    fit = docs.filter(F.octet_length(text).between(1, SAMPLE_BYTES))
+    cut = fit.select(key.alias("k")).orderBy("k").limit(SAMPLE_DOCS).agg(F.max("k")).first()[0]
+    if cut is None:
+        return b""
+    sample = fit.filter(key <= cut).select(key.alias("k"), text.alias("text")).orderBy("k", "text").limit(SAMPLE_DOCS).select("text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = Encoder("", end_id, None, definition)
         arrays = [encoder.encode(t) for b in batches for t in b.column("text").to_pylist()]
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, arrays, k=200, d=8).as_bytes()
@@ -184,11 +186,16 @@ def write_token_files(
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    dictionary = train_dictionary(rows, tokenizer, end_id, "doc_id", "text")
+    # The definition travels with the tasks: executors need not see the driver's files.
+    with open(tokenizer, encoding="utf-8") as file:
+        definition = file.read()
+    named = hashlib.sha256(definition.encode()).hexdigest()
+    sent = spark.sparkContext.broadcast(definition)
+    dictionary = train_dictionary(rows, definition, end_id, "doc_id", "text")
     digest = hashlib.sha256(dictionary).digest()
     system, inner = file_system(path)
     system.create_dir(inner + "/files", recursive=True)
-    width = Encoder(tokenizer, end_id).width
+    width = Encoder(tokenizer, end_id, None, definition).width
     spark.createDataFrame(
         [(digest.hex(), bytearray(dictionary), width)], "hash string, dictionary binary, width int"
     ).coalesce(1).write.parquet(f"{path}/dictionary")
@@ -199,7 +206,7 @@ def write_token_files(
         encoder, compressor, out, offset, total = None, None, None, 0, 0
         for batch in batches:
             if out is None:
-                encoder = encoder_of(tokenizer, end_id, width)
+                encoder = encoder_of(named, sent.value, end_id, width)
                 compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
                 system, inner = file_system(name)
                 out = system.open_output_stream(inner, compression=None)
