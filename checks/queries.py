@@ -755,6 +755,35 @@ def scored_reviews(spark, sf):
     )
 
 
+# Every word on -ing has its stem for lemma, all others themselves; the model keeps the lemmas it was fitted with.
+_ING_RULE = "CASE WHEN right(t, 3) = 'ing' AND length(t) > 5 THEN left(t, length(t) - 3) ELSE t END"
+
+
+def _with_ing(statement: str) -> str:
+    return statement.replace(sql.lemma("t"), _ING_RULE)
+
+
+def _ing_table(rows):
+    """(token, lemma) of all words on -ing, as a table that grows with the texts."""
+    tokens = rows.select(F.explode(text.raw_tokens(F.col("text"))).alias("token")).distinct()
+    long = tokens.filter(F.col("token").endswith("ing") & (F.length("token") > 5))
+    return long.select("token", F.expr("left(token, length(token) - 3)").alias("lemma"))
+
+
+@query(f"""WITH {sql.corpus_ctes()}{_with_ing(sql.review_ctes()[len(sql.corpus_ctes()):])}
+SELECT w.review_id, CASE WHEN error IS NULL THEN array_to_string(w.toks, ' ') ELSE '' END AS cleaned_text, round(p1, 6) AS positive_score, pos,
+feature, sentiment, round(positive, 6) AS positive FROM whole w JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY review_id ORDER BY unit) - 1 AS INT) AS pos FROM points)
+USING (review_id) WHERE w.error IS NULL""")
+def scored_with_lemmas(spark, sf):
+    """Reviews scored with a lemma table: whole text, clauses and rules all use it."""
+    rows = reviews(spark, sf)
+    scored = scoring.score_reviews(rows, naive_bayes(spark, sf), LEXICON, REVIEW_CLEAN, words=False, lemma_table=_ing_table(rows))
+    points = scored.select("review_id", "cleaned_text", r6("positive_score"), F.posexplode("main_feature_points").alias("pos", "p"))
+    return points.select(
+        "review_id", "cleaned_text", "positive_score", "pos", "p.feature", "p.sentiment", r6("p.scores.positive", "positive")
+    )
+
+
 @query(f"""WITH {sql.review_ctes()}
 SELECT p.review_id, CAST(row_number() OVER (PARTITION BY p.review_id ORDER BY p.unit) - 1 AS INT) AS pos, feature, sentiment, evidence,
 round(positive, 6) AS positive, round(negative, 6) AS negative FROM points p JOIN whole w USING (review_id) WHERE w.error IS NULL""")
@@ -979,6 +1008,20 @@ def stream_score(spark, sf):
     return spark.read.parquet(out).select("doc_id", "predicted_label", r6("positive_score"))
 
 
+@query(f"""WITH {sql.corpus_ctes()}, {_with_ing(_DOC_UNITS)}, {_with_ing(sql.score_ctes('doc_id', 'docs', 's'))}
+SELECT doc_id, CASE WHEN len(toks) > 0 THEN label ELSE '' END AS predicted_label, CAST(len(toks) AS INT) AS token_count,
+CASE WHEN len(toks) > 0 THEN round(p1, 6) END AS positive_score FROM s""")
+def stream_with_lemmas(spark, sf):
+    """A stream scored with a lemma table."""
+    out = fresh_path(spark, "stream-lemmas")
+    rows = _document_stream(spark, sf).select("doc_id", "text")
+    lemmas = _ing_table(documents(spark, sf))
+    streams.score_stream(
+        rows, naive_bayes(spark, sf), out, f"{out}-checkpoint", LEXICON, DOC_CLEAN, lemma_table=lemmas
+    ).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "predicted_label", "token_count", r6("positive_score"))
+
+
 @query("SELECT DISTINCT md5(text) AS digest FROM documents")
 def stream_dedup(spark, sf):
     out = fresh_path(spark, "stream-dedup")

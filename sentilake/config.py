@@ -24,6 +24,8 @@ class CleanConfig:
     lemmatize: bool = True
     min_token_length: int = 2
     stop_words: tuple[str, ...] = words.STOP_WORDS
+    # Column that maps a row's tokens to lemmas (``operators.lemmas.with_lemmas``); without it the default rule holds.
+    lemma_map: str | None = None
 
     drop_empty_rows: bool = True
     deduplicate_on_text: bool = False

@@ -89,7 +89,7 @@ def clean_tokens(col: Column, cfg: CleanConfig = DEFAULT) -> Column:
     """Cleaned tokens: stop words out, then lemma, then the length test, in that order."""
     tokens = raw_tokens(col, cfg)
     if cfg.lemmatize:
-        tokens = lists.change(tokens, lemma())
+        tokens = lists.change(tokens, lemma() if cfg.lemma_map is None else f"coalesce(try_element_at(`{cfg.lemma_map}`, t), t)")
     return lists.keep(tokens, f"length(t) >= {int(cfg.min_token_length)}")
 
 

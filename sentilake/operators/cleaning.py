@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentilake.config import CleanConfig
 from sentilake.functions import text
 from sentilake.operators.checks import require_columns
+from sentilake.operators.lemmas import LEMMAS, with_lemmas
 
 
 def clean_reviews(df: DataFrame, cfg: CleanConfig = CleanConfig(), lemma_table: DataFrame | None = None) -> DataFrame:
@@ -20,7 +21,8 @@ def clean_reviews(df: DataFrame, cfg: CleanConfig = CleanConfig(), lemma_table:
     if cfg.deduplicate_on_text:
         raw = first_per_text(raw, cfg.text_column, cfg.id_column)
     if lemma_table is not None:
-        cleaned = _clean_with_table(raw, cfg, lemma_table)
+        raw, mapped = with_lemmas(raw, lemma_table, cfg)
+        cleaned = raw.withColumn(cfg.output_column, text.clean_text(F.col(cfg.text_column), mapped)).drop(LEMMAS)
         return cleaned.filter(F.col(cfg.output_column) != "") if cfg.drop_empty_rows else cleaned
     clean = text.clean_text(F.col(cfg.text_column), cfg)
     if not cfg.drop_empty_rows:
@@ -71,18 +73,3 @@ def lemmatize_with_table(
 def remove_stop_words(tokens: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Relational stop-word removal: anti join on ``token``, repeats of other tokens kept."""
     return tokens.join(stop_words.select("token").distinct(), "token", "left_anti")
-
-
-def _clean_with_table(df: DataFrame, cfg: CleanConfig, lemma_table: DataFrame) -> DataFrame:
-    require_columns(df, [cfg.id_column])
-    tokens = df.select(
-        cfg.id_column, F.posexplode(text.raw_tokens(F.col(cfg.text_column), cfg)).alias("pos", "token")
-    )
-    lemmas = lemmatize_with_table(tokens, lemma_table, cfg.id_column, cfg.min_token_length)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    joined = lemmas.groupBy(cfg.id_column).agg(
-        F.array_join(F.transform(ordered, lambda t: t["token"]), " ").alias(cfg.output_column)
-    )
-    return df.join(joined, cfg.id_column, "left").withColumn(
-        cfg.output_column, F.coalesce(cfg.output_column, F.lit(""))
-    )

@@ -17,6 +17,7 @@ from sentilake.config import CleanConfig
 from sentilake.functions import aspects, rules, text
 from sentilake.functions.lexicon import Lexicon
 from sentilake.operators.checks import require_columns
+from sentilake.operators.lemmas import with_lemmas
 from sentilake.operators.models import LinearTextModel, score_units, word_sentiments
 
 # --- fixed values: messages of rows that cannot be scored ---
@@ -37,7 +38,8 @@ def row_error(raw: Column, tokens: Column) -> Column:
 def pair_units(pairs: DataFrame, cfg: CleanConfig, lexicon: Lexicon, key: str) -> DataFrame:
     """(key, pair_units): aspect-opinion pairs of a review as scoring units, in text order."""
     context = F.when(F.col("opinion") != "", F.col("opinion")).otherwise(F.col("aspect"))
-    rows = pairs.select(key, "pos", "aspect", context.alias("context")).withColumn(
+    own = [cfg.lemma_map] if cfg.lemma_map else []
+    rows = pairs.select(key, "pos", "aspect", context.alias("context"), *own).withColumn(
         "cleaned", text.clean_tokens(F.col("context"), cfg)
     )
     rows = rows.withColumn("tokens", F.when(F.size("cleaned") > 0, F.col("cleaned")).otherwise(F.array("aspect")))
@@ -79,6 +81,7 @@ def review_units(
         known_id.alias(key),
         text.as_text(F.col(cfg.text_column)).alias("input_text"),
         *([F.struct(*carry).alias("carried")] if carry else []),
+        *([cfg.lemma_map] if cfg.lemma_map else []),
     )
     rows = rows.filter(F.col(key).isNotNull())
     rows = rows.withColumn("tokens", text.clean_tokens(F.col("input_text"), cfg))
@@ -86,6 +89,9 @@ def review_units(
     if cfg.remove_non_alpha:
         units = F.when(_no_clause_can_have_a_cue(lexicon), F.array().cast(UNIT_TYPE)).otherwise(units)
     if pairs is not None:
+        if cfg.lemma_map:
+            # An opinion's words may not stand in the text as they are: it is looked up in the review's map.
+            pairs = pairs.join(rows.select(key, cfg.lemma_map), key)
         rows = rows.join(pair_units(pairs, cfg, lexicon, key), key, "left")
         units = F.when(F.col("pair_units").isNotNull(), F.col("pair_units")).otherwise(units)
     kept = ["carried"] if carry else []
@@ -112,13 +118,17 @@ def score_reviews(
     pairs: DataFrame | None = None,
     words: bool = True,
     carry: Sequence[str] = (),
+    lemma_table: DataFrame | None = None,
 ) -> DataFrame:
     """The full observation record of every review; rows that cannot be scored carry ``error``.
 
-    Ids must be unique; an id that repeats stops the job, as its reviews could not be told apart. ``words=False`` leaves out the per-word list. ``carry`` names input
-    columns that travel along in the struct ``carried``.
+    Ids must be unique; an id that repeats stops the job, as its reviews could not be told apart. ``words=False`` leaves out
+    the per-word list. ``carry`` names input columns that travel along in the struct ``carried``. ``lemma_table`` (token,
+    lemma) takes the place of the default lemmas in review, clauses and words; use the one that the model was trained with.
     """
     key = cfg.id_column
+    if lemma_table is not None:
+        df, cfg = with_lemmas(df, lemma_table, cfg)
     base = review_units(df, cfg, lexicon, pairs, carry)
     # Unit 0 is the review itself.
     every_unit = F.concat(

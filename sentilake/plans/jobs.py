@@ -214,6 +214,7 @@ def annotate(
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
     pairs: DataFrame | None = None,
+    lemma_table: DataFrame | None = None,
 ) -> DataFrame:
     """All rows and columns of the caller's table plus five result columns.
 
@@ -222,7 +223,7 @@ def annotate(
     clash = sorted(set(df.columns) & set(ANNOTATION_COLUMNS))
     if clash:
         raise ValueError(f"Input columns collide with result columns: {clash}")
-    scored = score_reviews(df, model, lexicon, cfg, pairs, words=False, carry=df.columns)
+    scored = score_reviews(df, model, lexicon, cfg, pairs, words=False, carry=df.columns, lemma_table=lemma_table)
     return scored.select("carried.*", *annotation_columns())
 
 

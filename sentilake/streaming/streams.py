@@ -108,11 +108,12 @@ def score_stream(
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
     words: bool = False,
+    lemma_table: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Score arriving reviews with the batch scorer; ``words`` adds the per-word list."""
+    """Score arriving reviews with the batch scorer; ``words`` adds the per-word list, ``lemma_table`` replaces the default lemmas."""
     return write_batches(
         reviews,
-        lambda batch, _: score_reviews(batch, model, lexicon, cfg, words=words),
+        lambda batch, _: score_reviews(batch, model, lexicon, cfg, words=words, lemma_table=lemma_table),
         out_path,
         checkpoint,
     )
@@ -126,12 +127,13 @@ def score_stream_newest(
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
     words: bool = False,
+    lemma_table: DataFrame | None = None,
 ) -> StreamingQuery:
     """Like :func:`score_stream`, but every micro-batch uses the newest registered model."""
 
     def score(batch: DataFrame, _: int) -> DataFrame:
         version, model = newest_model(batch.sparkSession, workspace)
-        scored = score_reviews(batch, model, lexicon, cfg, words=words)
+        scored = score_reviews(batch, model, lexicon, cfg, words=words, lemma_table=lemma_table)
         return scored.withColumn("model_version", F.lit(version))
 
     return write_batches(reviews, score, out_path, checkpoint)
