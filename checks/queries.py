@@ -213,13 +213,17 @@ def publish_revisions(spark, sf):
 
 
 @query(f"""WITH r AS ({fixtures.REVIEWS})
-SELECT CAST(review_id AS VARCHAR) AS review_id, array_to_string({sql.tokens('text')}, ' ') AS text_clean
+SELECT CAST(review_id AS BIGINT) AS review_id, CAST(review_id AS DOUBLE) / 8 AS weight, review_id % 3 = 0 AS kept,
+CASE WHEN review_id % 5 > 0 THEN review_id END AS sparse, 'n' || review_id AS code, array_to_string({sql.tokens('text')}, ' ') AS text_clean
 FROM r WHERE len({sql.tokens('text')}) > 0""")
 def csv_to_cleaned(spark, sf):
+    """Raw CSV to cleaned Parquet; numbers and truth values keep their types."""
     raw_path, out = fresh_path(spark, "raw") + ".csv", fresh_path(spark, "cleaned")
-    reviews(spark, sf).withColumn("sentiment", F.lit("positive")).write.option("header", True).option("escape", '"').csv(raw_path)
+    n = F.col("review_id")
+    more = {"sentiment": F.lit("positive"), "weight": n / 8, "kept": n % 3 == 0, "sparse": F.when(n % 5 > 0, n), "code": F.concat(F.lit("n"), n)}
+    reviews(spark, sf).withColumns(more).write.option("header", True).option("escape", '"').csv(raw_path)
     jobs.clean_csv(spark, raw_path, out, REVIEW_CLEAN)
-    return readers.read_cleaned(spark, out).select("review_id", "text_clean")
+    return readers.read_cleaned(spark, out).select("review_id", "weight", "kept", "sparse", "code", "text_clean")
 
 
 _NEW_TEXT = "(text || ' good camera.')"
@@ -1035,7 +1039,22 @@ def stream_dedup(spark, sf):
 def stream_counts(spark, sf):
     out = fresh_path(spark, "stream-counts")
     streams.running_counts(_document_stream(spark, sf), "source", out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).select("source", "n")
+    return streams.read_counts(spark, out, "source")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def stream_counts_batches(spark, sf):
+    """The same counts over many micro-batches with snapshots between, and a last batch that is run twice."""
+    files, out = fresh_path(spark, "files"), fresh_path(spark, "stream-counts")
+    docs = table(spark, sf, "documents")
+    docs.select("doc_id", "source").repartition(7).write.parquet(files)
+
+    arriving = streams.read_files(spark, files, docs.select("doc_id", "source").schema, max_files_per_trigger=1)
+    streams.running_counts(arriving, "source", out, f"{out}-checkpoint", 3).awaitTermination()
+    changes = [c for c in versions.commits(spark, out).values() if c.source_job == "changes"]
+    newest = max(changes, key=lambda c: c.version)
+    versions.append_record(spark, out, newest.version, newest.folder, "changes")
+    return streams.read_counts(spark, out, "source")
 
 
 @query(f"""WITH {sql.corpus_ctes()}, {_DOC_UNITS}, {sql.score_ctes('doc_id', 'docs', 's')}

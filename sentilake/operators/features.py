@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,12 +125,12 @@ def tfidf_long(df: DataFrame, model: TfidfModel, *carry: str) -> DataFrame:
 def vector_pipeline(model: TfidfModel, terms_column: str = "terms", output: str = "features") -> PipelineModel:
     """The fitted TF-IDF as ``pyspark.ml`` stages over an array-of-terms column.
 
-    The vocabulary is capped by ``max_features``, so it may pass through the driver.
+    The vocabulary is capped by ``max_features``, so it may pass through the driver up to ``BROADCAST_TERMS``.
     """
     if (terms_column, output) in model.stages:
         return model.stages[terms_column, output]
     if model.cfg.max_features > BROADCAST_TERMS:
-        raise ValueError(f"max_features above {BROADCAST_TERMS} is not supported for vectors")
+        raise ValueError(f"A vocabulary of over {BROADCAST_TERMS} terms has no stages; vectorize() joins it instead.")
     rows = model.vocabulary.orderBy("idx").select("term", "idf").collect()
     if not rows:
         raise ValueError("The vocabulary is empty after the document-frequency cuts.")
@@ -148,6 +148,32 @@ def with_terms(df: DataFrame, cfg: FeatureConfig, output: str = "terms") -> Data
 
 
 def vectorize(df: DataFrame, model: TfidfModel, output: str = "features") -> DataFrame:
-    """Adds the TF-IDF vector column; map-only."""
+    """Adds the TF-IDF vector column. Map-only up to ``BROADCAST_TERMS`` terms, beyond it ``vectorize_joined``."""
+    if model.cfg.max_features > BROADCAST_TERMS:
+        return vectorize_joined(df, model, output)
     stages = vector_pipeline(model, "_terms", output)
     return stages.transform(with_terms(df, model.cfg, "_terms")).drop("_terms", "_tf", "_tfidf")
+
+
+def vectorize_joined(df: DataFrame, model: TfidfModel, output: str = "features") -> DataFrame:
+    """Adds the TF-IDF vector column for a vocabulary of any size.
+
+    Terms meet the vocabulary in a join, and each document's entries, at most as many as it has terms, are put together
+    by its id, which must be unique. A document without a known term has the zero vector.
+    """
+    key = model.cfg.id_column
+    if output in df.columns:
+        raise ValueError(f"The column {output} is there already.")
+    size = model.vocabulary.count()
+    if not size:
+        raise ValueError("The vocabulary is empty after the document-frequency cuts.")
+    entries = (
+        tfidf_long(df, model).groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("idx", "tfidf"))).alias("_entries"))
+    )
+
+    def sparse(idx: list[int] | None, values: list[float] | None) -> SparseVector:
+        return SparseVector(size, idx or [], values or [])
+
+    made = F.udf(sparse, VectorUDT())(F.col("_entries.idx"), F.col("_entries.tfidf"))
+    return df.join(entries, key, "left").withColumn(output, made).drop("_entries")

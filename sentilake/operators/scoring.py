@@ -251,11 +251,15 @@ def _observations(joined: DataFrame, model: LinearTextModel, lexicon: Lexicon, k
 
 
 def last_per_feature(points: Column) -> Column:
-    """Of points naming the same feature only the last one; the map form of the list."""
+    """Of points naming the same feature only the last one, in their order; the map form of the list.
 
-    def keep_last(acc: Column, p: Column) -> Column:
-        others = F.filter(acc, lambda q: q["feature"] != p["feature"])
-        return F.concat(others, F.array(p))
-
-    empty = F.filter(points, lambda p: F.lit(False))
-    return F.aggregate(points, empty, keep_last)
+    One sort by (feature, place): a point is the last of its feature where the next one has another. No point is compared with all
+    others, so a review of many clauses costs no square.
+    """
+    placed = F.transform(points, lambda p, i: F.struct(p["feature"].alias("feature"), i.alias("at"), p.alias("p")))
+    ordered = F.array_sort(placed)
+    # zip_with evaluates each side once; an index into the sorted array inside a lambda would sort it for each element.
+    with_next = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y["feature"].alias("next")))
+    last = F.filter(with_next, lambda z: z["x"].isNotNull() & (z["next"].isNull() | (z["next"] != z["x"]["feature"])))
+    in_order = F.array_sort(F.transform(last, lambda z: F.struct(z["x"]["at"].alias("at"), z["x"]["p"].alias("p"))))
+    return F.transform(in_order, lambda z: z["p"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,16 @@ class Trained:
     report: DataFrame
 
 
-def clean_csv(spark: SparkSession, raw_path: str, out_path: str, cfg: CleanConfig = CleanConfig()) -> str:
-    """Raw CSV to cleaned Parquet."""
-    raw = readers.read_raw_csv(spark, raw_path, cfg)
+def clean_csv(
+    spark: SparkSession,
+    raw_path: str,
+    out_path: str,
+    cfg: CleanConfig = CleanConfig(),
+    multi_line: bool = True,
+    types: Mapping[str, str] | None = None,
+) -> str:
+    """Raw CSV to cleaned Parquet. Line mode and types are those of ``read_raw_csv``."""
+    raw = readers.read_raw_csv(spark, raw_path, cfg, multi_line=multi_line, types=types)
     if cfg.deduplicate_on_text and cfg.id_column not in raw.columns:
         raw = readers.number_rows(raw, cfg.id_column)
     return writers.write_cleaned(clean_reviews(raw, cfg), out_path)
@@ -236,13 +244,15 @@ def annotate_csv(
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
     keep_order: bool = True,
+    multi_line: bool = True,
+    lemma_table: DataFrame | None = None,
 ) -> str:
     """A caller's CSV in, the annotated CSV out, by default in the order of the input.
 
     The order is kept across part files by a range sort on the row id, never by one task.
     """
     named = replace(cfg, text_column=text_column, id_column="_row_id")
-    numbered = readers.number_rows(readers.read_upload(spark, path, text_column), "_row_id")
-    rows = annotate(numbered, model, lexicon, named)
+    numbered = readers.number_rows(readers.read_upload(spark, path, text_column, multi_line), "_row_id")
+    rows = annotate(numbered, model, lexicon, named, lemma_table=lemma_table)
     ordered = rows.orderBy("_row_id") if keep_order else rows
     return writers.write_annotated_csv(ordered.drop("_row_id"), out_path)

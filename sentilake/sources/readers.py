@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,52 @@ from sentilake.config import CleanConfig
 from sentilake.operators.checks import require_columns, require_rows
 
 
+# --- fixed values: what a number, a truth value and a missing cell look like ---
+INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{1,3})?\s*$"
+TRUTH = ("True", "False", "TRUE", "FALSE", "true", "false")
+MISSING = ("", "#N/A", "N/A", "NA", "n/a", "NaN", "nan", "-nan", "-NaN", "NULL", "null", "None", "<NA>")
+
+
+def cell_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The narrowest type that holds every cell of a text column: boolean, bigint, double or string.
+
+    One pass: each column reports which types have held for all cells so far, and partial reports are combined by and.
+    Missing cells fit any type; a column without any other cell stays text.
+    """
+    if not columns:
+        return {}
+    reports = []
+    for n, name in enumerate(columns):
+        cell = F.col(f"`{name}`")
+        present = cell.isNotNull() & ~cell.isin(*MISSING)
+        tests = {"seen": F.max(present), "truth": cell.isin(*TRUTH), "whole": cell.rlike(INTEGER), "number": cell.rlike(NUMBER)}
+        for kind, test in tests.items():
+            found = test if kind == "seen" else F.min(F.when(present, test))
+            reports.append(found.alias(f"{kind}{n}"))
+    row = df.agg(*reports).first()
+
+    def kind(n: int) -> str:
+        if not row[f"seen{n}"]:
+            return "string"
+        for test, name in (("truth", "boolean"), ("whole", "bigint"), ("number", "double")):
+            if row[f"{test}{n}"]:
+                return name
+        return "string"
+
+    return {name: kind(n) for n, name in enumerate(columns)}
+
+
+def with_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Text cells cast to the types found; missing cells of a typed column become null."""
+    typed = {}
+    for name, kind in types.items():
+        if kind != "string":
+            cell = F.col(f"`{name}`")
+            typed[name] = F.when(~cell.isin(*MISSING), F.trim(cell).cast(kind))
+    return df.withColumns(typed) if typed else df
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Give every core work when a small source has fewer splits than there are cores.
 
@@ -32,16 +78,20 @@ def read_raw_csv(
     cfg: CleanConfig = CleanConfig(),
     require_non_empty: bool = True,
     multi_line: bool = True,
+    types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Raw reviews from CSV with header. Required columns are checked before any job.
 
-    Column names come from the header; all columns are read as text and further columns
-    are kept. Quoted line breaks need ``multi_line``, with which a file is read by one task;
-    pass False for large files without them, so that they are split.
+    Column names come from the header. Text and label stay text; the types of further columns are inferred from all their
+    cells in one pass, or are those given in ``types`` (an empty mapping leaves text). Quoted line breaks need ``multi_line``, with
+    which a file is read by one task; pass False for large files without them, so that they are split.
     """
     df = _csv(spark, path, multi_line)
     require_columns(df, [cfg.text_column, cfg.label_column])
-    return require_rows(df) if require_non_empty else df
+    df = require_rows(df) if require_non_empty else df
+    if types is None:
+        types = cell_types(df, [c for c in df.columns if c not in (cfg.text_column, cfg.label_column)])
+    return with_types(df, types)
 
 
 def read_upload(spark: SparkSession, path: str, text_column: str, multi_line: bool = True) -> DataFrame:

@@ -139,8 +139,17 @@ def remove_replaced(spark: SparkSession, path: str) -> None:
     standing = {c.folder for c in commits(spark, path).values()}
     for record in _log(spark, path):
         if record.folder not in standing:
-            target, files = _files(spark, record.folder)
-            files.delete(target, True)
+            remove_folder(spark, record.folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    target, files = _files(spark, folder)
+    files.delete(target, True)
+
+
+def append_record(spark: SparkSession, path: str, version: int, folder: str, source: str) -> Commit:
+    """Commit a folder beside all others, and remove nothing."""
+    return _append(spark, path, Commit(0, version, folder, -1, "", source, "", False))
 
 
 def read_versions(spark: SparkSession, path: str, versions: list[int] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ from sentilake.operators.cleaning import clean_reviews
 from sentilake.operators.models import LinearTextModel
 from sentilake.operators.scoring import score_reviews
 from sentilake.plans.jobs import newest_model
+from sentilake.sources import versions
 
 BATCH_COLUMN = "batch_id"
+#: Batches whose changes are kept one by one before they are folded into a snapshot.
+SNAPSHOT_EVERY = 10
 
 
 def read_files(
@@ -26,12 +30,16 @@ def read_files(
     file_format: str = "parquet",
     name_filter: str | None = None,
     max_files_per_trigger: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A stream over the files that are or will be in a folder."""
+    """A stream over the files that are or will be in a folder.
+
+    A CSV stream reads typed cells by its ``schema``, for instance that of ``read_raw_csv`` on earlier files.
+    """
     reader = spark.readStream.format(file_format).schema(schema)
     if file_format == "csv":
         # As in batch reading, cells may hold quoted line breaks.
-        reader = reader.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         reader = reader.option("mode", "FAILFAST")
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
@@ -139,17 +147,64 @@ def score_stream_newest(
     return write_batches(reviews, score, out_path, checkpoint)
 
 
-def running_counts(rows: DataFrame, group_column: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Running row counts per group; each micro-batch writes the complete table."""
+def running_counts(
+    rows: DataFrame, group_column: str, out_path: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
+) -> StreamingQuery:
+    """Running row counts per group, read with ``read_counts``.
+
+    Each micro-batch writes the groups it changed as a folder of its own and commits it; every ``snapshot_every`` batches the
+    committed folders are folded into a snapshot. Nothing that a reader may look at is overwritten, and a batch
+    that is replayed commits the same counts under the same number again.
+    """
     counts = rows.groupBy(group_column).agg(F.count("*").alias("n"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        spark = batch.sparkSession
+        _commit_counts(batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long")), out_path, 2 * batch_id, "changes")
+        if (batch_id + 1) % snapshot_every == 0:
+            _commit_counts(_folded(spark, out_path, group_column), out_path, 2 * batch_id + 1, "snapshot")
+            _remove_folded(spark, out_path)
 
     return (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _commit_counts(df: DataFrame, path: str, number: int, kind: str) -> None:
+    """A folder of (group, n, batch_id). Changes have even numbers, snapshots the odd one after their last batch."""
+    folder = f"{path}/{kind}={number}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    versions.append_record(df.sparkSession, path, number, folder, kind)
+
+
+def _standing(spark: SparkSession, path: str) -> list[versions.Commit]:
+    """The newest snapshot and the changes after it, each batch once."""
+    found = versions.commits(spark, path)
+    base = max((v for v, c in found.items() if c.source_job == "snapshot"), default=-1)
+    return [c for v, c in sorted(found.items()) if v >= base]
+
+
+def _folded(spark: SparkSession, path: str, group_column: str) -> DataFrame:
+    folders = [c.folder for c in _standing(spark, path)]
+    if not folders:
+        raise ValueError(f"No counts are committed at {path}.")
+    newest = F.max(F.struct(BATCH_COLUMN, "n")).alias("newest")
+    return spark.read.parquet(*folders).groupBy(group_column).agg(newest).select(group_column, "newest.n", f"newest.{BATCH_COLUMN}")
+
+
+def _remove_folded(spark: SparkSession, path: str) -> None:
+    """Remove what the snapshot before the newest one has replaced: readers of the newest and of the one before go on."""
+    found = versions.commits(spark, path)
+    snapshots = sorted(v for v, c in found.items() if c.source_job == "snapshot")
+    for number, record in found.items():
+        if len(snapshots) > 1 and number < snapshots[-2]:
+            versions.remove_folder(spark, record.folder)
+
+
+def read_counts(spark: SparkSession, path: str, group_column: str) -> DataFrame:
+    """(group, n) as of the newest committed batch; the folders are fixed when this is called, later batches do not show."""
+    return _folded(spark, path, group_column).select(group_column, "n")
