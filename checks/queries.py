@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +16,9 @@ from checks import fixtures, sql
 from sentilake.config import CleanConfig, FeatureConfig, TrainConfig
 from sentilake.functions import aspects, rules, text
 from sentilake.functions import fixed_words as words
-from sentilake.functions.lexicon import Lexicon
+from sentilake.functions.lexicon import Lexicon, read_lexicon
 from sentilake.operators import cleaning, edges, features, labels, metrics, models, pages, results, scoring, search, splitting
-from sentilake.operators.checks import chunk_counts, classes_of
+from sentilake.operators.checks import chunk_counts, classes_of, require_columns, require_rows
 from sentilake.plans import jobs
 from sentilake.session import shared_dir
 from sentilake.sources import readers, versions, writers
@@ -447,13 +450,13 @@ def tfidf(spark, sf):
     return long.select("doc_id", "term", "idx", "count", r6("tfidf"))
 
 
-@query(f"""WITH {sql.corpus_ctes()} SELECT doc_id, count(*) AS n_terms, round(sum(tfidf), 6) AS l1,
-CAST(min(idx) AS INT) AS first_idx FROM x GROUP BY doc_id""")
+@query(f"""WITH {sql.corpus_ctes()} SELECT c.doc_id, count(idx) AS n_terms, coalesce(round(sum(tfidf), 6), 0) AS l1,
+CAST(min(idx) AS INT) AS first_idx FROM cleaned AS c LEFT JOIN x USING (doc_id) GROUP BY c.doc_id""")
 def tfidf_vectors(spark, sf):
-    """The vector form, unpacked again per document."""
+    """The vector form, unpacked again per document; documents without a known term have the zero vector."""
     rows = corpus(spark, sf)
     vectors = features.vectorize(rows, features.fit_tfidf(rows, DOC_FEATURES))
-    sparse = vectors.select("doc_id", F.unwrap_udt("features").alias("v")).filter(F.size("v.indices") > 0)
+    sparse = vectors.select("doc_id", F.unwrap_udt("features").alias("v"))
     return sparse.select(
         "doc_id",
         F.size("v.indices").cast("bigint").alias("n_terms"),
@@ -699,18 +702,27 @@ def search_certificates(spark, sf):
     return spark.createDataFrame(rows, "name string, converged boolean, at_minimum boolean, points int")
 
 
-@query(f"""WITH corpus AS ({fixtures.CORPUS}),
-c AS (SELECT doc_id, sentiment FROM corpus WHERE len({sql.tokens('text')}) > 0)
-SELECT doc_id, sentiment, CASE WHEN row_number() OVER (PARTITION BY sentiment ORDER BY md5(concat(doc_id, ':42')))
-<= floor(count(*) OVER (PARTITION BY sentiment) * CAST(0.2 AS DOUBLE) + 0.5) THEN 'test' ELSE 'train' END AS split FROM c""")
+@query(f"""WITH {sql.corpus_ctes(_TRAIN_ROWS)},
+c AS (SELECT doc_id, sentiment, toks FROM (SELECT doc_id, sentiment, {sql.tokens('text')} AS toks FROM corpus) WHERE len(toks) > 0),
+t AS (SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest({sql.terms_of('toks')}) AS term FROM c) GROUP BY ALL),
+w AS (SELECT doc_id, idx, cnt * idf / sqrt(sum(cnt * idf * cnt * idf) OVER (PARTITION BY doc_id)) AS tfidf FROM t JOIN vocab USING (term))
+SELECT c.doc_id, sentiment, CASE WHEN c.doc_id IN (SELECT doc_id FROM chosen) THEN 'train' ELSE 'test' END AS split,
+  (SELECT count(*) FROM vocab) AS size, count(idx) AS n_terms, coalesce(round(sum(tfidf), 6), 0) AS l1,
+  coalesce(round(sum(tfidf * (idx % 17)), 6), 0) AS checksum FROM c LEFT JOIN w USING (doc_id) GROUP BY ALL""")
 def feature_table(spark, sf):
-    """Features written by split and read back."""
+    """Features written by split and read back split by split."""
     built = jobs.build_features(corpus(spark, sf), DOC_FEATURES)
     path = writers.write_features(
         features.vectorize(built.rows, built.tfidf).select("doc_id", "sentiment", "split", "features"),
         fresh_path(spark, "features"),
     )
-    return readers.read_table(spark, path, ["doc_id", "sentiment", "split"])
+    parts = [writers.read_features(spark, path, split) for split in ("train", "test")]
+    v = F.unwrap_udt("features")
+    values = F.zip_with(v["indices"], v["values"], lambda i, x: x * (i % 17))
+    return parts[0].unionByName(parts[1]).select(
+        "doc_id", "sentiment", "split", v["size"].cast("bigint").alias("size"), F.size(v["indices"]).cast("bigint").alias("n_terms"),
+        r6(F.aggregate(v["values"], F.lit(0.0), lambda s, x: s + x), "l1"), r6(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), "checksum"),
+    )
 
 
 @query(f"""WITH {sql.corpus_ctes(_TRAIN_ROWS)}, held AS (SELECT doc_id, sentiment, 0 AS unit, {sql.tokens('text')} AS toks FROM corpus
@@ -821,18 +833,43 @@ def scored_words(spark, sf):
     return rows.select("review_id", "position", "word", r6("positive"))
 
 
-@query(f"""WITH {sql.review_ctes()}
-SELECT review_id, text AS input_text, CASE WHEN error IS NULL THEN CAST((SELECT size FROM totals) AS INT) END AS vocabulary_size,
-CASE WHEN error IS NULL THEN round(p1, 6) END AS p_positive, CASE WHEN error IS NULL THEN round(p0, 6) END AS breakdown_negative,
-CASE WHEN error IS NULL THEN CAST((SELECT count(*) FROM points p WHERE p.review_id = whole.review_id) AS INT) END AS n_points FROM whole""")
+@query(f"""WITH {sql.review_ctes()},
+p AS (SELECT review_id, string_agg(concat_ws('|', feature, sentiment, evidence, printf('%.4f', positive)), ' / ' ORDER BY unit) AS main_points, count(*) AS n FROM points GROUP BY ALL),
+m AS (SELECT review_id, string_agg(concat_ws('|', feature, sentiment, printf('%.4f', negative)), ' / ' ORDER BY feature) AS aspects
+  FROM (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY review_id, feature ORDER BY unit DESC) = 1) GROUP BY ALL)
+SELECT review_id, text AS input_text, CASE WHEN error IS NULL THEN array_to_string(toks, ' ') ELSE '' END AS cleaned_text,
+CASE WHEN error IS NULL THEN array_to_string(toks, '+') ELSE '' END AS tokens, CASE WHEN error IS NULL THEN CAST(len(toks) AS INT) ELSE 0 END AS token_count,
+CASE WHEN error IS NULL THEN '1x' || (SELECT size FROM totals) ELSE '' END AS embedding_shape, CASE WHEN error IS NULL THEN label ELSE '' END AS predicted_label,
+CASE WHEN error IS NULL THEN overall ELSE '' END AS overall_sentiment, CASE WHEN error IS NULL THEN CASE label WHEN 'positive' THEN 1 ELSE 0 END END AS predicted_raw,
+CASE WHEN error IS NULL THEN round(p1, 6) END AS positive_score, CASE WHEN error IS NULL THEN round(p0, 6) END AS negative_score,
+CASE WHEN error IS NULL THEN round(p1, 6) END AS breakdown_positive, CASE WHEN error IS NULL THEN round(p0, 6) END AS breakdown_negative,
+CASE WHEN error IS NULL THEN round(confidence, 6) END AS confidence, CAST(NULL AS DOUBLE) AS decision_margin,
+CASE WHEN error IS NULL THEN round(p1, 6) END AS p_positive, CASE WHEN error IS NULL THEN round(p0, 6) END AS p_negative,
+CASE WHEN error IS NULL THEN coalesce(main_points, '') END AS main_points, CASE WHEN error IS NULL THEN coalesce(aspects, '') END AS aspects
+FROM whole LEFT JOIN p USING (review_id) LEFT JOIN m USING (review_id)""")
 def response_rows(spark, sf):
-    """The response columns, nested ones flattened."""
+    """All columns of the response, nested ones flattened."""
     rows = results.response_rows(_scored(spark, sf, words_too=True), "review_id")
+
+    def shown(score: Column) -> Column:
+        return F.format_string("%.4f", score)
+
+    points = F.transform("main_feature_points", lambda p: F.concat_ws("|", p["feature"], p["sentiment"], p["evidence"], shown(p["scores"]["positive"])))
+    names = F.array_sort(F.map_keys("aspect_sentiments"))
+    aspects_ = F.transform(
+        names,
+        lambda n: F.concat_ws(
+            "|", n, F.try_element_at("aspect_sentiments", n), shown(F.try_element_at("aspect_sentiment_scores", n)["negative"])
+        ),
+    )
     return rows.select(
-        "review_id", "input_text", F.get("embedding_shape", F.lit(1)).alias("vocabulary_size"),
-        r6(F.try_element_at("class_probabilities", F.lit("positive")), "p_positive"),
-        r6("sentiment_breakdown.negative", "breakdown_negative"),
-        F.when(F.col("main_feature_points").isNotNull(), F.size("main_feature_points")).alias("n_points"),
+        "review_id", "input_text", "cleaned_text", F.array_join("tokens", "+").alias("tokens"), "token_count",
+        F.array_join(F.transform("embedding_shape", lambda n: n.cast("string")), "x").alias("embedding_shape"),
+        "predicted_label", "overall_sentiment", "predicted_raw", r6("positive_score"), r6("negative_score"),
+        r6("sentiment_breakdown.positive", "breakdown_positive"), r6("sentiment_breakdown.negative", "breakdown_negative"),
+        r6("confidence"), "decision_margin", r6(F.try_element_at("class_probabilities", F.lit("positive")), "p_positive"),
+        r6(F.try_element_at("class_probabilities", F.lit("negative")), "p_negative"),
+        F.array_join(points, " / ").alias("main_points"), F.array_join(aspects_, " / ").alias("aspects"),
     )
 
 
@@ -854,18 +891,18 @@ def annotated(spark, sf):
 
 
 @query(f"""WITH {sql.review_ctes()}, a AS ({_ANNOTATED})
-SELECT CAST(review_id AS VARCHAR) AS review_id, overall_sentiment, positive_score, confidence, features_and_sentiments FROM a""")
+SELECT CAST(review_id AS VARCHAR) AS review_id, coalesce(text, '') AS text, overall_sentiment, positive_score, negative_score, confidence, features_and_sentiments FROM a""")
 def annotated_csv(spark, sf):
     """An uploaded CSV scored, written as annotated CSV and read back."""
     upload, out = fresh_path(spark, "upload") + ".csv", fresh_path(spark, "annotated")
-    reviews(spark, sf).write.option("header", True).option("escape", '"').csv(upload)
+    writers.write_annotated_csv(reviews(spark, sf), upload)
     jobs.annotate_csv(spark, upload, "text", out, naive_bayes(spark, sf), LEXICON)
     rows = spark.read.option("header", True).option("escape", '"').csv(out)
-    number = {c: F.col(c).cast("double") for c in ("positive_score", "confidence")}
+    number = {c: F.col(c).cast("double") for c in ("positive_score", "negative_score", "confidence")}
     # A CSV cell cannot tell null from '': an empty text cell reads back as null.
-    empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("overall_sentiment", "features_and_sentiments")}
+    empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("text", "overall_sentiment", "features_and_sentiments")}
     return rows.withColumns({**number, **empty}).select(
-        "review_id", "overall_sentiment", r6("positive_score"), r6("confidence"), "features_and_sentiments"
+        "review_id", "text", "overall_sentiment", r6("positive_score"), r6("negative_score"), r6("confidence"), "features_and_sentiments"
     )
 
 
@@ -1073,3 +1110,122 @@ def stream_newest_model(spark, sf):
     rows = _document_stream(spark, sf).select("doc_id", "text")
     streams.score_stream_newest(rows, space, out, f"{out}-checkpoint", LEXICON, DOC_CLEAN).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "model_version", "predicted_label", r6("positive_score"))
+
+
+# ---- guards, files and cuts --------------------------------------------------------------------
+
+
+_COLUMNS_SAID = "Missing required columns: ['nope']. Available columns: ['doc_id', 'text', 'lang', 'source', 'n_chars']".replace("'", "''")
+
+
+@query(f"""SELECT guard, message, n FROM (VALUES ('columns', '{_COLUMNS_SAID}'), ('rows', 'Input dataset is empty.'), ('metric', 'test_f1_weighted'),
+('unknown metric', 'refused')) AS g(guard, message), (SELECT count(*) AS n FROM documents)""")
+def guard_messages(spark, sf):
+    """What the guards say to the documents: missing columns, no rows, names of metrics."""
+    docs = table(spark, sf, "documents")
+    said = {"metric": metrics.score_column("f1_weighted")}
+    guards = {
+        "columns": lambda: require_columns(docs, ["text", "nope"]),
+        "rows": lambda: require_rows(docs.filter(F.col("doc_id") < -1)),
+        "unknown metric": lambda: metrics.score_column("auc"),
+    }
+    for name, guard in guards.items():
+        try:
+            guard()
+            said[name] = "passed"
+        except ValueError as error:
+            said[name] = "refused" if name == "unknown metric" else str(error)
+    passed = require_rows(require_columns(docs, ["doc_id", "text"]))
+    n = passed.count()
+    return spark.createDataFrame([(k, v, n) for k, v in said.items()], "guard string, message string, n long")
+
+
+_OWN_POSITIVE, _OWN_WEIGHTS = ("best", "time", "worthless"), {"best": 2.5, "worthless": 0.25}
+
+
+@query(f"""WITH t AS (SELECT doc_id, {sql.tokens('text')} AS toks FROM documents)
+SELECT doc_id, round({sql.cue_sum('toks', _OWN_POSITIVE, _OWN_WEIGHTS)}, 6) AS positive, round({sql.negative_sum('toks')}, 6) AS negative,
+round({sql.positive_sum('toks')}, 6) AS kept FROM t""")
+def lexicon_from_file(spark, sf):
+    """A lexicon file whose entries replace those of the defaults, one by one; a file that is no mapping changes nothing."""
+    path, broken = fresh_path(spark, "lexicon"), fresh_path(spark, "lexicon")
+    entries = json.dumps({"positive_cues": list(_OWN_POSITIVE), "positive_weights": _OWN_WEIGHTS, "unknown": 1})
+    for folder, content in ((path, entries), (broken, "[1, 2]")):
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.text(folder)
+    own = read_lexicon(spark, path, LEXICON)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        kept = read_lexicon(spark, broken, LEXICON)
+    tokens = documents(spark, sf).select("doc_id", text.clean_tokens(F.col("text")).alias("t"))
+    return tokens.select(
+        "doc_id", r6(own.cue_sum(F.col("t"), "positive"), "positive"), r6(own.cue_sum(F.col("t"), "negative"), "negative"),
+        r6(kept.cue_sum(F.col("t"), "positive"), "kept"),
+    )
+
+
+@query(f"""WITH f AS ({fixtures.PREDICTIONS}), o(ordinal, cut) AS (VALUES {', '.join(f'({i}, CAST({c} AS DOUBLE))' for i, c in enumerate(_CUTS))}),
+a AS (SELECT ordinal, cut, avg(CASE WHEN (p_positive >= cut) = (label = 'positive') THEN 1.0 ELSE 0.0 END) AS acc FROM f, o GROUP BY ALL),
+best AS (SELECT * FROM a ORDER BY round(acc, 12) DESC, ordinal LIMIT 1)
+SELECT 'cut' || a.ordinal AS model, round(a.acc, 6) AS test_accuracy, CAST(a.cut AS VARCHAR) AS param, 'accuracy' AS primary_metric,
+'cut' || best.ordinal AS best_name, round(best.acc, 6) AS best_score, 'somewhere' AS artifact_path, 'cut' || best.ordinal AS estimator FROM a, best""")
+def report_rows(spark, sf):
+    """The model report written as JSON and read back: one entry a model, and the best one."""
+    parts = []
+    for i, c in enumerate(_CUTS):
+        row = metrics.weighted_metrics(_predictions(spark, sf, c), "label", "said")
+        params = F.create_map(F.lit("cut"), F.lit(str(float(c))))
+        parts.append(row.select(F.lit(f"cut{i}").alias("name"), F.lit(i).alias("ordinal"), F.lit(0.5).alias("cv_best_score"), "*", params.alias("best_params")))
+    scores = reduce(DataFrame.unionByName, parts)
+    best = metrics.best_model(scores, "accuracy").first()["name"]
+    path = writers.write_report(search.model_report(scores, best, "accuracy", "somewhere"), fresh_path(spark, "report"))
+    read = spark.read.schema(
+        "primary_metric string, best_model struct<name:string,score:double,artifact_path:string,estimator:string,best_params:map<string,string>>, "
+        "models map<string,struct<cv_best_score:double,test_accuracy:double,best_params:map<string,string>>>"
+    ).json(path)
+    return read.select("*", F.explode("models").alias("model", "entry")).select(
+        "model", r6("entry.test_accuracy", "test_accuracy"), F.try_element_at("entry.best_params", F.lit("cut")).alias("param"), "primary_metric",
+        F.col("best_model.name").alias("best_name"), r6("best_model.score", "best_score"), "best_model.artifact_path", "best_model.estimator",
+    )
+
+
+@query(f"""WITH {sql.corpus_ctes().replace('LIMIT 50000', 'LIMIT 700')} SELECT term, idx, df, tf, round(idf, 6) AS idf FROM vocab""")
+def vocabulary_cut(spark, sf):
+    """The most frequent terms where the cut bites, ties by term."""
+    small = replace(DOC_FEATURES, max_features=700)
+    return features.fit_tfidf(corpus(spark, sf), small).vocabulary.select("term", "idx", "df", "tf", r6("idf"))
+
+
+@query(f"""WITH {sql.corpus_ctes()}, {_DOC_UNITS}, {sql.score_ctes('doc_id', 'docs', 's')},
+z AS (SELECT doc_id, z0, z1, (z0 + z1) / 2 + CAST(0.05 AS DOUBLE) AS z2 FROM s)
+SELECT doc_id, round(greatest(z0, z1, z2), 6) AS margin, round(1 / (1 + exp(-greatest(z0, z1, z2))), 6) AS positive,
+CASE WHEN z0 >= z1 AND z0 >= z2 THEN 'negative' WHEN z1 >= z2 THEN 'positive' ELSE 'mixed' END AS label FROM z""")
+def margin_of_three(spark, sf):
+    """Three machines: the margin is that of the winning class."""
+    nb = naive_bayes(spark, sf)
+    w, (b0, b1) = F.col("w"), nb.intercepts
+    third = (F.get(w, F.lit(0)) + F.get(w, F.lit(1))) / 2
+    table_ = nb.weights.select("term", "idx", "idf", F.concat(w, F.array(third)).alias("w"))
+    model = models.LinearTextModel(table_, (*CLASSES, "mixed"), (b0, b1, (b0 + b1) / 2 + 0.05), models.MARGIN, nb.vocabulary_size)
+    rows = _document_scores(spark, sf, model).withColumn("seen", model.observe(F.col("scores")))
+    return rows.select("doc_id", r6("seen.margin", "margin"), r6("seen.positive", "positive"), "seen.label")
+
+
+@query(f"""WITH {_BAYES_SEARCH} SELECT 'MultinomialNB' AS best, CAST(alpha AS VARCHAR) AS alpha, round(mean, 6) AS cv_best_score, round(accuracy, 6) AS test_accuracy,
+round(f1, 6) AS test_f1_weighted, CAST(2 AS INT) AS model_version, (SELECT count(*) FROM vocab) AS terms
+FROM means JOIN (SELECT * FROM scored_parts WHERE part = 3) USING (alpha) WHERE alpha IN (FROM picked)""")
+def retrain_report(spark, sf):
+    """Raw versions to a registered model, twice: the report of the second run and the model that scorers pick up."""
+    raw, space = fresh_path(spark, "raw"), fresh_path(spark, "workspace")
+    labelled = fixture(spark, sf, fixtures.CORPUS)
+    for version in (1, 2):
+        versions.publish_version(labelled, raw, version, "upload", sf, replace_existing=False)
+        paths = jobs.retrain(spark, raw, space, version, DOC_CLEAN, DOC_FEATURES, TrainConfig(models=("MultinomialNB",)))
+    version, model = jobs.newest_model(spark, space)
+    score = "cv_best_score:double,test_accuracy:double,test_f1_weighted:double,best_params:map<string,string>"
+    report = spark.read.schema(f"best_model struct<name:string>, models map<string,struct<{score}>>").json(paths["report"])
+    entry = F.try_element_at("models", F.lit("MultinomialNB"))
+    return report.select(
+        F.col("best_model.name").alias("best"), F.try_element_at(entry["best_params"], F.lit("alpha")).alias("alpha"),
+        r6(entry["cv_best_score"], "cv_best_score"), r6(entry["test_accuracy"], "test_accuracy"), r6(entry["test_f1_weighted"], "test_f1_weighted"),
+        F.lit(version).alias("model_version"), F.lit(model.weights.count()).cast("bigint").alias("terms"),
+    )
