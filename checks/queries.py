@@ -1115,10 +1115,10 @@ def stream_newest_model(spark, sf):
 # ---- guards, files and cuts --------------------------------------------------------------------
 
 
-_COLUMNS_SAID = "Missing required columns: ['nope']. Available columns: ['doc_id', 'text', 'lang', 'source', 'n_chars']".replace("'", "''")
+_COLUMNS_SAID = "The table has no column nope; it has doc_id, text, lang, source, n_chars."
 
 
-@query(f"""SELECT guard, message, n FROM (VALUES ('columns', '{_COLUMNS_SAID}'), ('rows', 'Input dataset is empty.'), ('metric', 'test_f1_weighted'),
+@query(f"""SELECT guard, message, n FROM (VALUES ('columns', '{_COLUMNS_SAID}'), ('rows', 'The table holds no row.'), ('metric', 'test_f1_weighted'),
 ('unknown metric', 'refused')) AS g(guard, message), (SELECT count(*) AS n FROM documents)""")
 def guard_messages(spark, sf):
     """What the guards say to the documents: missing columns, no rows, names of metrics."""

@@ -12,11 +12,11 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     """Raise before any job runs when columns are missing; else return ``df``."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}. Available columns: {df.columns}")
+        raise ValueError(f"The table has no column {', '.join(missing)}; it has {', '.join(df.columns)}.")
     return df
 
 
-def require_rows(df: DataFrame, message: str = "Input dataset is empty.") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "The table holds no row.") -> DataFrame:
     """Raise when the table holds no row; else return ``df``. Reads at most one row."""
     if df.isEmpty():
         raise ValueError(message)

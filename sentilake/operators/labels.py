@@ -39,9 +39,6 @@ def class_weights(df: DataFrame, label_column: str) -> DataFrame:
         .groupBy("label")
         .agg(F.count("*").alias("n"))
     )
-    # One row per class from here on; collecting the totals into each row needs no shuffle key.
-    packed = counts.agg(F.collect_list(F.struct("label", "n")).alias("rows"))
-    total = F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, r: a + r["n"])
-    return packed.select(F.explode("rows").alias("r"), total.alias("total"), F.size("rows").alias("k")).select(
-        "r.label", "r.n", (F.col("total") / (F.col("k") * F.col("r.n"))).alias("weight")
-    )
+    # Two numbers: the total and the number of classes. The classes themselves stay a table.
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("k")).first()
+    return counts.withColumn("weight", F.lit(whole["total"]) / (F.lit(whole["k"]) * F.col("n")))

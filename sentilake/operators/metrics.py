@@ -24,7 +24,7 @@ EVALUATOR_METRICS = {
 
 def score_column(metric: str) -> str:
     if metric not in SCORE_COLUMNS:
-        raise ValueError(f"Unsupported primary_metric '{metric}'. Supported: {list(SCORE_COLUMNS)}")
+        raise ValueError(f"No model can be chosen by {metric!r}; choose one of {', '.join(SCORE_COLUMNS)}.")
     return SCORE_COLUMNS[metric]
 
 

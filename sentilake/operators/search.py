@@ -304,7 +304,7 @@ def score_table(tuned: Sequence[Tuned], spark: Any) -> DataFrame:
 def pick_best(tuned: Sequence[Tuned], metric: str) -> Tuned:
     """Highest metric; the first declared wins a tie."""
     if not tuned:
-        raise ValueError("No model could be trained successfully.")
+        raise ValueError("There is no searched model to choose from.")
     column = score_column(metric)
     best = tuned[0]
     for candidate in tuned[1:]:

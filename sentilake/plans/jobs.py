@@ -63,7 +63,7 @@ def clean_csv(
     raw_path: str,
     out_path: str,
     cfg: CleanConfig = CleanConfig(),
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     types: Mapping[str, str] | None = None,
 ) -> str:
     """Raw CSV to cleaned Parquet. Line mode and types are those of ``read_raw_csv``."""
@@ -175,7 +175,7 @@ def score_upload(
     workspace: str,
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> PagedTable:
     """A caller's CSV scored once and stored for paging, in the order of the file; rows that cannot be scored are left out.
 
@@ -244,7 +244,7 @@ def annotate_csv(
     lexicon: Lexicon = Lexicon(),
     cfg: CleanConfig = CleanConfig(),
     keep_order: bool = True,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     lemma_table: DataFrame | None = None,
 ) -> str:
     """A caller's CSV in, the annotated CSV out, by default in the order of the input.

@@ -77,14 +77,14 @@ def read_raw_csv(
     path: str,
     cfg: CleanConfig = CleanConfig(),
     require_non_empty: bool = True,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Raw reviews from CSV with header. Required columns are checked before any job.
 
     Column names come from the header. Text and label stay text; the types of further columns are inferred from all their
-    cells in one pass, or are those given in ``types`` (an empty mapping leaves text). Quoted line breaks need ``multi_line``, with
-    which a file is read by one task; pass False for large files without them, so that they are split.
+    cells in one pass, or are those given in ``types`` (an empty mapping leaves text). A file with quoted line
+    breaks is read by one task (``multi_line``), any other in splits; unless it is given, a pass over the lines tells which.
     """
     df = _csv(spark, path, multi_line)
     require_columns(df, [cfg.text_column, cfg.label_column])
@@ -94,20 +94,20 @@ def read_raw_csv(
     return with_types(df, types)
 
 
-def read_upload(spark: SparkSession, path: str, text_column: str, multi_line: bool = True) -> DataFrame:
-    """A caller's CSV whose text column is named by the caller, with the guards of an upload."""
+def read_upload(spark: SparkSession, path: str, text_column: str, multi_line: bool | None = None) -> DataFrame:
+    """A caller's CSV whose text column is named by the caller, with the guards of an upload. Lines as in ``read_raw_csv``."""
     if not text_column.strip():
-        raise ValueError("text_column cannot be empty.")
+        raise ValueError("Name the column that holds the text.")
     if not path.lower().endswith(".csv"):
-        raise ValueError("Only CSV files are supported.")
+        raise ValueError("The name of an upload must end in .csv.")
     try:
         df = _csv(spark, path, multi_line)
     except Exception as error:
-        raise ValueError(f"Invalid CSV file: {error}") from error
+        raise ValueError(f"The upload cannot be read as CSV: {error}") from error
     if not df.columns:
-        raise ValueError("Uploaded CSV is empty.")
+        raise ValueError("The upload has no header and no rows.")
     if text_column not in df.columns:
-        raise ValueError(f"Column '{text_column}' not found in CSV. Available columns: {df.columns}")
+        raise ValueError(f"The upload has no column {text_column}; it has {', '.join(df.columns)}.")
     return df
 
 
@@ -115,7 +115,13 @@ def read_cleaned(spark: SparkSession, path: str, required: Sequence[str] = ("tex
     """The cleaned table; a missing path raises, and so does an empty table."""
     df = spark.read.parquet(path)
     require_columns(df, required)
-    return require_rows(df, "Cleaned parquet is empty.")
+    return require_rows(df, "The cleaned table holds no row.")
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Does any quoted cell hold a line break? Then a line has an odd number of quotes. Reads the files in splits."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
 def number_rows(df: DataFrame, id_column: str = "review_id") -> DataFrame:
@@ -127,10 +133,11 @@ def number_rows(df: DataFrame, id_column: str = "review_id") -> DataFrame:
     return df.withColumn(id_column, F.monotonically_increasing_id())
 
 
-def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def _csv(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
+    lines = has_line_breaks(spark, path) if multi_line is None else multi_line
     return (
         spark.read.option("header", True)
-        .option("multiLine", multi_line)
+        .option("multiLine", lines)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")

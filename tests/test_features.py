@@ -173,5 +173,5 @@ def test_weighted_metrics(spark, pairs):
 
 def test_metric_names():
     assert metrics.score_column("f1_weighted") == "test_f1_weighted"
-    with pytest.raises(ValueError, match="Unsupported primary_metric 'auc'"):
+    with pytest.raises(ValueError, match="chosen by 'auc'"):
         metrics.score_column("auc")

@@ -24,38 +24,56 @@ def write_csv(folder, name, body):
 
 def test_required_columns(spark):
     df = spark.createDataFrame([("a", 1)], "text string, other int")
-    with pytest.raises(ValueError, match=r"Missing required columns: \['a', 'sentiment'\]. Available columns: \['text', 'other'\]"):
+    with pytest.raises(ValueError, match="no column a, sentiment; it has text, other"):
         guards.require_columns(df, ["text", "sentiment", "a"])
-    with pytest.raises(ValueError, match="Input dataset is empty"):
+    with pytest.raises(ValueError, match="holds no row"):
         guards.require_rows(df.limit(0))
 
 
 def test_raw_csv(spark, tmp_path):
     path = write_csv(tmp_path, "raw.csv", 'text,sentiment,extra\n"Great, ""big""\nscreen",positive,1\n,negative,2\n123,,3\n')
     rows = readers.read_raw_csv(spark, path).collect()
-    assert [tuple(r) for r in rows] == [('Great, "big"\nscreen', "positive", "1"), (None, "negative", "2"), ("123", None, "3")]
-    with pytest.raises(ValueError, match="Missing required columns"):
+    assert [tuple(r) for r in rows] == [('Great, "big"\nscreen', "positive", 1), (None, "negative", 2), ("123", None, 3)]
+    with pytest.raises(ValueError, match="has no column"):
         readers.read_raw_csv(spark, write_csv(tmp_path, "odd.csv", "a,b\n1,2\n"))
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no row"):
         readers.read_raw_csv(spark, write_csv(tmp_path, "none.csv", "text,sentiment\n"))
     out = jobs.clean_csv(spark, path, str(tmp_path / "clean"))
     got = readers.read_cleaned(spark, out).collect()
-    assert [(r.extra, r.text_clean) for r in got] == [("1", "great big screen")]
+    assert [(r.extra, r.text_clean) for r in got] == [(1, "great big screen")]
     with pytest.raises(ValueError, match="No rows were written"):
         jobs.clean_csv(spark, write_csv(tmp_path, "blank.csv", "text,sentiment\n 12 ,x\n"), str(tmp_path / "blank"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         readers.read_cleaned(spark, str(tmp_path / "missing"))
 
 
+def test_plain_lines_are_split_and_quoted_line_breaks_found(spark, tmp_path):
+    plain = write_csv(tmp_path, "plain.csv", "text,sentiment\n" + "".join(f'"good, ""{n}""",x\n' for n in range(20_000)))
+    broken = write_csv(tmp_path, "broken.csv", 'text,sentiment\nplain,x\n"two\n\nlines",y\n')
+    assert not readers.has_line_breaks(spark, plain) and readers.has_line_breaks(spark, broken)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+        rows = readers.read_raw_csv(spark, plain)
+        assert rows.rdd.getNumPartitions() > 4 and rows.count() == 20_000
+        numbered = readers.number_rows(rows, "id")
+        assert [r.text for r in numbered.orderBy("id").limit(3).collect()] == ['good, "0"', 'good, "1"', 'good, "2"']
+        assert [r.text for r in numbered.orderBy(F.col("id").desc()).limit(1).collect()] == ['good, "19999"']
+        assert readers.read_raw_csv(spark, plain, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r.text for r in readers.read_raw_csv(spark, broken).collect()] == ["plain", "two\n\nlines"]
+
+
 def test_upload_guards(spark, tmp_path):
     good = write_csv(tmp_path, "up.csv", "id,review\n1,good camera\n2,\n")
     assert readers.read_upload(spark, good, "review").count() == 2
     for path, column, message in [
-        (good, "  ", "text_column cannot be empty"),
-        (str(tmp_path / "up.txt"), "review", "Only CSV files"),
-        (write_csv(tmp_path, "zero.csv", ""), "review", "empty"),
-        (good, "text", "not found in CSV"),
-        (str(tmp_path / "nothing.csv"), "review", "Invalid CSV file"),
+        (good, "  ", "Name the column"),
+        (str(tmp_path / "up.txt"), "review", "end in .csv"),
+        (write_csv(tmp_path, "zero.csv", ""), "review", "no header"),
+        (good, "text", "no column text; it has id, review"),
+        (str(tmp_path / "nothing.csv"), "review", "cannot be read as CSV"),
     ]:
         with pytest.raises(ValueError, match=message):
             readers.read_upload(spark, path, column)
