@@ -68,6 +68,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not hold, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The table's columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_side(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast a table only where a count has shown that it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -9,28 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sentilake.llm import ngrams
-from sentilake.llm.common import ascii_lower, bounded_batches, passing_tables, stored, words
+from sentilake.llm.common import ascii_lower, bounded_batches, fresh, own_columns, passing_tables, stored, words
 from sentilake.llm.components import connected_components
 
 RADIUS = 2
 SHINGLE = 3
 BUCKET = 32
-BLOCK = 256
 BYTES = 8
 CHUNK = 1 << 15
 
-#: Near copies: shingles of five words, sets that agree to 0.8, 64 positional bytes of which 36 must be shared
-#: (51 are expected at a similarity of 0.8, give or take 3.2).
-WORDS = 5
-SIMILARITY = 0.8
-SIGNATURE = 64
-LEAST_SHARED = 36
-LONGS = SIGNATURE // 8
-_LONG_NAMES = [f"s{n}" for n in range(LONGS)]
-_ODD = (ngrams.mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).tolist()
-
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> tuple[Column, str]:
     """The words of a text and SQL for the XXH64 (seed 42) of its word shingles, repeats included."""
@@ -165,242 +154,23 @@ def near_duplicates(
     )
 
 
-# ---- near copies by similarity of word shingles ------------------------------------------
-
-
-def _word_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of all word shingles, rows ascending. A text of fewer words is one shingle, as is an empty one."""
-    starts, ends, row = ngrams.spans(ngrams.ascii_folding()[data], offsets, ngrams.byte_classes(split_punctuation=False))
-    word = ngrams.span_hashes(ngrams.ascii_folding()[data], starts, ends)
-    rows = len(offsets) - 1
-    counts = np.bincount(row, minlength=rows)
-    factor = np.uint64(0x2545F4914F6CDD1D)
-    tokens, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(word) >= size:
-        n = len(word) - size + 1
-        total = np.zeros(n, np.uint64)
-        for k in range(size):
-            total = total * factor + word[k : k + n]
-        whole = row[:n] == row[size - 1 :]
-        tokens, at = ngrams.mix(total[whole]), row[:n][whole]
-    short = np.flatnonzero(counts < size)
-    if len(short):
-        firsts = np.searchsorted(row, short)
-        ones = np.full(len(short), 0x9E37, np.uint64)
-        for k in range(size - 1):
-            more = counts[short] > k
-            ones[more] = ngrams.mix(ones[more] * factor + word[firsts[more] + k])
-        order = np.argsort(np.concatenate((at, short)), kind="stable")
-        tokens, at = np.concatenate((tokens, ones))[order], np.concatenate((at, short))[order]
-    return tokens, at
-
-
-def _signature_batches(size: int):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in ngrams.chunks(batch.column("text")):
-                tokens, row = _word_shingles(data, offsets, size)
-                starts = np.searchsorted(row, np.arange(end - first))
-                places = np.empty((end - first, SIGNATURE), np.uint8)
-                for n in range(SIGNATURE):
-                    least = np.minimum.reduceat(tokens * np.uint64(_ODD[n]), starts)
-                    places[:, n] = (ngrams.mix(least) & np.uint64(255)).astype(np.uint8)
-                longs = places.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), batch.column("body").slice(first, end - first)]
-                    + [pa.array(np.ascontiguousarray(longs[:, n])) for n in range(LONGS)],
-                    ["doc_id", "body", *_LONG_NAMES],
-                )
-
-    return sign
-
-
-def _shared_places(a: str, b: str) -> str:
-    return " + ".join(_shared_bytes(f"{a}.{name}", f"{b}.{name}") for name in _LONG_NAMES)
-
-
-def _band(n: int) -> str:
-    """Four neighbouring positional bytes as 32 bits."""
-    return f"(shiftrightunsigned({_LONG_NAMES[n // 2]}, {32 * (n % 2)}) & 4294967295L)"
-
-
-def similar_pairs(signed: DataFrame, least: int = LEAST_SHARED, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Candidates: pairs of texts that share ``least`` of their positional bytes, (body, other), and the longer postings, (band, value, body).
-
-    The inverted index is kept by bands of four positional bytes. Texts of a posting of at most ``bucket`` are tallied with each
-    other. In longer postings every text is tallied with the posting's centre: the text whose postings are longest in all, as
-    those of the original of many copies are. The posting is also parted by the next band and by the one after it,
-    and the parts are treated alike, so that rows grow in proportion. What these miss, ``remaining_pairs`` finds.
-    """
-    with passing_tables(signed.sparkSession) as keep:
-        bands = SIGNATURE // 4
-        marks = [
-            F.struct(
-                F.lit(n).alias("band"),
-                F.expr(_band(n)).alias("value"),
-                F.expr(_band((n + 1) % bands)).alias("next"),
-                F.expr(_band((n + 2) % bands)).alias("after"),
-            )
-            for n in range(bands)
-        ]
-        marked = signed.withColumn("mark", F.explode(F.array(*marks)))
-        sizes = marked.groupBy("mark.band", "mark.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = keep(sizes, "similar-sizes")
-        flat = marked.select("body", *_LONG_NAMES, "mark.*")
-        listed = keep(flat.join(sizes, ["band", "value"]), "similar-postings")
-        by = ["band", "value", "side", "part"]
-        texts = ["body", *_LONG_NAMES]
-        few = listed.filter(f"n <= {bucket}").select(
-            "band", "value", F.lit(0).alias("side"), F.lit(0).cast("long").alias("part"), *texts
-        )
-        parts = F.array(
-            F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("part")),
-            F.struct(F.lit(1).alias("side"), F.col("next").alias("part")),
-            F.struct(F.lit(2).alias("side"), F.col("after").alias("part")),
-        )
-        many = listed.filter(f"n > {bucket}").withColumn("by", F.explode(parts))
-        many = keep(many.select("band", "value", "by.side", "by.part", *texts), "similar-parts")
-        known = listed.groupBy("body").agg(F.sum("n").alias("known"))
-        centre = F.max(F.struct("known", *texts)).alias("centre")
-        centres = many.join(known, "body").groupBy(*by).agg(centre, F.count(F.lit(1)).alias("n")).filter("n > 1")
-        centres = keep(centres, "similar-centres")
-        few = keep(few.unionByName(many.join(centres.filter(f"n <= {bucket}").select(*by), by)), "similar-few")
-        same = " AND ".join(f"a.{c} = b.{c}" for c in by)
-        met = few.alias("a").join(few.alias("b"), F.expr(f"{same} AND a.body > b.body"))
-        centres = centres.filter(f"n > {bucket}").select(*by, *[f"centre.{c}" for c in texts])
-        stars = many.alias("a").join(centres.alias("b"), F.expr(f"{same} AND a.body != b.body"))
-        enough = F.expr(f"({_shared_places('a', 'b')}) >= {least}")
-        chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
-        found = met.filter(enough).select(*chosen).unionByName(stars.filter(enough).select(*chosen)).distinct()
-        long = listed.filter(f"n > {bucket}").select("band", "value", "body")
-        return stored(found, "similar-pairs"), stored(long, "similar-long")
-
-
-def remaining_pairs(
-    signed: DataFrame, long: DataFrame, found: DataFrame, least: int = LEAST_SHARED, block: int = BLOCK
-) -> DataFrame:
-    """Pairs of the longer postings that no group holds yet and that share ``least`` of their positional bytes: (body, other).
-
-    ``found`` are the groups so far (node, component). Two texts of one group need no link. So of every posting the texts outside its
-    largest group are tallied with all texts of other groups, ``block`` of them at a time: no pair is left out.
-    """
-    with passing_tables(signed.sparkSession) as keep:
-        by = ["band", "value"]
-        placed = long.join(found.withColumnRenamed("node", "body"), "body", "left")
-        placed = keep(placed.select(*by, "body", F.coalesce("component", "body").alias("component")), "similar-placed")
-        held = placed.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
-        main = held.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-        main = main.filter("main.n < all").select(
-            *by, F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / block).alias("blocks")
-        )
-        texts = placed.join(keep(main, "similar-main"), by).join(signed.select("body", *_LONG_NAMES), "body")
-        texts = keep(texts.withColumn("outside", F.col("component") != F.col("main")), "similar-outside")
-        outside = texts.filter("outside").withColumn("block", F.pmod(F.xxhash64("body", F.lit(3)), F.col("blocks")))
-        others = texts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        met = outside.alias("a").join(
-            others.alias("b"),
-            F.expr(
-                "a.band = b.band AND a.value = b.value AND a.block = b.block AND a.component != b.component "
-                f"AND (NOT b.outside OR a.body > b.body) AND ({_shared_places('a', 'b')}) >= {least}"
-            ),
-        )
-        chosen = [F.greatest("a.body", "b.body").alias("body"), F.least("a.body", "b.body").alias("other")]
-        return stored(met.select(*chosen).distinct(), "similar-remaining")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets agree to ``similarity``."""
-    with passing_tables(pairs.sparkSession) as keep:
-        asked = pairs.select("body").unionByName(pairs.select(F.col("other").alias("body"))).distinct()
-        asked = keep(asked.join(nodes.select("body", "doc_id"), "body"), "similar-asked")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, end, data, offsets in ngrams.chunks(batch.column("text")):
-                    tokens, row = _word_shingles(data, offsets, size)
-                    edges = np.searchsorted(row, np.arange(end - first + 1))
-                    cut = [np.unique(tokens[a:b].astype(np.uint32)).view(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("body").slice(first, end - first), pa.array(cut, pa.list_(pa.int32()))], ["body", "tokens"]
-                    )
-
-        texts = rows.join(asked, ["doc_id", "body"]).select("body", "text")
-        held = keep(texts.mapInArrow(sets, "body long, tokens array<int>"), "similar-tokens")
-        sided = keep(pairs.join(held.withColumnRenamed("tokens", "a"), "body"), "similar-sided")
-        both = sided.join(held.select(F.col("body").alias("other"), F.col("tokens").alias("b")), "other")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ends, values = [], []
-                for name in ("a", "b"):
-                    ends.append(batch.column(name).offsets.to_numpy())
-                    values.append(batch.column(name).values.to_numpy(zero_copy_only=False))
-                kept = []
-                for n in range(batch.num_rows):
-                    a, b = (v[e[n] : e[n + 1]] for v, e in zip(values, ends, strict=True))
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                    if shared >= similarity * (len(a) + len(b) - shared):
-                        kept.append(n)
-                chosen = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(chosen) for c in ("body", "other")], ["body", "other"])
-
-        return stored(both.mapInArrow(verify, "body long, other long"), "similar-links")
-
-
-def similar_documents(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    size: int = WORDS,
-    similarity: float = SIMILARITY,
-    bucket: int = BUCKET,
-) -> DataFrame:
-    """Groups of near copies: (doc_id, body, component_id), one row per row with an id; ``body`` is the text's hash.
-
-    Two texts are linked if the sets of their word shingles agree to ``similarity``. 64-bit SimHashes of such texts
-    differ in up to a quarter of their bits, so that no positional byte need be shared; here the positional bytes are those of 64 min-hashes, each
-    shared with the probability of the similarity. The same index, tally and verification follow: pairs
-    that share at least ``LEAST_SHARED`` of 64 bytes are compared by their whole shingle sets.
-
-    Equal texts are one node. Null and empty texts are equal. A group is named after the smallest id of its documents.
-    Rows without an id take no part. An empty table gives an empty result.
-    """
-    bounded_batches(docs.sparkSession)
-    rows = docs.filter(F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("doc_id"),
-        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-    )
-    rows = rows.withColumn("body", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, body long, " + ", ".join(f"{n} long" for n in _LONG_NAMES)
-    signed = stored(rows.mapInArrow(_signature_batches(size), schema), "similar-signed")
-    nodes = signed.groupBy("body").agg(F.min("doc_id").alias("doc_id"), *[F.first(n).alias(n) for n in _LONG_NAMES])
-    nodes = stored(nodes, "similar-nodes")
-    pairs, long = similar_pairs(nodes, bucket=bucket)
-    links = _verified(pairs, rows, nodes, size, similarity)
-    found = connected_components(links, "body", "other")
-    if long.limit(1).count():
-        more = _verified(remaining_pairs(nodes, long, found), rows, nodes, size, similarity)
-        found = connected_components(links.unionByName(more), "body", "other")
-    grouped = nodes.select("body", "doc_id").join(found.withColumnRenamed("node", "body"), "body", "left")
-    grouped = grouped.withColumn("group", F.coalesce("component", "body"))
-    names = stored(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")), "similar-names")
-    named = stored(grouped.select("body", "group").join(names, "group").select("body", "component_id"), "similar-named")
-    return signed.select("doc_id", "body").join(named, "body").select("doc_id", "body", "component_id")
-
-
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; columns unchanged.
+    """One document of each group of SimHash near-duplicates stays, the one with the smallest id; columns unchanged.
 
-    Rows equal in id and text are one document, of which one row stays. Rows without an id cannot be named and stay.
+    Documents are grouped by ``near_duplicates``; its options are passed on. Rows that repeat an id stand for one document, of which the
+    row of smallest text hash stays. Null and blank texts are copies of each other. Rows without an id cannot be
+    named and stay. An empty table stays empty.
     """
-    found = similar_documents(docs, id_column, text_column, **options)
-    kept = stored(found.filter("doc_id = component_id").select("doc_id", "body").distinct(), "similar-kept").alias("k")
-    named = docs.filter(F.col(id_column).isNotNull())
-    marked = named.withColumn("_body", F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))).alias("d")
-    unique = marked.join(kept, F.expr(f"d.`{id_column}` = k.doc_id AND d._body = k.body"), "left_semi")
-    unique = unique.dropDuplicates([id_column, "_body"]).select(docs.columns)
-    return unique.unionByName(docs.filter(F.col(id_column).isNull()))
+    found = near_duplicates(docs, id_column, text_column, **options)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
+    kept = stored(kept, "simhash-kept")
+    named = docs.filter(F.col(id_column).isNotNull()).join(kept, id_column, "left_semi").select(own_columns(docs))
+    # The join has placed the rows by id, so the choice among rows that repeat one shuffles nothing.
+    rank = fresh(docs, "_rank")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    first = F.row_number().over(Window.partitionBy(id_column).orderBy(F.xxhash64(text), text))
+    one = named.withColumn(rank, first).filter(F.col(rank) == 1).select(own_columns(docs))
+    return one.unionByName(docs.filter(F.col(id_column).isNull()))
 
 
 def hex_print(fp: Column) -> Column:

@@ -112,85 +112,40 @@ def test_long_and_repeated_shingles():
             assert (int(p) >> bit & 1) == (2 * ones > end - start)
 
 
-def similar(a, b):
-    a, b = (set(shingles(t, 5)) or {None} for t in (a, b))
-    return len(a & b) / len(a | b)
-
-
-def test_similar_documents_equal_brute_force(spark):
-    rows = corpus(80, 2) + [(7001, "gone to x"), (7002, "gone to x"), (7002, "gone to x"), (7002, "another text here")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("body", F.lit("clash"))
-    texts = sorted({t or "" for _, t in rows})
-    links = [(a, b) for a, b in combinations(texts, 2) if similar(a, b) >= 0.8]
-    by_text = groups(texts, links)
+def test_one_document_of_each_group_stays(spark):
+    rows = corpus(60, 2) + [(7001, "gone to x"), (7002, "gone to x"), (7002, "gone to x"), (7003, "another text here"), (7003, "a third")]
+    clash = {"fp": F.lit(1), "_rank0": F.lit("mine"), "component_id": F.lit(2), "node": F.lit(3)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash).repartition(4)
+    nodes = sorted({(fingerprint(t), i) for i, t in rows})
+    links = [(a, b) for a, b in combinations(nodes, 2) if (a[0] ^ b[0]).bit_count() <= 2 or a[1] == b[1]]
+    by_node = groups(nodes, links)
     least = defaultdict(lambda: 10**9)
-    for i, t in rows:
-        least[by_text[t or ""]] = min(i, least[by_text[t or ""]])
-    got = near_dedup.similar_documents(df).collect()
-    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((i, least[by_text[t or ""]]) for i, t in rows)
-    kept = near_dedup.drop_near_duplicates(df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
+    for print_, i in nodes:
+        least[by_node[print_, i]] = min(i, least[by_node[print_, i]])
+    want = {least[c] for c in by_node.values()}
+    nameless = df.limit(2).withColumn("doc_id", F.lit(None).cast("long"))
+    kept = near_dedup.drop_near_duplicates(df.unionByName(nameless))
     assert kept.columns == df.columns
-    want = {(i, t) for i, t in rows if least[by_text[t or ""]] == i}
-    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert Counter(i for i, _ in got) == Counter([i for i, _ in want] + [None])
+    got = kept.collect()
+    assert Counter(r.doc_id for r in got) == Counter([*want, None, None])
+    texts = defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t)
+    assert all(r.text in texts[r.doc_id] and r["_rank0"] == "mine" and r.fp == 1 for r in got if r.doc_id is not None)
+    again = near_dedup.drop_near_duplicates(df.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in got if r.doc_id is not None)
     assert near_dedup.drop_near_duplicates(df.limit(0)).count() == 0
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_a_large_group_of_near_copies_stays_one(spark):
-    """Copies that are similar to the original only, not to each other."""
-    draw = random.Random(11)
-    base = [f"w{draw.randrange(9999)}" for _ in range(200)]
-    rows = [(1000, " ".join(base))]
-    for i in range(400):
-        copy = list(base)
-        for at in draw.sample(range(5, 190), 3):
-            copy[at] = f"x{i}"
-        rows.append((i, " ".join(copy)))
-    assert similar(rows[1][1], rows[0][1]) > 0.8 > similar(rows[1][1], rows[2][1])
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for bucket in (4, 32):
-        assert [r["doc_id"] for r in near_dedup.drop_near_duplicates(df, bucket=bucket).collect()] == [0]
-
-
-def test_twins_among_edits_of_an_absent_text_are_linked(spark):
-    """Long postings without a centre that is similar to all: each text is similar to its twin only."""
-    draw = random.Random(12)
-    base = [f"w{draw.randrange(9999)}" for _ in range(300)]
-    rows = []
-    for i in range(60):
-        spots = [draw.randrange(a, a + 25) for a in range(5, 290, 32)]
-        for n, own in enumerate((spots[3:6], spots[6:9])):
-            copy = list(base)
-            for at in (*spots[:3], *own):
-                copy[at] = f"x{i}-{at}"
-            rows.append((2 * i + n, " ".join(copy)))
-    links = [(a, b) for (a, s), (b, t) in combinations(rows, 2) if similar(s, t) >= 0.8]
-    want = groups([i for i, _ in rows], links)
-    assert len(set(want.values())) > 40
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in near_dedup.similar_documents(df, bucket=4).collect()} == want
-
-
-def test_tables_of_a_step_go_with_it(spark, tmp_path, monkeypatch):
-    made = []
-    stored = common.stored
-
-    def noted(df, name, paths=None):
-        paths = [] if paths is None else paths
-        table = stored(df, name, paths)
-        made.append((name, paths[-1]))
-        return table
-
-    for module in (common, components, near_dedup):
-        monkeypatch.setattr(module, "stored", noted)
-    text = " ".join(f"w{n}" for n in range(60))
-    docs = spark.createDataFrame([(n, f"{text} {n}") for n in range(40)], "doc_id long, text string")
-    kept = near_dedup.drop_near_duplicates(docs).collect()
-    assert [r.doc_id for r in kept] == [0]
-    there = {name for name, path in made if Path(path).exists()}
-    assert not there & {"similar-postings", "similar-parts", "similar-few", "similar-tokens", "similar-sided", "cc-edges"}
-    assert {"similar-signed", "similar-kept"} <= there
+def test_a_large_group_of_copies_leaves_one(spark):
+    """Exact copies meet in one grouping, edits of one text in long postings of distinct fingerprints."""
+    text = " ".join(f"w{n}" for n in range(400))
+    rows = [(n, text) for n in range(50, 850)] + [(n, f"{text} {n % 3}") for n in range(850, 1250)] + [(7, "something else")]
+    prints = {fingerprint(t) for t in (text, f"{text} 0", f"{text} 1", f"{text} 2")}
+    assert all((a ^ fingerprint(text)).bit_count() <= 2 for a in prints)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()) == [7, 50]
 
 
 def test_a_failed_step_leaves_no_tables(spark):
