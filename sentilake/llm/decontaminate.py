@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentilake.llm.common import small_side, stored
+from sentilake.llm.common import fresh, own_columns, small_side, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -148,6 +148,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_i
     """Documents without a benchmark item; columns unchanged. Rows of equal id and text go or stay together."""
     found = contaminated(docs, items, id_column, text_column).select("doc_id", "body").distinct()
     found = stored(found, "benchmark-found")
-    marked = docs.withColumn("_body", F.xxhash64(text_column)).alias("d")
-    match = F.expr(f"d.`{id_column}` <=> f.doc_id AND d._body = f.body")
-    return marked.join(found.alias("f"), match, "left_anti").select(docs.columns)
+    body = fresh(docs, "_body")
+    marked = docs.withColumn(body, F.xxhash64(text_column)).alias("d")
+    match = F.expr(f"d.`{id_column}` <=> f.doc_id AND d.`{body}` = f.body")
+    return marked.join(found.alias("f"), match, "left_anti").select(own_columns(docs))

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sentilake.llm.common import bounded_batches
+from sentilake.llm.common import bounded_batches, own_columns
 from sentilake.llm.page_blocks import HEADINGS, PARTS, Block, parse
 from sentilake.llm.page_examples import labelled_examples
 
@@ -219,7 +220,8 @@ def _text_batches(weights: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             texts = [main_text(page, weights) for page in batch.column(0).to_pylist()]
             rest = [batch.column(n) for n in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*batch.schema.names[1:], batch.schema.names[0]])
+            columns = [*rest, pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{n}" for n in range(len(columns))])
 
     return run
 
@@ -244,6 +246,9 @@ def extract_main_text(
     bounded_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html_column, text)]
     page = F.col(html_column).cast("string")
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)
-    out = f"{kinds}, `{text}` string" if rest else f"`{text}` string"
-    return pages.select(page.alias(text), *rest).mapInArrow(_text_batches(weights), out)
+    # Names may hold any sign: inside, columns go by their number.
+    kept = [c.alias(f"c{n}") for n, (c, name) in enumerate(zip(own_columns(pages), pages.columns, strict=True)) if name in rest]
+    kinds = [pages.schema[name].dataType for name in rest]
+    schema = T.StructType([T.StructField(f"c{n}", kind) for n, kind in enumerate([*kinds, T.StringType()])])
+    found = pages.select(page.alias("page"), *kept).mapInArrow(_text_batches(weights), schema)
+    return found.toDF(*rest, text)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sentilake.llm.common import small_side, stored, words
+from sentilake.llm.common import fresh, own_columns, small_side, stored, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -172,10 +172,8 @@ def apply_mix(docs: DataFrame, mix: Mix, id_column: str = "doc_id", source_colum
     size = word_count(F.col("text")) if size is None else size
     times = mix.rows.filter("taken > 0").groupBy("doc_id", "source", "size").agg((F.max("taken") / F.col("size")).alias("times"))
     times = times.select("doc_id", "source", "size", F.col("times").cast("int").alias("_times")).alias("m")
-    kept = docs.withColumn("_size", size).alias("d")
-    match = f"d.`{id_column}` <=> m.doc_id AND d.`{source_column}` <=> m.source AND d._size = m.size"
-    return (
-        kept.join(times, F.expr(match))
-        .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    )
+    counted = fresh(docs, "_size")
+    kept = docs.withColumn(counted, size).alias("d")
+    match = f"d.`{id_column}` <=> m.doc_id AND d.`{source_column}` <=> m.source AND d.`{counted}` = m.size"
+    turns = F.explode(F.sequence(F.lit(1), F.col("m._times"))).alias(fresh(docs, "_turn"))
+    return kept.join(times, F.expr(match)).select(*[F.col(f"d.`{c}`") for c in docs.columns], turns).select(own_columns(docs))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentilake.llm import ngrams
-from sentilake.llm.common import bounded_batches, stored
+from sentilake.llm.common import bounded_batches, fresh, own_columns, stored
 
 BUCKETS = 1 << 14
 #: Bound of the labelled sample that the target model and the cut are fitted on.
@@ -85,9 +85,10 @@ class QualityFilter:
     def keep(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """The taken documents, columns unchanged; one map-side pass."""
         bounded_batches(docs.sparkSession)
-        weighed = docs.withColumn("_weight", self.weight(F.col(text_column)))
-        kept = weighed.filter(self.key(F.col(id_column), F.col("_weight")) >= F.lit(self.cut))
-        return kept.select(docs.columns)
+        weight = fresh(docs, "_weight")
+        weighed = docs.withColumn(weight, self.weight(F.col(text_column)))
+        kept = weighed.filter(self.key(F.col(id_column), F.col(weight)) >= F.lit(self.cut))
+        return kept.select(own_columns(docs))
 
 
 def log_ratios(counts: DataFrame, buckets: int) -> np.ndarray:
@@ -177,7 +178,9 @@ def fit_quality(
     model = QualityFilter(log_ratios(counts, buckets), -math.inf, seed)
     weighed = marked.select("doc_id", "good", "held", model.weight(F.col("text")).alias("weight"))
     weighed = stored(weighed.withColumn("key", model.key(F.col("doc_id"), F.col("weight"))), "quality-weights")
-    known = weighed.filter("held").select("weight", "good").limit(labelled).toPandas()
+    # Documents that repeat an id may be more than the labels; which of them count must not change between runs.
+    held = weighed.filter("held").orderBy(F.xxhash64("doc_id"), "doc_id", "weight").limit(labelled)
+    known = held.select("weight", "good").toPandas()
     boundary = best_cut(known["weight"].to_numpy(float), known["good"].to_numpy(bool))
     taken = weighed.filter(F.col("weight") >= F.lit(boundary)).count()
     fitted = QualityFilter(model.ratios, kth_largest(weighed, "key", taken), seed)

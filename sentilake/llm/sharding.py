@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sentilake.llm.common import fresh
+
 #: Fixed values of the published method: the generator's factor and the range of its draws.
 FACTOR = 2862933555777941757
 RANGE = float(1 << 31)
@@ -68,7 +70,7 @@ def number_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot"
     table of cell counts (shards x cells rows, so it may be broadcast) gives each cell its base, so that no task sorts a whole shard.
     Rows that agree in all order columns are numbered in any order.
     """
-    cell, base, n = "_slot_cell", "_slot_base", "_slot_n"
+    cell, base, n = (fresh(df, name) for name in ("_slot_cell", "_slot_base", "_slot_n"))
     keyed = df.withColumn(cell, F.substring(F.md5(F.concat_ws("|", *order)), 1, digits))
     before = Window.partitionBy(shard).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     bases = (

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentilake.llm.common import ascii_lower
+from sentilake.llm.common import ascii_lower, own_columns
 
 #: Rule list of the registered query: (host, path, verdict).
 RULES = (
@@ -120,17 +120,16 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, model: UrlModel | N
     such rows are judged by the model. Result columns replace columns of the same name; repeated rows stay.
     """
     names = [host + path for host, path, _ in rules]
-    split = df.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    # The caller's row travels in one column, so that no name of its own meets those used here.
+    split = df.select(F.struct(*own_columns(df)).alias("_row"), F.col(url).alias("_url"))
+    split = split.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
     split = split.withColumn("_rule", rule_index(F.col("_host"), F.col("_path"), rules))
     blocked = F.get(F.array(*[F.lit(verdict == "block") for _, _, verdict in rules]), F.col("_rule"))
     if model is None:
-        model = fit_url_model(labelled_urls(split.filter("_rule IS NOT NULL"), url, blocked, limit))
-    scored = model.probability(split, url, "_chance")
-    return scored.withColumns(
-        {
-            "host": F.col("_host"),
-            "path": F.col("_path"),
-            "rule": F.get(F.array(*[F.lit(n) for n in names]), F.col("_rule")),
-            "verdict": F.when(F.coalesce(blocked, F.col("_chance") >= 0.5), "block").otherwise("allow"),
-        }
-    ).drop("_host", "_path", "_rule", "_chance")
+        model = fit_url_model(labelled_urls(split.filter("_rule IS NOT NULL"), "_url", blocked, limit))
+    scored = model.probability(split, "_url", "_chance")
+    verdict = F.when(F.coalesce(blocked, F.col("_chance") >= 0.5), "block").otherwise("allow")
+    rule = F.get(F.array(*[F.lit(n) for n in names]), F.col("_rule"))
+    results = {"host": F.col("_host"), "path": F.col("_path"), "rule": rule, "verdict": verdict}
+    kept = [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in results]
+    return scored.select(*kept, *[value.alias(name) for name, value in results.items()])

@@ -7,6 +7,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,12 +40,18 @@ def base32_sha1(data: Column) -> Column:
 
 
 def header_value(text: Column) -> Column:
-    """Line breaks and white space borders would break a header: they are percent-encoded."""
+    """Line breaks would break a header: they are percent-encoded."""
     for char, code in (("\r", "%0D"), ("\n", "%0A")):
         text = F.replace(text, F.lit(char), F.lit(code))
     return text
 
 
+def uri_part(identifier: Column) -> Column:
+    """An id as part of a URI: null as ``null``, and anything that a URI or a header cannot hold percent-encoded."""
+    text = identifier.cast("string")
+    return F.when(text.isNull(), "null").when(text == "null", "%6Eull").otherwise(F.url_encode(text))
+
+
 def _revisits(pages: DataFrame, id_column: str, body_column: str) -> DataFrame:
     """Pages that repeat a payload: (id, digest, first_id). Of equal payloads the one with the largest id is kept whole.
 
@@ -92,8 +99,7 @@ def _record_head(row: DataFrame) -> DataFrame:
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(name + ": "), value, F.lit(NEWLINE))
 
-    record_id = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    refers = F.coalesce(F.col("first_id").cast("string"), F.lit("null"))
+    record_id, refers = uri_part(F.col("id")), uri_part(F.col("first_id"))
     head = F.concat(
         F.lit(VERSION + NEWLINE),
         line("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")),
@@ -195,7 +201,7 @@ def _parse(member: bytes) -> tuple:
 
     def plain(uri: str | None) -> str | None:
         value = uri and uri.strip("<>").removeprefix(RECORD_ID)
-        return None if value == "null" else value
+        return None if value is None or value == "null" else unquote_plus(value)
 
     return (
         plain(named["WARC-Record-ID"]), named.get("WARC-Target-URI"), kind, digest, plain(named.get("WARC-Refers-To")), stated,
