@@ -94,6 +94,11 @@ def review_units(
             pairs = pairs.join(rows.select(key, cfg.lemma_map), key)
         rows = rows.join(pair_units(pairs, cfg, lexicon, key), key, "left")
         units = F.when(F.col("pair_units").isNotNull(), F.col("pair_units")).otherwise(units)
+    if cfg.text_column in carry:
+        # The text travels once: it is taken from the carried columns after the exchange.
+        placed = rows.select(key, "tokens", units.alias("units"), "carried").repartition(key)
+        text_of = text.as_text(F.col("carried").getField(cfg.text_column))
+        return placed.select(key, text_of.alias("input_text"), "tokens", "units", "carried")
     kept = ["carried"] if carry else []
     return rows.select(key, "input_text", "tokens", units.alias("units"), *kept).repartition(key)
 
