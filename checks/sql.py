@@ -31,9 +31,10 @@ def lemma(t: str) -> str:
     table = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.IRREGULAR_NOUNS.items())
     return (
         f"CASE WHEN {has(words.IRREGULAR_NOUNS, t)} THEN CASE {t} {table} END "
-        f"WHEN right({t}, 1) <> 's' OR length({t}) <= 3 THEN {t} "
+        f"WHEN right({t}, 1) <> 's' OR length({t}) <= 3 OR {has(words.KEPT_NOUNS, t)} THEN {t} "
         f"WHEN right({t}, 3) = 'ies' THEN CASE WHEN length({t}) > 4 THEN left({t}, length({t}) - 3) || 'y' ELSE left({t}, length({t}) - 1) END "
-        f"WHEN right({t}, 4) IN ('sses', 'ches', 'shes') OR right({t}, 3) = 'xes' THEN left({t}, length({t}) - 2) "
+        f"WHEN right({t}, 4) IN ('sses', 'ches', 'shes') OR right({t}, 3) IN ('xes', 'oes') "
+        f"OR {has([w + 'es' for w in words.NOUNS_WITH_ES], t)} THEN left({t}, length({t}) - 2) "
         f"WHEN right({t}, 2) IN ('ss', 'us', 'is') THEN {t} ELSE left({t}, length({t}) - 1) END"
     )
 

@@ -63,17 +63,20 @@ def normalize(col: Column, cfg: CleanConfig = DEFAULT) -> Column:
 
 
 def lemma() -> str:
-    """Default noun lemma of ``t``: a short table of irregular nouns, then plural endings."""
+    """Default noun lemma of ``t``: listed nouns, then plural endings. Endings that single nouns share are cut for listed words only."""
     table = " ".join(f"WHEN '{noun}' THEN '{base}'" for noun, base in words.IRREGULAR_NOUNS.items())
+    long_plurals = [f"{noun}es" for noun in words.NOUNS_WITH_ES]
 
     def cut(n: int) -> str:
         return f"substring(t, 1, length(t) - {n})"
 
     return f"""CASE
+        WHEN NOT endswith(t, 's') AND NOT {lists.one_of(w for w in words.IRREGULAR_NOUNS if not w.endswith('s'))} THEN t
         WHEN {lists.one_of(words.IRREGULAR_NOUNS)} THEN CASE t {table} END
-        WHEN NOT endswith(t, 's') OR length(t) <= 3 THEN t
+        WHEN length(t) <= 3 OR {lists.one_of(words.KEPT_NOUNS)} THEN t
         WHEN endswith(t, 'ies') THEN CASE WHEN length(t) > 4 THEN concat({cut(3)}, 'y') ELSE {cut(1)} END
-        WHEN endswith(t, 'sses') OR endswith(t, 'ches') OR endswith(t, 'shes') OR endswith(t, 'xes') THEN {cut(2)}
+        WHEN endswith(t, 'sses') OR endswith(t, 'ches') OR endswith(t, 'shes') OR endswith(t, 'xes') OR endswith(t, 'oes')
+            OR {lists.one_of(long_plurals)} THEN {cut(2)}
         WHEN endswith(t, 'ss') OR endswith(t, 'us') OR endswith(t, 'is') THEN t
         ELSE {cut(1)} END"""
 

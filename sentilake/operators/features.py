@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sentilake.config import FeatureConfig
 from sentilake.functions import text
 from sentilake.operators.checks import require_columns
-from sentilake.session import cut_lineage
+from sentilake.session import cut_lineage, remove_written, written
 
 # A vocabulary up to this many rows is broadcast; its size is capped by ``max_features``.
 BROADCAST_TERMS = 500_000
@@ -88,14 +88,18 @@ def fit_tfidf(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> TfidfModel
     """Fit vocabulary and inverse document frequency on the given (training) rows."""
     require_columns(df, [cfg.text_column])
     is_total = F.col("term") == EVERY_DOCUMENT
-    counted = cut_lineage(term_statistics(df, cfg).filter((F.col("df") >= cfg.min_df) | is_total))
-    every = counted.filter(is_total).first()
-    n_docs = every["df"] if every else 0
-    stats = frequency_cuts(counted.filter(~is_total), n_docs, cfg)
-    if stats.count() > cfg.max_features:
-        # Only the winners and the ties of the last one reach the final ordering.
-        stats = stats.filter(F.col("tf") >= lowest_kept_frequency(stats, cfg.max_features))
-    vocabulary = cut_lineage(number_terms(stats, n_docs, cfg))
+    # The table of all n-grams may be large: it is written by columns, and goes when the vocabulary stands.
+    counted, path = written(term_statistics(df, cfg).filter((F.col("df") >= cfg.min_df) | is_total), "term-statistics")
+    try:
+        every = counted.filter(is_total).first()
+        n_docs = every["df"] if every else 0
+        stats = frequency_cuts(counted.filter(~is_total), n_docs, cfg)
+        if stats.count() > cfg.max_features:
+            # Only the winners and the ties of the last one reach the final ordering.
+            stats = stats.filter(F.col("tf") >= lowest_kept_frequency(stats, cfg.max_features))
+        vocabulary = cut_lineage(number_terms(stats, n_docs, cfg))
+    finally:
+        remove_written(df.sparkSession, path)
     return TfidfModel(vocabulary, n_docs, cfg)
 
 

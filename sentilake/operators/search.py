@@ -21,7 +21,7 @@ from sentilake.operators.metrics import confusion_metrics, score_column
 from sentilake.operators.models import MARGIN, PROBABILITY, SIGMOIDS, LinearTextModel
 from sentilake.operators.solver import HINGE, LOGISTIC, SQUARED_HINGE, Problem, Solution
 from sentilake.operators.splitting import assign_folds
-from sentilake.session import cut_lineage
+from sentilake.session import cut_lineage, remove_written, written
 
 ROWS_PER_FIT_TASK = 20_000
 
@@ -231,22 +231,25 @@ def tune_linear(
     held = {f for f, _ in sizes}
     if missing := sorted(set(range(cfg.cv_folds)) - held):
         raise ValueError(f"Fold {missing[0]} leaves no rows to validate on.")
-    rows = solver.written_rows(train)
     terms = train.select(F.unwrap_udt("features").alias("v")).select(F.coalesce("v.size", F.size("v.values"))).first()[0]
-    points = [(c, p) for c, candidate in enumerate(candidates) for p in candidate.points]
-    folds = range(cfg.cv_folds)
-    fitted = fitted_models(rows, [(p, fold) for fold in folds for _, p in points], sizes, classes, terms)
-    by_fold = {
-        fold: [(m.weights, m.intercepts) for m in fitted[fold * len(points) : (fold + 1) * len(points)]] for fold in folds
-    }
-    grid = validation.gathered_weights(spark, by_fold)
-    scores = validation.fold_scores(train, grid, key, cfg.primary_metric)
-    chosen = []
-    for c, candidate in enumerate(candidates):
-        mine = [s for (owner, _), s in zip(points, scores, strict=True) if owner == c]
-        top, means = validation.best_point(mine)
-        chosen.append((candidate.points[top], means[top], tuple(means)))
-    whole = fitted_models(rows, [(point, None) for point, _, _ in chosen], sizes, classes, terms)
+    rows, path = written(solver.entry_rows(train), "solver-rows")
+    try:
+        points = [(c, p) for c, candidate in enumerate(candidates) for p in candidate.points]
+        folds = range(cfg.cv_folds)
+        fitted = fitted_models(rows, [(p, fold) for fold in folds for _, p in points], sizes, classes, terms)
+        by_fold = {
+            fold: [(m.weights, m.intercepts) for m in fitted[fold * len(points) : (fold + 1) * len(points)]] for fold in folds
+        }
+        grid = validation.gathered_weights(spark, by_fold)
+        scores = validation.fold_scores(train, grid, key, cfg.primary_metric)
+        chosen = []
+        for c, candidate in enumerate(candidates):
+            mine = [s for (owner, _), s in zip(points, scores, strict=True) if owner == c]
+            top, means = validation.best_point(mine)
+            chosen.append((candidate.points[top], means[top], tuple(means)))
+        whole = fitted_models(rows, [(point, None) for point, _, _ in chosen], sizes, classes, terms)
+    finally:
+        remove_written(spark, path)
     out = []
     for candidate, model, (point, best, means) in zip(candidates, whole, chosen, strict=True):
         metrics = _test_metrics(test, validation.gathered_weights(spark, {0: [(model.weights, model.intercepts)]}), key)

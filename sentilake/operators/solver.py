@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import sys
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -15,7 +14,6 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentilake.session import shared_dir
 
 # The tasks' functions travel by value, so the package need not be installed on the executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -261,19 +259,16 @@ def class_shares(problem: Problem, sizes: dict[tuple[int, float], int]) -> dict[
     return {c: 1.0 / (len(counts) * k) if problem.balanced else 1.0 / n for c, k in counts.items()}
 
 
-def written_rows(vectors: DataFrame, name: str = "solver-rows") -> DataFrame:
-    """(label, fold, idx, value), written once: every iteration reads it."""
+def entry_rows(vectors: DataFrame) -> DataFrame:
+    """(label, fold, idx, value): the entries of each row's vector as arrays."""
     v = F.unwrap_udt("features")
     dense = F.when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1))
-    rows = vectors.select(
+    return vectors.select(
         F.col("label").cast("int").alias("label"),
         F.col("fold").cast("int").alias("fold"),
         F.when(v["type"] == 0, v["indices"]).otherwise(F.coalesce(dense, F.array().cast("array<int>"))).alias("idx"),
         v["values"].alias("value"),
     )
-    path = f"{shared_dir(vectors.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return vectors.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def solve(
@@ -284,7 +279,7 @@ def solve(
     terms: int,
     sizes: dict[tuple[int, float], int],
 ) -> list[Solution]:
-    """Fit all problems on (label, fold, idx, value) rows with ``terms`` terms.
+    """Fit all problems on (label, fold, idx, value) rows with ``terms`` terms. Every iteration reads them: pass a written table.
 
     A pass over the rows gives loss and gradient of every problem that is not done yet, each at a point of its own. The
     driver holds a few vectors of the vocabulary's length for each problem, never a row.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentilake.operators import certificates, search, solver
 from sentilake.operators.solver import HINGE, LOGISTIC, SQUARED_HINGE, Problem
+from sentilake.session import written
 
 TERMS = 12
 
@@ -24,7 +25,7 @@ def data(spark):
         rows.append((i, label, v, i % 3))
     df = spark.createDataFrame(rows, ["id", "label", "features", "fold"]).repartition(3).cache()
     sizes = search.class_sizes(df)
-    return rows, df, solver.written_rows(df), sizes
+    return rows, df, written(solver.entry_rows(df), "rows")[0], sizes
 
 
 def objective(rows, problem, w, sizes):
@@ -106,6 +107,6 @@ def test_limits_empty_folds_and_rows_without_terms(data, spark):
     assert short.iterations == 2 and not short.converged
     df = spark.createDataFrame([(0, 1.0, Vectors.sparse(2, {}), 0)], ["id", "label", "features", "fold"])
     with pytest.raises(ValueError, match="Fold 0"):
-        solver.solve(solver.written_rows(df), [Problem(LOGISTIC, 1.0, left_out=0)], [5], [1e-3], 2, search.class_sizes(df))
-    (one,) = solver.solve(solver.written_rows(df), [Problem(LOGISTIC, 1.0)], [5], [1e-3], 2, search.class_sizes(df))
+        solver.solve(written(solver.entry_rows(df), "rows")[0], [Problem(LOGISTIC, 1.0, left_out=0)], [5], [1e-3], 2, search.class_sizes(df))
+    (one,) = solver.solve(written(solver.entry_rows(df), "rows")[0], [Problem(LOGISTIC, 1.0)], [5], [1e-3], 2, search.class_sizes(df))
     assert not one.weights[:-1].any() and one.weights[-1] > 0

@@ -29,11 +29,11 @@ SAMPLES = [
 def python_lemma(t):
     if t in words.IRREGULAR_NOUNS:
         return words.IRREGULAR_NOUNS[t]
-    if not t.endswith("s") or len(t) <= 3:
+    if not t.endswith("s") or len(t) <= 3 or t in words.KEPT_NOUNS:
         return t
     if t.endswith("ies"):
         return t[:-3] + "y" if len(t) > 4 else t[:-1]
-    if t.endswith(("sses", "ches", "shes", "xes")):
+    if t.endswith(("sses", "ches", "shes", "xes", "oes")) or t in [f"{n}es" for n in words.NOUNS_WITH_ES]:
         return t[:-2]
     return t if t.endswith(("ss", "us", "is")) else t[:-1]
 
@@ -119,6 +119,9 @@ def test_blank(spark):
 
 def test_dictionary_forms(spark):
     forms = {"lenses": "lens", "heroes": "hero", "buses": "bus", "canvas": "canvas", "physics": "physics", "texas": "texas",
-             "cameras": "camera", "cases": "case", "batteries": "battery", "boxes": "box", "this": "this"}
+             "cameras": "camera", "cases": "case", "batteries": "battery", "boxes": "box", "this": "this", "gases": "gas",
+             "mangoes": "mango", "echoes": "echo", "shoes": "shoe", "kansas": "kansas", "mathematics": "mathematics", "gas": "gas",
+             "viruses": "virus", "excuses": "excuse", "houses": "house", "databases": "database", "biases": "bias", "ideas": "idea",
+             "topics": "topic", "whereas": "whereas", "analyses": "analysis", "women": "woman", "glasses": "glass", "as": "as"}
     rows = spark.createDataFrame([(w,) for w in forms], "t string").select("t", F.expr(text.lemma()).alias("l"))
     assert {r.t: r.l for r in rows.collect()} == forms
