@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentilake.functions import rules, text
-from sentilake.operators.features import BROADCAST_TERMS, TfidfModel, tfidf_long
+from sentilake.operators.features import TfidfModel, tfidf_long
 from sentilake.session import cut_lineage
 
+#: Weights up to this size are broadcast; a term with its index and idf takes about so many bytes besides its weights.
+BROADCAST_BYTES, TERM_BYTES = 128 << 20, 64
+
 PROBABILITY = "probability"
 SIGMOIDS = "sigmoids"
 MARGIN = "margin"
@@ -36,8 +39,12 @@ class LinearTextModel:
     vocabulary_size: int
     labels_known: bool = True
 
+    def small(self) -> bool:
+        """Terms and weights fit a broadcast: by bytes, as each class adds a weight to every term."""
+        return self.vocabulary_size * (TERM_BYTES + 8 * len(self.labels)) <= BROADCAST_BYTES
+
     def lookup(self) -> DataFrame:
-        return F.broadcast(self.weights) if self.vocabulary_size <= BROADCAST_TERMS else self.weights
+        return F.broadcast(self.weights) if self.small() else self.weights
 
     # ---- observations from the array of class scores -----------------------------------
 
@@ -192,7 +199,7 @@ def word_sentiments(tokens: DataFrame, model: LinearTextModel, key: str) -> Data
     A broadcast lookup in a table of distinct words; unknown words get the intercept alone.
     """
     words = word_table(model)
-    if model.vocabulary_size <= BROADCAST_TERMS:
+    if model.small():
         words = F.broadcast(words)
     known = F.col("seen").isNotNull()
     unknown = model.observe(model.intercept_scores())
