@@ -22,9 +22,12 @@ TOP = 2000
 NO_LANGUAGE = "und"
 SCALE = 2_000_000
 
-#: N-grams are first counted by this many bits of their hash; a map of the frequent ones has 2 ** MAP_BITS bits (4 MB).
-SLOT_BITS = 40
+#: N-grams are first counted by slots, bits of their hash: BUCKET_BITS name the bucket that a slot is dealt by, SLOT_BITS the
+#: slot within it. A map of the frequent ones has 2 ** MAP_BITS bits (4 MB).
+BUCKET_BITS, SLOT_BITS = 12, 32
 MAP_BITS = 25
+#: Slots that a task gathers before it hands them on.
+GATHERED = 1 << 22
 #: Rows of one bitmap part, as ``bitmap_construct_agg`` makes them.
 PART_BITS = 32768
 SALTS = 16
@@ -63,13 +66,13 @@ class _Run:
         return out
 
     def slots(self, size: int) -> np.ndarray:
-        """``SLOT_BITS`` of a hash of language and words of the n-gram that starts here (of nothing, where none does)."""
+        """Bits of a hash of language and words of the n-gram that starts here (of nothing, where none does)."""
         hashes = _grow(self._langs, self._words)
         for k in range(1, size):
             follower = np.zeros_like(self._words)
             follower[: max(len(follower) - k, 0)] = self._words[k:]
             hashes = _grow(hashes, follower)
-        return hashes >> np.uint64(64 - SLOT_BITS)
+        return hashes >> np.uint64(64 - BUCKET_BITS - SLOT_BITS)
 
     def frequent(self, size: int, maps: list[bytes]) -> np.ndarray:
         """Can the n-gram that starts here be frequent?"""
@@ -90,16 +93,44 @@ def _runs(batch: pa.RecordBatch) -> Iterator[_Run]:
             yield _Run(langs, w)
 
 
-def _slot_batches(sizes: list[int], maps: Broadcast[list[bytes]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merged(found: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots ascending with their counts. Counts stop at ``least``: only whether a sum reaches it matters."""
+    slots, at = np.unique(np.concatenate([s for s, _ in found]), return_inverse=True)
+    return slots, np.minimum(np.bincount(at, np.concatenate([n for _, n in found])), least).astype(np.int64)
+
+
+def _packed(slots: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """One row for each bucket: its slots and their counts as short arrays."""
+    bucket = (slots >> np.uint64(SLOT_BITS)).astype(np.int32)
+    names, firsts = np.unique(bucket, return_index=True)
+    offsets = pa.array(np.append(firsts, len(slots)), pa.int32())
+    low = (slots & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32).view(np.int32)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((low, pa.int32()), (counts, kind))]
+    return pa.RecordBatch.from_arrays([pa.array(names), *lists], ["bucket", "slot", "n"])
+
+
+def _slot_batches(
+    size: int, least: int, maps: Broadcast[list[bytes]], kind: pa.DataType
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for words in _runs(batch):
-                for size in sizes:
+                chosen = words.within(size)
+                if size > 1:
                     # An n-gram can only be frequent if both n-grams in it that are a word shorter are.
-                    chosen = _both(words.frequent(size - 1, maps.value)) if maps else words.within(size)
-                    found, counts = np.unique(words.slots(size)[chosen], return_counts=True)
-                    columns = [pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["size", "slot", "n"])
+                    chosen &= _both(words.frequent(size - 1, maps.value))
+                found.append(np.unique(words.slots(size)[chosen], return_counts=True))
+                held += len(found[-1][0])
+                if held >= GATHERED:
+                    found = [_merged(found, least)]
+                    held = len(found[0][0])
+                    if held >= GATHERED // 2:
+                        yield _packed(*found[0], kind)
+                        found, held = [], 0
+        if found:
+            yield _packed(*_merged(found, least), kind)
 
     return run
 
@@ -127,41 +158,46 @@ def _window_batches(maps: Broadcast[list[bytes]]) -> Callable[[Iterator[pa.Recor
     return run
 
 
-def _frequent_maps(texts: DataFrame, sizes: list[int], least: int, maps: Broadcast[list[bytes]] | None = None) -> list[bytes]:
-    """Per size a bitmap of fixed length that holds every n-gram that occurs ``least`` times or more.
+def _frequent_map(texts: DataFrame, size: int, least: int, maps: Broadcast[list[bytes]]) -> bytes:
+    """A bitmap of fixed length that holds every n-gram of ``size`` words that occurs ``least`` times or more.
 
     N-grams of one slot are counted together and slots share bits, so a rare one may be in it; a frequent one is never missing.
+    Slots are summed within a task, and travel as arrays by bucket, as one row each would take twice the room.
     """
-    slots = texts.mapInArrow(_slot_batches(sizes, maps), "size int, slot long, n long")
+    count, kind = ("tinyint", pa.int8()) if least < 128 else ("int", pa.int32())
+    schema = f"bucket int, slot array<int>, n array<{count}>"
+    packed = texts.mapInArrow(_slot_batches(size, least, maps, kind), schema).repartition("bucket")
+    slots = packed.select("bucket", F.inline(F.arrays_zip("slot", "n")))
     bit = F.expr(f"slot & {(1 << MAP_BITS) - 1}")
     parts = (
-        slots.groupBy("size", "slot")
+        slots.groupBy("bucket", "slot")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= least)
-        .select("size", (bit / PART_BITS).cast("int").alias("part"), (bit % PART_BITS).alias("bit"))
-        .groupBy("size", "part")
+        .select((bit / PART_BITS).cast("int").alias("part"), (bit % PART_BITS).cast("long").alias("bit"))
+        .groupBy("part")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
-    out = {size: bytearray(1 << (MAP_BITS - 3)) for size in sizes}
-    for row in parts.toLocalIterator():  # at most 2 ** MAP_BITS / PART_BITS rows of 4 KB for each size
-        out[row["size"]][row.part * PART_BITS // 8 : (row.part + 1) * PART_BITS // 8] = row.bits
-    return [bytes(out[size]) for size in sizes]
+    out = bytearray(1 << (MAP_BITS - 3))
+    for row in parts.toLocalIterator():  # at most 2 ** MAP_BITS / PART_BITS rows of 4 KB
+        out[row.part * PART_BITS // 8 : (row.part + 1) * PART_BITS // 8] = row.bits
+    return bytes(out)
 
 
 def longest_windows(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
     """Every word position as a window of itself and its three leads, counted: (lang, w1 .. w4, n).
 
     A lead is null from where the piece ends or the n-gram up to it cannot be frequent; a word that cannot be frequent
-    is null itself and only adds to the language's number of words. Which n-grams of one to three words can be frequent, two
-    passes of hash counts find before: words and pairs in the first, triples of frequent pairs in the second.
+    is null itself and only adds to the language's number of words. Which words, pairs of such words and triples of such
+    pairs can be frequent, three passes of hash counts find before.
     """
     if least < 1:
         raise ValueError("least must be positive")
     bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).cast("string").alias("text"))
-    short = _frequent_maps(texts, [1, 2], least)
-    maps = context.broadcast(short + _frequent_maps(texts, [3], least, context.broadcast(short)))
+    maps = context.broadcast([])
+    for size in range(1, ORDER):
+        maps = context.broadcast([*maps.value, _frequent_map(texts, size, least, maps)])
     columns = ", ".join(f"{name} string" for name in ["lang", *_NAMES])
     windows = texts.mapInArrow(_window_batches(maps), f"{columns}, n long")
     return windows.groupBy("lang", *_NAMES).agg(F.sum("n").alias("n"))

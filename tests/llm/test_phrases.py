@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from sentilake.llm import phrases
 
 
@@ -77,3 +79,14 @@ def test_windows_stop_at_rare_pairs_without_loss(spark):
     counts = phrases.phrase_counts(phrases.longest_windows(spark.createDataFrame(rows, "text string, lang string")))
     f = {" ".join(filter(None, r[2:6])): r.f for r in counts.collect() if r["size"] > 1}
     assert f["a b"] == 59 and f["a b c d"] == 30 and "b x" not in f and f["c d e f"] == 30
+
+
+def test_slots_are_merged_exactly(spark, monkeypatch):
+    """Counts stop at the threshold within a task and are handed on early, and still no frequent phrase is lost."""
+    rows = [(f"k{n % 40} m{n % 40} end{n % 3}", "en") for n in range(2600)]
+    want = plain_phrases(rows, 60, 80, 500)
+    assert found(spark, rows, least=60, top=500) == want and want
+    many = [("often seen", "en")] * 900 + [("not so", "en")] * 150
+    assert found(spark, many, least=200) == plain_phrases(many, 200, 80, 2000)
+    slots, counts = phrases._merged([(np.array([3, 9], np.uint64), np.array([1, 70])), (np.array([3, 5], np.uint64), np.array([2, 4]))], 30)
+    assert slots.tolist() == [3, 5, 9] and counts.tolist() == [3, 4, 30]
