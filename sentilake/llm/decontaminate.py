@@ -14,8 +14,9 @@ BLOCK_RADIUS = 1
 #: With 16 blocks that may each differ in one bit, every fingerprint within 31 of 64 bits shares a block.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEM_ROWS = 1_000_000
-#: Most documents whose windows are sent to all tasks; beyond that the texts are shuffled once.
-WINDOW_ROWS = 50_000
+#: Documents with windows are marked in a map of this many bits, which all tasks get: 16 MB, however many documents there are.
+MAP_BITS = 27
+PART_BITS = 32768
 
 
 def normal_words(text: Column) -> Column:
@@ -51,6 +52,20 @@ def weighted_similarity(a: str, b: str) -> str:
     return f"transform(array({shared}), s -> s / (size({a}) + size({b}) - s))[0]"
 
 
+def marked_rows(rows: DataFrame, chosen: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key is among those of ``chosen``, and a few more: a filter by a bitmap of fixed size.
+
+    The bitmap is a table of parts of 4 KB, at most 2 ** ``MAP_BITS`` / ``PART_BITS`` of them, so its broadcast is bounded. Rows of other keys
+    that share a bit pass too; the join that follows drops them. No row of a key in ``chosen`` is lost.
+    """
+    bit = F.xxhash64(*key).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    parts = chosen.select(bit.alias("bit")).selectExpr(f"bit div {PART_BITS} AS _part", f"bit % {PART_BITS} AS at")
+    maps = parts.groupBy("_part").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    set_ = "shiftright(cast(conv(hex(substring(_bits, cast(_bit % {0} div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1 = 1"
+    met = rows.withColumn("_bit", bit).withColumn("_part", F.expr(f"_bit div {PART_BITS}")).join(F.broadcast(maps), "_part")
+    return met.filter(F.expr(set_.format(PART_BITS))).drop("_bit", "_part", "_bits")
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -101,7 +116,9 @@ def contaminated(
         .agg(F.collect_list(F.struct("start", "n", "aligned")).alias("windows"))
     )
     windows = stored(windows, "benchmark-windows")
-    held = rows.alias("d").join(small_side(windows, WINDOW_ROWS).alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.body = w.body"))
+    # Only texts with windows, and a few more that share a bit of the map, reach the join, at every size.
+    likely = marked_rows(rows, windows, "doc_id", "body")
+    held = likely.alias("d").join(windows.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.body = w.body"))
     held = with_shingles(held.select("d.doc_id", "d.body", "d._text", "w.windows"), "_text", "sh").drop("_text")
     cut = (
         held.withColumn("one", F.explode("windows"))

@@ -146,6 +146,22 @@ def op8_url_filter(spark, sf):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in url_filter.RULES)
+
+
+@query(f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule_host, rule_path, verdict) AS (VALUES {_RULES}),
+m AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS turn
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND turn = 1""")
+def url_rules(spark, sf):
+    """Host, path, rule and its verdict of every page; URLs that no rule fits have none."""
+    judged = url_filter.judge_urls(table(spark, sf, "pages").select("page_id", "url"), model=url_filter.UrlModel(url_filter.BUCKETS, None, 0.0))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 @query()
 def op9_simhash(spark, sf):
     """Fingerprint and component of every document."""

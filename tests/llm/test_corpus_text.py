@@ -283,3 +283,16 @@ def test_stages_keep_the_columns_and_their_decisions_hold(spark):
 
 def test_run_on_the_smallest_tables(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_the_map_of_documents_with_windows_loses_none(spark, monkeypatch):
+    rows = spark.createDataFrame([(n if n % 9 else None, n * 7919) for n in range(3000)], "doc_id long, body long")
+    chosen = rows.filter("body % 5 = 0")
+    for bits in (27, 17):
+        monkeypatch.setattr(decontaminate, "MAP_BITS", bits)
+        kept = decontaminate.marked_rows(rows, chosen, "doc_id", "body")
+        assert kept.columns == rows.columns
+        got = {tuple(r) for r in kept.collect()}
+        want = {tuple(r) for r in chosen.collect()}
+        assert want <= got and len(got) < len(want) + (5 if bits == 27 else 60)
+    assert decontaminate.marked_rows(rows, chosen.limit(0), "doc_id", "body").count() == 0
