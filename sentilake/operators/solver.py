@@ -6,6 +6,7 @@ import math
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +91,12 @@ def _gradient_batches(
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
+        mine, groups = rows[0].column("mine")[0].as_py(), rows[0].column("groups")[0].as_py()
         label, fold, entries, terms, values = _part(iter(rows))
         problems, shares, weights = state.value
         found: dict[str, list] = {"problem": [], "block": [], "loss": [], "slope": []}
-        for n, (kind, positive, left_out) in enumerate(problems):
+        for n in range(mine, len(problems), groups):
+            kind, positive, left_out = problems[n]
             w = weights[n]
             side = np.where(label == positive, 1.0, -1.0)
             share = np.zeros(len(label))
@@ -140,11 +143,17 @@ def _sum_blocks(key: tuple, rows: pa.Table) -> pa.Table:
 def evaluate(
     rows: DataFrame, parts: int, problems: list[Problem], shares: list[dict[int, float]], weights: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Mean loss and its gradient for every problem, in one pass over (label, fold, idx, value)."""
+    """Mean loss and its gradient for every problem, in one pass over (label, fold, idx, value).
+
+    Where the rows have fewer parts than there are cores, each part is read by several tasks, which share the problems.
+    """
     context = rows.sparkSession.sparkContext
+    groups = max(1, min(len(problems), context.defaultParallelism // max(parts, 1)))
+    copies = [rows.withColumns({"mine": F.lit(g), "groups": F.lit(groups)}) for g in range(groups)]
+    dealt = reduce(DataFrame.unionByName, copies)
     state = context.broadcast(([(p.loss, p.positive, p.left_out) for p in problems], shares, weights))
     small = parts * weights.nbytes <= DRIVER_BYTES
-    sums = rows.mapInArrow(_gradient_batches(state, not small), _SCHEMA)
+    sums = dealt.mapInArrow(_gradient_batches(state, not small), _SCHEMA)
     if not small:
         sums = sums.groupBy("problem", "block").applyInArrow(_sum_blocks, _SCHEMA)
     loss, slope = np.zeros(len(problems)), np.zeros_like(weights)
