@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -32,10 +33,15 @@ def read_files(
     max_files_per_trigger: int | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
-    """A stream over the files that are or will be in a folder.
+    """A stream over the files that are or will be in a folder, or over a single file.
 
-    A CSV stream reads typed cells by its ``schema``, for instance that of ``read_raw_csv`` on earlier files.
+    A table may be one file or a folder of files under the same name; a path that names a file is read as its folder with only
+    that name, as a stream reads folders. A CSV stream reads typed cells by its ``schema``, for instance that of ``read_raw_csv`` on earlier files.
     """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) and files.getFileStatus(target).isFile():
+        path, name_filter = target.getParent().toString(), re.sub(r"([\\*?\[\]{}^])", r"\\\1", target.getName())
     reader = spark.readStream.format(file_format).schema(schema)
     if file_format == "csv":
         # As in batch reading, cells may hold quoted line breaks.

@@ -1,6 +1,7 @@
 """Guards, CSV and versioned sources, pages, streams against their batch twins, registered queries."""
 
 from dataclasses import replace
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,29 @@ def test_registered_query_equals_oracle(spark, name):
     assert compare.spark_rows(q.run(spark, SF)) == compare.oracle_rows(con, q.oracle)
 
 
+@pytest.mark.parametrize(
+    "name", ["stream_clean", "stream_counts", "stream_dedup", "stream_score", "stream_with_lemmas", "stream_newest_model"]
+)
+def test_streams_read_tables_that_are_folders_of_files(spark, tmp_path, name):
+    for table in ("documents", "labels", "orders"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    q = queries.QUERIES[name]
+    assert compare.spark_rows(q.run(spark, str(tmp_path))) == compare.spark_rows(q.run(spark, SF))
+
+
+def test_pages_of_ids_beyond_64_bits(spark, tmp_path):
+    ids = [k * 10**33 - 5 * 10**36 for k in range(40)] + [10**37 - 1, 1 - 10**37, 0, 2**63, 2**63 + 1]
+    df = spark.createDataFrame([(Decimal(i),) for i in ids] + [(None,)], "review_id decimal(37,0)")
+    got = [r.review_id for n in range(1, 17) for r in pages.page_of(df, "review_id", n, 3).rows.collect()]
+    assert got == [None, *sorted(map(Decimal, ids))]
+    assert pages.page_of(df, "review_id", 1, 1).rows.first().review_id is None
+    events = spark.range(0, 6_000_001, 100).select(F.col("id").alias("event_id"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    page = queries.QUERIES["page_sparse_ids"].run(spark, str(tmp_path)).collect()
+    want = [(100 * k) ** 2 * 1000003 - 7000000000 for k in range(6000, 6030)]
+    assert [(r.id, r.total) for r in page] == [(i, 60001) for i in want]
+
+
 def test_pages_of_large_and_of_text_ids(spark):
     ids = [2**60 + 65536 * k - 1 for k in range(8)] + [2**63 - 1, -(2**63), -1]
     df = spark.createDataFrame([(i,) for i in ids], "review_id long")
