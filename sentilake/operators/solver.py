@@ -28,6 +28,9 @@ KINK = 0.05
 #: Gradients of all parts that are summed on the driver, in bytes; beyond it Spark sums them by blocks of terms.
 DRIVER_BYTES = 128 << 20
 BLOCK = 8192
+ROWS_PER_FIT_TASK = 20_000
+#: Products that a task makes in one go, and bytes of the gradients that it holds.
+PRODUCTS, MATRIX_BYTES = 1 << 17, 64 << 20
 #: Pairs of steps and gradient changes that stand for the curvature.
 MEMORY = 8
 
@@ -76,12 +79,25 @@ def loss_and_slope(kind: str, margin: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _part(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     """The rows of a task: label, fold, and the entries of their vectors as (row, term, value)."""
     table = pa.Table.from_batches(list(batches))
-    lists = table["idx"].combine_chunks()
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    entries = np.repeat(np.arange(len(sizes)), sizes)
-    terms, values = (pc.list_flatten(table[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("idx", "value"))
+    terms, values = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("idx", np.int32), ("value", float)))
+    sizes = pc.binary_length(table["idx"]).to_numpy() // 4
     label, fold = (table[c].to_numpy() for c in ("label", "fold"))
-    return label.astype(int), fold, entries, terms, values
+    return label.astype(int), fold, np.repeat(np.arange(len(sizes)), sizes), terms, values
+
+
+def _product(to: np.ndarray, source: np.ndarray, values: np.ndarray, matrix: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``values * matrix[source]`` by place, for all columns at once; ``to``, the places, must ascend."""
+    out = np.zeros((size, matrix.shape[1]))
+    step = max(1, PRODUCTS // matrix.shape[1])
+    for start in range(0, len(to), step):
+        some = slice(start, start + step)
+        terms = matrix.take(source[some], axis=0)
+        terms *= values[some, None]
+        place = to[some]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        # A place stands once among these sums, so nothing is lost where it goes on in the next run of entries.
+        out[place[first]] += np.add.reduceat(terms, first, axis=0)
+    return out
 
 
 def _gradient_batches(
@@ -94,49 +110,60 @@ def _gradient_batches(
         mine, groups = rows[0].column("mine")[0].as_py(), rows[0].column("groups")[0].as_py()
         label, fold, entries, terms, values = _part(iter(rows))
         problems, shares, weights = state.value
-        found: dict[str, list] = {"problem": [], "block": [], "loss": [], "slope": []}
-        for n in range(mine, len(problems), groups):
-            kind, positive, left_out = problems[n]
-            w = weights[n]
-            side = np.where(label == positive, 1.0, -1.0)
-            share = np.zeros(len(label))
-            for c, value in shares[n].items():
-                share[label == c] = value
-            if left_out is not None:
-                share[fold == left_out] = 0.0
-            scores = np.bincount(entries, values * w[terms], len(label)) + w[-1]
-            loss, slope = loss_and_slope(kind, side * scores)
-            slope = slope * side * share
-            # Without any entry bincount gives whole numbers.
-            gradient = np.bincount(terms, values * slope[entries], len(w)).astype(float)
-            gradient[-1] = slope.sum()
-            size = BLOCK if blocks else len(w)
-            for start in range(0, len(w), size):
-                found["problem"].append(n)
-                found["block"].append(start // size)
-                found["loss"].append(float((loss * share).sum()) if start == 0 else 0.0)
-                found["slope"].append(gradient[start : start + size])
-            if len(found["slope"]) * size > 1 << 20:
+        length = weights.shape[1]
+        # Short numbers are sorted in linear time.
+        order = np.argsort(terms.astype(np.uint16) if length <= 1 << 16 else terms, kind="stable")
+        by_term = terms[order], entries[order], values[order]
+        own = list(range(mine, len(problems), groups))
+        together = max(1, MATRIX_BYTES // (8 * length))
+        size = BLOCK if blocks else length
+        for at in range(0, len(own), together):
+            part = own[at : at + together]
+            w = np.ascontiguousarray(weights[part].T)
+            slopes = _product(entries, terms, values, w, len(label)) + w[-1]
+            losses = []
+            for k, n in enumerate(part):
+                kind, positive, left_out = problems[n]
+                side = np.where(label == positive, 1.0, -1.0)
+                share = np.zeros(len(label))
+                for c, value in shares[n].items():
+                    share[label == c] = value
+                if left_out is not None:
+                    share[fold == left_out] = 0.0
+                loss, slope = loss_and_slope(kind, side * slopes[:, k])
+                losses.append(float((loss * share).sum()))
+                slopes[:, k] = slope * side * share
+            gradients = _product(*by_term, slopes, length)
+            gradients[-1] = slopes.sum(axis=0)
+            found: dict[str, list] = {"problem": [], "block": [], "loss": [], "slope": []}
+            for k, n in enumerate(part):
+                gradient = np.ascontiguousarray(gradients[:, k])
+                for start in range(0, length, size):
+                    found["problem"].append(n)
+                    found["block"].append(start // size)
+                    found["loss"].append(losses[k] if start == 0 else 0.0)
+                    found["slope"].append(gradient[start : start + size].tobytes())
+                if len(found["slope"]) * size > 1 << 20:
+                    yield _encoded(found)
+                    found = {name: [] for name in found}
+            if found["slope"]:
                 yield _encoded(found)
-                found = {name: [] for name in found}
-        if found["slope"]:
-            yield _encoded(found)
 
     return run
 
 
-_SCHEMA = "problem int, block int, loss double, slope array<double>"
+#: A run of a gradient travels as its bytes.
+_SCHEMA = "problem int, block int, loss double, slope binary"
 
 
 def _encoded(found: dict[str, list]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(found[c], k) for c, k in zip(found, kinds, strict=True)], list(found))
 
 
 def _sum_blocks(key: tuple, rows: pa.Table) -> pa.Table:
-    slopes = rows["slope"].combine_chunks()
-    total = slopes.values.to_numpy()[slopes.offsets[0].as_py() :].reshape(len(rows), -1).sum(axis=0)
-    found = {"problem": [key[0].as_py()], "block": [key[1].as_py()], "loss": [pc.sum(rows["loss"]).as_py()], "slope": [total]}
+    total = np.sum([np.frombuffer(x.as_buffer()) for x in rows["slope"]], axis=0)
+    found = {"problem": [key[0].as_py()], "block": [key[1].as_py()], "loss": [pc.sum(rows["loss"]).as_py()], "slope": [total.tobytes()]}
     return pa.Table.from_batches([_encoded(found)])
 
 
@@ -159,14 +186,13 @@ def evaluate(
     loss, slope = np.zeros(len(problems)), np.zeros_like(weights)
     size = weights.shape[1] if small else BLOCK
     found = sums.toArrow()
-    lists = found["slope"].combine_chunks()
-    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    runs = [np.frombuffer(x.as_buffer()) for x in found["slope"]]
     # The order of the parts must not change the sum.
     order = np.lexsort((found["loss"].to_numpy(), found["block"].to_numpy(), found["problem"].to_numpy()))
     for row in order:
         n, block = found["problem"][row].as_py(), found["block"][row].as_py()
         loss[n] += found["loss"][row].as_py()
-        slope[n, block * size : (block + 1) * size] += flat[at[row] : at[row + 1]]
+        slope[n, block * size : (block + 1) * size] += runs[row]
     state.destroy()
     return loss, slope
 
@@ -268,16 +294,42 @@ def class_shares(problem: Problem, sizes: dict[tuple[int, float], int]) -> dict[
     return {c: 1.0 / (len(counts) * k) if problem.balanced else 1.0 / n for c, k in counts.items()}
 
 
+def _bytes(lists: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The values of each list as its bytes."""
+    width = kind.bit_width // 8
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * width
+    flat = lists.flatten().cast(kind).to_numpy(zero_copy_only=False)
+    buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())]
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), buffers).cast(pa.binary())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        entries = [_bytes(rows.column("idx"), pa.int32()), _bytes(rows.column("value"), pa.float64())]
+        yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("fold"), *entries], ["label", "fold", "idx", "value"])
+
+
 def entry_rows(vectors: DataFrame) -> DataFrame:
-    """(label, fold, idx, value): the entries of each row's vector as arrays."""
+    """(label, fold, idx, value): the entries of each row's vector, as the bytes of whole numbers and doubles.
+
+    Every pass reads them again, and bytes are copied where an array would be read value by value.
+    """
     v = F.unwrap_udt("features")
     dense = F.when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1))
-    return vectors.select(
+    rows = vectors.select(
         F.col("label").cast("int").alias("label"),
         F.col("fold").cast("int").alias("fold"),
         F.when(v["type"] == 0, v["indices"]).otherwise(F.coalesce(dense, F.array().cast("array<int>"))).alias("idx"),
         v["values"].alias("value"),
     )
+    return rows.mapInArrow(_packed, "label int, fold int, idx binary, value binary")
+
+
+def row_parts(n: int, cores: int, problems: int, terms: int) -> int:
+    """Into how many parts to write ``n`` rows: no part of too many rows, and beyond that as many as the driver can add up."""
+    on_driver = DRIVER_BYTES // (8 * problems * (terms + 1))
+    return max(1, math.ceil(n / ROWS_PER_FIT_TASK), min(cores, on_driver))
 
 
 def solve(
@@ -300,7 +352,8 @@ def solve(
         start = np.zeros(terms + 1)
         searches.append(_Search(problem, limit, tolerance, start, penalised, trial=start))
     shares = [class_shares(p, sizes) for p in problems]
-    parts = rows.rdd.getNumPartitions()
+    # A file of one row group is cut into many splits, of which one holds all its rows.
+    parts = rows.select(F.spark_partition_id().alias("part")).distinct().count()
     while open_ := [n for n, s in enumerate(searches) if not s.done]:
         at = np.stack([searches[n].trial for n in open_])
         loss, slope = evaluate(rows, parts, [problems[n] for n in open_], [shares[n] for n in open_], at)

@@ -110,3 +110,37 @@ def test_limits_empty_folds_and_rows_without_terms(data, spark):
         solver.solve(written(solver.entry_rows(df), "rows")[0], [Problem(LOGISTIC, 1.0, left_out=0)], [5], [1e-3], 2, search.class_sizes(df))
     (one,) = solver.solve(written(solver.entry_rows(df), "rows")[0], [Problem(LOGISTIC, 1.0)], [5], [1e-3], 2, search.class_sizes(df))
     assert not one.weights[:-1].any() and one.weights[-1] > 0
+
+
+def test_only_parts_with_rows_count(data, spark, monkeypatch):
+    """A file of one row group is cut into splits of which one has the rows: its cores must not stay idle."""
+    kept, _, _, sizes = data
+    context = spark.sparkContext
+    split = context.parallelize(kept, 1).union(context.parallelize([], 7))
+    rows = solver.entry_rows(spark.createDataFrame(split, ["id", "label", "features", "fold"]))
+    assert rows.rdd.getNumPartitions() == 8
+    seen, evaluate = [], solver.evaluate
+    monkeypatch.setattr(solver, "evaluate", lambda rows, parts, *rest: seen.append(parts) or evaluate(rows, parts, *rest))
+    found = solver.solve(rows, PROBLEMS[:2], [3, 3], [1e-4, 1e-4], TERMS, sizes)
+    assert set(seen) == {1}
+    for a, b in zip(found, solved(data, PROBLEMS[:2], limit=3), strict=True):
+        assert a.weights == pytest.approx(b.weights)
+
+
+def test_rows_are_written_in_as_many_parts_as_there_is_work_for():
+    assert solver.row_parts(100, 8, 4, 1000) == 8
+    assert solver.row_parts(100, 8, 63, 50_000) == 5 and solver.row_parts(100, 8, 10_000, 50_000) == 1
+    assert solver.row_parts(10 * solver.ROWS_PER_FIT_TASK + 1, 8, 63, 50_000) == 11
+
+
+@pytest.mark.parametrize("products", [1, 7, 1 << 17])
+def test_products_of_many_columns_in_runs(products, monkeypatch):
+    monkeypatch.setattr(solver, "PRODUCTS", products)
+    rng = np.random.default_rng(1)
+    to, source = np.sort(rng.integers(0, 9, 50)), rng.integers(0, 6, 50).astype(np.int32)
+    values, matrix = rng.normal(size=50), rng.normal(size=(6, 3))
+    want = np.zeros((10, 3))
+    np.add.at(want, to, values[:, None] * matrix[source])
+    assert solver._product(to, source, values, matrix, 10) == pytest.approx(want)
+    none = np.empty(0, int)
+    assert not solver._product(none, none, np.empty(0), matrix, 2).any()
