@@ -63,6 +63,18 @@ def test_vocabulary_and_weights(docs, k):
     assert [got[i] for i in x] == pytest.approx(list(x.values()))
 
 
+def test_no_task_gathers_terms_before_they_are_placed(docs):
+    stats = features.term_statistics(docs, CFG)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" in plan
+    # The plan is printed from its end: what follows the exchange runs where the texts are read.
+    assert "Aggregate" not in plan[plan.index("Exchange") :]
+    _, df, tf, _, _ = brute(CFG)
+    got = {r.term: (r.df, r.tf) for r in stats.collect()}
+    assert got.pop(features.EVERY_DOCUMENT) == (len(DOCS), 0)
+    assert got == {t: (df[t], tf[t]) for t in df}
+
+
 def test_max_df_cut(docs):
     cfg = FeatureConfig(id_column="id", text_column="t", label_column="l", max_df=0.5, min_df=1)
     kept = [r.term for r in features.fit_tfidf(docs, cfg).vocabulary.orderBy("idx").collect()]
