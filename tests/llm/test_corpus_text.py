@@ -296,3 +296,45 @@ def test_the_map_of_documents_with_windows_loses_none(spark, monkeypatch):
         want = {tuple(r) for r in chosen.collect()}
         assert want <= got and len(got) < len(want) + (5 if bits == 27 else 60)
     assert decontaminate.marked_rows(rows, chosen.limit(0), "doc_id", "body").count() == 0
+
+
+def _brute_runs(a, b, size, similarity):
+    """Runs of agreeing windows of one pair: those that lie over each other, or if there are none, all with moved shingles."""
+    over = [sum(x == y for x, y in zip(a[n : n + size], b[n : n + size], strict=True)) for n in range(len(a) - size + 1)]
+    moved = [sum((Counter(a[n : n + size]) & Counter(b[n : n + size])).values()) for n in range(len(a) - size + 1)]
+    levels = [[s / (2 * size - s) for s in shared] for shared in (over, moved)]
+    level = levels[0] if max(levels[0]) >= similarity else levels[1]
+    runs, start = [], None
+    for n, x in enumerate([*level, 0.0]):
+        if x >= similarity and start is None:
+            start = n
+        elif x < similarity and start is not None:
+            runs.append((start, n - 1, max(level[start:n])))
+            start = None
+    return runs
+
+
+def test_stretches_verified_together_agree_with_each_alone():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        size, similarity = (46, 0.8) if trial % 2 else (int(rng.integers(1, 9)), float(rng.choice([0.3, 0.5, 0.8, 1.0])))
+        pairs = []
+        for _ in range(6):
+            span = int(rng.choice([2, 9, 2**31 - 1]))  # few values: shingles that stand in a window several times
+            a = rng.integers(-span, span, size + int(rng.integers(0, 60))).astype(np.int32)
+            b = np.roll(a, int(rng.integers(0, 4)))
+            other = rng.random(len(a)) < rng.choice([0.0, 0.1, 1.0])
+            b[other] = rng.integers(-span, span, other.sum())
+            pairs.append((a, b))
+        flat = [np.concatenate(side) for side in zip(*pairs, strict=True)]
+        found = passages.agreeing_runs(*flat, np.array([len(a) for a, _ in pairs]), size, similarity)
+        wanted = [(n, *run) for n, (a, b) in enumerate(pairs) for run in _brute_runs(a.tolist(), b.tolist(), size, similarity)]
+        assert list(zip(*[x.tolist() for x in found], strict=True)) == wanted
+
+
+def test_common_shingles_are_counted_in_the_same_documents_whatever_their_order(spark):
+    """Before, the eighth of the documents was drawn by place, so the stretches that were compared changed with the files."""
+    rng = np.random.default_rng(6)
+    rows = [(n, " ".join(f"w{x}" for x in rng.integers(0, 9999, 20))) for n in range(400)]
+    found = [passages.shingle_levels(spark.createDataFrame(x, "doc_id long, text string").coalesce(1)) for x in (rows, rows[::-1])]
+    assert found[0].any() and (found[0] == found[1]).all()
