@@ -21,7 +21,7 @@ from sentilake.operators.metrics import confusion_metrics, score_column
 from sentilake.operators.models import MARGIN, PROBABILITY, SIGMOIDS, LinearTextModel
 from sentilake.operators.solver import HINGE, LOGISTIC, SQUARED_HINGE, Problem, Solution
 from sentilake.operators.splitting import assign_folds
-from sentilake.session import cut_lineage, remove_written, written
+from sentilake.session import cut_lineage, remove_checkpoint
 
 REPORT_SCHEMA = (
     "name string, ordinal int, cv_best_score double, test_accuracy double, test_precision_weighted double, "
@@ -186,15 +186,22 @@ def tune_bayes(
 
 
 def fitted_models(
-    rows: DataFrame, wanted: Sequence[tuple[Point, int | None]], sizes: dict[tuple[int, float], int], classes: int, terms: int
+    rows: DataFrame,
+    wanted: Sequence[tuple[Point, int | None]],
+    sizes: dict[tuple[int, float], int],
+    classes: int,
+    terms: int,
+    near: Sequence[np.ndarray] | None = None,
 ) -> list[FittedModel]:
-    """Models of all (grid point, fold left out) pairs, solved together."""
+    """Models of all (grid point, fold left out) pairs, solved together. ``near``: for each of their machines, where to begin."""
     problems, limits, tolerances = [], [], []
     for point, fold in wanted:
         n = sum(k for (f, _), k in sizes.items() if f != fold)
         if not n:
             raise ValueError(f"Fold {fold} leaves no rows to train on.")
         machines = point.problems(n, fold, classes)
+        if near:
+            machines = [replace(m, near=x) for m, x in zip(machines, near[len(problems) :], strict=False)]
         problems += machines
         limits += [point.limit] * len(machines)
         tolerances += [point.tolerance] * len(machines)
@@ -233,8 +240,11 @@ def tune_linear(
     points = [(c, p) for c, candidate in enumerate(candidates) for p in candidate.points]
     folds = range(cfg.cv_folds)
     machines = len(points) * cfg.cv_folds * (1 if classes == 2 else classes)
-    parts = solver.row_parts(sum(sizes.values()), spark.sparkContext.defaultParallelism, machines, terms)
-    rows, path = written(solver.entry_rows(train.repartition(parts)), "solver-rows")
+    n = sum(sizes.values())
+    # Every part gives a gradient for each fit, so parts of few rows are not cut: tasks share their fits instead.
+    parts = min(solver.row_parts(n, spark.sparkContext.defaultParallelism, machines, terms), math.ceil(n / solver.FEW_ROWS))
+    # Read in the very parts that are written: files would be cut into splits of which most hold no row.
+    rows = cut_lineage(solver.entry_rows(train.repartition(parts).sortWithinPartitions("fold")))
     try:
         fitted = fitted_models(rows, [(p, fold) for fold in folds for _, p in points], sizes, classes, terms)
         by_fold = {
@@ -242,14 +252,17 @@ def tune_linear(
         }
         grid = validation.gathered_weights(spark, by_fold)
         scores = validation.fold_scores(train, grid, key, cfg.primary_metric)
-        chosen = []
+        chosen, near = [], []
         for c, candidate in enumerate(candidates):
-            mine = [s for (owner, _), s in zip(points, scores, strict=True) if owner == c]
-            top, means = validation.best_point(mine)
+            mine = [n for n, (owner, _) in enumerate(points) if owner == c]
+            top, means = validation.best_point([scores[n] for n in mine])
             chosen.append((candidate.points[top], means[top], tuple(means)))
-        whole = fitted_models(rows, [(point, None) for point, _, _ in chosen], sizes, classes, terms)
+            # The refit of a point lies near the mean of its folds.
+            found = [[s.weights for s in fitted[fold * len(points) + mine[top]].solutions] for fold in folds]
+            near += [np.mean(machine, axis=0) for machine in zip(*found, strict=True)]
+        whole = fitted_models(rows, [(point, None) for point, _, _ in chosen], sizes, classes, terms, near)
     finally:
-        remove_written(spark, path)
+        remove_checkpoint(rows)
     out = []
     for candidate, model, (point, best, means) in zip(candidates, whole, chosen, strict=True):
         metrics = _test_metrics(test, validation.gathered_weights(spark, {0: [(model.weights, model.intercepts)]}), key)

@@ -25,14 +25,20 @@ SQUARED_HINGE = "squared_hinge"
 
 #: The hinge's kink is rounded off over this width of the margin.
 KINK = 0.05
+#: About how steeply each loss bends. The hinge does so at its kink only, so one stands for it at large.
+BEND = {LOGISTIC: 0.25, SQUARED_HINGE: 2.0, HINGE: 1.0}
 #: Gradients of all parts that are summed on the driver, in bytes; beyond it Spark sums them by blocks of terms.
 DRIVER_BYTES = 128 << 20
 BLOCK = 8192
 ROWS_PER_FIT_TASK = 20_000
+#: Rows that are read by tasks which share the fits, rather than cut further.
+FEW_ROWS = 10_000
+#: Fits of a task that are worked out one after the other.
+ONE_BY_ONE = 8
 #: Products that a task makes in one go, and bytes of the gradients that it holds.
 PRODUCTS, MATRIX_BYTES = 1 << 17, 64 << 20
-#: Pairs of steps and gradient changes that stand for the curvature.
-MEMORY = 8
+#: Pairs of steps and gradient changes that stand for the curvature of each fit. They are held in single precision.
+MEMORY = 24
 
 
 @dataclass(frozen=True)
@@ -40,7 +46,8 @@ class Problem:
     """One fit: mean of c_i loss(y_i (w x_i + b)) over the rows of the other folds + l2 / 2 |w|^2 + l1 |w|_1.
 
     Rows of class ``positive`` have y = 1, all others -1. ``balanced`` weighs both sides alike for
-    two classes, all classes alike otherwise. ``heavy_intercept``: b is penalised as a weight.
+    two classes, all classes alike otherwise. ``heavy_intercept``: b is penalised as a weight. ``near``: a point that the solution
+    is thought to be near to; it is tried after zero, of which the tolerance is a share.
     """
 
     loss: str
@@ -50,6 +57,7 @@ class Problem:
     balanced: bool = False
     heavy_intercept: bool = False
     positive: int = 1
+    near: np.ndarray | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass(frozen=True)
@@ -76,13 +84,54 @@ def loss_and_slope(kind: str, margin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(gap < KINK, gap * gap / (2 * KINK), gap - KINK / 2), -np.minimum(gap / KINK, 1.0)
 
 
-def _part(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """The rows of a task: label, fold, and the entries of their vectors as (row, term, value)."""
+@dataclass(frozen=True)
+class _Rows:
+    """Rows of one fold: label, entries of each row, and the entries one after the other."""
+
+    fold: int
+    label: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+
+    def by_row(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes), self.terms, self.values
+
+    def by_term(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Short numbers are sorted in linear time.
+        order = np.argsort(self.terms.astype(np.uint16) if length <= 1 << 16 else self.terms, kind="stable")
+        return self.terms[order], self.by_row()[0][order], self.values[order]
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.sizes))
+        held = np.flatnonzero(self.sizes)
+        if len(held):
+            products = w[self.terms]
+            products *= self.values
+            out[held] = np.add.reduceat(products, (np.cumsum(self.sizes) - self.sizes)[held])
+        return out
+
+    def gradient(self, slope: np.ndarray, length: int) -> np.ndarray:
+        weighted = np.repeat(slope, self.sizes)
+        weighted *= self.values
+        return np.bincount(self.terms, weights=weighted, minlength=length)
+
+
+def _part(batches: Iterator[pa.RecordBatch]) -> list[_Rows]:
+    """The rows of a task, fold by fold."""
     table = pa.Table.from_batches(list(batches))
+    if (np.diff(table["fold"].to_numpy()) < 0).any():
+        table = table.take(np.argsort(table["fold"].to_numpy(), kind="stable"))
     terms, values = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("idx", np.int32), ("value", float)))
     sizes = pc.binary_length(table["idx"]).to_numpy() // 4
-    label, fold = (table[c].to_numpy() for c in ("label", "fold"))
-    return label.astype(int), fold, np.repeat(np.arange(len(sizes)), sizes), terms, values
+    label, fold, terms = table["label"].to_numpy().astype(int), table["fold"].to_numpy(), terms.astype(np.intp)
+    starts = np.append(0, np.cumsum(sizes))
+    out = []
+    for f in np.unique(fold):
+        first, end = np.searchsorted(fold, f), np.searchsorted(fold, f, "right")
+        held = slice(starts[first], starts[end])
+        out.append(_Rows(int(f), label[first:end], sizes[first:end], terms[held], values[held]))
+    return out
 
 
 def _product(to: np.ndarray, source: np.ndarray, values: np.ndarray, matrix: np.ndarray, size: int) -> np.ndarray:
@@ -108,46 +157,43 @@ def _gradient_batches(
         if not rows:
             return
         mine, groups = rows[0].column("mine")[0].as_py(), rows[0].column("groups")[0].as_py()
-        label, fold, entries, terms, values = _part(iter(rows))
+        pieces = _part(iter(rows))
         problems, shares, weights = state.value
         length = weights.shape[1]
-        # Short numbers are sorted in linear time.
-        order = np.argsort(terms.astype(np.uint16) if length <= 1 << 16 else terms, kind="stable")
-        by_term = terms[order], entries[order], values[order]
         own = list(range(mine, len(problems), groups))
+        # Few fits are quicker one by one than all entries are sorted by term.
+        orders = [(piece.by_row(), piece.by_term(length)) if len(own) > ONE_BY_ONE else None for piece in pieces]
         together = max(1, MATRIX_BYTES // (8 * length))
         size = BLOCK if blocks else length
         for at in range(0, len(own), together):
             part = own[at : at + together]
-            w = np.ascontiguousarray(weights[part].T)
-            slopes = _product(entries, terms, values, w, len(label)) + w[-1]
-            losses = []
-            for k, n in enumerate(part):
-                kind, positive, left_out = problems[n]
-                side = np.where(label == positive, 1.0, -1.0)
-                share = np.zeros(len(label))
-                for c, value in shares[n].items():
-                    share[label == c] = value
-                if left_out is not None:
-                    share[fold == left_out] = 0.0
-                loss, slope = loss_and_slope(kind, side * slopes[:, k])
-                losses.append(float((loss * share).sum()))
-                slopes[:, k] = slope * side * share
-            gradients = _product(*by_term, slopes, length)
-            gradients[-1] = slopes.sum(axis=0)
-            found: dict[str, list] = {"problem": [], "block": [], "loss": [], "slope": []}
+            losses = np.zeros(len(part))
+            gradients = np.zeros((len(part), length))
+            for piece, order in zip(pieces, orders, strict=True):
+                # A fit that leaves these rows out has no part in their products.
+                open_ = [k for k, n in enumerate(part) if problems[n][2] != piece.fold]
+                if not open_:
+                    continue
+                w = weights[[part[k] for k in open_]]
+                slopes = _product(*order[0], np.ascontiguousarray(w.T), len(piece.label)) if order else np.stack([piece.margins(x) for x in w], axis=1)
+                slopes += w[:, -1]
+                for column, k in enumerate(open_):
+                    kind, positive, _ = problems[part[k]]
+                    side = np.where(piece.label == positive, 1.0, -1.0)
+                    share = np.zeros(len(piece.label))
+                    for c, value in shares[part[k]].items():
+                        share[piece.label == c] = value
+                    loss, slope = loss_and_slope(kind, side * slopes[:, column])
+                    losses[k] += float((loss * share).sum())
+                    slopes[:, column] = slope * side * share
+                if order:
+                    gradients[open_] += _product(*order[1], slopes, length).T
+                else:
+                    for column, k in enumerate(open_):
+                        gradients[k] += piece.gradient(slopes[:, column], length)
+                gradients[open_, -1] += slopes.sum(axis=0)
             for k, n in enumerate(part):
-                gradient = np.ascontiguousarray(gradients[:, k])
-                for start in range(0, length, size):
-                    found["problem"].append(n)
-                    found["block"].append(start // size)
-                    found["loss"].append(losses[k] if start == 0 else 0.0)
-                    found["slope"].append(gradient[start : start + size].tobytes())
-                if len(found["slope"]) * size > 1 << 20:
-                    yield _encoded(found)
-                    found = {name: [] for name in found}
-            if found["slope"]:
-                yield _encoded(found)
+                yield _in_blocks(n, float(losses[k]), gradients[k], size)
 
     return run
 
@@ -161,6 +207,13 @@ def _encoded(found: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[c], k) for c, k in zip(found, kinds, strict=True)], list(found))
 
 
+def _in_blocks(n: int, loss: float, slope: np.ndarray, size: int) -> pa.RecordBatch:
+    starts = range(0, len(slope), size)
+    runs = [slope[start : start + size].tobytes() for start in starts]
+    found = {"problem": [n] * len(runs), "block": [start // size for start in starts], "loss": [loss, *[0.0] * (len(runs) - 1)]}
+    return _encoded(found | {"slope": runs})
+
+
 def _sum_blocks(key: tuple, rows: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x.as_buffer()) for x in rows["slope"]], axis=0)
     found = {"problem": [key[0].as_py()], "block": [key[1].as_py()], "loss": [pc.sum(rows["loss"]).as_py()], "slope": [total.tobytes()]}
@@ -180,32 +233,61 @@ def evaluate(
     dealt = reduce(DataFrame.unionByName, copies)
     state = context.broadcast(([(p.loss, p.positive, p.left_out) for p in problems], shares, weights))
     small = parts * weights.nbytes <= DRIVER_BYTES
-    sums = dealt.mapInArrow(_gradient_batches(state, not small), _SCHEMA)
+    found = _summed(dealt.mapInArrow(_gradient_batches(state, not small), _SCHEMA), small, *weights.shape)
+    state.destroy()
+    return found
+
+
+def _summed(sums: DataFrame, small: bool, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the parts found for ``n`` problems, added up: on the driver, or before by blocks in Spark."""
     if not small:
         sums = sums.groupBy("problem", "block").applyInArrow(_sum_blocks, _SCHEMA)
-    loss, slope = np.zeros(len(problems)), np.zeros_like(weights)
-    size = weights.shape[1] if small else BLOCK
+    loss, slope = np.zeros(n), np.zeros((n, length))
+    size = length if small else BLOCK
     found = sums.toArrow()
     runs = [np.frombuffer(x.as_buffer()) for x in found["slope"]]
+    problems, blocks, losses = (found[c].to_numpy() for c in ("problem", "block", "loss"))
     # The order of the parts must not change the sum.
-    order = np.lexsort((found["loss"].to_numpy(), found["block"].to_numpy(), found["problem"].to_numpy()))
-    for row in order:
-        n, block = found["problem"][row].as_py(), found["block"][row].as_py()
-        loss[n] += found["loss"][row].as_py()
-        slope[n, block * size : (block + 1) * size] += runs[row]
-    state.destroy()
+    for row in np.lexsort((losses, blocks, problems)):
+        of, start = problems[row], blocks[row] * size
+        loss[of] += losses[row]
+        slope[of, start : start + size] += runs[row]
     return loss, slope
 
 
+def class_squares(rows: DataFrame, parts: int, classes: int, terms: int) -> np.ndarray:
+    """For each class the sums of its rows' squared values by term; the last is the number of its rows."""
+    small = parts * classes * 8 * (terms + 1) <= DRIVER_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        pieces = _part(iter(found))
+        for c in range(classes):
+            total = np.zeros(terms + 1)
+            for piece in pieces:
+                of = np.repeat(piece.label == c, piece.sizes)
+                total += np.bincount(piece.terms[of], weights=piece.values[of] ** 2, minlength=terms + 1)
+                total[-1] += (piece.label == c).sum()
+            yield _in_blocks(c, float(c), total, terms + 1 if small else BLOCK)
+
+    return _summed(rows.mapInArrow(run, _SCHEMA), small, classes, terms + 1)[1]
+
+
 @dataclass
 class _Search:
-    """Limited-memory quasi-Newton descent on one problem, orthant by orthant where weights are made sparse."""
+    """Limited-memory quasi-Newton descent on one problem, orthant by orthant where weights are made sparse.
+
+    ``bend`` of the loss, term by term, stands for what the memory does not know yet. Any positive values lead to the same minimum.
+    """
 
     problem: Problem
     limit: int
     tolerance: float
     x: np.ndarray
     penalised: np.ndarray
+    bend: np.ndarray
     value: float = math.inf
     gradient: np.ndarray | None = None
     slope: np.ndarray | None = None
@@ -216,6 +298,7 @@ class _Search:
     scale: float = 0.0
     violation: float = math.inf
     done: bool = False
+    near: np.ndarray | None = None
     steps: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def _subgradient(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -226,24 +309,36 @@ class _Search:
         at_zero = np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
         return np.where(self.penalised > 0, np.where(x != 0, g + l1 * np.sign(x), at_zero), g)
 
+    @property
+    def curvature(self) -> np.ndarray:
+        return self.bend + self.problem.l2 * self.penalised
+
     def take(self, loss: float, slope: np.ndarray) -> None:
-        """The objective at the trial point is known: go there, or try nearer."""
+        """The objective at the trial point is known: go there, or try nearer. After zero, a point that is said to be near is tried."""
         x = self.trial
         ridge = self.problem.l2 * self.penalised
         weights = self.penalised[:-1] * np.abs(x[:-1])
         value = loss + 0.5 * float(ridge @ (x * x)) + self.problem.l1 * float(weights.sum())
-        if self.gradient is not None:
-            if value > self.value + 1e-4 * float(self.slope @ (x - self.x)):
-                self.step *= 0.5
+        if self.gradient is not None and self.near is not None:
+            self.near = None
+            if value >= self.value:
+                self._turn()
+                return
+        elif self.gradient is not None:
+            line = float(self.slope @ (x - self.x))
+            if value > self.value + 1e-4 * line:
+                # The lowest point of the parabola through what is known, within bounds.
+                self.step *= min(0.5, max(0.05, -line / (2.0 * (value - self.value - line))))
                 if self.step < 1e-12:
-                    self.done = True
-                self._try()
+                    self._end()
+                else:
+                    self._try()
                 return
         g = slope + ridge * x
         if self.gradient is not None:
-            s, y = x - self.x, g - self.gradient
-            if float(s @ y) > 1e-12 * float(y @ y):
-                self.steps = [*self.steps[1 - MEMORY :], (s, y)]
+            s, y, curvature = x - self.x, g - self.gradient, self.curvature
+            if float(s @ y) > 1e-12 * float(y @ (y / curvature)):
+                self.steps = [*self.steps[1 - MEMORY :], (s.astype(np.float32), y.astype(np.float32))]
             self.iterations += 1
         self.x, self.value, self.gradient = x, value, g
         self.slope = self._subgradient(x, g)
@@ -251,15 +346,27 @@ class _Search:
         if self.iterations == 0:
             self.scale = self.violation
         if self.violation <= self.tolerance * self.scale or self.iterations >= self.limit:
-            self.done = True
+            self._end()
             return
+        if self.near is not None:
+            self.trial = self.near
+            return
+        self._turn()
+
+    def _end(self) -> None:
+        """What goes on needs the driver's memory."""
+        self.done, self.steps = True, []
+        self.gradient = self.slope = self.trial = self.direction = None
+
+    def _turn(self) -> None:
+        """A new direction from where the search stands."""
         d = -self._curved(self.slope)
         if self.problem.l1:
             d[(self.penalised > 0) & (d * self.slope >= 0)] = 0.0
         if float(d @ self.slope) >= 0:
-            self.steps, d = [], -self.slope
+            self.steps, d = [], -self.slope / self.curvature
         self.direction = d
-        self.step = 1.0 if self.steps else min(1.0, 1.0 / float(np.linalg.norm(self.slope)))
+        self.step = 1.0
         self._try()
 
     def _try(self) -> None:
@@ -270,14 +377,17 @@ class _Search:
 
     def _curved(self, g: np.ndarray) -> np.ndarray:
         q, found = g.copy(), []
-        for s, y in reversed(self.steps):
+        pairs = [(s.astype(float), y.astype(float)) for s, y in self.steps]
+        for s, y in reversed(pairs):
             a = float(s @ q) / float(s @ y)
             found.append(a)
             q -= a * y
-        if self.steps:
-            s, y = self.steps[-1]
-            q *= float(s @ y) / float(y @ y)
-        for (s, y), a in zip(self.steps, reversed(found), strict=True):
+        curvature = self.curvature
+        q /= curvature
+        if pairs:
+            s, y = pairs[-1]
+            q *= float(s @ y) / float(y @ (y / curvature))
+        for (s, y), a in zip(pairs, reversed(found), strict=True):
             q += (a - float(y @ q) / float(s @ y)) * s
         return q
 
@@ -342,18 +452,26 @@ def solve(
 ) -> list[Solution]:
     """Fit all problems on (label, fold, idx, value) rows with ``terms`` terms. Every iteration reads them: pass a written table.
 
-    A pass over the rows gives loss and gradient of every problem that is not done yet, each at a point of its own. The
+    Steps are measured by how much each term bends the loss, from the squares of its values. A pass over the rows gives loss and gradient of every problem that is not done yet, each at a point of its own. The
     driver holds a few vectors of the vocabulary's length for each problem, never a row.
     """
     searches = []
-    for problem, limit, tolerance in zip(problems, limits, tolerances, strict=True):
-        penalised = np.ones(terms + 1)
-        penalised[-1] = float(problem.heavy_intercept)
-        start = np.zeros(terms + 1)
-        searches.append(_Search(problem, limit, tolerance, start, penalised, trial=start))
-    shares = [class_shares(p, sizes) for p in problems]
     # A file of one row group is cut into many splits, of which one holds all its rows.
     parts = rows.select(F.spark_partition_id().alias("part")).distinct().count()
+    squares = class_squares(rows, parts, 1 + max(int(c) for _, c in sizes), terms)
+    shares = [class_shares(p, sizes) for p in problems]
+    # Vectors that many fits have alike are held once.
+    start = np.zeros(terms + 1)
+    penalties = {heavy: np.append(np.ones(terms), float(heavy)) for heavy in (False, True)}
+    bends: dict[tuple, np.ndarray] = {}
+    for problem, share, limit, tolerance in zip(problems, shares, limits, tolerances, strict=True):
+        alike = (problem.loss, *sorted(share.items()))
+        if alike not in bends:
+            bends[alike] = BEND[problem.loss] * sum(weight * squares[c] for c, weight in share.items())
+            # A term that no row holds bends nothing; it stays at zero whatever stands here.
+            bends[alike][bends[alike] <= 0] = 1.0
+        vectors = (start, penalties[problem.heavy_intercept], bends[alike])
+        searches.append(_Search(problem, limit, tolerance, *vectors, trial=start, near=problem.near))
     while open_ := [n for n, s in enumerate(searches) if not s.done]:
         at = np.stack([searches[n].trial for n in open_])
         loss, slope = evaluate(rows, parts, [problems[n] for n in open_], [shares[n] for n in open_], at)

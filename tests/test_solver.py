@@ -144,3 +144,35 @@ def test_products_of_many_columns_in_runs(products, monkeypatch):
     assert solver._product(to, source, values, matrix, 10) == pytest.approx(want)
     none = np.empty(0, int)
     assert not solver._product(none, none, np.empty(0), matrix, 2).any()
+
+
+def _passes(problem, rows, label, near=None, limit=200):
+    """A search on rows in memory: its weights and the points at which it asked for loss and slope."""
+    n, terms = rows.shape
+    share = np.full(n, 1.0 / n)
+    full = np.column_stack([rows, np.ones(n)])
+    penalised = np.append(np.ones(terms), float(problem.heavy_intercept))
+    bend = solver.BEND[problem.loss] * share @ full**2
+    search_ = solver._Search(problem, limit, 1e-3, np.zeros(terms + 1), penalised, bend, trial=np.zeros(terms + 1), near=near)
+    asked = 0
+    while not search_.done:
+        asked += 1
+        loss, slope = solver.loss_and_slope(problem.loss, label * (full @ search_.trial))
+        search_.take(float(share @ loss), full.T @ (share * slope * label))
+    return search_, asked
+
+
+@pytest.mark.parametrize("loss", [LOGISTIC, SQUARED_HINGE, HINGE])
+def test_terms_of_unlike_size_and_a_near_start_take_few_passes(loss):
+    """Before, every term was stepped alike: of such rows the three losses took 123, 152 and 214 passes."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 30)) * np.logspace(0, -2, 30)
+    label = np.where(rows @ rng.normal(size=30) / 3 + rng.normal(size=400) > 0, 1.0, -1.0)
+    problem = Problem(loss, 1e-5, heavy_intercept=True)
+    found, asked = _passes(problem, rows, label)
+    assert found.violation <= 1e-3 * found.scale and asked <= 60
+    again, few = _passes(problem, rows, label, near=found.x)
+    assert few == 2 and again.scale == found.scale and (again.x == found.x).all()
+    # A start that is worse than zero is left again.
+    bad, _ = _passes(problem, rows, label, near=np.full(31, 1e3))
+    assert bad.violation <= 1e-3 * bad.scale and not bad.steps
